@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality, sharding
+from . import decontamination, mixing, quality, sharding, token_counts
 from .common import table
 
 SHARDS = 40
+TOKEN_LIMIT = 4096
 
 
 def op1_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +19,25 @@ def op1_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", sharding.row_size(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned, _ = mixing.plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return planned.select("row.doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_find_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = decontamination.n_hit()
+    listed = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def op8_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
