@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, mixing, quality, sharding, token_counts
-from .common import table
+from . import decontamination, mixing, quality, sharding, token_counts, token_files
+from .common import table, work_dir
 
 SHARDS = 40
 TOKEN_LIMIT = 4096
+END_ID = 2
 
 
 def op1_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,14 @@ def op4_find_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = work_dir(spark, "token-ids")
+    written = token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return token_files.read(spark, folder, written).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
