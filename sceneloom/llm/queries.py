@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, mixing, quality, sharding, token_counts, token_files
+from . import decontamination, mixing, quality, sharding, token_counts, token_files, warc
 from .common import table, work_dir
 
 SHARDS = 40
@@ -52,6 +52,11 @@ def op8_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op9_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = warc.write(table(spark, sf_dir, "pages"), work_dir(spark, "warc"))
+    return warc.read(spark, written).drop("payload")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
