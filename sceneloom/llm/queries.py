@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, mixing, quality, sharding, token_counts, token_files, warc
+from . import decontamination, mixing, quality, sharding, token_counts, token_files, toxicity, warc
 from .common import table, work_dir
 
 SHARDS = 40
@@ -57,6 +57,10 @@ def op9_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, written).drop("payload")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
