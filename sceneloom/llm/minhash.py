@@ -9,7 +9,8 @@ Equal sets are made one class first. Of each table's bucket, every class is comp
 (the lead); links make components. Then pairs of one bucket whose components differ are compared
 too, so that no link between components is missed; pairs are left out only if they are known to be
 linked through others, or cannot be similar because their distances to the common lead differ by more
-than the threshold allows (the Jaccard distance is a metric). So a group of n copies costs n comparisons,
+than the threshold allows (the Jaccard distance is a metric), or if their one-bit sketches differ in more
+bits than those of similar sets do but for a chance of 1e-9. So a group of n copies costs n comparisons,
 not n * n, and none of its links that matters is lost. Buckets are only ever counted or joined, never gathered.
 """
 
@@ -28,6 +29,10 @@ from .common import checkpointed, work_dir
 HALVES, ROWS = 12, 3
 #: Percent of the union that the intersection has to be.
 SIMILAR = 80
+#: So often members outside a bucket's largest component are compared with one member of that, before all are.
+PIVOT_TURNS = 2
+#: Bits of the sketches by which pairs are left out before they are compared.
+SKETCH = 256
 #: Ids are broadcast up to this number (16 bytes each in memory); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Hashes of so many distinct words are remembered in a Python worker.
@@ -150,6 +155,31 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(of, f"a {kind}, b {kind}, both long, either long")
 
 
+def most_apart(similarity: float) -> int:
+    """In how many bits sketches may differ, so that sets of this similarity or more pass but for a chance below 1e-9.
+
+    Each bit differs with half the chance that a minhash does; the limit is 6.3 standard deviations above the mean.
+    """
+    chance = (1 - similarity) / 2
+    return math.ceil(SKETCH * chance + 6.3 * math.sqrt(SKETCH * chance * (1 - chance)))
+
+
+def sketched(texts: DataFrame, ids: DataFrame, size: int, seed: int) -> DataFrame:
+    """Rows (doc_id, sketch): one bit of each of SKETCH minhashes, as longs, of the texts with these ids."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, signer = WordHashes(), Signer(SKETCH // 2, 1, seed + 1)
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH):
+                part = batch.slice(start, BATCH)
+                bits = [np.packbits((signer.bands(shingles(text, size, known)) & np.uint64(1)).astype(np.uint8)).view(np.int64) for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "sketch"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    wanted = within(checkpointed(ids), texts.withColumnRenamed("id", "own"), "own")
+    return checkpointed(wanted.select("own", "text").mapInArrow(of, f"doc_id {kind}, sketch array<long>").dropDuplicates(["doc_id"]))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Rows (id, component) for all ids in links (a, b): the smallest id of those that each is connected with.
 
@@ -170,6 +200,15 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def still_open(members: DataFrame, known: DataFrame) -> DataFrame:
+    """members (key, doc_id, distance) of buckets with several components, with component and the bucket's largest one."""
+    placed = members.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    several = placed.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one < other").select("key")
+    placed = placed.join(several, "key")
+    largest = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    return checkpointed(placed.join(largest, "key"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR, id_column: str = "doc_id", text_column: str = "text", halves: int = HALVES, rows: int = ROWS, seed: int = 11, report: Callable[[str, DataFrame], None] | None = None) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of docs.
 
@@ -200,30 +239,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR, id_c
     first_pairs = members.filter("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
     first = checkpointed(compared(first_pairs, texts, size))
     linked = F.col("both") * 100 >= F.col("either") * similar
-    first_components = components(first.filter(linked).select("a", "b"))
 
     # What is left: members of one bucket in different components, neither of them its lead.
     distance = 1 - F.col("both") / F.col("either")
-    placed = members.filter("doc_id <> lead").join(first.select(F.col("a").alias("doc_id"), F.col("b").alias("lead"), distance.alias("distance")), ["doc_id", "lead"])
-    placed = placed.join(first_components.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_buckets = placed.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one < other").select("key")
-    placed = placed.join(open_buckets, "key")
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    outside = placed.join(largest, "key").filter(F.col("component") != F.col("largest"))
-    left = outside.select("key", F.col("doc_id").alias("a"), F.col("component").alias("component_a"), F.col("distance").alias("distance_a"), "largest")
-    right = placed.select("key", F.col("doc_id").alias("b"), F.col("component").alias("component_b"), F.col("distance").alias("distance_b"))
+    others = checkpointed(members.filter("doc_id <> lead").join(first.select(F.col("a").alias("doc_id"), F.col("b").alias("lead"), distance.alias("distance")), ["doc_id", "lead"]).drop("lead"))
+    tested = first
+    for turn in range(PIVOT_TURNS):
+        placed = still_open(others, components(tested.filter(linked).select("a", "b")))
+        # Each member outside the bucket's largest component is compared with one member of that, another one in each bucket.
+        pivots = placed.filter("component = largest").groupBy("key").agg(F.min_by("doc_id", F.xxhash64(F.lit(turn), "key", "doc_id")).alias("pivot"))
+        pairs = placed.filter("component <> largest").join(pivots, "key").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct()
+        tested = checkpointed(tested.unionAll(compared(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts, size)))
+
+    # Then with all of them, but for those that cannot be similar.
+    placed = still_open(others, components(tested.filter(linked).select("a", "b")))
+    placed = placed.join(sketched(texts, placed.select(F.col("doc_id").alias("id")).distinct(), size, seed), "doc_id")
+    left = placed.filter("component <> largest").select("key", F.col("doc_id").alias("a"), F.col("component").alias("component_a"), F.col("distance").alias("distance_a"), F.col("sketch").alias("sketch_a"), "largest")
+    right = placed.select("key", F.col("doc_id").alias("b"), F.col("component").alias("component_b"), F.col("distance").alias("distance_b"), F.col("sketch").alias("sketch_b"))
     # A pair of which neither is in the largest component is met from both sides; it is taken once.
     once = (F.col("component_b") == F.col("largest")) | (F.col("a") > F.col("b"))
     near = F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - similar / 100 + 1e-9
-    second_pairs = left.join(right, "key").filter((F.col("component_a") != F.col("component_b")) & once & near)
-    second_pairs = second_pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti")
-    second = checkpointed(compared(second_pairs, texts, size))
+    apart = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    alike = apart <= most_apart(similar / 100)
+    pairs = left.join(right, "key").filter((F.col("component_a") != F.col("component_b")) & once & near & alike)
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    second = checkpointed(compared(pairs, texts, size))
     if report:
-        for name, df in (("classes", classes), ("members", members), ("texts", texts), ("first", first), ("first linked", first.filter(linked)), ("second", second), ("second linked", second.filter(linked))):
+        for name, df in (("classes", classes), ("members", members), ("texts", texts), ("first", first), ("first linked", first.filter(linked)), ("tested", tested), ("second", second), ("second linked", second.filter(linked))):
             report(name, df)
 
-    links = first.unionAll(second).filter(linked).select("a", "b")
+    links = tested.unionAll(second).filter(linked).select("a", "b")
     of_class = classes.join(components(links).withColumnRenamed("id", "lead"), "lead", "left").select(*of_set, F.coalesce("component", "lead").alias("component"))
     # An id may have rows of several sets: their components are one.
     of_id = with_set.join(of_class, of_set).groupBy("doc_id").agg(F.min("component").alias("component"), F.max("component").alias("other"))
