@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, minhash, mixing, quality, sharding, token_counts, token_files, toxicity, warc
+from . import decontamination, minhash, mixing, quality, sharding, substring_dedup, token_counts, token_files, toxicity, warc
 from .common import table, work_dir
 
 SHARDS = 40
@@ -39,6 +39,11 @@ def op4_find_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
