@@ -12,6 +12,7 @@ Texts are scanned in the task that reads them; nothing else is shuffled.
 from __future__ import annotations
 
 import pickle
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -81,11 +82,9 @@ def scan(text: str | None, made) -> tuple[int, list[tuple[int, int]], set[str]]:
 
 def offsets(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The ranges of words as ranges of characters of the original text."""
-    import re
-
     if not ranges:
         return []
-    spans = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)]
+    spans = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
     return [(spans[a][0], spans[b - 1][1]) for a, b in ranges]
 
 
