@@ -1,11 +1,287 @@
-"""The catalogue of named queries over scripts, with the SQL that checks them."""
+"""The catalogue of named queries over scripts, with the SQL that checks them.
+
+Scripts come from two places: `documents` are scenes of prose; the events of each user make a scene of
+commands, one line an event.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions.script import BARE, BLANK_RE2, CLOSED, KEYWORD, KEYWORDS, LEXEME, OPERATORS, SEGMENT, WORDS
+from ..operators import scanner, statements, token_types
+from ..sources import scenes as sources
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+# ---- scripts ----------------------------------------------------------------------------------------------
+
+#: The line of an event: the first rule that holds. Each line has the event's number and one number of its properties.
+RULES = [
+    ("event_id % 11 = 0", "concat('*comment note ', {event})"),
+    ("event_id % 13 = 0", "'*choice'"),
+    ("event_id % 17 = 0", "concat('    #Option ', {k}, ' @{{flag a|b}}')"),
+    ("event_id % 19 = 0", "concat('*label lbl_', {k})"),
+    ("event_id % 23 = 0", "concat('*page_break Next ', {k})"),
+    ("event_id % 29 = 0", "concat('*gosub_scene user_', {k7})"),
+    ("event_id % 31 = 0", "concat('*unknown ', {k})"),
+    ("event_id % 37 = 0", "concat('{tab}Tabbed prose ', {k})"),
+    ("event_type = 'view'", "concat('You saw item ', {k}, '.')"),
+    ("event_type = 'click'", "concat('*goto_scene user_', {k7}, ' lbl_', {k})"),
+    ("event_type = 'signup'", "concat('*create v_', {k}, ' ', {k})"),
+    ("event_type = 'purchase'", "concat('*set v_', {k}, ' %+ ', {k})"),
+]
+OTHERWISE = "concat('  *if (v_', {k}, ' >= ', {k}, ') and not (done)')"
+
+
+def _line(text: str) -> str:
+    cases = " ".join(f"WHEN {when} THEN {then}" for when, then in RULES)
+    fields = {"event": f"CAST(event_id AS {text})", "k": f"CAST(k AS {text})", "k7": f"CAST(k % 7 AS {text})", "tab": "\t"}
+    return f"CASE {cases} ELSE {OTHERWISE} END".format(**fields)
+
+
+def script_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scene for each user, of one line an event."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    found = events.select("event_id", "user_id", "event_type", F.regexp_extract("props", '"k": ([0-9]+)', 1).cast("long").alias("k"))
+    found = found.select("user_id", "event_id", F.expr(_line("STRING")).alias("line"))
+    ordered = F.array_sort(F.collect_list(F.struct("event_id", "line")))
+    found = found.groupBy("user_id").agg(ordered.alias("lines"))
+    return found.select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("scene_name"), F.lit(None).cast("string").alias("source_url"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("content"))
+
+
+def document_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("scene_name"), "lang", F.col("text").alias("content"))
+
+
+# ---- the same in SQL -----------------------------------------------------------------------------------------
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _table(values: dict[str, str], key: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN {_text(k)} THEN {_text(v)}" for k, v in values.items()) + " END"
+
+
+SCRIPT_SQL = f"""scenes AS (
+  SELECT 'user_' || CAST(user_id AS VARCHAR) AS scene_name, string_agg(line, chr(10) ORDER BY event_id) AS content
+  FROM (SELECT event_id, user_id, {_line("VARCHAR")} AS line
+        FROM (SELECT event_id, user_id, event_type, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) AS k FROM events))
+  GROUP BY user_id)"""
+DOCUMENT_SQL = "scenes AS (SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS scene_name, lang, text AS content FROM documents)"
+
+LINES_SQL = r"""split AS (SELECT scene_name, string_split(content, chr(10)) AS every FROM scenes),
+raw AS (SELECT scene_name, len(every) AS n_lines, unnest(every) AS line, unnest(range(len(every))) AS line_number FROM split),
+lines AS (SELECT *, start - spaces AS tabs, (start - spaces) + spaces * 0.5::DOUBLE AS indent
+  FROM (SELECT *, length(lead) AS start, length(replace(lead, chr(9), '')) AS spaces
+        FROM (SELECT *, regexp_extract(line, '^[\t ]*') AS lead FROM raw)))"""
+SEGMENTS_SQL = f"""pieces AS (SELECT scene_name, line_number, line, indent, start, regexp_extract_all(substring(line, CAST(start + 1 AS BIGINT)), {_text(SEGMENT)}) AS every FROM lines),
+numbered AS (SELECT scene_name, line_number, line, indent, start, unnest(every) AS text, unnest(range(len(every))) AS segment FROM pieces),
+placed AS (SELECT *, start + sum(length(text)) OVER (PARTITION BY scene_name, line_number ORDER BY segment) - length(text) AS position,
+  regexp_matches(text, '^[*#]') AS command FROM numbered),
+keyed AS (SELECT *, CASE WHEN command THEN nullif(regexp_extract(text, {_text(KEYWORD)}), '') END AS keyword FROM placed),
+segments AS (SELECT *, {_table({k: t for k, (t, _) in KEYWORDS.items()}, "keyword")} AS type,
+  {_table({k: m for k, (_, m) in KEYWORDS.items()}, "keyword")} AS mode, substring(text, length(keyword) + 1) AS after FROM keyed)"""
+LEXEMES_SQL = f"""lexed AS (SELECT scene_name, line_number, indent, segment, position + length(keyword) AS base, regexp_extract_all(after, {_text(LEXEME)}) AS every FROM segments WHERE mode = 'X' AND after <> ''),
+cut AS (SELECT scene_name, line_number, indent, segment, base, unnest(every) AS lex, unnest(range(len(every))) AS lexeme FROM lexed),
+typed AS (SELECT *, base + sum(length(lex)) OVER (PARTITION BY scene_name, line_number, segment ORDER BY lexeme) - length(lex) AS position,
+  CASE WHEN regexp_matches(lex, '^[0-9]') THEN 'NumberLiteral' WHEN lex[1] IN ('"', '''') THEN 'StringLiteral'
+       WHEN regexp_matches(lex, '^[A-Za-z_]') THEN coalesce({_table(WORDS, "lex")}, 'Identifier') ELSE {_table(OPERATORS, "lex")} END AS type FROM cut),
+lexemes AS (SELECT scene_name, type, line_number, position, indent, segment, lexeme,
+  CASE WHEN type = 'Identifier' THEN lex WHEN type = 'StringLiteral' THEN regexp_replace(CASE WHEN regexp_matches(lex, {_text(CLOSED)}) THEN substring(lex, 2, length(lex) - 2) ELSE substring(lex, 2) END, '\\\\((?s:.))', '\\1', 'g') END AS value_str,
+  CASE WHEN type = 'NumberLiteral' THEN CAST(regexp_extract(lex, '^[0-9]+(?:\\.[0-9]*)?') AS DOUBLE) END AS value_num,
+  CASE WHEN type = 'BooleanLiteral' THEN lex = 'true' END AS value_bool,
+  CASE WHEN type NOT IN ('Identifier', 'StringLiteral', 'NumberLiteral', {", ".join(map(_text, BARE))}) THEN lex END AS raw_value
+  FROM typed WHERE type IS NOT NULL)"""
+PROSE_SQL = f"""happened AS (
+  SELECT scene_name, line_number, 0 AS segment, 1 AS kind, start AS position, indent,
+    CASE WHEN tabs = 0 THEN line WHEN length(line) > 2 * tabs + spaces THEN substring(line, start + 1, tabs) || line ELSE substring(line, start + 1) END AS text
+  FROM lines WHERE NOT regexp_matches(line, '[*#]') AND length(line) > start
+  UNION ALL SELECT scene_name, line_number, 1073741824, 2, NULL, indent, NULL FROM lines
+  UNION ALL SELECT scene_name, line_number, segment, 0, NULL, indent, NULL FROM segments WHERE command
+  UNION ALL SELECT scene_name, line_number, segment, 1, position, indent, text FROM segments WHERE NOT command AND regexp_matches(line, '[*#]')
+  UNION ALL SELECT scene_name, line_number, segment, 1, position + length(keyword), indent, after FROM segments WHERE mode = 'P' AND after <> ''),
+islands AS (SELECT *, coalesce(sum(CASE WHEN kind = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY scene_name ORDER BY line_number, segment, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM happened),
+begun AS (SELECT *, max(CASE WHEN kind = 1 AND regexp_replace(text, {_text(BLANK_RE2 + "+")}, '', 'g') <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY scene_name, island ORDER BY line_number, segment, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS begun FROM islands),
+blocks AS (SELECT scene_name, island, string_agg(CASE WHEN kind = 1 THEN text WHEN kind = 2 AND begun = 1 THEN chr(10) END, '' ORDER BY line_number, segment, kind) AS content,
+  arg_min(line_number, (line_number, segment)) FILTER (WHERE kind = 1) AS line_number, arg_min(position, (line_number, segment)) FILTER (WHERE kind = 1) AS position,
+  arg_min(indent, (line_number, segment)) FILTER (WHERE kind = 1) AS indent, max(line_number) FILTER (WHERE kind = 0) AS flush_line, max(segment) FILTER (WHERE kind = 0) AS segment
+  FROM begun GROUP BY scene_name, island),
+prose AS (SELECT * FROM blocks WHERE regexp_replace(content, {_text(BLANK_RE2 + "+")}, '', 'g') <> '')"""
+TOKENS_SQL = """every_token AS (
+  SELECT scene_name, -1 AS at_line, 0 AS segment, 0 AS part, 0 AS lexeme, 'SceneStart' AS type, 0 AS line_number, 0 AS position, 0.0::DOUBLE AS indent, NULL::VARCHAR AS content, NULL::VARCHAR AS value_str, NULL::DOUBLE AS value_num, NULL::BOOLEAN AS value_bool, NULL::VARCHAR AS raw_value, NULL::VARCHAR AS raw_text, NULL::BOOLEAN AS has_multi_replace FROM lines WHERE line_number = 0
+  UNION ALL SELECT scene_name, 2147483647, 1, 0, 0, 'SceneEnd', n_lines, 0, 0.0, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM lines WHERE line_number = 0
+  UNION ALL SELECT scene_name, line_number, segment, 1, 0, type, line_number, position, indent, NULL, CASE WHEN mode = 'C' AND after <> '' THEN substring(after, 2) END, NULL, NULL, NULL, CASE WHEN mode = 'O' AND after <> '' THEN after END, CASE WHEN mode = 'O' AND after <> '' THEN contains(after, '@{') END FROM segments WHERE type IS NOT NULL
+  UNION ALL SELECT scene_name, line_number, segment, 2, 0, 'Prose', line_number, position + length(keyword), indent, after, NULL, NULL, NULL, NULL, NULL, NULL FROM segments WHERE mode = 'E' AND after <> ''
+  UNION ALL SELECT scene_name, line_number, segment, 2, lexeme, type, line_number, position, indent, NULL, value_str, value_num, value_bool, raw_value, NULL, NULL FROM lexemes
+  UNION ALL SELECT scene_name, flush_line, segment, 0, 0, 'Prose', line_number, position, indent, content, NULL, NULL, NULL, NULL, NULL, NULL FROM prose WHERE flush_line IS NOT NULL),
+tokens AS (SELECT scene_name, CAST(row_number() OVER (PARTITION BY scene_name ORDER BY at_line, segment, part, lexeme) - 1 AS INTEGER) AS token_idx, type,
+  CAST(line_number AS INTEGER) AS line_number, CAST(position AS INTEGER) AS position, indent, content, value_str, value_num, value_bool, raw_value, raw_text, has_multi_replace FROM every_token)"""
+_SAME = "CASE WHEN lead(line_number, {k}) OVER w = line_number THEN lead({c}, {k}) OVER w END"
+NEAR_SQL = (
+    "near AS (SELECT *, coalesce(lag(line_number) OVER w, 0) = line_number AS same_line, coalesce(lag(indent) OVER w, 0.0) = indent AS same_indent, "
+    + ", ".join([*(_SAME.format(c="type", k=k) + f" AS type_{k}" for k in (1, 2, 3)), *(_SAME.format(c="coalesce(value_str, content)", k=k) + f" AS text_{k}" for k in (1, 2))])
+    + " FROM tokens WINDOW w AS (PARTITION BY scene_name ORDER BY token_idx))"
+)
+_IN = lambda types: ", ".join(map(_text, types))
+PARENTS_SQL = f"""begun_statements AS (SELECT scene_name, token_idx, type, indent FROM tokens WHERE type IN ({_IN((*statements.STATEMENTS, *statements.INNER))})),
+parents AS (SELECT a.scene_name, a.token_idx, any_value(a.type) AS type, any_value(a.indent) AS indent, max(b.token_idx) AS parent_idx
+  FROM begun_statements a LEFT JOIN begun_statements b ON a.scene_name = b.scene_name AND b.token_idx < a.token_idx AND b.indent < a.indent GROUP BY a.scene_name, a.token_idx)"""
+
+
+def _with(*parts: str, of: str = SCRIPT_SQL) -> str:
+    return "WITH " + ",\n".join((of, LINES_SQL, *parts))
+
+
+SEGMENTED, TOKENISED = (SEGMENTS_SQL,), (SEGMENTS_SQL, LEXEMES_SQL, PROSE_SQL, TOKENS_SQL)
+
+# ---- queries -------------------------------------------------------------------------------------------------
+
+
+def _lines(spark, d):
+    return scanner.lines(script_scenes(spark, d))
+
+
+def _segments(spark, d):
+    return scanner.segments(_lines(spark, d))
+
+
+def _tokens(spark, d):
+    return scanner.scan(script_scenes(spark, d))
+
+
+def segment_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many segments of prose, of commands and of options the documents of each language have."""
+    docs = document_scenes(spark, sf_dir)
+    pieces = F.explode(F.regexp_extract_all("line", F.lit(SEGMENT), F.lit(0)))
+    found = docs.select("lang", F.explode(F.split("content", "\n", -1)).alias("line")).select("lang", F.regexp_replace("line", r"^[\t ]+", "").alias("line"))
+    head = F.when(F.substring("text", 1, 1).isin("*", "#"), F.substring("text", 1, 1)).otherwise("prose")
+    found = found.select("lang", pieces.alias("text")).withColumn("head", head)
+    return found.groupBy("lang", "head").agg(F.count(F.lit(1)).alias("n_segments"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def scene_list_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions and nations as a startup scene's list."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit("  "), x["n_name"], F.lit(" \n"))), "")
+    startup = nation.groupBy(F.concat(F.lit("startup_"), F.col("n_regionkey").cast("string")).alias("scene_name")).agg(F.concat(F.lit("*title T\n*scene_list\n"), names, F.lit("*create x 1\n  tail")).alias("content"))
+    return sources.scene_list(startup)
+
+
+def missing_scene_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = document_scenes(spark, sf_dir)
+    replaced = docs.withColumn("content", F.when(F.length("content") % 7 == 0, F.lit(sources.MISSING_SCENE)).otherwise(F.col("content")))
+    return sources.without_missing(replaced).groupBy("lang").agg(F.count(F.lit(1)).alias("n_scenes"))
+
+
+def control_flow_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scenes = script_scenes(spark, sf_dir)
+    marked = scenes.withColumn("content", F.when(F.length("content") % 5 == 0, F.concat(F.lit("*create implicit_control_flow true\n"), F.col("content"))).otherwise(F.col("content")))
+    return sources.implicit_control_flow(marked)
+
+
+def _columns(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*names)
+
+
+STRUCTURE = ("scene_name", "token_idx", "type", "line_number", "position", "indent")
+CATALOG: dict[str, tuple[Query, str | None]] = {
+    "segment_counts_by_lang": (
+        segment_counts_by_lang,
+        f"""WITH line AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents),
+cut AS (SELECT lang, unnest(regexp_extract_all(regexp_replace(line, '^[\\t ]+', ''), {_text(SEGMENT)})) AS text FROM line)
+SELECT lang, CASE WHEN text[1] IN ('*', '#') THEN text[1] ELSE 'prose' END AS head, count(*) AS n_segments, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM cut GROUP BY ALL""",
+    ),
+    "scene_list_extract": (
+        scene_list_extract,
+        """WITH startup AS (SELECT 'startup_' || CAST(n_regionkey AS VARCHAR) AS scene_name, '*title T' || chr(10) || '*scene_list' || chr(10) || string_agg('  ' || n_name || ' ' || chr(10), '' ORDER BY n_nationkey) || '*create x 1' || chr(10) || '  tail' AS content FROM nation GROUP BY n_regionkey),
+begun AS (SELECT scene_name, substring(content, strpos(content, '*scene_list') + 11) AS rest FROM startup),
+listed AS (SELECT scene_name, list_filter(list_transform(string_split(substring(rest, 1, strpos(rest, '*') - 1), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS every FROM begun)
+SELECT scene_name, unnest(every) AS listed, CAST(unnest(range(len(every))) AS INTEGER) AS place FROM listed""",
+    ),
+    "missing_scene_filter": (missing_scene_filter, "SELECT lang, count(*) AS n_scenes FROM documents WHERE length(text) % 7 <> 0 GROUP BY lang"),
+    "control_flow_probe": (control_flow_probe, f"WITH {SCRIPT_SQL} SELECT scene_name, length(content) % 5 = 0 AS implicit_control_flow FROM scenes"),
+    "scene_lines": (lambda s, d: _lines(s, d).select("scene_name", "line_number", "line", "n_lines", "start"), f"{_with()} SELECT scene_name, CAST(line_number AS INTEGER) AS line_number, line, CAST(n_lines AS INTEGER) AS n_lines, CAST(start AS INTEGER) AS start FROM lines"),
+    "indent_by_line": (lambda s, d: _lines(s, d).groupBy("indent", "tabs", "spaces").agg(F.count(F.lit(1)).alias("n")), f"{_with()} SELECT indent, CAST(tabs AS INTEGER) AS tabs, CAST(spaces AS INTEGER) AS spaces, count(*) AS n FROM lines GROUP BY ALL"),
+    "command_positions": (lambda s, d: _segments(s, d).filter("command").select("scene_name", "line_number", "segment", "position", "keyword", "text"), f"{_with(*SEGMENTED)} SELECT scene_name, CAST(line_number AS INTEGER) AS line_number, CAST(segment AS INTEGER) AS segment, CAST(position AS INTEGER) AS position, keyword, text FROM segments WHERE command"),
+    "unknown_commands": (lambda s, d: _segments(s, d).filter("command and type is null").groupBy("text").agg(F.count(F.lit(1)).alias("n")), f"{_with(*SEGMENTED)} SELECT text, count(*) AS n FROM segments WHERE command AND type IS NULL GROUP BY text"),
+    "keyword_histogram": (lambda s, d: _segments(s, d).filter("type is not null").groupBy("type", "mode").agg(F.count(F.lit(1)).alias("n")), f"{_with(*SEGMENTED)} SELECT type, mode, count(*) AS n FROM segments WHERE type IS NOT NULL GROUP BY ALL"),
+    "prose_blocks_of_documents": (lambda s, d: scanner.scan(document_scenes(s, d)).filter("type = 'Prose'").select("scene_name", "token_idx", "line_number", "position", "indent", "content"), f"{_with(*TOKENISED, of=DOCUMENT_SQL)} SELECT scene_name, token_idx, line_number, position, indent, content FROM tokens WHERE type = 'Prose'"),
+    "prose_dropped_tail": (
+        lambda s, d: (lambda f: scanner.prose_tokens(f, scanner.segments(f), "intended").filter(F.col("flush_line") == (1 << 31) - 1).select("scene_name", "content"))(_lines(s, d)),
+        f"{_with(SEGMENTS_SQL, PROSE_SQL.replace('WHEN tabs = 0 THEN line WHEN', 'WHEN true THEN line WHEN'))} SELECT scene_name, content FROM prose WHERE flush_line IS NULL",
+    ),
+    "tokens_per_scene": (lambda s, d: _tokens(s, d).groupBy("scene_name").agg(F.count(F.lit(1)).alias("n_tokens")), f"{_with(*TOKENISED)} SELECT scene_name, count(*) AS n_tokens FROM tokens GROUP BY scene_name"),
+    "token_type_dimension": (
+        lambda s, d: token_types.token_types(s),
+        "SELECT * FROM (VALUES "
+        + ", ".join(f"({_text(t)}, {_text(o)}, {_text(m) if m else 'NULL'}, {str(t in (*statements.STATEMENTS, *statements.INNER)).lower()})" for t, (o, m) in sorted(({t: ("keyword", m) for t, m in KEYWORDS.values()} | {t: ("text", None) for t in ("SceneStart", "SceneEnd", "Prose")} | {t: ("expression", None) for t in [*OPERATORS.values(), *WORDS.values(), "NumberLiteral", "StringLiteral", "Identifier"]}).items()))
+        + ") AS t(type, origin, mode, parsed)",
+    ),
+    "statement_tree": (lambda s, d: statements.parents(_tokens(s, d)).join(_tokens(s, d).select("scene_name", "token_idx", "line_number", "position"), ["scene_name", "token_idx"]), f"{_with(*TOKENISED, PARENTS_SQL)} SELECT p.*, t.line_number, t.position FROM parents p JOIN tokens t USING (scene_name, token_idx)"),
+    "expr_postfix": (lambda s, d: statements.expressions(_tokens(s, d)), None),
+    "parse_errors": (lambda s, d: statements.parse_errors(_tokens(s, d)), None),
+    "comment_blocks": (
+        lambda s, d: statements.comment_blocks(_tokens(s, d)),
+        f"""{_with(*TOKENISED)}, marked AS (SELECT *, CASE WHEN type = 'Comment' AND NOT coalesce(lag(type) OVER w = 'Comment' AND lag(indent) OVER w = indent, false) THEN 1 ELSE 0 END AS begins FROM tokens WINDOW w AS (PARTITION BY scene_name ORDER BY token_idx)),
+numbered_blocks AS (SELECT *, sum(begins) OVER (PARTITION BY scene_name ORDER BY token_idx) AS block FROM marked)
+SELECT scene_name, min(token_idx) AS first_token, count(*) AS n_comments, string_agg(coalesce(value_str, ''), chr(10) ORDER BY token_idx) AS text FROM numbered_blocks WHERE type = 'Comment' GROUP BY scene_name, block""",
+    ),
+}
+
+
+def _add_token_queries() -> None:
+    """Queries that are a filter and a choice of columns of the token table."""
+    plain = {
+        "tokens_all": (None, [*STRUCTURE, *scanner.VALUES]),
+        "command_tokens": (f"type IN ({_IN(t for t, _ in KEYWORDS.values())})", STRUCTURE),
+        "structural_tokens": ("type IN ('SceneStart', 'SceneEnd')", STRUCTURE),
+        "choice_options": ("type = 'ChoiceOption'", [*STRUCTURE, "raw_text"]),
+        "multireplace_flag": ("has_multi_replace", ["scene_name", "token_idx", "raw_text"]),
+        "comments": ("type = 'Comment'", [*STRUCTURE, "value_str"]),
+        "prose_blocks": ("type = 'Prose'", [*STRUCTURE, "content"]),
+        "expr_tokens": ("raw_value IS NOT NULL OR value_str IS NOT NULL OR value_num IS NOT NULL OR type LIKE '%Parenthesis'", [*STRUCTURE, "value_str", "value_num", "value_bool", "raw_value"]),
+        "number_literals": ("type = 'NumberLiteral'", ["scene_name", "token_idx", "value_num"]),
+        "string_literals": ("type IN ('StringLiteral', 'Identifier')", ["scene_name", "token_idx", "type", "value_str"]),
+        "fairmath_tokens": ("type = 'FairmathAdditionOperator'", [*STRUCTURE, "raw_value"]),
+    }
+    for name, (where, columns) in plain.items():
+        CATALOG[name] = ((lambda s, d, w=where, c=tuple(columns): _columns(_tokens(s, d).filter(w) if w else _tokens(s, d), *c)), f"{_with(*TOKENISED)} SELECT {', '.join(columns)} FROM tokens" + (f" WHERE {where}" if where else ""))
+    CATALOG["operator_histogram"] = (lambda s, d: _tokens(s, d).filter("raw_value is not null").groupBy("type", "raw_value").agg(F.count(F.lit(1)).alias("n")), f"{_with(*TOKENISED)} SELECT type, raw_value, count(*) AS n FROM tokens WHERE raw_value IS NOT NULL GROUP BY ALL")
+    near = {
+        "same_line_flags": (lambda t: statements.with_neighbours(t).groupBy("type", "same_line").agg(F.count(F.lit(1)).alias("n")), "SELECT type, same_line, count(*) AS n FROM near GROUP BY ALL"),
+        "indent_change_flags": (lambda t: statements.with_neighbours(t).filter(~F.col("same_indent")).select("scene_name", "token_idx", "indent"), "SELECT scene_name, token_idx, indent FROM near WHERE NOT same_indent"),
+        "declared_variables": (statements.declared_variables, "SELECT scene_name, token_idx, text_1 AS variable, CASE WHEN type = 'CreateTempVariable' THEN 'Temporary' ELSE 'Global' END AS scope, type_2 IS NOT NULL AS has_expression FROM near WHERE type IN ('CreateVariable', 'CreateTempVariable') AND type_1 = 'Identifier'"),
+        "set_variables": (statements.set_variables, "SELECT scene_name, token_idx, text_1 AS variable, type_2 AS expression_starts FROM near WHERE type = 'SetVariable' AND type_1 = 'Identifier'"),
+        "goto_edges": (statements.goto_edges, "SELECT scene_name, token_idx, CASE WHEN type = 'GotoScene' THEN text_1 END AS target_scene, CASE WHEN type = 'GotoLabel' THEN text_1 WHEN type_2 = 'Identifier' THEN text_2 END AS target_label FROM near WHERE type IN ('GotoScene', 'GotoLabel') AND type_1 = 'Identifier'"),
+        "gosub_edges": (statements.gosub_edges, "SELECT scene_name, token_idx, CASE WHEN type = 'GoSubScene' THEN text_1 END AS target_scene, CASE WHEN type = 'GoSub' THEN text_1 WHEN type_2 = 'Identifier' THEN text_2 END AS target_label FROM near WHERE type IN ('GoSubScene', 'GoSub') AND type_1 = 'Identifier'"),
+        "labels": (statements.labels, "SELECT scene_name, token_idx, text_1 AS label FROM near WHERE type = 'Label' AND type_1 = 'Identifier'"),
+        "input_vars": (statements.input_variables, "SELECT scene_name, token_idx, text_1 AS variable FROM near WHERE type = 'InputText' AND type_1 = 'Identifier'"),
+        "page_breaks": (statements.page_breaks, "SELECT scene_name, token_idx, CASE WHEN type_1 = 'Prose' THEN text_1 END AS button_text FROM near WHERE type = 'PageBreak'"),
+        "prose_to_eol": (lambda t: statements.with_neighbours(t).filter("type in ('PageBreak', 'Finish', 'Ending') and type_1 = 'Prose'").select("scene_name", "type", F.col("text_1").alias("text")), "SELECT scene_name, type, text_1 AS text FROM near WHERE type IN ('PageBreak', 'Finish', 'Ending') AND type_1 = 'Prose'"),
+        "unparseable_statements": (lambda t: statements.unparseable(t).groupBy("scene_name", "type").agg(F.count(F.lit(1)).alias("n")), f"SELECT scene_name, type, count(*) AS n FROM near WHERE (NOT same_line OR token_idx = 1) AND type NOT IN ({_IN((*statements.STATEMENTS, *statements.INNER, 'SceneStart', 'SceneEnd'))}) GROUP BY ALL"),
+    }
+    for name, (of, tail) in near.items():
+        CATALOG[name] = ((lambda s, d, f=of: f(_tokens(s, d))), f"{_with(*TOKENISED, NEAR_SQL)} {tail}")
+    scoped = {
+        "statement_parent": (statements.parents, "SELECT * FROM parents"),
+        "choice_children": (statements.choice_children, "SELECT a.scene_name, a.token_idx, a.type, a.parent_idx AS choice_idx FROM parents a JOIN parents c ON a.scene_name = c.scene_name AND a.parent_idx = c.token_idx WHERE c.type = 'Choice'"),
+    }
+    for name, (of, tail) in scoped.items():
+        CATALOG[name] = ((lambda s, d, f=of: f(_tokens(s, d))), f"{_with(*TOKENISED, PARENTS_SQL)} {tail}")
+
+
+_add_token_queries()
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for name, (query, _) in CATALOG.items()}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in CATALOG.items() if sql}
