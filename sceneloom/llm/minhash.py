@@ -8,9 +8,8 @@ similarity s share no key with chance below 2 * (1 - s**ROWS)**HALVES: 4e-4 at s
 Equal sets are made one class first. Of each table's bucket, every class is compared with the smallest
 (the lead); links make components. Then pairs of one bucket whose components differ are compared
 too, so that no link between components is missed; pairs are left out only if they are known to be
-linked through others, or cannot be similar because their distances to the common lead differ by more
-than the threshold allows (the Jaccard distance is a metric), or if their one-bit sketches differ in more
-bits than those of similar sets do but for a chance of 1e-9. So a group of n copies costs n comparisons,
+linked through others, or cannot be similar because of what they share with the lead. A bucket's largest
+component is compared with what is outside it in blocks, of which only links come out. So a group of n copies costs n comparisons,
 not n * n, and none of its links that matters is lost. Buckets are only ever counted or joined, never gathered.
 """
 
@@ -20,6 +19,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -31,8 +31,8 @@ HALVES, ROWS = 12, 3
 SIMILAR = 80
 #: So often members outside a bucket's largest component are compared with one member of that, before all are.
 PIVOT_TURNS = 2
-#: Bits of the sketches by which pairs are left out before they are compared.
-SKETCH = 256
+#: Rows of a block, of which two are compared in a task.
+BLOCK = 256
 #: Ids are broadcast up to this number (16 bytes each in memory); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Hashes of so many distinct words are remembered in a Python worker.
@@ -133,14 +133,14 @@ def within(ids: DataFrame, docs: DataFrame, id_column: str) -> DataFrame:
 
 
 def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Rows (a, b, both, either): how many shingles both texts of each pair have, and either has."""
+    """Rows (a, b, both, either, size_a): how many shingles both texts of each pair have, either has, and the first has."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last, found = WordHashes(), None, np.empty(0, np.uint64)
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH):
                 part = batch.slice(start, BATCH)
-                both, either = [], []
+                both, either, size_a = [], [], []
                 for one, two in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     if two != last:
                         last, found = two, shingles(two, size, known)
@@ -148,36 +148,48 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                     n = len(np.intersect1d(own, found, assume_unique=True))
                     both.append(n)
                     either.append(len(own) + len(found) - n)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"])
+                    size_a.append(len(own))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64()), pa.array(size_a, pa.int64())], names=["a", "b", "both", "either", "size_a"])
 
     kind = texts.schema["id"].dataType.simpleString()
     one, two = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(of, f"a {kind}, b {kind}, both long, either long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(of, f"a {kind}, b {kind}, both long, either long, size_a long")
 
 
-def most_apart(similarity: float) -> int:
-    """In how many bits sketches may differ, so that sets of this similarity or more pass but for a chance below 1e-9.
+def in_blocks(queries: DataFrame, members: DataFrame, texts: DataFrame, size: int, similar: int) -> DataFrame:
+    """Links (a, b) between queries and members, both rows (doc_id, component), of the same component's number.
 
-    Each bit differs with half the chance that a minhash does; the limit is 6.3 standard deviations above the mean.
+    Both sides of a component are cut into blocks of about BLOCK rows by a hash of the id; a task compares one block with
+    one other, and only links leave it. So no pair is ever a row, and no group is larger than two blocks.
     """
-    chance = (1 - similarity) / 2
-    return math.ceil(SKETCH * chance + 6.3 * math.sqrt(SKETCH * chance * (1 - chance)))
-
-
-def sketched(texts: DataFrame, ids: DataFrame, size: int, seed: int) -> DataFrame:
-    """Rows (doc_id, sketch): one bit of each of SKETCH minhashes, as longs, of the texts with these ids."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, signer = WordHashes(), Signer(SKETCH // 2, 1, seed + 1)
-        for batch in batches:
-            for start in range(0, batch.num_rows, BATCH):
-                part = batch.slice(start, BATCH)
-                bits = [np.packbits((signer.bands(shingles(text, size, known)) & np.uint64(1)).astype(np.uint8)).view(np.int64) for text in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "sketch"])
-
     kind = texts.schema["id"].dataType.simpleString()
-    wanted = within(checkpointed(ids), texts.withColumnRenamed("id", "own"), "own")
-    return checkpointed(wanted.select("own", "text").mapInArrow(of, f"doc_id {kind}, sketch array<long>").dropDuplicates(["doc_id"]))
+    blocks = lambda df, name: df.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    counts = blocks(queries, "n_left").join(blocks(members, "n_right"), "component")
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = queries.join(counts, "component").select("component", "doc_id", block("n_left").alias("i"), every("n_right").alias("j"))
+    right = members.join(counts, "component").select("component", "doc_id", every("n_left").alias("i"), block("n_right").alias("j"))
+    named = texts.withColumnRenamed("id", "doc_id")
+
+    def of(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        known, found = WordHashes(), []
+        if len(one) and len(two):
+            sets = [shingles(t, size, known) for t in two.text]
+            sizes = np.array([len(x) for x in sets])
+            ends = np.cumsum(sizes)
+            flat = np.concatenate(sets)
+            for a, text in zip(one.doc_id, one.text, strict=True):
+                own = shingles(text, size, known)
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                total = np.concatenate([[0], np.cumsum(own[at] == flat)])
+                both = total[ends] - total[ends - sizes]
+                found += [(max(a, b), min(a, b)) for b in two.doc_id[both * 100 >= (len(own) + sizes - both) * similar] if a != b]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    by = ["component", "i", "j"]
+    columns = ["doc_id", *by, "text"]
+    left, right = (df.join(named, "doc_id").select(columns).toDF(*columns).groupBy(*by) for df in (left, right))
+    return left.cogroup(right).applyInPandas(of, f"a {kind}, b {kind}").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -201,11 +213,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def still_open(members: DataFrame, known: DataFrame) -> DataFrame:
-    """members (key, doc_id, distance) of buckets with several components, with component and the bucket's largest one."""
+    """members (key, doc_id, both, n) of buckets with several components, with component and the bucket's largest one."""
     placed = members.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     several = placed.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one < other").select("key")
     placed = placed.join(several, "key")
-    largest = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    largest = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held")).groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("largest"))
     return checkpointed(placed.join(largest, "key"))
 
 
@@ -241,8 +253,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR, id_c
     linked = F.col("both") * 100 >= F.col("either") * similar
 
     # What is left: members of one bucket in different components, neither of them its lead.
-    distance = 1 - F.col("both") / F.col("either")
-    others = checkpointed(members.filter("doc_id <> lead").join(first.select(F.col("a").alias("doc_id"), F.col("b").alias("lead"), distance.alias("distance")), ["doc_id", "lead"]).drop("lead"))
+    others = checkpointed(members.filter("doc_id <> lead").join(first.select(F.col("a").alias("doc_id"), F.col("b").alias("lead"), "both", F.col("size_a").alias("n")), ["doc_id", "lead"]).drop("lead"))
     tested = first
     for turn in range(PIVOT_TURNS):
         placed = still_open(others, components(tested.filter(linked).select("a", "b")))
@@ -251,24 +262,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR, id_c
         pairs = placed.filter("component <> largest").join(pivots, "key").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct()
         tested = checkpointed(tested.unionAll(compared(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts, size)))
 
-    # Then with all of them, but for those that cannot be similar.
+    # Then with all in buckets of that component, block by block.
     placed = still_open(others, components(tested.filter(linked).select("a", "b")))
-    placed = placed.join(sketched(texts, placed.select(F.col("doc_id").alias("id")).distinct(), size, seed), "doc_id")
-    left = placed.filter("component <> largest").select("key", F.col("doc_id").alias("a"), F.col("component").alias("component_a"), F.col("distance").alias("distance_a"), F.col("sketch").alias("sketch_a"), "largest")
-    right = placed.select("key", F.col("doc_id").alias("b"), F.col("component").alias("component_b"), F.col("distance").alias("distance_b"), F.col("sketch").alias("sketch_b"))
-    # A pair of which neither is in the largest component is met from both sides; it is taken once.
-    once = (F.col("component_b") == F.col("largest")) | (F.col("a") > F.col("b"))
-    near = F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - similar / 100 + 1e-9
-    apart = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
-    alike = apart <= most_apart(similar / 100)
-    pairs = left.join(right, "key").filter((F.col("component_a") != F.col("component_b")) & once & near & alike)
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    second = checkpointed(compared(pairs, texts, size))
+    queries = placed.filter("component <> largest").select("doc_id", F.col("largest").alias("component")).distinct()
+    second = checkpointed(in_blocks(queries, placed.select("doc_id", F.col("largest").alias("component")).distinct(), texts, size, similar))
     if report:
-        for name, df in (("classes", classes), ("members", members), ("texts", texts), ("first", first), ("first linked", first.filter(linked)), ("tested", tested), ("second", second), ("second linked", second.filter(linked))):
+        for name, df in (("classes", classes), ("members", members), ("texts", texts), ("first", first), ("tested", tested), ("linked", tested.filter(linked)), ("open members", placed), ("queries", queries), ("linked in blocks", second)):
             report(name, df)
 
-    links = tested.unionAll(second).filter(linked).select("a", "b")
+    links = tested.filter(linked).select("a", "b").unionAll(second)
     of_class = classes.join(components(links).withColumnRenamed("id", "lead"), "lead", "left").select(*of_set, F.coalesce("component", "lead").alias("component"))
     # An id may have rows of several sets: their components are one.
     of_id = with_set.join(of_class, of_set).groupBy("doc_id").agg(F.min("component").alias("component"), F.max("component").alias("other"))

@@ -32,43 +32,60 @@ from . import files
 MAGIC, HEAD = b"LOOMIDS1", struct.Struct("<8sIQQ")
 #: Documents of a block; a block's ids are what a reader or writer holds at once.
 BLOCK = 256
-#: Ids of so many distinct words are remembered in a Python worker.
-REMEMBERED = 300_000
+#: Ids of so many distinct words, and parts of words, are remembered in a Python worker.
+REMEMBERED = 400_000
+#: Marks that a word may end in.
+MARKS = b".,;:!?"
 
 #: For each control byte the lengths of its four numbers: 1 to 4, from the lowest two bits up.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
 
-class WordIds(dict):
-    """The ids of words, as little-endian u32 bytes, encoded by the library when first met."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
-
-
 class Encoder:
     """Encodes texts with a tokenizer that never looks beyond white space.
 
     Such a tokenizer (one whose pre-tokens hold no white space and whose normaliser changes no letter by
-    what stands beyond a space) gives a text the ids of its words, one after the other.
+    what stands beyond a space) gives a text the ids of its words, one after the other. If it also parts
+    letters and digits from marks and ignores case, a word of ASCII letters and digits with marks after
+    it has the ids of its lower-case form and then those of the marks. Only what is new is encoded.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
-        self.words = WordIds(Tokenizer.from_file(path))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[bytes, bytes] = {}  # ids as little-endian u32
+        self.parts: dict[bytes, bytes] = {}
         self.end = struct.pack("<I", end_id)
 
-    def ids(self, text: str | None) -> bytes:
-        """The ids of a whole text and the end id; only the end id for a null or empty text."""
-        return b"".join(map(self.words.__getitem__, text.encode().split())) + self.end if text else self.end
+    @staticmethod
+    def split(word: bytes) -> tuple[bytes, bytes]:
+        core = word.rstrip(MARKS)
+        return (core.lower(), word[len(core) :]) if core.isalnum() else (word, b"")
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encodes the words that are not known. All of words are known then."""
+        if len(self.words) + len(words) > REMEMBERED:
+            self.words.clear()
+        new = [w for w in words if w not in self.words]
+        split = [self.split(w) for w in new]
+        if len(self.parts) + len(new) > REMEMBERED:
+            self.parts.clear()
+        missing = list({part for pair in split for part in pair if part} - self.parts.keys())
+        for start in range(0, len(missing), 4096):
+            some = missing[start : start + 4096]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
+                self.parts[part] = np.array(found.ids, "<u4").tobytes()
+        for word, (core, marks) in zip(new, split, strict=True):
+            self.words[word] = self.parts[core] + self.parts[marks] if marks else self.parts[core]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of whole texts and the end id; only the end id for a null or empty text."""
+        split = [text.encode().split() if text else [] for text in texts]
+        here = set().union(*split)
+        if not here <= self.words.keys():
+            self.learn(here)
+        return [b"".join(map(self.words.__getitem__, words)) + self.end for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -135,7 +152,7 @@ def ranks(docs: DataFrame, tokenizer_path: str, end_id: int, text_column: str =
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK):
                 texts = batch.column(0).slice(start, BLOCK).to_pylist()
-                counts += np.bincount(np.frombuffer(b"".join(map(own.ids, texts)), "<u4"), minlength=size)
+                counts += np.bincount(np.frombuffer(b"".join(own.ids(texts)), "<u4"), minlength=size)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["id", "n"])
 
@@ -167,7 +184,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col
         with files.writing(name) as out:
             for batch in batches:
                 for start in range(0, batch.num_rows, BLOCK):
-                    own_ids = [own.ids(text) for text in batch.column(1).slice(start, BLOCK).to_pylist()]
+                    own_ids = own.ids(batch.column(1).slice(start, BLOCK).to_pylist())
                     n += write_block(out, batch.column(0).slice(start, BLOCK).to_pylist(), own_ids, sent.value)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([n], pa.int64())], names=["part", "file", "n"])
 
