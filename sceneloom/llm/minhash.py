@@ -31,6 +31,8 @@ HALVES, ROWS = 12, 3
 SIMILAR = 80
 #: So often members outside a bucket's largest component are compared with one member of that, before all are.
 PIVOT_TURNS = 2
+#: Links that one task of a step towards components is given.
+LINKS_OF_TASK = 200_000
 #: Rows of a block, of which two are compared in a task.
 BLOCK = 256
 #: Ids are broadcast up to this number (16 bytes each in memory); more are joined by a shuffle.
@@ -197,17 +199,21 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates two steps until every component is a star around its smallest id: each node passes its
     smallest neighbour on to its larger neighbours, then to its smaller ones. The rounds needed grow with the
-    logarithm of a component's size; each is cut off from those before it by a checkpoint.
+    logarithm of a component's size; each is cut off from those before it by a checkpoint. Steps run in as many
+    tasks as the links are worth, so that small graphs leave few shuffle files.
     """
     edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    tasks = 1 + edges.count() // LINKS_OF_TASK
+    edges = edges.coalesce(tasks)
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").coalesce(tasks).distinct().coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("least"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v")
-        edges = checkpointed(small.unionAll(least.select("u", F.col("least").alias("v"))).distinct())
-        if edges.select(F.col("v").alias("u")).join(edges, "u", "left_semi").isEmpty() and edges.groupBy("u").count().filter("count > 1").isEmpty():
+        edges = checkpointed(small.unionAll(least.select("u", F.col("least").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
+        ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1 and up > 0").isEmpty():
             break
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
@@ -254,23 +260,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR, id_c
 
     # What is left: members of one bucket in different components, neither of them its lead.
     others = checkpointed(members.filter("doc_id <> lead").join(first.select(F.col("a").alias("doc_id"), F.col("b").alias("lead"), "both", F.col("size_a").alias("n")), ["doc_id", "lead"]).drop("lead"))
-    tested = first
+    tested, stars = first, components(first.filter(linked).select("a", "b"))
     for turn in range(PIVOT_TURNS):
-        placed = still_open(others, components(tested.filter(linked).select("a", "b")))
+        placed = still_open(others, stars)
         # Each member outside the bucket's largest component is compared with one member of that, another one in each bucket.
         pivots = placed.filter("component = largest").groupBy("key").agg(F.min_by("doc_id", F.xxhash64(F.lit(turn), "key", "doc_id")).alias("pivot"))
         pairs = placed.filter("component <> largest").join(pivots, "key").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct()
-        tested = checkpointed(tested.unionAll(compared(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts, size)))
+        more = checkpointed(compared(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts, size))
+        tested, stars = tested.unionAll(more), components(stars.toDF("a", "b").unionAll(more.filter(linked).select("a", "b")))
 
     # Then with all in buckets of that component, block by block.
-    placed = still_open(others, components(tested.filter(linked).select("a", "b")))
+    placed = still_open(others, stars)
     queries = placed.filter("component <> largest").select("doc_id", F.col("largest").alias("component")).distinct()
     second = checkpointed(in_blocks(queries, placed.select("doc_id", F.col("largest").alias("component")).distinct(), texts, size, similar))
     if report:
         for name, df in (("classes", classes), ("members", members), ("texts", texts), ("first", first), ("tested", tested), ("linked", tested.filter(linked)), ("open members", placed), ("queries", queries), ("linked in blocks", second)):
             report(name, df)
 
-    links = tested.filter(linked).select("a", "b").unionAll(second)
+    links = stars.toDF("a", "b").unionAll(second)
     of_class = classes.join(components(links).withColumnRenamed("id", "lead"), "lead", "left").select(*of_set, F.coalesce("component", "lead").alias("component"))
     # An id may have rows of several sets: their components are one.
     of_id = with_set.join(of_class, of_set).groupBy("doc_id").agg(F.min("component").alias("component"), F.max("component").alias("other"))
