@@ -237,7 +237,9 @@ def removals(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFra
     runs = runs.mapInArrow(matched, "anchor long, stretch long, begin long, before long, smallest long")
     hashed = distinct.join(crowded, "anchor", "left_semi").select(columns).mapInArrow(windows, "anchor long, stretch long, begin long, one long, two long, owner long")
     least = hashed.groupBy("one", "two").agg(F.min("owner").alias("smallest"))
-    runs = runs.unionByName(hashed.join(least, ["one", "two"]).select("anchor", "stretch", "begin", (F.col("begin") + 1).alias("before"), "smallest"))
+    # Windows less than a span apart cover one range of words, so those of one smallest id come out as one row.
+    near = hashed.join(least, ["one", "two"]).groupBy("anchor", "stretch", "smallest", F.floor(F.col("begin") / span).alias("part"))
+    runs = runs.unionByName(near.agg(F.min("begin").alias("begin"), (F.max("begin") + 1).alias("before")).drop("part"))
     spans = found.select("doc_id", "anchor", "stretch", "first").join(runs, ["anchor", "stretch"]).filter("smallest < doc_id")
     return spans.select("doc_id", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("before") + span - 1).alias("before"))
 
