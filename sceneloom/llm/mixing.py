@@ -27,6 +27,8 @@ MOST_REPEATS = 3
 QUOTA_UNITS = 2048
 #: The line of a source is laid out in 2**LINE_BITS pieces, each sorted on its own.
 LINE_BITS = 12
+#: So are the rows of an output shard, in 2**LOCAL_BITS pieces.
+LOCAL_BITS = 8
 
 
 def source_targets(by_source: DataFrame, weights: Sequence[int] = (5, 2, 1)) -> DataFrame:
@@ -83,10 +85,10 @@ def quota_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return node.select("source", block.alias("block"), F.col("low").alias("shard"))
 
 
-def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 23, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", line_bits: int = LINE_BITS) -> tuple[DataFrame, DataFrame]:
+def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 23, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", line_bits: int = LINE_BITS, carried: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """What the mix takes of each document, and the targets and quotas of the sources.
 
-    The first table has the columns of docs in a struct `row`, and size, source, source_size, target,
+    The first table has the columns of docs, or those that are carried, in a struct `row`, and size, source, source_size, target,
     block_words, line_start (where the document's words begin in its source's line) and taken, the
     words of it that the mix takes, repeats counted. The sum of taken over a source is its target,
     rounded. A document is taken a whole number of times, but for the one a source that its target
@@ -107,7 +109,7 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 23
     named = targets.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"), "*")
     pieces = pieces.drop("words").join(named, ["name", "unnamed"])
 
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *place, size.alias("size"), key.alias("key"))
+    rows = docs.select(F.struct(*[F.col(c) for c in carried or docs.columns]).alias("row"), *place, size.alias("size"), key.alias("key"))
     rows = rows.join(pieces, ["name", "unnamed", "piece"])
     order = Window.partitionBy("name", "unnamed", "piece").orderBy("key", F.col(f"row.{id_column}")).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("line_start", F.col("piece_start") + F.sum("size").over(order) - F.col("size"))
@@ -118,23 +120,62 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 23
     return rows.select("row", "size", "source", "source_size", "target", "block_words", "line_start", taken.alias("taken")), targets
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), shards: int = 32, seed: int = 23, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", line_bits: int = LINE_BITS) -> DataFrame:
-    """The mix: the columns of docs, with mix_shard and mix_slot, one row for each time a document is taken.
+def drawn(planned: DataFrame, quotas: DataFrame, shards: int, seed: int, id_column: str) -> DataFrame:
+    """planned with epoch, words, to and local: one row for each time a document is drawn, of which words go to shard `to`.
 
-    The document that the end of a source's quota cuts comes with its first words only. mix_slot
-    numbers a shard's rows, from 0, in their local random order. Shards hold about as many words each.
+    local is the place in the shard's random order. Documents that are not taken have no row here.
     """
-    planned, quotas = plan_mix(docs, weights, seed, id_column, text_column, source_column, line_bits)
-    # Documents that are not taken have no row here.
     takes = planned.filter("taken > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1))).alias("epoch"))
     begin = F.col("epoch") * F.col("source_size") + F.col("line_start")
     takes = takes.withColumn("words", F.least(F.col("size"), F.round(F.col("target")).cast("long") - begin)).filter("words > 0")
     takes = takes.withColumn("block", F.floor(begin / F.col("block_words")).cast("int"))
     draws = quota_tree(quotas, shards, seed).select(F.col("source").alias("from"), F.col("block").alias("drawn"), F.col("shard").alias("to"))
-    takes = takes.join(draws, F.col("source").eqNullSafe(F.col("from")) & (F.col("block") == F.col("drawn")))
-    pieces = F.regexp_extract_all(F.col(f"row.{text_column}"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), "")).otherwise(F.col(f"row.{text_column}"))
-    shard_name, slot_name = free_name(docs, "mix_shard"), free_name(docs, "mix_slot")
-    local = Window.partitionBy("to").orderBy(F.xxhash64(F.lit(seed), F.lit("local"), "epoch", f"row.{id_column}", "line_start"), "epoch", "source", "line_start")
-    columns = [text.alias(c) if c == text_column else F.col(f"row.{c}").alias(c) for c in docs.columns]
-    return takes.select(*columns, F.col("to").alias(shard_name), (F.row_number().over(local) - 1).cast("long").alias(slot_name))
+    takes = takes.join(draws, F.col("source").eqNullSafe(F.col("from")) & (F.col("block") == F.col("drawn"))).drop("from", "drawn")
+    return takes.withColumn("local", F.xxhash64(F.lit(seed), F.lit("local"), "epoch", f"row.{id_column}", "line_start"))
+
+
+def numbered(docs: DataFrame, weights: Sequence[int], shards: int, seed: int, id_column: str, text_column: str, source_column: str, line_bits: int) -> DataFrame:
+    """The rows of drawn(), with slot, the number of the row in its shard, and text, the words drawn.
+
+    A shard is ordered in pieces, so that none is sorted in one task. Where a piece begins follows
+    from the sizes of those before it, which are counted on the ids alone.
+    """
+    options = (weights, seed, id_column, text_column, source_column, line_bits)
+    piece = F.shiftright("local", 64 - LOCAL_BITS).cast("int").alias("local_piece")
+    counted = drawn(*plan_mix(docs, *options, carried=[id_column]), shards, seed, id_column).groupBy("to", piece).count()
+    starts = counted.select(F.col("to").alias("_to"), F.col("local_piece").alias("_piece"), (F.sum("count").over(Window.partitionBy("to").orderBy("local_piece")) - F.col("count")).alias("start"))
+    takes = drawn(*plan_mix(docs, *options), shards, seed, id_column).select("*", piece)
+    words = F.regexp_extract_all(F.col(f"row.{text_column}"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")).otherwise(F.col(f"row.{text_column}"))
+    order = Window.partitionBy("to", "local_piece").orderBy("local", "epoch", "source", "line_start")
+    takes = takes.select("*", text.alias("text"), F.row_number().over(order).alias("place"))
+    takes = takes.join(F.broadcast(starts), (F.col("to") == F.col("_to")) & (F.col("local_piece") == F.col("_piece")))  # shards * 2**LOCAL_BITS rows at most
+    return takes.withColumn("slot", F.col("start") + F.col("place") - 1)
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), shards: int = 32, seed: int = 23, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", line_bits: int = LINE_BITS) -> DataFrame:
+    """The mix: the columns of docs, with mix_shard and mix_slot, one row for each time a document is taken.
+
+    The document that the end of a source's quota cuts comes with its first words only. mix_slot
+    numbers a shard's rows, from 0, in their local random order. Shards hold about as many words each.
+    """
+    takes = numbered(docs, weights, shards, seed, id_column, text_column, source_column, line_bits)
+    columns = [F.col("text").alias(c) if c == text_column else F.col(f"row.{c}").alias(c) for c in docs.columns]
+    return takes.select(*columns, F.col("to").alias(free_name(docs, "mix_shard")), F.col("slot").alias(free_name(docs, "mix_slot")))
+
+
+def mixed_words(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), shards: int = 32, seed: int = 23, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", line_bits: int = LINE_BITS) -> DataFrame:
+    """Rows (doc_id, size, source_size, target, taken, source, places), one for each row of docs, of what mix() draws.
+
+    taken counts the words of the document in all shards of the mix, 0 if none has any. places lists
+    the shard and the slot of each of its draws, as in `3:17,20:4`; it is empty if there are none.
+    """
+    planned, _ = plan_mix(docs, weights, seed, id_column, text_column, source_column, line_bits, carried=[id_column])
+    takes = numbered(docs, weights, shards, seed, id_column, text_column, source_column, line_bits)
+    # Rows of words have places of their own in the line of their source.
+    keys = [F.col(f"row.{id_column}").alias("_id"), F.col("source").alias("_source"), F.col("line_start").alias("_start"), F.col("size").alias("_size")]
+    draw = F.struct("epoch", F.concat_ws(":", "to", "slot").alias("place"))
+    found = takes.select(*keys, n_words_of(F.col("text")).alias("n"), draw.alias("draw")).groupBy("_id", "_source", "_start", "_size")
+    found = found.agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list("draw"))["place"], ",").alias("places"))
+    same = F.col(f"row.{id_column}").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("line_start") == F.col("_start")) & (F.col("size") == F.col("_size"))
+    return planned.join(found, same, "left").select(F.col(f"row.{id_column}").alias("doc_id"), "size", "source_size", "target", F.coalesce("n", F.lit(0).cast("long")).alias("taken"), "source", F.coalesce("places", F.lit("")).alias("places"))

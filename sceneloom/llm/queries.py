@@ -28,8 +28,7 @@ def op2_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned, _ = mixing.plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return planned.select("row.doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.mixed_words(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
 def op4_find_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

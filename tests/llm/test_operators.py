@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sceneloom.llm import common, decontamination, minhash, mixing, quality, sharding, substring_dedup, token_counts, token_files, toxicity, warc
+from sceneloom.llm import common, decontamination, minhash, mixing, quality, queries, sharding, substring_dedup, token_counts, token_files, toxicity, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD = re.compile(common.WORD)
@@ -83,6 +83,22 @@ def test_mixing_edges(docs, none):
     assert mixing.plan_mix(none)[0].count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_mix_query_counts_what_the_shards_hold(spark, tmp_path):
+    rows = [(i % 390, "w " * (i % 17), ["a", "b", "c", None][0 if i % 3 else i % 4]) for i in range(400)] + [(None, "w w w", "tiny"), (7, "same", "b"), (7, "same", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op3_mix_sources(spark, str(tmp_path)).collect()
+    planned = mixing.plan_mix(docs)[0].select("row.doc_id", "size", "source_size", "target", "taken", "source").collect()
+    assert sorted((str(tuple(r)[:6]) for r in found)) == sorted(str(tuple(r)) for r in planned)
+    places = [tuple(map(int, p.split(":"))) for r in found for p in r.places.split(",") if p]
+    assert len({s for s, _ in places}) > 20 and all((r.taken > 0) == bool(r.places) for r in found)
+    mixed = mixing.mix(docs).collect()
+    assert sorted(places) == sorted((r.mix_shard, r.mix_slot) for r in mixed)
+    for s in range(32):
+        slots = sorted(k for shard, k in places if shard == s)
+        assert slots == list(range(len(slots)))
+
+
 def test_quality_metrics(spark, docs, none):
     rows = quality.judge(docs).collect()
     assert len(rows) == len(ROWS) and all(r.base_failed for r in rows)
