@@ -72,7 +72,8 @@ class ChunkedCounter:
     def count(self, text: str) -> int:
         if len(text) > self.chunk + self.overlap:
             return self.spliced(text)
-        if not self.split_by_spaces or not text:
+        # A literal U+2581 is a space to the vocabulary, but not to split().
+        if not self.split_by_spaces or not text or "▁" in text:
             return len(self.model.encode(text))
         stretches, n, spaces = text.split(" "), 0, 0
         if "" not in stretches:

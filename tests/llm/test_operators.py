@@ -129,6 +129,13 @@ def test_token_counts_splice_exactly(spark, docs, none):
     assert token_counts.count_tokens(none, path).count() == 0
 
 
+@pytest.mark.parametrize("text", ["x▁ y", "▂▁ ▃", "▁ ", " ▁", "▁▁  ▁ a ▁b", "bar ▁▂▃▄ ▁ end " * 20, "▁ " * 300])
+def test_token_counts_of_the_space_mark(text):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own, small = token_counts.ChunkedCounter(path), token_counts.ChunkedCounter(path, chunk=64, overlap=4)
+    assert own.count(text) == small.count(text) == len(own.model.encode(text))
+
+
 def test_token_files_round_trip(spark, docs, none):
     from tokenizers import Tokenizer
 
