@@ -10,28 +10,26 @@ value is the difference of its log-likelihoods, toxic and ordinary, divided by i
 logistic curve makes a score of it; it is fitted on the labelled documents, each valued by models that
 were learned from the other parts of them.
 
-Labels are learned from SAMPLE_ROWS labelled rows at most, chosen by a hash of the id; that bounds the
-n-grams that are collected and broadcast, of which MAX_GRAMS are kept at most. All else covers all data.
+Labels are learned from SAMPLE_ROWS labelled rows at most, chosen by a hash of the id. All else covers all
+data: the n-grams, their chances and the values of all distinct words are tables, joined with the words of the documents.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import checkpointed
+from .common import checkpointed, work_dir
 
 #: Letters of the longest n-gram, and of the longest that both classes share.
 ORDER, SHARED = 4, 2
-#: Labelled rows that are learned from, and n-grams of the models, at most.
-SAMPLE_ROWS, MAX_GRAMS, MAX_SHARED = 40_000, 300_000, 100_000
+#: Labelled rows that are learned from, at most.
+SAMPLE_ROWS = 40_000
 #: Of FOLDS parts of the ids, part 0 is held out, the others are learned from.
 FOLDS, HELD_OUT = 5, 0
 LEARNED = [k for k in range(FOLDS) if k != HELD_OUT]
@@ -40,8 +38,8 @@ DISCOUNT = 0.75
 TOXIC_SHARE = 0.02
 #: Values go through asinh(STRETCH * value) before the logistic curve, so that a few extreme ones don't flatten it.
 STRETCH = 200.0
-#: Distinct words that are remembered in a Python worker, and rows taken from a batch at a time.
-REMEMBERED, ROWS = 300_000, 256
+#: Distinct words that are remembered in a Python worker, rows taken from a batch at a time, and words of documents handed on at a time.
+REMEMBERED, ROWS, HANDED_ON = 300_000, 256, 50_000
 WORD = re.compile(r"[^\W\d_]+")
 #: What stands before and after each word.
 BEGIN, END = "\x02", "\x03"
@@ -57,78 +55,6 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-class Models:
-    """The two models, from the class counts of the longest n-grams and the counts of shared letter pairs."""
-
-    def __init__(self, grams: dict[str, tuple[int, int]], pairs: dict[str, int]):
-        self.counts: tuple[dict[str, int], ...] = (defaultdict(int), defaultdict(int))
-        for own, y in zip(self.counts, (0, 1), strict=True):
-            level = {g: n[y] for g, n in grams.items() if n[y]}
-            own.update(level)
-            for length in range(ORDER, SHARED + 1, -1):
-                for g in [g for g in own if len(g) == length]:
-                    own[g[1:]] += 1
-        self.contexts = tuple(self._contexts(own) for own in self.counts)
-        self.pairs, self.pair_contexts = pairs, self._contexts(pairs)
-        self.letters = Counter(g[-1] for g in pairs)
-        self.n_letters = sum(self.letters.values()) + 0.5 * (len(self.letters) + 1)
-        self.known: dict[str, float] = {}
-
-    @staticmethod
-    def _contexts(counts: dict[str, int]) -> dict[str, tuple[int, int]]:
-        """For each context the sum of what follows it, and how many different letters follow it."""
-        found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for g, n in counts.items():
-            found[g[:-1]][0] += n
-            found[g[:-1]][1] += 1
-        return {k: (n, kinds) for k, (n, kinds) in found.items()}
-
-    @staticmethod
-    def _mixed(count: int, context: tuple[int, int] | None, lower: float) -> float:
-        return (max(count - DISCOUNT, 0) + DISCOUNT * context[1] * lower) / context[0] if context else lower
-
-    def chance(self, y: int, gram: str) -> float:
-        """The chance of the last letter of an n-gram after the others, in class y."""
-        if len(gram) == 1:
-            return (self.letters.get(gram, 0) + 0.5) / self.n_letters
-        lower = self.chance(y, gram[1:])
-        if len(gram) <= SHARED:
-            return self._mixed(self.pairs.get(gram, 0), self.pair_contexts.get(gram[:-1]), lower)
-        return self._mixed(self.counts[y].get(gram, 0), self.contexts[y].get(gram[:-1]), lower)
-
-    def ratio(self, gram: str) -> float:
-        found = self.known.get(gram)
-        if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.known[gram] = math.log(self.chance(1, gram) / self.chance(0, gram))
-        return found
-
-    def word(self, word: str) -> float:
-        """How much likelier a word is in toxic documents, as a logarithm; they hold words of both models."""
-        line = BEGIN + word + END
-        ratio = sum(self.ratio(line[max(0, i - ORDER) : i]) for i in range(2, len(line) + 1))
-        return math.log1p(TOXIC_SHARE * math.expm1(min(ratio, 50.0)))
-
-
-class Scorer(dict):
-    """The values of words, remembered; value() of a text is their mean, 0 without words."""
-
-    def __init__(self, models: Models):
-        super().__init__()
-        self.models = models
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = self.models.word(word)
-        return found
-
-    def value(self, text: str | None) -> float:
-        words = words_of(text)
-        return sum(map(self.__getitem__, words)) / len(words) if words else 0.0
-
-
 def vocabulary(docs: DataFrame, sample: DataFrame) -> DataFrame:
     """Rows (word, n, counts): in how many documents a word is, and in how many sampled ones by group.
 
@@ -169,36 +95,107 @@ def grams_of(line: Column, longest: int) -> Column:
     return F.transform(F.sequence(F.lit(2), F.length(line)), lambda i: F.substring(line, F.greatest(i - longest + 1, F.lit(1)), F.least(i, F.lit(longest))))
 
 
-def fit_models(docs: DataFrame, sample: DataFrame) -> tuple[Models, list[Models]]:
-    """The models of the whole sample, and for each part of LEARNED those of the other parts."""
-    names = [f"c{k}" for k in range(2 * len(LEARNED))]
-    words = checkpointed(vocabulary(docs, sample)).withColumn("line", F.concat(F.lit(BEGIN), "word", F.lit(END)))
-    seen = sum(F.col(c) for c in names)
-    of_class = words.filter(seen > 0).select(F.explode(grams_of(F.col("line"), ORDER)).alias("gram"), *names)
-    of_class = of_class.groupBy("gram").agg(*[F.sum(c).alias(c) for c in names]).orderBy(F.desc(seen), "gram").limit(MAX_GRAMS)
-    pairs = words.select(F.explode(grams_of(F.col("line"), SHARED)).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-    pairs = {r.gram: r.n for r in pairs.orderBy(F.desc("n"), "gram").limit(MAX_SHARED).collect()}
-    grams = {gram: counts for gram, *counts in of_class.collect()}  # MAX_GRAMS rows at most
-    whole = Models({g: (sum(c[0::2]), sum(c[1::2])) for g, c in grams.items()}, pairs)
-    rest = lambda k: Models({g: (sum(c[0::2]) - c[2 * k], sum(c[1::2]) - c[2 * k + 1]) for g, c in grams.items()}, pairs)
-    return whole, [rest(k) for k in range(len(LEARNED))]
+def mixed(count: Column, total: Column, kinds: Column, lower: Column) -> Column:
+    """The chance of a letter after a context of that many letters and kinds; the lower one after a context that is not known."""
+    return F.when(total > 0, (F.greatest(count - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * lower) / total).otherwise(lower)
 
 
-def values(docs: DataFrame, models: Models, spark: SparkSession) -> DataFrame:
-    """docs, whose columns are text and others before it, with value instead of text."""
-    sent = spark.sparkContext.broadcast(pickle.dumps(models))
+def gram_ratios(words: DataFrame) -> DataFrame:
+    """Rows (gram, r0, ...): how much likelier the last letter of each n-gram is in toxic documents, as a logarithm.
+
+    The ratios are those of the models of all parts of LEARNED but one, in their order, and of the whole sample.
+    """
+    names = [f"c{k}" for k in range(2 * len(LEARNED))]
+    models = range(len(LEARNED) + 1)
+    own = [(y, m) for y in (0, 1) for m in models]
+    count = lambda y, m: sum((F.col(c) for c in names[y::2]), F.lit(0)) - (F.col(names[2 * m + y]) if m < len(LEARNED) else F.lit(0))
+    kinds_of = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    before = lambda n: Window.partitionBy(F.substring("gram", 1, n))
+
+    # Letters and pairs are shared: all documents count.
+    pairs = words.select(F.explode(grams_of(F.col("line"), SHARED)).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
+    letter = F.substring("gram", SHARED, 1)
+    pairs = checkpointed(pairs.select("*", kinds_of("n").over(Window.partitionBy(letter)).alias("letters"), F.sum("n").over(before(1)).alias("total"), kinds_of("n").over(before(1)).alias("kinds")))
+    n_pairs, n_letters = pairs.filter("n > 0").agg(F.count(F.lit(1)), F.count_distinct(letter)).first()
+    lowest = (F.col("letters") + 0.5) / (n_pairs + 0.5 * (n_letters + 1))
+    pairs = pairs.select(F.col("gram").alias("pair"), mixed(F.col("n"), F.col("total"), F.col("kinds"), lowest).alias("p2"))
+
+    # The longest n-grams count documents of the class; those of three letters the letters before them, or documents at the start of a word.
+    longest = words.select(F.explode(grams_of(F.col("line"), ORDER)).alias("gram"), *names).groupBy("gram").agg(*[F.sum(c).alias(c) for c in names])
+    longest = checkpointed(longest.select("gram", *[count(y, m).alias(f"n{y}_{m}") for y, m in own]))
+    four, short = F.length("gram") == ORDER, F.length("gram") == ORDER - 1
+    three = longest.filter(four | short).select(F.substring("gram", -(ORDER - 1), ORDER - 1).alias("gram"), *[F.when(four, (F.col(f"n{y}_{m}") > 0).cast("long")).otherwise(F.col(f"n{y}_{m}")).alias(f"n{y}_{m}") for y, m in own])
+    three = three.groupBy("gram").agg(*[F.sum(f"n{y}_{m}").alias(f"n{y}_{m}") for y, m in own])
+
+    def known(grams: DataFrame, n: int, lower: DataFrame, on: str, below, name: str) -> DataFrame:
+        """grams of n letters with their chances, from those of the n-grams a letter shorter."""
+        sums = [c for y, m in own for c in (F.sum(f"n{y}_{m}").over(before(n - 1)).alias(f"t{y}_{m}"), kinds_of(f"n{y}_{m}").over(before(n - 1)).alias(f"k{y}_{m}"))]
+        grams = grams.select("*", F.substring("gram", -(n - 1), n - 1).alias(on), *sums).join(lower, on)
+        return grams.select("gram", *[mixed(F.col(f"n{y}_{m}"), F.col(f"t{y}_{m}"), F.col(f"k{y}_{m}"), F.col(below(y, m))).alias(f"{name}{y}_{m}") for y, m in own])
+
+    ratio = lambda name: [F.log(F.col(f"{name}1_{m}") / F.col(f"{name}0_{m}")).alias(f"r{m}") for m in models]
+    three = checkpointed(known(three, ORDER - 1, pairs, "pair", lambda y, m: "p2", "p3_"))
+    fours = known(longest.filter(four), ORDER, three.withColumnRenamed("gram", "triple"), "triple", lambda y, m: f"p3_{y}_{m}", "p4_")
+    # Words begin with an n-gram of three letters; longer ones end with the context of all that stands before.
+    return fours.select("gram", *ratio("p4_")).unionByName(three.filter(F.col("gram").startswith(BEGIN)).select("gram", *ratio("p3_")))
+
+
+def word_values(learned: DataFrame, sample: DataFrame, others: DataFrame | None) -> DataFrame:
+    """Rows (word, v): how much likelier each word is in toxic documents, as a logarithm, by each model of gram_ratios().
+
+    The words are those of learned and of others, from which nothing is learned. A toxic document holds words of both models. The rows are in files, as are the n-grams, so that Spark knows whether they are few
+    enough to be sent to all tasks. All n-grams count, in tables; nothing of them is collected.
+    """
+    spark = learned.sparkSession
+    words = vocabulary(learned, sample)
+    if others is not None:
+        more = vocabulary(others, sample.limit(0))
+        words = words.unionByName(more.select("word", *[F.lit(0).cast("long").alias(c) for c in more.columns[1:]])).groupBy("word").agg(*[F.sum(c).alias(c) for c in words.columns[1:]])
+    words = checkpointed(words).withColumn("line", F.concat(F.lit(BEGIN), "word", F.lit(END)))
+    models = range(len(LEARNED) + 1)
+    grams_at, at = work_dir(spark, "toxic-grams"), work_dir(spark, "toxic-words")
+    gram_ratios(words).write.parquet(grams_at)
+    held = words.select("word", F.explode(grams_of(F.col("line"), ORDER)).alias("gram")).join(spark.read.parquet(grams_at), "gram", "left")
+    sums = held.groupBy("word").agg(*[F.coalesce(F.sum(f"r{m}"), F.lit(0.0)).alias(f"r{m}") for m in models])
+    value = F.array(*[F.log1p(TOXIC_SHARE * F.expm1(F.least(F.col(f"r{m}"), F.lit(50.0)))) for m in models])
+    sums.select("word", value.alias("v")).write.parquet(at)
+    return spark.read.parquet(at)
+
+
+def values(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """docs, whose columns are text and others before it, with value and rest instead of text: the mean of its words, 0 without words.
+
+    value is by the model of the whole sample, rest by that without the part of the column part, null where that is null.
+    Each row of docs has its own row.
+    """
     kept = [f for f in docs.schema if f.name != "text"]
+    names = [f.name for f in kept]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(pickle.loads(sent.value))
         for batch in batches:
-            found: list[float] = []
-            text = batch.column(len(kept))
-            for start in range(0, batch.num_rows, ROWS):
-                found += map(own.value, text.slice(start, ROWS).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], names=[*(f.name for f in kept), "value"])
+            rows, held, counts = [], [], []
+
+            def handed_on() -> pa.RecordBatch:
+                own = batch.select([*names, "_row"]).take(pa.array(rows, pa.int64()))
+                return pa.RecordBatch.from_arrays([*own.columns, pa.array(held, pa.string()), pa.array(counts, pa.int64())], names=[*names, "_row", "word", "n"])
 
-    return docs.select(*[f.name for f in kept], "text").mapInArrow(of, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "value double"]))
+            for start in range(0, batch.num_rows, ROWS):
+                for i, text in enumerate(batch.column(len(kept) + 1).slice(start, ROWS).to_pylist(), start):
+                    found = Counter(words_of(text)) or {None: 0}
+                    rows += [i] * len(found)
+                    held += found
+                    counts += found.values()
+                    if len(rows) >= HANDED_ON:
+                        yield handed_on()
+                        rows, held, counts = [], [], []
+            if rows:
+                yield handed_on()
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "_row long, word string, n long"])
+    held = docs.select(*names, F.monotonically_increasing_id().alias("_row"), "text").mapInArrow(of, schema)
+    held = held.join(words, "word", "left").groupBy("_row", *names)
+    mean = lambda model: F.coalesce(F.sum(F.element_at("v", model + 1) * F.col("n")) / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0))
+    return held.agg(mean(F.lit(len(LEARNED))).alias("value"), F.when(F.col("part").isNotNull(), mean(F.col("part"))).alias("rest")).select(*names, "value", "rest")
 
 
 def logistic(points: list[tuple[float, int]]) -> tuple[float, float]:
@@ -235,17 +232,19 @@ def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     score that goes with it. A null id is not held out. Without labels of both classes nothing is known:
     scores are all the share of toxic labels, or a half without labels. Other columns are not carried.
     """
-    spark = docs.sparkSession
     own = lambda df: df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     learned = own(docs if learn_from is None else learn_from)
     known = labels.filter(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     sample = checkpointed(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS))
     part = F.array_position(F.array(*map(F.lit, LEARNED)), fold(F.col("doc_id"))) - 1
     sample = sample.select("doc_id", "y", part.cast("int").alias("part")).withColumn("group", 2 * F.col("part") + F.col("y"))
-    whole, rests = fit_models(learned, sample.select("doc_id", "group"))
-    valued = [values(learned.join(F.broadcast(sample.filter(F.col("part") == k)), "doc_id").select("y", "text"), models, spark) for k, models in enumerate(rests)]
-    slope, offset = logistic([(math.asinh(STRETCH * r.value), r.y) for r in reduce(DataFrame.unionAll, valued).collect()])  # SAMPLE_ROWS points at most
-    scored = values(own(docs), whole, spark)
+    words = word_values(learned, sample.select("doc_id", "group"), None if learn_from is None else own(docs))
+    marked = learned.join(F.broadcast(sample), "doc_id", "inner" if learn_from is not None else "left").select("doc_id", "y", "part", "text")
+    valued = checkpointed(values(marked, words))
+    points = valued.filter("y IS NOT NULL").select("rest", "y").collect()  # SAMPLE_ROWS points at most, but for repeated ids
+    slope, offset = logistic([(math.asinh(STRETCH * r.rest), r.y) for r in points])
+    # What is learned from is mostly what is scored, and then its words are looked up once.
+    scored = valued if learn_from is None else values(own(docs).select("doc_id", F.lit(None).cast("int").alias("part"), "text"), words)
     result = 1 / (1 + F.exp(-(F.asinh(F.col("value") * STRETCH) * slope + offset)))
     return scored.select("doc_id", (F.coalesce(fold(F.col("doc_id")), F.lit(-1)) == HELD_OUT).alias("held_out"), result.alias("score"), (result >= 0.5).cast("int").alias("predicted"))
 

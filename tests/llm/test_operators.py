@@ -292,3 +292,61 @@ def test_toxicity(spark, docs, none):
     assert len(toxicity.score(docs, marked.limit(0)).collect()) == len(ROWS)
 
 
+class BruteModels:
+    """The interpolated Kneser-Ney models with plain dictionaries, of all n-grams."""
+
+    def __init__(self, rows, labels):
+        self.counts, self.pairs = ({}, {}), {}
+        for i, text in rows:
+            for word in set(toxicity.words_of(text)):
+                line = toxicity.BEGIN + word + toxicity.END
+                for k in range(2, len(line) + 1):
+                    self.pairs[line[k - 2 : k]] = self.pairs.get(line[k - 2 : k], 0) + 1
+                    if i in labels:
+                        own, gram = self.counts[labels[i]], line[max(0, k - 4) : k]
+                        own[gram] = own.get(gram, 0) + 1
+        for own in self.counts:
+            for gram in [g for g in own if len(g) == 4]:
+                own[gram[1:]] = own.get(gram[1:], 0) + 1
+        self.letters = [g[-1] for g in self.pairs]
+
+    def chance(self, y, gram):
+        if len(gram) == 1:
+            return (self.letters.count(gram) + 0.5) / (len(self.letters) + 0.5 * (len(set(self.letters)) + 1))
+        lower, own = self.chance(y, gram[1:]), self.pairs if len(gram) == 2 else self.counts[y]
+        after = [n for g, n in own.items() if g[:-1] == gram[:-1]]
+        return (max(own.get(gram, 0) - 0.75, 0) + 0.75 * len(after) * lower) / sum(after) if after else lower
+
+    def word(self, word):
+        line = toxicity.BEGIN + word + toxicity.END
+        grams = [line[max(0, k - 4) : k] for k in range(2, len(line) + 1)]
+        ratio = sum(np.log(self.chance(1, g) / self.chance(0, g)) for g in grams)
+        return np.log1p(0.02 * np.expm1(min(ratio, 50.0)))
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_toxicity_learns_from_all_grams(spark, monkeypatch, apart):
+    for name in ("MAX_GRAMS", "MAX_SHARED"):  # were caps of the models; nothing may be left out
+        monkeypatch.setattr(toxicity, name, 30, raising=False)
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join("".join(rng.choice(list("abc中文字é"), int(n))) for n in rng.integers(1, 6, 12))) for i in range(60)] + [(60, None), (61, "12"), (5, "ab ab")]
+    labels = {i: int(i % 3 == 0) for i in range(60) if zlib.crc32(str(i).encode()) % 5}
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    other = [(i, f"{t} zz日本 ab") for i, t in rows]
+    docs = spark.createDataFrame(other, "doc_id long, text string") if apart else own
+    marked = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    found = toxicity.score(docs, marked, learn_from=own if apart else None).select("doc_id", "score").collect()
+
+    part = {i: zlib.crc32(str(i).encode()) % 5 for i in labels}
+    rests = {k: BruteModels(rows, {i: y for i, y in labels.items() if part[i] != k}) for k in toxicity.LEARNED}
+    whole = BruteModels(rows, labels)
+
+    def value(models, text):
+        words = toxicity.words_of(text)
+        return sum(map(models.word, words)) / len(words) if words else 0.0
+
+    points = [(np.arcsinh(toxicity.STRETCH * value(rests[part[i]], t)), labels[i]) for i, t in rows if i in labels]
+    slope, offset = toxicity.logistic(points)
+    expected = sorted((i, 1 / (1 + np.exp(-(np.arcsinh(toxicity.STRETCH * value(whole, t)) * slope + offset)))) for i, t in (other if apart else rows))
+    assert [r.doc_id for r in sorted(found)] == [i for i, _ in expected]
+    assert [r.score for r in sorted(found)] == pytest.approx([x for _, x in expected], rel=1e-7)
