@@ -43,6 +43,12 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+def whole_number_ids(df: DataFrame, id_column: str) -> None:
+    """Raises an error unless the ids are whole numbers."""
+    if df.schema[id_column].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_column} has to be of whole numbers, not {df.schema[id_column].dataType.simpleString()}")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores before it if df has such a column (case is ignored)."""
     taken = {c.lower() for c in df.columns}

@@ -48,3 +48,8 @@ def reading(uri: str) -> Iterator[BinaryIO]:
 def delete(uri: str) -> None:
     system, path = opened(uri)
     system.delete_file(path)
+
+
+def delete_folder(uri: str) -> None:
+    system, path = opened(uri)
+    system.delete_dir(path)
