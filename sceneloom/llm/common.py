@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word is a run of anything but ASCII white space (tab to carriage return, and space).
 WORD = r"[^\x20\x09-\x0D]+"
 #: The two ASCII alphabets that lower-casing maps; other letters stay as they are.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Ids are broadcast up to this number (16 bytes each in memory); more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +63,25 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_slices(texts: pa.Array, n_bytes: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of texts of about n_bytes together, or of one text that is longer."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.flatnonzero(np.diff(np.cumsum(sizes) // n_bytes, prepend=-1))
+    yield from zip(starts.tolist(), np.diff(starts, append=len(texts)).tolist(), strict=True)
+
+
+def if_few(df: DataFrame) -> DataFrame:
+    """df, whose rows are a few numbers each, marked to be broadcast if it has MOST_BROADCAST rows at most. df is counted, so it should be kept."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def without(docs: DataFrame, gone: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """docs without the rows whose id and hash of the text are among gone's doc_id and tie. A null id is one like others."""
+    own, tie = free_name(docs, "_gone_id"), free_name(docs, "_gone_tie")
+    gone = if_few(checkpointed(gone.select(F.col("doc_id").alias(own), F.col("tie").alias(tie)).distinct()))
+    return docs.join(gone, F.col(id_column).eqNullSafe(F.col(own)) & (F.xxhash64(text_column) == F.col(tie)), "left_anti")
+
+
 def words_of(text: Column) -> Column:
     """All words of a text, in order; none for a null text."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import files
-from .common import whole_number_ids
+from .common import text_slices, whole_number_ids
 
 MAGIC, HEAD = b"LOOMIDS1", struct.Struct("<8sIQQ")
 #: Documents of a block, and ids from which on it takes no more; a block's ids are what a reader or writer holds at once.
@@ -194,14 +194,6 @@ def encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
-def text_slices(texts: pa.Array, n_bytes: int = TEXT_BYTES) -> Iterator[tuple[int, int]]:
-    """(start, length) of runs of texts of about n_bytes together."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = np.cumsum(sizes) // n_bytes
-    starts = np.flatnonzero(np.diff(part, prepend=-1))
-    yield from zip(starts.tolist(), np.diff(starts, append=len(texts)).tolist(), strict=True)
-
-
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit numbers."""
     lengths = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
@@ -262,7 +254,7 @@ def encode(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_co
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path, end_id)
         for batch in batches:
-            for start, n in text_slices(batch.column(2)):
+            for start, n in text_slices(batch.column(2), TEXT_BYTES):
                 part = batch.slice(start, n)
                 ids, counts = own.ids(part.column(2))
                 ends = np.concatenate([[0], np.cumsum(counts * kind.itemsize)])

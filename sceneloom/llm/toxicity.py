@@ -11,20 +11,23 @@ logistic curve makes a score of it; it is fitted on the labelled documents, each
 were learned from the other parts of them.
 
 Labels are learned from SAMPLE_ROWS labelled rows at most, chosen by a hash of the id. All else covers all
-data: the n-grams, their chances and the values of all distinct words are tables, joined with the words of the documents.
+data: tasks count the n-grams of all documents, the counts are added up and the chances are computed in
+tables. Documents are read twice, to count and to value. The table of n-grams is broadcast if it is
+counted to have MOST_GRAMS rows at most; a larger one values the distinct words by a join with their
+n-grams, and the documents by a join with their words. Both ways give the same values.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import checkpointed, work_dir
+from .common import checkpointed, text_slices, without, work_dir
 
 #: Letters of the longest n-gram, and of the longest that both classes share.
 ORDER, SHARED = 4, 2
@@ -33,16 +36,21 @@ SAMPLE_ROWS = 40_000
 #: Of FOLDS parts of the ids, part 0 is held out, the others are learned from.
 FOLDS, HELD_OUT = 5, 0
 LEARNED = [k for k in range(FOLDS) if k != HELD_OUT]
+#: The groups of the sample, a part and a label each, and the models: without each part in turn, and of all of it.
+GROUPS, MODELS = 2 * len(LEARNED), len(LEARNED) + 1
 DISCOUNT = 0.75
 #: The share of words of a toxic document that are taken to be of the toxic model; the others are ordinary in either class.
 TOXIC_SHARE = 0.02
 #: Values go through asinh(STRETCH * value) before the logistic curve, so that a few extreme ones don't flatten it.
 STRETCH = 200.0
-#: Distinct words that are remembered in a Python worker, rows taken from a batch at a time, and words of documents handed on at a time.
-REMEMBERED, ROWS, HANDED_ON = 300_000, 256, 50_000
-WORD = re.compile(r"[^\W\d_]+")
+#: n-grams that are broadcast at most, of 8 bytes and 8 for each model.
+MOST_GRAMS = 1_000_000
+#: n-grams that a task adds up before it hands them on, and bytes of text that it takes at a time.
+ADDED_UP, TEXT_BYTES = 600_000, 8 << 20
 #: What stands before and after each word.
 BEGIN, END = "\x02", "\x03"
+#: Letters have numbers of 16 bits in a task; four make the key of an n-gram.
+MOST_LETTERS = 1 << 16
 
 
 def fold(id_column: Column) -> Column:
@@ -50,49 +58,124 @@ def fold(id_column: Column) -> Column:
     return F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(FOLDS)).cast("int")
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words of letters of a text, in lower case."""
-    return WORD.findall(text.lower()) if text else []
-
-
-def vocabulary(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """Rows (word, n, counts): in how many documents a word is, and in how many sampled ones by group.
-
-    docs has doc_id and text, sample doc_id and group, a number from 0. Tasks count before anything is shuffled.
+class Words:
+    """The words of some texts, runs of letters in lower case: the distinct ones, and of each occurrence its text and its number."""
+
+    def __init__(self, texts: pa.Array):
+        lines = pc.replace_substring_regex(pc.utf8_lower(texts.fill_null("")), r"[^\p{L} ]+", " ")
+        split = pc.ascii_split_whitespace(lines)
+        numbered = split.flatten().dictionary_encode()
+        self.words = numbered.dictionary.to_pylist()
+        self.number = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.text = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy(zero_copy_only=False))
+        if "" in self.words:  # what stands before a first space is no word
+            real = self.number != self.words.index("")
+            self.number, self.text = self.number[real], self.text[real]
+        self.n_texts = len(texts)
+
+    def letters(self) -> tuple[np.ndarray, np.ndarray]:
+        """The code points of all distinct words, each between BEGIN and END, and the word of each."""
+        points = np.frombuffer(f"{BEGIN}{f'{END}{BEGIN}'.join(self.words)}{END}".encode("utf-32-le"), "<u4") if self.words else np.empty(0, "<u4")
+        return points, np.cumsum(points == ord(BEGIN)) - 1
+
+
+class Alphabet:
+    """Numbers of letters, from 1, in the order in which they come; 0 for those without."""
+
+    def __init__(self):
+        self.points = [0]
+        self.number = np.zeros(0x110000, np.uint64)
+
+    def learn(self, points: np.ndarray) -> None:
+        for point in np.unique(points[self.number[points] == 0]):
+            self.number[point] = len(self.points)
+            self.points.append(point)
+
+    def pairs(self, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        own = self.number[points]
+        return own[ends - 1] << np.uint64(16) | own[ends]
+
+    def longest(self, points: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of the n-grams that end at each letter but the first two of a line, of ORDER letters or of all before; and their words."""
+        own = self.number[points]
+        ends = np.flatnonzero(word[2:] == word[:-2]) + 2
+        fourth = np.zeros(len(ends), np.uint64)
+        far = np.flatnonzero(ends > 2)
+        far = far[word[ends[far] - 3] == word[ends[far]]]
+        fourth[far] = own[ends[far] - 3]
+        return fourth << np.uint64(48) | own[ends - 2] << np.uint64(32) | own[ends - 1] << np.uint64(16) | own[ends], word[ends]
+
+    def keys(self, grams: list[str]) -> np.ndarray:
+        """The keys of n-grams whose letters all have numbers."""
+        points = np.frombuffer("".join(g.rjust(ORDER, "\0") for g in grams).encode("utf-32-le"), "<u4").reshape(-1, ORDER)
+        parts = self.number[points]
+        return parts[:, 0] << np.uint64(48) | parts[:, 1] << np.uint64(32) | parts[:, 2] << np.uint64(16) | parts[:, 3]
+
+    def grams(self, keys: np.ndarray) -> pa.Array:
+        numbers = np.array(self.points, "<u4")[np.stack([keys >> np.uint64(s) & np.uint64(0xFFFF) for s in (48, 32, 16, 0)], axis=1).astype(np.int64)]
+        text = numbers.tobytes().decode("utf-32-le")
+        return pa.array([text[i : i + ORDER].lstrip("\0") for i in range(0, len(text), ORDER)], pa.string())
+
+
+def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with the sums of their rows of counts."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return ordered[first], np.add.reduceat(counts[order], first, axis=0) if len(first) else counts[:0]
+
+
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """Rows (gram, n, c0, ...), from docs of text and group, a number below GROUPS or null.
+
+    Of letter pairs n, and of all longer n-grams of Alphabet.longest c by group, is in how many documents a
+    word is that holds them, each time it does. Tasks add up before anything is shuffled.
     """
-    marked = docs.join(F.broadcast(sample), "doc_id", "left").select("text", "group")  # SAMPLE_ROWS rows of two numbers at most
-    groups = 2 * len(LEARNED)
+    names = ["n", *(f"c{k}" for k in range(GROUPS))]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[int]] = {}
+        alphabet = Alphabet()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def rows() -> pa.RecordBatch:
-            columns = [pa.array(list(found), pa.string()), *(pa.array([c[k] for c in found.values()], pa.int64()) for k in range(groups + 1))]
-            return pa.RecordBatch.from_arrays(columns, names=["word", *(f"c{k}" for k in range(groups)), "n"])
+        def handed_on() -> pa.RecordBatch:
+            keys, counts = added(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])) if held else (np.empty(0, np.uint64), np.empty((0, len(names)), np.int64))
+            return pa.RecordBatch.from_arrays([alphabet.grams(keys), *(pa.array(np.ascontiguousarray(c), pa.int64()) for c in counts.T)], names=["gram", *names])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                for text, group in zip(batch.column(0).slice(start, ROWS).to_pylist(), batch.column(1).slice(start, ROWS).to_pylist(), strict=True):
-                    for word in set(words_of(text)):
-                        counts = found.get(word)
-                        if counts is None:
-                            counts = found[word] = [0] * (groups + 1)
-                        counts[-1] += 1
-                        if group is not None:
-                            counts[group] += 1
-                if len(found) >= REMEMBERED:
-                    yield rows()
-                    found.clear()
-        yield rows()
-
-    names = [f"c{k}" for k in range(groups)]
-    counted = marked.mapInArrow(of, ", ".join(["word string", *(f"{c} long" for c in names), "n long"]))
-    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in [*names, "n"]])
-
-
-def grams_of(line: Column, longest: int) -> Column:
-    """The n-gram of at most `longest` letters that ends at each letter of a line but the first."""
-    return F.transform(F.sequence(F.lit(2), F.length(line)), lambda i: F.substring(line, F.greatest(i - longest + 1, F.lit(1)), F.least(i, F.lit(longest))))
+            groups = batch.column(1).fill_null(GROUPS).to_numpy(zero_copy_only=False)
+            for start, n in text_slices(batch.column(0), TEXT_BYTES):
+                own, group = Words(batch.column(0).slice(start, n)), groups[start : start + n]
+                points, word = own.letters()
+                if len(alphabet.points) + len(np.unique(points)) > MOST_LETTERS:
+                    yield handed_on()
+                    alphabet, held = Alphabet(), []
+                alphabet.learn(points)
+                # In how many texts each word is, of each group and of all.
+                once = np.unique(own.text * len(own.words) + own.number)
+                text, number = np.divmod(once, max(1, len(own.words)))
+                n_words = np.bincount(number, minlength=len(own.words))
+                of_group = np.bincount(number * (GROUPS + 1) + group[text], minlength=len(own.words) * (GROUPS + 1)).reshape(-1, GROUPS + 1)[:, :GROUPS]
+                ends = np.flatnonzero(word[1:] == word[:-1]) + 1
+                keys, at = np.unique(alphabet.pairs(points, ends), return_inverse=True)
+                counts = np.zeros((len(keys), len(names)), np.int64)
+                counts[:, 0] = np.bincount(at, n_words[word[ends]], len(keys))
+                held.append((keys, counts))
+                keys, of_word = alphabet.longest(points, word)
+                keys, at = np.unique(keys, return_inverse=True)
+                counts = np.zeros((len(keys), len(names)), np.int64)
+                known = np.flatnonzero(of_group.any(axis=1)[of_word])
+                for k in range(GROUPS):
+                    counts[:, k + 1] = np.bincount(at[known], of_group[of_word[known], k], len(keys))
+                held.append((keys, counts))
+                if sum(len(k) for k, _ in held) >= ADDED_UP:
+                    held = [added(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
+                    if len(held[0][0]) >= ADDED_UP // 2:
+                        yield handed_on()
+                        held = []
+        yield handed_on()
+
+    counted = docs.select("text", "group").mapInArrow(of, ", ".join(["gram string", *(f"{c} long" for c in names)]))
+    return counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def mixed(count: Column, total: Column, kinds: Column, lower: Column) -> Column:
@@ -100,20 +183,20 @@ def mixed(count: Column, total: Column, kinds: Column, lower: Column) -> Column:
     return F.when(total > 0, (F.greatest(count - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * lower) / total).otherwise(lower)
 
 
-def gram_ratios(words: DataFrame) -> DataFrame:
-    """Rows (gram, r0, ...): how much likelier the last letter of each n-gram is in toxic documents, as a logarithm.
+def gram_ratios(counted: DataFrame) -> DataFrame:
+    """From gram_counts(), rows (gram, r0, ...): how much likelier the last letter of each n-gram is in toxic documents, as a logarithm.
 
     The ratios are those of the models of all parts of LEARNED but one, in their order, and of the whole sample.
     """
-    names = [f"c{k}" for k in range(2 * len(LEARNED))]
-    models = range(len(LEARNED) + 1)
+    names = [f"c{k}" for k in range(GROUPS)]
+    models = range(MODELS)
     own = [(y, m) for y in (0, 1) for m in models]
     count = lambda y, m: sum((F.col(c) for c in names[y::2]), F.lit(0)) - (F.col(names[2 * m + y]) if m < len(LEARNED) else F.lit(0))
     kinds_of = lambda c: F.sum((F.col(c) > 0).cast("long"))
     before = lambda n: Window.partitionBy(F.substring("gram", 1, n))
 
     # Letters and pairs are shared: all documents count.
-    pairs = words.select(F.explode(grams_of(F.col("line"), SHARED)).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
+    pairs = counted.filter(F.length("gram") == SHARED).select("gram", "n")
     letter = F.substring("gram", SHARED, 1)
     pairs = checkpointed(pairs.select("*", kinds_of("n").over(Window.partitionBy(letter)).alias("letters"), F.sum("n").over(before(1)).alias("total"), kinds_of("n").over(before(1)).alias("kinds")))
     n_pairs, n_letters = pairs.filter("n > 0").agg(F.count(F.lit(1)), F.count_distinct(letter)).first()
@@ -121,8 +204,7 @@ def gram_ratios(words: DataFrame) -> DataFrame:
     pairs = pairs.select(F.col("gram").alias("pair"), mixed(F.col("n"), F.col("total"), F.col("kinds"), lowest).alias("p2"))
 
     # The longest n-grams count documents of the class; those of three letters the letters before them, or documents at the start of a word.
-    longest = words.select(F.explode(grams_of(F.col("line"), ORDER)).alias("gram"), *names).groupBy("gram").agg(*[F.sum(c).alias(c) for c in names])
-    longest = checkpointed(longest.select("gram", *[count(y, m).alias(f"n{y}_{m}") for y, m in own]))
+    longest = counted.filter(F.length("gram") > SHARED).select("gram", *[count(y, m).alias(f"n{y}_{m}") for y, m in own])
     four, short = F.length("gram") == ORDER, F.length("gram") == ORDER - 1
     three = longest.filter(four | short).select(F.substring("gram", -(ORDER - 1), ORDER - 1).alias("gram"), *[F.when(four, (F.col(f"n{y}_{m}") > 0).cast("long")).otherwise(F.col(f"n{y}_{m}")).alias(f"n{y}_{m}") for y, m in own])
     three = three.groupBy("gram").agg(*[F.sum(f"n{y}_{m}").alias(f"n{y}_{m}") for y, m in own])
@@ -140,62 +222,103 @@ def gram_ratios(words: DataFrame) -> DataFrame:
     return fours.select("gram", *ratio("p4_")).unionByName(three.filter(F.col("gram").startswith(BEGIN)).select("gram", *ratio("p3_")))
 
 
-def word_values(learned: DataFrame, sample: DataFrame, others: DataFrame | None) -> DataFrame:
-    """Rows (word, v): how much likelier each word is in toxic documents, as a logarithm, by each model of gram_ratios().
+class Ratios:
+    """The rows of gram_ratios(), in a table and, if that is small, in memory: keys in order, and a row for each model."""
 
-    The words are those of learned and of others, from which nothing is learned. A toxic document holds words of both models. The rows are in files, as are the n-grams, so that Spark knows whether they are few
-    enough to be sent to all tasks. All n-grams count, in tables; nothing of them is collected.
-    """
-    spark = learned.sparkSession
-    words = vocabulary(learned, sample)
-    if others is not None:
-        more = vocabulary(others, sample.limit(0))
-        words = words.unionByName(more.select("word", *[F.lit(0).cast("long").alias(c) for c in more.columns[1:]])).groupBy("word").agg(*[F.sum(c).alias(c) for c in words.columns[1:]])
-    words = checkpointed(words).withColumn("line", F.concat(F.lit(BEGIN), "word", F.lit(END)))
-    models = range(len(LEARNED) + 1)
-    grams_at, at = work_dir(spark, "toxic-grams"), work_dir(spark, "toxic-words")
-    gram_ratios(words).write.parquet(grams_at)
-    held = words.select("word", F.explode(grams_of(F.col("line"), ORDER)).alias("gram")).join(spark.read.parquet(grams_at), "gram", "left")
-    sums = held.groupBy("word").agg(*[F.coalesce(F.sum(f"r{m}"), F.lit(0.0)).alias(f"r{m}") for m in models])
-    value = F.array(*[F.log1p(TOXIC_SHARE * F.expm1(F.least(F.col(f"r{m}"), F.lit(50.0)))) for m in models])
+    def __init__(self, table: DataFrame):
+        self.table, self.sent = table, None
+        if table.count() <= MOST_GRAMS:
+            found = table.toArrow()  # MOST_GRAMS rows at most
+            grams = found.column("gram").to_pylist()
+            if len(set().union(*grams)) < MOST_LETTERS:
+                ratios = np.stack([found.column(f"r{m}").to_numpy() for m in range(MODELS)], axis=1)
+                self.sent = table.sparkSession.sparkContext.broadcast((grams, ratios))
+
+
+class Lookup:
+    """Values words by broadcast n-grams."""
+
+    def __init__(self, grams: list[str], ratios: np.ndarray):
+        self.alphabet = Alphabet()
+        self.alphabet.learn(np.frombuffer("".join(grams).encode("utf-32-le"), "<u4"))
+        keys = self.alphabet.keys(grams)
+        order = np.argsort(keys)
+        self.keys, self.ratios = keys[order], np.concatenate([ratios[order], np.zeros((1, MODELS))])
+
+    def word_values(self, own: Words) -> np.ndarray:
+        """A row for each distinct word, a column for each model."""
+        points, word = own.letters()
+        keys, of_word = self.alphabet.longest(points, word)
+        keys, at = np.unique(keys, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        place = np.where(self.keys[place] == keys, place, len(self.keys)) if len(self.keys) else np.zeros(len(keys), np.int64)
+        found = self.ratios[place]
+        sums = np.stack([np.bincount(of_word, found[at, m], len(own.words)) for m in range(MODELS)], axis=1)
+        return np.log1p(TOXIC_SHARE * np.expm1(np.minimum(sums, 50.0)))
+
+
+def word_values(docs: DataFrame, ratios: DataFrame) -> DataFrame:
+    """Rows (word, v): the values of all distinct words of docs, by joins; v has one for each model. They are in files."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, n in text_slices(batch.column(0), TEXT_BYTES):
+                yield pa.RecordBatch.from_arrays([pa.array([w for w in Words(batch.column(0).slice(start, n)).words if w], pa.string())], names=["word"])
+
+    words = docs.select("text").mapInArrow(of, "word string").distinct()
+    line = F.concat(F.lit(BEGIN), "word", F.lit(END))
+    grams = F.transform(F.sequence(F.lit(3), F.length(line)), lambda i: F.substring(line, F.greatest(i - ORDER + 1, F.lit(1)), F.least(i, F.lit(ORDER))))
+    held = words.select("word", F.explode(grams).alias("gram")).join(ratios, "gram", "left")
+    sums = held.groupBy("word").agg(*[F.coalesce(F.sum(f"r{m}"), F.lit(0.0)).alias(f"r{m}") for m in range(MODELS)])
+    value = F.array(*[F.log1p(TOXIC_SHARE * F.expm1(F.least(F.col(f"r{m}"), F.lit(50.0)))) for m in range(MODELS)])
+    at = work_dir(docs.sparkSession, "toxic-words")
     sums.select("word", value.alias("v")).write.parquet(at)
-    return spark.read.parquet(at)
+    return docs.sparkSession.read.parquet(at)
 
 
-def values(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """docs, whose columns are text and others before it, with value and rest instead of text: the mean of its words, 0 without words.
+def values(docs: DataFrame, ratios: Ratios) -> DataFrame:
+    """docs (doc_id, tie, y, part, text) with value and rest instead of text: the mean of its words, 0 without words.
 
     value is by the model of the whole sample, rest by that without the part of the column part, null where that is null.
     Each row of docs has its own row.
     """
     kept = [f for f in docs.schema if f.name != "text"]
     names = [f.name for f in kept]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    sent = ratios.sent
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(*sent.value)
         for batch in batches:
-            rows, held, counts = [], [], []
-
-            def handed_on() -> pa.RecordBatch:
-                own = batch.select([*names, "_row"]).take(pa.array(rows, pa.int64()))
-                return pa.RecordBatch.from_arrays([*own.columns, pa.array(held, pa.string()), pa.array(counts, pa.int64())], names=[*names, "_row", "word", "n"])
-
-            for start in range(0, batch.num_rows, ROWS):
-                for i, text in enumerate(batch.column(len(kept) + 1).slice(start, ROWS).to_pylist(), start):
-                    found = Counter(words_of(text)) or {None: 0}
-                    rows += [i] * len(found)
-                    held += found
-                    counts += found.values()
-                    if len(rows) >= HANDED_ON:
-                        yield handed_on()
-                        rows, held, counts = [], [], []
-            if rows:
-                yield handed_on()
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "_row long, word string, n long"])
-    held = docs.select(*names, F.monotonically_increasing_id().alias("_row"), "text").mapInArrow(of, schema)
-    held = held.join(words, "word", "left").groupBy("_row", *names)
+            parts = batch.column(batch.schema.names.index("part")).fill_null(MODELS - 1).to_numpy(zero_copy_only=False)
+            for start, n in text_slices(batch.column(len(kept)), TEXT_BYTES):
+                own = Words(batch.column(len(kept)).slice(start, n))
+                of_words = lookup.word_values(own)
+                n_words = np.maximum(np.bincount(own.text, minlength=n), 1)
+                mean = lambda column: np.bincount(own.text, column, n) / n_words  # noqa: B023, E731
+                value, part = mean(of_words[own.number, MODELS - 1]), parts[start : start + n]
+                rest = mean(of_words[own.number, part[own.text]])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, n) for k in range(len(kept))), pa.array(value), pa.array(rest, mask=part == MODELS - 1)], names=[*names, "value", "rest"])
+
+    if sent is not None:
+        return docs.select(*names, "text").mapInArrow(valued, f"{types}, value double, rest double")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, n in text_slices(batch.column(len(kept) + 1), TEXT_BYTES):
+                own = Words(batch.column(len(kept) + 1).slice(start, n))
+                both, times = np.unique(own.text * len(own.words) + own.number, return_counts=True)
+                text, number = np.divmod(both, max(1, len(own.words)))
+                empty = np.setdiff1d(np.arange(n), text)
+                rows = batch.slice(start, n).select([*names, "_row"]).take(pa.array(np.concatenate([text, empty])))
+                word = pa.array(own.words, pa.string()).take(pa.array(number))
+                columns = [pa.concat_arrays([word, pa.nulls(len(empty), pa.string())]), pa.array(np.concatenate([times, np.zeros(len(empty), np.int64)]), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *columns], names=[*names, "_row", "word", "n"])
+
+    held = docs.select(*names, F.monotonically_increasing_id().alias("_row"), "text").mapInArrow(counted, f"{types}, _row long, word string, n long")
+    held = held.join(word_values(docs, ratios.table), "word", "left").groupBy("_row", *names)
     mean = lambda model: F.coalesce(F.sum(F.element_at("v", model + 1) * F.col("n")) / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0))
-    return held.agg(mean(F.lit(len(LEARNED))).alias("value"), F.when(F.col("part").isNotNull(), mean(F.col("part"))).alias("rest")).select(*names, "value", "rest")
+    return held.agg(mean(F.lit(MODELS - 1)).alias("value"), F.when(F.col("part").isNotNull(), mean(F.col("part"))).alias("rest")).select(*names, "value", "rest")
 
 
 def logistic(points: list[tuple[float, int]]) -> tuple[float, float]:
@@ -223,6 +346,36 @@ def logistic(points: list[tuple[float, int]]) -> tuple[float, float]:
     return slope / spread, offset - slope * mean / spread
 
 
+def scored(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", learn_from: DataFrame | None = None) -> DataFrame:
+    """The rows of score(), with tie, a hash of the text."""
+    own = lambda df: df.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("tie"), F.col(text_column).cast("string").alias("text"))
+    learned = own(docs if learn_from is None else learn_from)
+    known = labels.filter(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    sample = checkpointed(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS))
+    part = F.array_position(F.array(*map(F.lit, LEARNED)), fold(F.col("doc_id"))) - 1
+    sample = F.broadcast(sample.select("doc_id", "y", part.cast("int").alias("part")))  # SAMPLE_ROWS rows of three numbers at most
+    marked = learned.join(sample, "doc_id", "left").select("doc_id", "tie", "y", "part", "text")
+    grouped = marked.select("text", (2 * F.col("part") + F.col("y")).alias("group"))
+    unmarked = own(docs).select("doc_id", "tie", F.lit(None).cast("int").alias("y"), F.lit(None).cast("int").alias("part"), "text")
+    if learn_from is None:
+        counted = gram_counts(grouped)
+    else:  # nothing is learned from the others, but their n-grams have chances too
+        others = gram_counts(unmarked.select("text", F.col("part").alias("group")))
+        others = others.select("gram", *[F.lit(0).cast("long").alias(c) for c in others.columns[1:]])
+        both = gram_counts(grouped).unionByName(others)
+        counted = both.groupBy("gram").agg(*[F.sum(c).alias(c) for c in both.columns[1:]])
+    spark, at = docs.sparkSession, work_dir(docs.sparkSession, "toxic-grams")
+    gram_ratios(checkpointed(counted)).write.parquet(at)
+    ratios = Ratios(spark.read.parquet(at))
+    # What is learned from is mostly what is scored, and then its words are looked up once.
+    valued = checkpointed(values(marked if learn_from is None else marked.filter("y IS NOT NULL"), ratios))
+    points = valued.filter("y IS NOT NULL").select("rest", "y").collect()  # SAMPLE_ROWS points at most, but for repeated ids
+    slope, offset = logistic([(math.asinh(STRETCH * r.rest), r.y) for r in points])
+    found = valued if learn_from is None else values(unmarked, ratios)
+    result = 1 / (1 + F.exp(-(F.asinh(F.col("value") * STRETCH) * slope + offset)))
+    return found.select("doc_id", "tie", (F.coalesce(fold(F.col("doc_id")), F.lit(-1)) == HELD_OUT).alias("held_out"), result.alias("score"), (result >= 0.5).cast("int").alias("predicted"))
+
+
 def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", learn_from: DataFrame | None = None) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted), one for each row of docs, repeated ids included.
 
@@ -232,24 +385,9 @@ def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     score that goes with it. A null id is not held out. Without labels of both classes nothing is known:
     scores are all the share of toxic labels, or a half without labels. Other columns are not carried.
     """
-    own = lambda df: df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    learned = own(docs if learn_from is None else learn_from)
-    known = labels.filter(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    sample = checkpointed(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS))
-    part = F.array_position(F.array(*map(F.lit, LEARNED)), fold(F.col("doc_id"))) - 1
-    sample = sample.select("doc_id", "y", part.cast("int").alias("part")).withColumn("group", 2 * F.col("part") + F.col("y"))
-    words = word_values(learned, sample.select("doc_id", "group"), None if learn_from is None else own(docs))
-    marked = learned.join(F.broadcast(sample), "doc_id", "inner" if learn_from is not None else "left").select("doc_id", "y", "part", "text")
-    valued = checkpointed(values(marked, words))
-    points = valued.filter("y IS NOT NULL").select("rest", "y").collect()  # SAMPLE_ROWS points at most, but for repeated ids
-    slope, offset = logistic([(math.asinh(STRETCH * r.rest), r.y) for r in points])
-    # What is learned from is mostly what is scored, and then its words are looked up once.
-    scored = valued if learn_from is None else values(own(docs).select("doc_id", F.lit(None).cast("int").alias("part"), "text"), words)
-    result = 1 / (1 + F.exp(-(F.asinh(F.col("value") * STRETCH) * slope + offset)))
-    return scored.select("doc_id", (F.coalesce(fold(F.col("doc_id")), F.lit(-1)) == HELD_OUT).alias("held_out"), result.alias("score"), (result >= 0.5).cast("int").alias("predicted"))
+    return scored(docs, labels, id_column, text_column, learn_from).drop("tie")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without the rows predicted toxic. Rows of one id stand or fall together if any of them is toxic; null ids stay."""
-    toxic = score(docs, labels, id_column, text_column).filter("predicted = 1").select(F.col("doc_id").alias("_toxic_id")).distinct()
-    return docs.join(toxic, F.col(id_column) == F.col("_toxic_id"), "left_anti")
+    """docs without the rows predicted toxic. Each row stands or falls by its own text, whether its id is repeated, null or neither."""
+    return without(docs, scored(docs, labels, id_column, text_column).filter("predicted = 1"), id_column, text_column)

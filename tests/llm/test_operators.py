@@ -292,13 +292,17 @@ def test_toxicity(spark, docs, none):
     assert len(toxicity.score(docs, marked.limit(0)).collect()) == len(ROWS)
 
 
+def letters_of(text):
+    return re.findall(r"[^\W\d_]+", (text or "").lower())
+
+
 class BruteModels:
     """The interpolated Kneser-Ney models with plain dictionaries, of all n-grams."""
 
     def __init__(self, rows, labels):
         self.counts, self.pairs = ({}, {}), {}
         for i, text in rows:
-            for word in set(toxicity.words_of(text)):
+            for word in set(letters_of(text)):
                 line = toxicity.BEGIN + word + toxicity.END
                 for k in range(2, len(line) + 1):
                     self.pairs[line[k - 2 : k]] = self.pairs.get(line[k - 2 : k], 0) + 1
@@ -324,10 +328,10 @@ class BruteModels:
         return np.log1p(0.02 * np.expm1(min(ratio, 50.0)))
 
 
-@pytest.mark.parametrize("apart", [False, True])
-def test_toxicity_learns_from_all_grams(spark, monkeypatch, apart):
-    for name in ("MAX_GRAMS", "MAX_SHARED"):  # were caps of the models; nothing may be left out
-        monkeypatch.setattr(toxicity, name, 30, raising=False)
+@pytest.mark.parametrize(("apart", "most"), [(False, 1_000_000), (True, 1_000_000), (False, 0), (True, 0)])
+def test_toxicity_learns_from_all_grams(spark, monkeypatch, apart, most):
+    monkeypatch.setattr(toxicity, "MOST_GRAMS", most)  # broadcast n-grams, or joins
+    monkeypatch.setattr(toxicity, "ADDED_UP", 20)
     rng = np.random.default_rng(8)
     rows = [(i, " ".join("".join(rng.choice(list("abc中文字é"), int(n))) for n in rng.integers(1, 6, 12))) for i in range(60)] + [(60, None), (61, "12"), (5, "ab ab")]
     labels = {i: int(i % 3 == 0) for i in range(60) if zlib.crc32(str(i).encode()) % 5}
@@ -342,7 +346,7 @@ def test_toxicity_learns_from_all_grams(spark, monkeypatch, apart):
     whole = BruteModels(rows, labels)
 
     def value(models, text):
-        words = toxicity.words_of(text)
+        words = letters_of(text)
         return sum(map(models.word, words)) / len(words) if words else 0.0
 
     points = [(np.arcsinh(toxicity.STRETCH * value(rests[part[i]], t)), labels[i]) for i, t in rows if i in labels]
