@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import chain
 
 from pyspark.sql import Column, functions as F
@@ -85,23 +86,61 @@ WORDS = {
     "modulo": "ModulusOperator",
 }
 #: Lexemes whose tokens carry no raw value.
-BARE = ("OpenMultiReplace", "OpenPrint", "MultiReplaceElse", "CloseBrace", "OpenParenthesis", "CloseParenthesis", "BooleanLiteral")
+BARE = ("OpenMultiReplace", "OpenPrint", "OpenPrintCapitaliseFirst", "OpenPrintCapitaliseAll", "MultiReplaceElse", "CloseBrace", "OpenParenthesis", "CloseParenthesis", "BooleanLiteral")
 MISSING_SCENE = '{"error":"couldn\'t find scene"}\n'
 #: What counts as blank at the ends of prose; the same set in Java's and RE2's notation.
 BLANK_JAVA = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 BLANK_RE2 = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
-def _any(mode: str) -> str:
-    return "|".join(k[1:] for k, (_, m) in KEYWORDS.items() if m == mode and k[0] == "*")
+# What `intended` semantics adds to the keywords and lexemes, and names otherwise.
+INTENDED_KEYWORDS = {
+    "*else if": ("ElseIf", "X"),
+    "*else": ("Else", "X"),
+    "*return": ("Return", "X"),
+    "*ifid": ("GameIdentifier", "X"),
+}
+INTENDED_OPERATORS = {
+    "%-": "FairmathSubtractionOperator",
+    "$!{": "OpenPrintCapitaliseFirst",
+    "$!!{": "OpenPrintCapitaliseAll",
+}
+#: Keywords that only count at the end of a line, or before a space.
+TO_THE_END = ("*else", "*return")
+
+
+@dataclass(frozen=True)
+class Language:
+    """The tables and patterns of one semantics.
+
+    A line without its indentation is the concatenation of the matches of `segment`, leftmost first. An expression is
+    the concatenation of those of `lexeme`; the last alternative, any character, and spaces make no token.
+    """
+
+    keywords: dict[str, tuple[str, str]]
+    operators: dict[str, str]
+    segment: str
+    keyword: str
+    lexeme: str
+
+
+def language(semantics: str = "observed") -> Language:
+    """Observed, a keyword counts as soon as it is complete, so that shorter ones win; intended, longer ones do."""
+    if semantics not in ("observed", "intended"):
+        raise ValueError(f"no such semantics: {semantics}")
+    observed = semantics == "observed"
+    keywords = KEYWORDS if observed else dict(sorted((KEYWORDS | INTENDED_KEYWORDS).items(), key=lambda x: -len(x[0])))
+    shown = {k: k[1:] + (r"\z" if k in TO_THE_END else "") for k in keywords if k != "#"}
+    of_mode = lambda mode: "|".join(shown[k] for k, (_, m) in keywords.items() if m == mode and k in shown)
+    # Where one keyword begins another one, that of the other mode must not win: expressions and prose run as far, but comments and rests do not.
+    segment = rf"#(?s:.*)|\*(?:{of_mode('C')}|{of_mode('E')})(?s:.*)|\*(?:{of_mode('X')})[^*#]*|\*(?:{of_mode('P')})[^*#]*|\*(?s:.*)|[^*#]+"
+    print_forms = "" if observed else r"\$!!\{|\$!\{|"
+    lexeme = r"""[ \t]+|[0-9][0-9.]*|"(?:\\(?s:.)|[^"\\])*(?:"|\\?\z)|'(?:\\(?s:.)|[^'\\])*(?:'|\\?\z)|%\+|%-|>=|<=|!=|@\{|""" + print_forms + r"""\$\{|[-+*/%&=><|}()]|[A-Za-z_][A-Za-z0-9_]*|(?s:.)"""
+    return Language(keywords, OPERATORS if observed else OPERATORS | INTENDED_OPERATORS, segment, r"^(?:#|\*(?:" + "|".join(shown.values()) + "))", lexeme)
 
 
-#: A line without its indentation is the concatenation of these matches, leftmost first. Longer keywords of one mode
-#: that begin like shorter ones are never needed: a keyword counts as soon as it is complete.
-SEGMENT = rf"#(?s:.*)|\*(?:{_any('C')}|{_any('E')})(?s:.*)|\*(?:{_any('X')})[^*#]*|\*(?:{_any('P')})[^*#]*|\*(?s:.*)|[^*#]+"
-KEYWORD = r"^(?:#|\*(?:" + "|".join(k[1:] for k in KEYWORDS if k != "#") + "))"
-#: An expression is the concatenation of these; the last one, any character, and spaces make no token.
-LEXEME = r"""[ \t]+|[0-9][0-9.]*|"(?:\\(?s:.)|[^"\\])*(?:"|\\?\z)|'(?:\\(?s:.)|[^'\\])*(?:'|\\?\z)|%\+|%-|>=|<=|!=|@\{|\$\{|[-+*/%&=><|}()]|[A-Za-z_][A-Za-z0-9_]*|(?s:.)"""
+OBSERVED = language()
+SEGMENT, KEYWORD, LEXEME = OBSERVED.segment, OBSERVED.keyword, OBSERVED.lexeme
 CLOSED = r"""^(?:"(?:\\(?s:.)|[^"\\])*"|'(?:\\(?s:.)|[^'\\])*')\z"""
 
 

@@ -1,16 +1,17 @@
 """The scanner: scenes to tokens, with DataFrame functions only.
 
 Everything but prose is a function of one line. A line, without its indentation, is cut into segments by one
-regular expression that tiles it; a segment is a command with what belongs to it, or prose. Prose runs on
-over lines until the next command: blocks are islands between commands, numbered by a running count. So the
-only shuffle is by scene, for that count and for the tokens' numbers.
+regular expression that tiles it; a segment is a command with what belongs to it, or prose. Segments are cut into
+atoms: a keyword, a lexeme, a stretch of text, a line's end. Positions are running sums of their lengths. Prose
+runs on over lines until the next command: blocks are islands between commands, numbered by a running count. So the
+scenes are read once, and the only shuffle is that of atoms by scene, for those sums and the tokens' numbers.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.script import BARE, CLOSED, KEYWORD, KEYWORDS, LEXEME, OPERATORS, SEGMENT, WORDS, is_blank, lookup
+from ..functions.script import BARE, CLOSED, WORDS, is_blank, language, lookup
 
 TOKEN = T.StructType([
     T.StructField("scene_name", T.StringType()),
@@ -28,10 +29,7 @@ TOKEN = T.StructType([
     T.StructField("has_multi_replace", T.BooleanType()),
 ])
 VALUES = TOKEN.fieldNames()[6:]
-#: Where a token stands among those of its scene.
-ORDER = ("line_number", "segment", "part", "lexeme")
-
-
+_ARRAY = T.ArrayType(T.StructType([f for f in TOKEN if f.name not in ("scene_name", "token_idx")]))
 def lines(scenes: DataFrame, semantics: str = "observed") -> DataFrame:
     """Rows (scene_name, line_number, line, n_lines, tabs, spaces, indent, start).
 
@@ -48,118 +46,132 @@ def lines(scenes: DataFrame, semantics: str = "observed") -> DataFrame:
     return found.select("scene_name", "line_number", "line", "n_lines", "tabs", "spaces", (F.col("tabs") + F.col("spaces") * 0.5).alias("indent"), "start")
 
 
-def segments(found: DataFrame) -> DataFrame:
-    """From lines, rows with segment (its number), position, text, command, keyword, type, mode and after (what follows the keyword)."""
-    cut = found.withColumn("all", F.regexp_extract_all(F.expr("substring(line, start + 1)"), F.lit(SEGMENT), F.lit(0)))
-    placed = F.transform("all", lambda x, i: F.struct(x.alias("text"), (F.col("start") + F.length(F.array_join(F.slice("all", F.lit(1), i), ""))).alias("position")))
-    cut = cut.select("scene_name", "line_number", "line", "indent", F.posexplode(placed).alias("segment", "x"))
-    cut = cut.select("scene_name", "line_number", "line", "indent", "segment", "x.position", "x.text", F.regexp_like("x.text", F.lit(r"^[*#]")).alias("command"))
-    cut = cut.withColumn("keyword", F.when(F.col("command"), F.nullif(F.regexp_extract("text", KEYWORD, 0), F.lit(""))))
-    return cut.withColumns({
-        "type": lookup({k: t for k, (t, _) in KEYWORDS.items()}, F.col("keyword")),
-        "mode": lookup({k: m for k, (_, m) in KEYWORDS.items()}, F.col("keyword")),
+def cut(found: DataFrame, semantics: str = "observed", ends: bool = False) -> DataFrame:
+    """From lines, a row for each segment: its number, text, command, keyword, type, mode and after (what follows the keyword).
+
+    With ends, each line has one more segment, a line feed, which no line holds.
+    """
+    own = language(semantics)
+    pieces = F.regexp_extract_all(F.expr("substring(line, start + 1)"), F.lit(own.segment), F.lit(0))
+    placed = found.select("*", F.posexplode(F.concat(pieces, F.array(F.lit("\n"))) if ends else pieces).alias("segment", "text"))
+    placed = placed.withColumn("command", F.substring("text", 1, 1).isin("*", "#"))
+    placed = placed.withColumn("keyword", F.when(F.col("command"), F.nullif(F.regexp_extract("text", own.keyword, 0), F.lit(""))))
+    return placed.withColumns({
+        "type": F.when(F.col("command"), lookup({k: t for k, (t, _) in own.keywords.items()}, F.col("keyword"))),
+        "mode": F.when(F.col("command"), lookup({k: m for k, (_, m) in own.keywords.items()}, F.col("keyword"))),
         "after": F.expr("substring(text, length(keyword) + 1)"),
     })
 
 
-def _token(**values: Column) -> list[Column]:
-    return [values[c].alias(c) if c in values else F.lit(None).cast(TOKEN[c].dataType).alias(c) for c in VALUES]
-
-
-def command_tokens(cut: DataFrame) -> DataFrame:
-    after = F.col("after")
-    option = (F.col("mode") == "O") & (after != "")
-    comment = F.when((F.col("mode") == "C") & (after != ""), F.expr("substring(after, 2)"))
-    values = _token(value_str=comment, raw_text=F.when(option, after), has_multi_replace=F.when(option, F.contains(after, F.lit("@{"))))
-    return cut.filter("type is not null").select("scene_name", "type", "line_number", "position", "indent", *values, "segment", F.lit(1).alias("part"), F.lit(0).alias("lexeme"))
-
-
-def rest_tokens(cut: DataFrame) -> DataFrame:
-    """Prose that a command takes to the end of its line."""
-    found = cut.filter("mode = 'E' and after <> ''")
-    return found.select("scene_name", F.lit("Prose").alias("type"), "line_number", (F.col("position") + F.length("keyword")).alias("position"), "indent", *_token(content=F.col("after")), "segment", F.lit(2).alias("part"), F.lit(0).alias("lexeme"))
-
-
-def lexemes(cut: DataFrame) -> DataFrame:
-    """All lexemes of expressions, those that make no token too: rows with lexeme (its number), at (its position) and lex."""
-    found = cut.filter("mode = 'X' and after <> ''").withColumn("all", F.regexp_extract_all("after", F.lit(LEXEME), F.lit(0)))
-    placed = F.transform("all", lambda x, i: F.struct(x.alias("lex"), F.length(F.array_join(F.slice("all", F.lit(1), i), "")).alias("at")))
-    found = found.select("scene_name", "line_number", "indent", "segment", (F.col("position") + F.length("keyword")).alias("base"), F.posexplode(placed).alias("lexeme", "x"))
-    return found.select("scene_name", "line_number", "indent", "segment", "lexeme", (F.col("base") + F.col("x.at")).alias("position"), F.col("x.lex").alias("lex"))
+def segments(found: DataFrame, semantics: str = "observed") -> DataFrame:
+    """From lines, rows with segment (its number), position, text, command, keyword, type, mode and after (what follows the keyword).
 
+    A row follows from its line alone, so this goes for streams too. Each segment is counted once.
+    """
+    pieces = F.regexp_extract_all(F.expr("substring(line, start + 1)"), F.lit(language(semantics).segment), F.lit(0))
+    ends = F.aggregate(pieces, F.array(F.col("start")), lambda got, x: F.array_append(got, F.element_at(got, -1) + F.length(x)))
+    placed = cut(found.withColumn("starts", ends), semantics)
+    return placed.select("scene_name", "line_number", "line", "indent", "segment", F.get("starts", F.col("segment")).alias("position"), "text", "command", "keyword", "type", "mode", "after")
 
-def expression_tokens(cut: DataFrame, semantics: str = "observed") -> DataFrame:
-    lex, first = F.col("lex"), F.substring("lex", 1, 1)
-    operators = dict(OPERATORS) | ({"%-": "FairmathSubtractionOperator"} if semantics == "intended" else {})
-    kind = F.when(F.regexp_like(lex, F.lit("^[0-9]")), "NumberLiteral").when(first.isin('"', "'"), "StringLiteral")
-    kind = kind.when(F.regexp_like(lex, F.lit("^[A-Za-z_]")), F.coalesce(lookup(WORDS, lex), F.lit("Identifier"))).otherwise(lookup(operators, lex))
-    found = lexemes(cut).withColumn("type", kind).filter("type is not null")
-    text, literal = F.col("type").isin("StringLiteral", "Identifier"), F.col("type") == "NumberLiteral"
-    inner = F.when(F.regexp_like(lex, F.lit(CLOSED)), F.expr("substring(lex, 2, length(lex) - 2)")).otherwise(F.expr("substring(lex, 2)"))
-    string = F.regexp_replace(inner, r"\\((?s:.))", "$1")
-    values = _token(
-        value_str=F.when(F.col("type") == "Identifier", lex).when(F.col("type") == "StringLiteral", string),
-        value_num=F.when(literal, F.regexp_extract(lex, r"^[0-9]+(?:\.[0-9]*)?", 0).cast("double")),
-        value_bool=F.when(F.col("type") == "BooleanLiteral", lex == "true"),
-        raw_value=F.when(~text & ~literal & ~F.col("type").isin(*BARE), lex),
-    )
-    return found.select("scene_name", "type", "line_number", "position", "indent", *values, "segment", F.lit(2).alias("part"), "lexeme")
 
+def atoms(found: DataFrame, semantics: str = "observed") -> DataFrame:
+    """From lines, rows (scene_name, line_number, segment, part, position, indent, n_lines, kind, type, mode, text).
 
-def prose_events(found: DataFrame, cut: DataFrame, semantics: str = "observed") -> DataFrame:
-    """What happens to the prose block, in order: text is appended, a line ends, or a command flushes the block."""
+    kind is C for a command, with what follows an option or a comment as its text, L for a lexeme, R for prose that a
+    command takes to the end of its line, T for other text, and N for a line's end. The text of T is what the line adds to
+    the prose block: observed, the whole line if it holds no command, and even more if it begins with tabs.
+    """
     plain = ~F.regexp_like("line", F.lit("[*#]"))
     doubled = F.expr("concat(substring(line, start + 1, tabs), line)")
     whole = F.when((F.col("tabs") == 0) | F.lit(semantics == "intended"), F.col("line")).when(F.length("line") > 2 * F.col("tabs") + F.col("spaces"), doubled).otherwise(F.expr("substring(line, start + 1)"))
-    events = lambda df, segment, kind, position, text: df.select("scene_name", "line_number", segment.alias("segment"), F.lit(kind).alias("kind"), position.alias("position"), "indent", text.alias("text"))
-    nothing, no_text = F.lit(None).cast("int"), F.lit(None).cast("string")
-    lines_of = events(found.filter(plain & (F.length("line") > F.col("start"))), F.lit(0), 1, F.col("start"), whole)
-    ends = events(found, F.lit(1 << 30), 2, nothing, no_text)
-    flushes = events(cut.filter("command"), F.col("segment"), 0, nothing, no_text)
-    leading = events(cut.filter(~plain & ~F.col("command")), F.col("segment"), 1, F.col("position"), F.col("text"))
-    tails = events(cut.filter("mode = 'P' and after <> ''"), F.col("segment"), 1, F.col("position") + F.length("keyword"), F.col("after"))
-    return lines_of.unionByName(ends).unionByName(flushes).unionByName(leading).unionByName(tails)
-
-
-def prose_tokens(found: DataFrame, cut: DataFrame, semantics: str = "observed") -> DataFrame:
-    """Prose blocks that a command ends, if not blank. Observed, what stands after the last command is dropped."""
-    in_order = Window.partitionBy("scene_name").orderBy("line_number", "segment", "kind")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    events = prose_events(found, cut, semantics)
-    events = events.withColumn("island", F.coalesce(F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(before), F.lit(0)))
-    inside = Window.partitionBy("scene_name", "island").orderBy("line_number", "segment", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    events = events.withColumn("begun", F.max(F.when(F.col("kind") == 1, ~is_blank(F.col("text")))).over(inside))
-    piece = F.when(F.col("kind") == 1, F.col("text")).when((F.col("kind") == 2) & F.col("begun"), F.lit("\n"))
-    at = F.struct("line_number", "segment", "kind")
-    blocks = events.groupBy("scene_name", "island").agg(
-        F.array_sort(F.collect_list(F.when(piece.isNotNull(), F.struct(at.alias("at"), piece.alias("piece"))))).alias("pieces"),
-        F.min(F.when(F.col("kind") == 1, F.struct("line_number", "segment", "position", "indent"))).alias("start"),
-        F.max(F.when(F.col("kind") == 0, F.struct("line_number", "segment"))).alias("flush"),
-    )
-    content = F.array_join(F.transform("pieces", lambda x: x["piece"]), "")
-    blocks = blocks.withColumn("content", content).filter(~is_blank(F.col("content")))
-    if semantics == "observed":
-        blocks = blocks.filter("flush is not null")
-    flush = F.coalesce("flush", F.struct(F.lit((1 << 31) - 1).alias("line_number"), F.lit(0).alias("segment")))
-    return blocks.select("scene_name", F.lit("Prose").alias("type"), "start.line_number", "start.position", "start.indent", *_token(content=F.col("content")), flush["line_number"].alias("flush_line"), flush["segment"].alias("segment"))
-
-
-def structural_tokens(found: DataFrame) -> DataFrame:
-    """Each scene's SceneStart and SceneEnd."""
-    ends = found.filter("line_number = 0").select("scene_name", F.explode(F.array(F.struct(F.lit("SceneStart").alias("type"), F.lit(0).alias("line_number")), F.struct(F.lit("SceneEnd").alias("type"), F.col("n_lines").alias("line_number")))).alias("x"))
-    return ends.select("scene_name", "x.type", "x.line_number", F.lit(0).alias("position"), F.lit(0.0).alias("indent"), *_token())
+    found = found.withColumn("whole", F.when(plain, whole))
+    placed = cut(found, semantics, ends=True)
+    rest = F.when(F.col("after") != "", F.array("keyword", "after")).otherwise(F.array("keyword"))
+    parts = F.when(F.col("mode") == "X", F.concat(F.array("keyword"), F.regexp_extract_all("after", F.lit(language(semantics).lexeme), F.lit(0)))).when(F.col("keyword").isNotNull(), rest).otherwise(F.array("text"))
+    kept = ["scene_name", "line_number", "segment", "start", "indent", "n_lines", "type", "mode"]
+    placed = placed.select(*kept, "command", "whole", F.when(F.col("mode").isin("C", "O"), F.col("after")).alias("after"), F.posexplode(parts).alias("part", "atom"))
+    kind = F.when(F.col("command") & (F.col("part") == 0), "C").when(F.col("mode") == "X", "L").when(F.col("mode") == "E", "R").when(F.col("mode") == "P", "T").when(F.col("command"), "-").when(F.col("atom") == "\n", "N").otherwise("T")
+    placed = placed.filter(kind != "-").select(*kept, "part", F.length("atom").alias("width"), kind.alias("kind"), F.when(kind == "C", F.nullif(F.col("after"), F.lit(""))).when(kind == "N", None).when((kind == "T") & F.col("whole").isNotNull(), F.col("whole")).otherwise(F.col("atom")).alias("text"))
+    line = Window.partitionBy("scene_name", "line_number").orderBy("segment", "part").rowsBetween(Window.unboundedPreceding, 0)
+    position = F.col("start") + F.sum("width").over(line) - F.col("width")
+    # By scene alone, as the windows to come need it; those by line are then inside a partition too.
+    return placed.repartition("scene_name").select("scene_name", "line_number", "segment", "part", position.cast("int").alias("position"), "indent", "n_lines", "kind", "type", "mode", "text")
+
+
+def _values(found: DataFrame, semantics: str) -> DataFrame:
+    """Atoms with the type and the values of the token that each is, in the columns of TOKEN; type is null for those that are none."""
+    lex, first = F.col("text"), F.substring("text", 1, 1)
+    kind = F.when(first.isin('"', "'"), "StringLiteral").when(F.regexp_like(lex, F.lit("^[0-9]")), "NumberLiteral")
+    kind = kind.when(F.regexp_like(lex, F.lit("^[A-Za-z_]")), F.coalesce(lookup(WORDS, lex), F.lit("Identifier"))).otherwise(lookup(language(semantics).operators, lex))
+    of = F.col("kind")
+    found = found.withColumn("token", F.when(of == "C", F.col("type")).when(of == "R", "Prose").when(of == "L", kind))
+    inner = F.when(F.regexp_like(lex, F.lit(CLOSED)), F.expr("substring(text, 2, length(text) - 2)")).otherwise(F.expr("substring(text, 2)"))
+    token, option = F.col("token"), (of == "C") & (F.col("mode") == "O")
+    values = {
+        "content": F.when(of == "R", lex),
+        "value_str": F.when((of == "C") & (F.col("mode") == "C"), F.expr("substring(text, 2)")).when(token == "Identifier", lex).when(token == "StringLiteral", F.regexp_replace(inner, r"\\((?s:.))", "$1")),
+        "value_num": F.when(token == "NumberLiteral", F.regexp_extract(lex, r"^[0-9]+(?:\.[0-9]*)?", 0).cast("double")),
+        "value_bool": F.when(token == "BooleanLiteral", lex == "true"),
+        "raw_value": F.when((of == "L") & ~token.isin("Identifier", "StringLiteral", "NumberLiteral", *BARE), lex),
+        "raw_text": F.when(option, lex),
+        "has_multi_replace": F.when(option & lex.isNotNull(), F.contains(lex, F.lit("@{"))),
+    }
+    return found.select("*", *[v.alias(c) for c, v in values.items()])
+
+
+def blocks(found: DataFrame, semantics: str = "observed") -> DataFrame:
+    """From atoms, rows (scene_name, island, tokens, begins, ends, n_lines, flushed, pieces): what stands from one command to the next.
+
+    tokens are those of the command and its expression, pieces the texts and line ends after it. flushed is whether a command follows;
+    begins and ends, whether the island is its scene's first or last.
+    """
+    in_order = Window.partitionBy("scene_name").orderBy("line_number", "segment", "part")
+    island = F.sum(F.when(F.col("kind") == "C", 1).otherwise(0)).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = _values(found, semantics).withColumn("island", island)
+    last = (F.col("kind") == "N") & (F.col("line_number") == F.col("n_lines") - 1)
+    first = (F.col("line_number") == 0) & (F.col("segment") == 0) & (F.col("part") == 0)
+    at = [F.col(c) for c in ("line_number", "segment", "part")]
+    token = F.struct(*at, F.col("token").alias("type"), "position", "indent", *VALUES)
+    piece = F.struct(*at, "position", "indent", "text")
+    return placed.groupBy("scene_name", "island").agg(
+        F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), token))).alias("tokens"),
+        F.array_sort(F.collect_list(F.when(F.col("kind").isin("T", "N"), piece))).alias("pieces"),
+        F.max(first).alias("begins"), F.max(last).alias("ends"), F.max("n_lines").alias("n_lines"),
+    )
+
+
+def prose(found: DataFrame) -> DataFrame:
+    """blocks with content, their prose, null if that is blank, and start, where its first text stands.
+
+    A line's end counts only after text that is not blank.
+    """
+    is_text = lambda x: x["text"].isNotNull()
+    started = F.array_position(F.transform("pieces", lambda x: is_text(x) & ~is_blank(x["text"])), F.lit(True))
+    content = F.array_join(F.transform("pieces", lambda x, i: F.when(is_text(x), x["text"]).when((F.col("started") > 0) & (i >= F.col("started")), "\n").otherwise("")), "")
+    found = found.withColumn("started", started)
+    return found.withColumn("content", F.when(F.col("started") > 0, content)).withColumn("start", F.get(F.filter("pieces", is_text), F.lit(0))).drop("pieces", "started")
+
+
+def prose_tails(scenes: DataFrame, semantics: str = "observed") -> DataFrame:
+    """Rows (scene_name, content): the prose after each scene's last command, which observed semantics drops."""
+    return prose(blocks(atoms(lines(scenes, semantics), semantics), semantics)).filter("ends and content is not null").select("scene_name", "content")
 
 
 def scan(scenes: DataFrame, semantics: str = "observed") -> DataFrame:
-    """All tokens of all scenes, in the columns of TOKEN. semantics is `observed` or `intended`."""
-    found = lines(scenes, semantics)
-    cut = segments(found)
-    line = F.col("line_number").alias("at_line")
-    placed = [df.select("*", line) for df in (command_tokens(cut), rest_tokens(cut), expression_tokens(cut, semantics))]
-    prose = prose_tokens(found, cut, semantics).withColumnRenamed("flush_line", "at_line").withColumns({"part": F.lit(0), "lexeme": F.lit(0)})
-    ends = structural_tokens(found).withColumns({"at_line": F.when(F.col("type") == "SceneStart", -1).otherwise((1 << 31) - 1), "segment": F.when(F.col("type") == "SceneStart", 0).otherwise(1), "part": F.lit(0), "lexeme": F.lit(0)})
-    together = placed[0]
-    for more in (*placed[1:], prose, ends):
-        together = together.unionByName(more)
-    number = F.row_number().over(Window.partitionBy("scene_name").orderBy("at_line", "segment", "part", "lexeme")) - 1
-    return together.select("scene_name", number.cast("int").alias("token_idx"), "type", "line_number", "position", "indent", *VALUES)
+    """All tokens of all scenes, in the columns of TOKEN. semantics is `observed` or `intended`.
+
+    Scenes of null content have no tokens, not even those of their start and end. Scenes need names of their own: see with_own_names().
+    """
+    found = prose(blocks(atoms(lines(scenes, semantics), semantics), semantics))
+    nothing = [F.lit(None).cast(TOKEN[c].dataType).alias(c) for c in VALUES]
+    row = lambda kind, line, position, indent, values: F.struct(F.lit(kind).alias("type"), line.cast("int").alias("line_number"), position.cast("int").alias("position"), indent.alias("indent"), *values)
+    start = row("SceneStart", F.lit(0), F.lit(0), F.lit(0.0), nothing)
+    end = row("SceneEnd", F.col("n_lines"), F.lit(0), F.lit(0.0), nothing)
+    block = row("Prose", F.col("start.line_number"), F.col("start.position"), F.col("start.indent"), [F.col("content"), *nothing[1:]])
+    own = F.transform("tokens", lambda x: F.struct(*[x[c].alias(c) for c in ("type", "line_number", "position", "indent", *VALUES)]))
+    emitted = F.col("content").isNotNull() & (F.lit(semantics == "intended") | ~F.col("ends"))
+    only = lambda when, what: F.when(when, F.array(what)).otherwise(F.array().cast(_ARRAY))
+    every = F.concat(only(F.col("begins"), start), own, only(emitted, block), only(F.col("ends"), end))
+    told = found.select("scene_name", "island", F.posexplode(every).alias("at", "x"))
+    number = F.row_number().over(Window.partitionBy("scene_name").orderBy("island", "at")) - 1
+    return told.select("scene_name", number.cast("int").alias("token_idx"), *[F.col(f"x.{c}").alias(c) for c in ("type", "line_number", "position", "indent", *VALUES)])

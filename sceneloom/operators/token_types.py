@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.script import KEYWORDS, OPERATORS, STRUCTURAL, WORDS
 from .statements import INNER, STATEMENTS
@@ -15,17 +15,56 @@ def token_types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t, origin, mode, t in (*STATEMENTS, *INNER)) for t, (origin, mode) in sorted(rows.items())], "type string, origin string, mode string, parsed boolean")
 
 
+def _statements(content: Column) -> Column:
+    """The statements of a source text, without the blanks around them: what stands between semicolons or ends of lines."""
+    return F.filter(F.transform(F.split(content, "[;\n]"), lambda x: F.regexp_replace(F.trim(F.translate(x, "\t\r", "  ")), " +", " ")), lambda x: x != "")
+
+
+def _quoted(text: Column) -> Column:
+    """What stands in the first quotes of a text, null without any."""
+    return F.get(F.split(F.translate(text, '"`', "''"), "'"), F.lit(1))
+
+
 def exported_modules(sources: DataFrame) -> DataFrame:
     """From rows (path, content), rows (path, module): what each file exports from elsewhere."""
-    return sources.select("path", F.explode(F.regexp_extract_all("content", F.lit(r"""export\s*\*\s*from\s*['"]([^'"]+)['"]"""), F.lit(1))).alias("module"))
+    of = F.filter(_statements(F.col("content")), lambda x: F.replace(x, F.lit(" "), F.lit("")).startswith("export*from"))
+    return sources.select("path", F.explode(F.transform(of, _quoted)).alias("module")).filter("module is not null")
+
+
+def reachable_files(sources: DataFrame, root: str) -> DataFrame:
+    """Rows (path, depth): the files that root exports from, directly or through others, each once; cycles end where they began.
+
+    A module of a file at a/b.ts is a/<module>.ts, or a/<module>/index.ts where there is no such file. Modules without a file are left
+    out. Files named *token.ts export nothing further. One join for each step away from root.
+    """
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    target = F.concat(folder, F.regexp_replace("module", r"^\./", ""))
+    edges = exported_modules(sources.filter(~F.lower("path").endswith("token.ts"))).select("path", target.alias("target"))
+    files = sources.select(F.col("path").alias("file")).distinct()
+    either = edges.join(files, F.col("file").isin(F.concat("target", F.lit(".ts")), F.concat("target", F.lit("/index.ts"))))
+    edges = either.groupBy("path", "target").agg(F.min_by("file", F.col("file") != F.concat("target", F.lit(".ts"))).alias("next")).select("path", "next").distinct()
+    found = sources.filter(F.col("path") == root).select("path", F.lit(0).alias("depth")).distinct()
+    depth = 0
+    while True:
+        depth += 1
+        step = found.filter(F.col("depth") == depth - 1).join(edges, "path").select(F.col("next").alias("path")).distinct().join(found, "path", "left_anti")
+        step = step.withColumn("depth", F.lit(depth))
+        if step.isEmpty():
+            return found
+        found = found.unionByName(step)
 
 
 def declared_types(sources: DataFrame) -> DataFrame:
-    """Rows (name, type): the token interfaces, one of each name (of the first path), with their first type literal; null without one."""
-    body = r"interface\s+(\w+Token)\s+extends\s+Token\s*\{([^}]*)\}"
-    found = sources.select("path", F.explode(F.arrays_zip(F.regexp_extract_all("content", F.lit(body), F.lit(1)).alias("name"), F.regexp_extract_all("content", F.lit(body), F.lit(2)).alias("body"))).alias("x"))
-    kind = F.nullif(F.regexp_extract("x.body", r"""type\s*:\s*['"]([^'"]+)['"]""", 1), F.lit(""))
-    return found.select("path", F.col("x.name").alias("name"), kind.alias("type")).groupBy("name").agg(F.min_by(F.struct("type"), "path").alias("first")).select("name", "first.type").orderBy(F.lower("name"), "name")
+    """Rows (name, type): the token interfaces, one of each name (of the first path), with their first type literal; null without one.
+
+    A text is cut at the word interface; what stands before the first brace is the head, up to the next closing one the members.
+    """
+    pieces = F.slice(F.split("content", r"\binterface\b"), F.lit(2), F.lit(1 << 30))
+    found = sources.select("path", F.explode(pieces).alias("piece")).select("path", F.split(F.trim(F.substring_index("piece", "{", 1)), r"\s+").alias("head"), F.substring_index(F.expr("substring(piece, locate('{', piece) + 1)"), "}", 1).alias("body"))
+    found = found.filter((F.get("head", F.lit(1)) == "extends") & (F.get("head", F.lit(2)) == "Token") & F.get("head", F.lit(0)).endswith("Token"))
+    member = F.get(F.filter(F.split("body", "[;,\n]"), lambda x: (F.trim(F.substring_index(x, ":", 1)) == "type") & (F.locate(":", x) > 0)), F.lit(0))
+    named = found.select("path", F.get("head", F.lit(0)).alias("name"), _quoted(member).alias("type"))
+    return named.groupBy("name").agg(F.min_by(F.struct("type"), "path").alias("first")).select("name", "first.type").orderBy(F.lower("name"), "name")
 
 
 def union_text(types: DataFrame) -> DataFrame:

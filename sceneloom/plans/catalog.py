@@ -10,43 +10,65 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.script import BARE, BLANK_RE2, CLOSED, KEYWORD, KEYWORDS, LEXEME, OPERATORS, SEGMENT, WORDS
+from ..functions.script import BARE, BLANK_RE2, CLOSED, KEYWORDS, OPERATORS, SEGMENT, WORDS, language
 from ..operators import scanner, statements, token_types
-from ..sources import scenes as sources
+from ..sources import scenes as sources, token_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # ---- scripts ----------------------------------------------------------------------------------------------
 
-#: The line of an event: the first rule that holds. Each line has the event's number and one number of its properties.
+#: The line of an odd event: the first rule that holds. <event> is its number, <k> a number of its properties, <k7> that modulo 7.
 RULES = [
-    ("event_id % 11 = 0", "concat('*comment note ', {event})"),
-    ("event_id % 13 = 0", "'*choice'"),
-    ("event_id % 17 = 0", "concat('    #Option ', {k}, ' @{{flag a|b}}')"),
-    ("event_id % 19 = 0", "concat('*label lbl_', {k})"),
-    ("event_id % 23 = 0", "concat('*page_break Next ', {k})"),
-    ("event_id % 29 = 0", "concat('*gosub_scene user_', {k7})"),
-    ("event_id % 31 = 0", "concat('*unknown ', {k})"),
-    ("event_id % 37 = 0", "concat('{tab}Tabbed prose ', {k})"),
-    ("event_type = 'view'", "concat('You saw item ', {k}, '.')"),
-    ("event_type = 'click'", "concat('*goto_scene user_', {k7}, ' lbl_', {k})"),
-    ("event_type = 'signup'", "concat('*create v_', {k}, ' ', {k})"),
-    ("event_type = 'purchase'", "concat('*set v_', {k}, ' %+ ', {k})"),
+    ("event_id % 11 = 0", "*comment note <event>"),
+    ("event_id % 13 = 0", "*choice"),
+    ("event_id % 17 = 0", "    #Option <k> @{flag a|b}"),
+    ("event_id % 19 = 0", "*label lbl_<k>"),
+    ("event_id % 23 = 0", "*page_break Next <k>"),
+    ("event_id % 29 = 0", "*gosub_scene user_<k7>"),
+    ("event_id % 31 = 0", "*unknown <k>"),
+    ("event_id % 37 = 0", "\tTabbed prose <k>"),
+    ("event_type = 'view'", "You saw item <k>."),
+    ("event_type = 'click'", "*goto_scene user_<k7> lbl_<k>"),
+    ("event_type = 'signup'", "*create v_<k> <k>"),
+    ("event_type = 'purchase'", "*set v_<k> %+ <k>"),
 ]
-OTHERWISE = "concat('  *if (v_', {k}, ' >= ', {k}, ') and not (done)')"
+OTHERWISE = "  *if (v_<k> >= <k>) and not (done)"
+#: The lines of even events, in turn, indented by two spaces up to three times: every keyword, every lexeme, and their edges.
+LINES = [
+    "*choice", "#Take it <k>", "Text of a body <k>", "*if (v_<k> > 3) #Maybe @{v_<k> one|two}", "*else ", "Otherwise <k>", "*elseif (v_<k> < 2)", "Then <k>", "*else ", "Last <k>", "*if v_<k>", "Yes <k>", "*elsif v_<k> != 3",
+    "*hide_reuse #Hidden <k>", "*disable_reuse #Once <k>", "*allow_reuse #Again <k>", "*hide_reuse *if (v_<k> > 3) #Maybe <k>", "*allow_reuse *disable_reuse *hide_reuse *selectable_if (v_<k> <= 2) #Both", "*selectable_if (v_<k> >= 1) #Select <k>", "*hide_reuse Not an option",
+    "*gosub lbl_<k>", "*gosub lbl_<k> extra", "*gosub_scene user_1 lbl_<k> x", "*return ", "*return", "*goto lbl_<k>", "*goto lbl_<k> then", "*goto_scene", "*goto_random_scene", "*else", "*else if (v_<k> = 1)", "*ifid 12-<k>",
+    "*temp t_<k> \"a\\\"b<k>\"", "*temp t_<k>", "*create", "*create 5", "*create c_<k>", "*set", "*label", "*fake_choice", "*finish The end <k>", "*finish", "*ending", "*ending Well <k>", "*stat_chart", "*line_break Then <k>", "*link https://example.org/<k>",
+    "*scene_list", "*achievement a_<k> hidden 10", "*image pic_<k>.png", "*input_number n_<k> 1 10", "*input_text name_<k>", "*input_text 5", "*author A. Writer <k>", "*save_checkpoint", "*restore_checkpoint", "*delete v_<k>", "*rand r_<k> 1 6", "*random_<k>", "*comment", "*comment  two <k>", "*page_break", "#",
+    "*set v_<k> v_<k> - 1 + 2", "*set v_<k> a-b-c", "*set v_<k> (4 / 2) % 3", "*set v_<k> 3*4", "*set s_<k> 'single quoted'", "*set s_<k> \"open", "*set v_<k> \"a\" & \"b\"", "*set v_<k> %- 10", "*set v_<k> round(2.5) modulo 2", "*set v_<k> length(\"abc\")",
+    "*set b_<k> true and (false or not b)", "*set v_<k> <k>.25.5", "*set v_<k> .5", "*set v_<k> ${name} @{flag yes|no}", "*set v_<k> $!{name} $!!{name}", "*set v_<k> {x} [y], é ~ ! _z9", "*set v_<k> a = 1", "*set v_<k> (a", "*set v_<k> )", "*if not (v_<k>)", "*set x-<k>", "*settings on",
+    "Stars 5 * <k> here", "Tail # option <k>", "\t\tTwo tabs <k>", " \t Mixed <k>", "   ", "", "Text with CR <k>\r", "*set cr_<k> 1\r", " ", "Mail a@b.c <k>",
+]
+
 
+def _even_line() -> str:
+    return f"CAST(floor(event_id / 2) AS INT) % {len(LINES)}"
 
-def _line(text: str) -> str:
-    cases = " ".join(f"WHEN {when} THEN {then}" for when, then in RULES)
-    fields = {"event": f"CAST(event_id AS {text})", "k": f"CAST(k AS {text})", "k7": f"CAST(k % 7 AS {text})", "tab": "\t"}
-    return f"CASE {cases} ELSE {OTHERWISE} END".format(**fields)
+
+def _script_line() -> F.Column:
+    """The line of an event, from event_id, event_type and k."""
+    odd = F.lit(OTHERWISE)
+    for when, template in reversed(RULES):
+        odd = F.when(F.expr(when), template).otherwise(odd)
+    number = F.expr(_even_line())
+    even = F.concat(F.repeat(F.lit("  "), F.expr("CAST(floor(event_id / 14) % 4 AS INT)")), F.get(F.array(*map(F.lit, LINES)), number))
+    line = F.when(F.col("event_id") % 2 == 1, odd).otherwise(even)
+    for mark, value in (("<event>", F.col("event_id")), ("<k7>", F.col("k") % 7), ("<k>", F.col("k"))):
+        line = F.replace(line, F.lit(mark), value.cast("string"))
+    return line
 
 
 def script_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scene for each user, of one line an event."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     found = events.select("event_id", "user_id", "event_type", F.regexp_extract("props", '"k": ([0-9]+)', 1).cast("long").alias("k"))
-    found = found.select("user_id", "event_id", F.expr(_line("STRING")).alias("line"))
+    found = found.select("user_id", "event_id", _script_line().alias("line"))
     ordered = F.array_sort(F.collect_list(F.struct("event_id", "line")))
     found = found.groupBy("user_id").agg(ordered.alias("lines"))
     return found.select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("scene_name"), F.lit(None).cast("string").alias("source_url"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("content"))
@@ -68,36 +90,47 @@ def _table(values: dict[str, str], key: str) -> str:
     return f"CASE {key} " + " ".join(f"WHEN {_text(k)} THEN {_text(v)}" for k, v in values.items()) + " END"
 
 
+_ODD = "CASE " + " ".join(f"WHEN {when} THEN {_text(line)}" for when, line in RULES) + f" ELSE {_text(OTHERWISE)} END"
+_EVEN = f"repeat('  ', CAST(floor(event_id / 14) % 4 AS INT)) || list_extract([{', '.join(map(_text, LINES))}], {_even_line()} + 1)"
 SCRIPT_SQL = f"""scenes AS (
   SELECT 'user_' || CAST(user_id AS VARCHAR) AS scene_name, string_agg(line, chr(10) ORDER BY event_id) AS content
-  FROM (SELECT event_id, user_id, {_line("VARCHAR")} AS line
+  FROM (SELECT event_id, user_id, replace(replace(replace(CASE WHEN event_id % 2 = 1 THEN {_ODD} ELSE {_EVEN} END, '<event>', CAST(event_id AS VARCHAR)), '<k7>', CAST(k % 7 AS VARCHAR)), '<k>', CAST(k AS VARCHAR)) AS line
         FROM (SELECT event_id, user_id, event_type, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) AS k FROM events))
   GROUP BY user_id)"""
 DOCUMENT_SQL = "scenes AS (SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS scene_name, lang, text AS content FROM documents)"
 
-LINES_SQL = r"""split AS (SELECT scene_name, string_split(content, chr(10)) AS every FROM scenes),
+LINES_SQL = r"""once AS (SELECT scene_name, CASE WHEN contains(content, chr(13) || chr(10)) THEN substring(content, 1, strpos(content, chr(13) || chr(10)) - 1) || substring(content, strpos(content, chr(13) || chr(10)) + 1) ELSE content END AS content FROM scenes),
+split AS (SELECT scene_name, string_split(content, chr(10)) AS every FROM once),
 raw AS (SELECT scene_name, len(every) AS n_lines, unnest(every) AS line, unnest(range(len(every))) AS line_number FROM split),
 lines AS (SELECT *, start - spaces AS tabs, (start - spaces) + spaces * 0.5::DOUBLE AS indent
   FROM (SELECT *, length(lead) AS start, length(replace(lead, chr(9), '')) AS spaces
         FROM (SELECT *, regexp_extract(line, '^[\t ]*') AS lead FROM raw)))"""
-SEGMENTS_SQL = f"""pieces AS (SELECT scene_name, line_number, line, indent, start, regexp_extract_all(substring(line, CAST(start + 1 AS BIGINT)), {_text(SEGMENT)}) AS every FROM lines),
+def _segments_sql(semantics: str = "observed") -> str:
+    own = language(semantics)
+    return f"""pieces AS (SELECT scene_name, line_number, line, indent, start, regexp_extract_all(substring(line, CAST(start + 1 AS BIGINT)), {_text(own.segment)}) AS every FROM lines),
 numbered AS (SELECT scene_name, line_number, line, indent, start, unnest(every) AS text, unnest(range(len(every))) AS segment FROM pieces),
 placed AS (SELECT *, start + sum(length(text)) OVER (PARTITION BY scene_name, line_number ORDER BY segment) - length(text) AS position,
   regexp_matches(text, '^[*#]') AS command FROM numbered),
-keyed AS (SELECT *, CASE WHEN command THEN nullif(regexp_extract(text, {_text(KEYWORD)}), '') END AS keyword FROM placed),
-segments AS (SELECT *, {_table({k: t for k, (t, _) in KEYWORDS.items()}, "keyword")} AS type,
-  {_table({k: m for k, (_, m) in KEYWORDS.items()}, "keyword")} AS mode, substring(text, length(keyword) + 1) AS after FROM keyed)"""
-LEXEMES_SQL = f"""lexed AS (SELECT scene_name, line_number, indent, segment, position + length(keyword) AS base, regexp_extract_all(after, {_text(LEXEME)}) AS every FROM segments WHERE mode = 'X' AND after <> ''),
+keyed AS (SELECT *, CASE WHEN command THEN nullif(regexp_extract(text, {_text(own.keyword)}), '') END AS keyword FROM placed),
+segments AS (SELECT *, {_table({k: t for k, (t, _) in own.keywords.items()}, "keyword")} AS type,
+  {_table({k: m for k, (_, m) in own.keywords.items()}, "keyword")} AS mode, substring(text, length(keyword) + 1) AS after FROM keyed)"""
+
+
+def _lexemes_sql(semantics: str = "observed") -> str:
+    own = language(semantics)
+    return f"""lexed AS (SELECT scene_name, line_number, indent, segment, position + length(keyword) AS base, regexp_extract_all(after, {_text(own.lexeme)}) AS every FROM segments WHERE mode = 'X' AND after <> ''),
 cut AS (SELECT scene_name, line_number, indent, segment, base, unnest(every) AS lex, unnest(range(len(every))) AS lexeme FROM lexed),
 typed AS (SELECT *, base + sum(length(lex)) OVER (PARTITION BY scene_name, line_number, segment ORDER BY lexeme) - length(lex) AS position,
   CASE WHEN regexp_matches(lex, '^[0-9]') THEN 'NumberLiteral' WHEN lex[1] IN ('"', '''') THEN 'StringLiteral'
-       WHEN regexp_matches(lex, '^[A-Za-z_]') THEN coalesce({_table(WORDS, "lex")}, 'Identifier') ELSE {_table(OPERATORS, "lex")} END AS type FROM cut),
+       WHEN regexp_matches(lex, '^[A-Za-z_]') THEN coalesce({_table(WORDS, "lex")}, 'Identifier') ELSE {_table(own.operators, "lex")} END AS type FROM cut),
 lexemes AS (SELECT scene_name, type, line_number, position, indent, segment, lexeme,
   CASE WHEN type = 'Identifier' THEN lex WHEN type = 'StringLiteral' THEN regexp_replace(CASE WHEN regexp_matches(lex, {_text(CLOSED)}) THEN substring(lex, 2, length(lex) - 2) ELSE substring(lex, 2) END, '\\\\((?s:.))', '\\1', 'g') END AS value_str,
   CASE WHEN type = 'NumberLiteral' THEN CAST(regexp_extract(lex, '^[0-9]+(?:\\.[0-9]*)?') AS DOUBLE) END AS value_num,
   CASE WHEN type = 'BooleanLiteral' THEN lex = 'true' END AS value_bool,
   CASE WHEN type NOT IN ('Identifier', 'StringLiteral', 'NumberLiteral', {", ".join(map(_text, BARE))}) THEN lex END AS raw_value
   FROM typed WHERE type IS NOT NULL)"""
+
+
 PROSE_SQL = f"""happened AS (
   SELECT scene_name, line_number, 0 AS segment, 1 AS kind, start AS position, indent,
     CASE WHEN tabs = 0 THEN line WHEN length(line) > 2 * tabs + spaces THEN substring(line, start + 1, tabs) || line ELSE substring(line, start + 1) END AS text
@@ -129,16 +162,46 @@ NEAR_SQL = (
     + " FROM tokens WINDOW w AS (PARTITION BY scene_name ORDER BY token_idx))"
 )
 _IN = lambda types: ", ".join(map(_text, types))
-PARENTS_SQL = f"""begun_statements AS (SELECT scene_name, token_idx, type, indent FROM tokens WHERE type IN ({_IN((*statements.STATEMENTS, *statements.INNER))})),
-parents AS (SELECT a.scene_name, a.token_idx, any_value(a.type) AS type, any_value(a.indent) AS indent, max(b.token_idx) AS parent_idx
-  FROM begun_statements a LEFT JOIN begun_statements b ON a.scene_name = b.scene_name AND b.token_idx < a.token_idx AND b.indent < a.indent GROUP BY a.scene_name, a.token_idx)"""
+PARENTS_SQL = f"""marked_statements AS (SELECT *, type = 'Prose' AND coalesce(lag(type) OVER w = 'PageBreak' AND lag(line_number) OVER w = line_number, false) AS taken FROM tokens WINDOW w AS (PARTITION BY scene_name ORDER BY token_idx)),
+begun_statements AS (SELECT scene_name, token_idx, type, line_number, indent FROM marked_statements WHERE NOT taken AND type IN ({_IN((*statements.STATEMENTS, *statements.INNER))})),
+parents AS (SELECT a.scene_name, a.token_idx, any_value(a.type) AS type, any_value(a.line_number) AS line_number, any_value(a.indent) AS indent,
+  coalesce(max(b.token_idx) FILTER (WHERE b.line_number = a.line_number AND b.type = 'If'), max(b.token_idx) FILTER (WHERE b.indent < a.indent)) AS parent_idx
+  FROM begun_statements a LEFT JOIN begun_statements b ON a.scene_name = b.scene_name AND b.token_idx < a.token_idx AND (b.indent < a.indent OR b.line_number = a.line_number) GROUP BY a.scene_name, a.token_idx)"""
+PAIRS_SQL = """branches AS (SELECT *, CASE WHEN type IN ('ElseIf', 'Else') THEN 1 ELSE 0 END AS branch FROM parents),
+chained AS (SELECT *, sum(1 - branch) OVER w AS number, max(CASE WHEN branch = 0 THEN token_idx END) OVER w AS head FROM branches WINDOW w AS (PARTITION BY scene_name, parent_idx, indent ORDER BY token_idx)),
+closed AS (SELECT *, coalesce(max(CASE WHEN type = 'Else' THEN 1 ELSE 0 END) OVER (PARTITION BY scene_name, parent_idx, indent, number ORDER BY token_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed FROM chained),
+pairs AS (SELECT c.scene_name, c.token_idx, c.type, CASE WHEN h.type = 'If' AND c.closed = 0 THEN c.head END AS if_idx FROM closed c LEFT JOIN parents h ON c.scene_name = h.scene_name AND c.head = h.token_idx WHERE c.branch = 1)"""
+OPTIONS_SQL = """on_line AS (SELECT scene_name, line_number, max(token_idx) FILTER (WHERE type = 'DisableReuse') AS disable_reuse, max(token_idx) FILTER (WHERE type = 'HideReuse') AS hide_reuse, max(token_idx) FILTER (WHERE type = 'AllowReuse') AS allow_reuse,
+  max(token_idx) FILTER (WHERE type = 'SelectableIf') AS selectable_idx, max(token_idx) FILTER (WHERE type = 'If') AS if_idx FROM parents GROUP BY ALL),
+options AS (SELECT o.scene_name, o.token_idx, CASE WHEN p.type = 'Choice' THEN p.token_idx WHEN p.type = 'If' AND g.type = 'Choice' THEN g.token_idx END AS choice_idx,
+  CASE WHEN disable_reuse IS NOT NULL THEN 'disable_reuse' WHEN hide_reuse IS NOT NULL THEN 'hide_reuse' WHEN allow_reuse IS NOT NULL THEN 'allow_reuse' END AS reuse, selectable_idx, if_idx, t.raw_text AS text
+  FROM parents o JOIN on_line l ON o.scene_name = l.scene_name AND o.line_number = l.line_number JOIN tokens t ON o.scene_name = t.scene_name AND o.token_idx = t.token_idx
+  LEFT JOIN parents p ON o.scene_name = p.scene_name AND o.parent_idx = p.token_idx LEFT JOIN parents g ON p.scene_name = g.scene_name AND p.parent_idx = g.token_idx WHERE o.type = 'ChoiceOption')"""
+TREE_SQL = """placed_statements AS (SELECT p.scene_name, p.token_idx, coalesce(e.if_idx, p.parent_idx) AS parent_idx, CASE WHEN e.if_idx IS NOT NULL THEN CASE WHEN p.type = 'Else' THEN 'else' ELSE 'else_if' END WHEN p.parent_idx IS NULL THEN 'root' ELSE 'body' END AS slot, p.type AS kind
+  FROM parents p LEFT JOIN pairs e USING (scene_name, token_idx) WHERE p.type NOT IN ('HideReuse', 'DisableReuse', 'AllowReuse', 'SelectableIf')),
+tree AS (SELECT s.*, CAST(row_number() OVER (PARTITION BY s.scene_name, s.parent_idx, s.slot ORDER BY s.token_idx) - 1 AS INTEGER) AS ordinal,
+  CASE WHEN kind IN ('CreateVariable', 'CreateTempVariable', 'SetVariable', 'InputText') AND type_1 = 'Identifier' THEN text_1 END AS variable,
+  CASE kind WHEN 'CreateVariable' THEN 'Global' WHEN 'CreateTempVariable' THEN 'Temporary' END AS scope,
+  CASE WHEN kind IN ('GotoScene', 'GoSubScene') AND type_1 = 'Identifier' THEN text_1 END AS target_scene,
+  CASE WHEN kind IN ('GotoScene', 'GoSubScene') AND type_1 = 'Identifier' AND type_2 = 'Identifier' THEN text_2 WHEN kind IN ('GotoLabel', 'GoSub', 'Label') AND type_1 = 'Identifier' THEN text_1 END AS target_label,
+  CASE WHEN kind = 'PageBreak' THEN CASE WHEN type_1 = 'Prose' THEN text_1 END ELSE coalesce(raw_text, value_str, content) END AS text,
+  o.reuse, o.selectable_idx FROM placed_statements s JOIN near n USING (scene_name, token_idx) LEFT JOIN (SELECT scene_name, token_idx, reuse, selectable_idx FROM options) o USING (scene_name, token_idx))"""
 
 
 def _with(*parts: str, of: str = SCRIPT_SQL) -> str:
     return "WITH " + ",\n".join((of, LINES_SQL, *parts))
 
 
-SEGMENTED, TOKENISED = (SEGMENTS_SQL,), (SEGMENTS_SQL, LEXEMES_SQL, PROSE_SQL, TOKENS_SQL)
+SEGMENTED, TOKENISED = (_segments_sql(),), (_segments_sql(), _lexemes_sql(), PROSE_SQL, TOKENS_SQL)
+# Intended: every CRLF is a line end, tabs double no text, and the last block needs no command after it.
+INTENDED_SQL = "WITH " + ",\n".join((
+    SCRIPT_SQL,
+    "once AS (SELECT scene_name, replace(content, chr(13) || chr(10), chr(10)) AS content FROM scenes),\n" + LINES_SQL.split("\n", 1)[1],
+    _segments_sql("intended"),
+    _lexemes_sql("intended"),
+    PROSE_SQL.replace("CASE WHEN tabs = 0 THEN line", "CASE WHEN true THEN line"),
+    TOKENS_SQL.replace("SELECT scene_name, flush_line, segment, 0, 0, 'Prose'", "SELECT scene_name, coalesce(flush_line, 2147483647), coalesce(segment, 0), 0, 0, 'Prose'").replace(" FROM prose WHERE flush_line IS NOT NULL", " FROM prose"),
+))
 
 # ---- queries -------------------------------------------------------------------------------------------------
 
@@ -212,10 +275,7 @@ SELECT scene_name, unnest(every) AS listed, CAST(unnest(range(len(every))) AS IN
     "unknown_commands": (lambda s, d: _segments(s, d).filter("command and type is null").groupBy("text").agg(F.count(F.lit(1)).alias("n")), f"{_with(*SEGMENTED)} SELECT text, count(*) AS n FROM segments WHERE command AND type IS NULL GROUP BY text"),
     "keyword_histogram": (lambda s, d: _segments(s, d).filter("type is not null").groupBy("type", "mode").agg(F.count(F.lit(1)).alias("n")), f"{_with(*SEGMENTED)} SELECT type, mode, count(*) AS n FROM segments WHERE type IS NOT NULL GROUP BY ALL"),
     "prose_blocks_of_documents": (lambda s, d: scanner.scan(document_scenes(s, d)).filter("type = 'Prose'").select("scene_name", "token_idx", "line_number", "position", "indent", "content"), f"{_with(*TOKENISED, of=DOCUMENT_SQL)} SELECT scene_name, token_idx, line_number, position, indent, content FROM tokens WHERE type = 'Prose'"),
-    "prose_dropped_tail": (
-        lambda s, d: (lambda f: scanner.prose_tokens(f, scanner.segments(f), "intended").filter(F.col("flush_line") == (1 << 31) - 1).select("scene_name", "content"))(_lines(s, d)),
-        f"{_with(SEGMENTS_SQL, PROSE_SQL.replace('WHEN tabs = 0 THEN line WHEN', 'WHEN true THEN line WHEN'))} SELECT scene_name, content FROM prose WHERE flush_line IS NULL",
-    ),
+    "prose_dropped_tail": (lambda s, d: scanner.prose_tails(script_scenes(s, d)), f"{_with(_segments_sql(), PROSE_SQL)} SELECT scene_name, content FROM prose WHERE flush_line IS NULL"),
     "tokens_per_scene": (lambda s, d: _tokens(s, d).groupBy("scene_name").agg(F.count(F.lit(1)).alias("n_tokens")), f"{_with(*TOKENISED)} SELECT scene_name, count(*) AS n_tokens FROM tokens GROUP BY scene_name"),
     "token_type_dimension": (
         lambda s, d: token_types.token_types(s),
@@ -223,7 +283,6 @@ SELECT scene_name, unnest(every) AS listed, CAST(unnest(range(len(every))) AS IN
         + ", ".join(f"({_text(t)}, {_text(o)}, {_text(m) if m else 'NULL'}, {str(t in (*statements.STATEMENTS, *statements.INNER)).lower()})" for t, (o, m) in sorted(({t: ("keyword", m) for t, m in KEYWORDS.values()} | {t: ("text", None) for t in ("SceneStart", "SceneEnd", "Prose")} | {t: ("expression", None) for t in [*OPERATORS.values(), *WORDS.values(), "NumberLiteral", "StringLiteral", "Identifier"]}).items()))
         + ") AS t(type, origin, mode, parsed)",
     ),
-    "statement_tree": (lambda s, d: statements.parents(_tokens(s, d)).join(_tokens(s, d).select("scene_name", "token_idx", "line_number", "position"), ["scene_name", "token_idx"]), f"{_with(*TOKENISED, PARENTS_SQL)} SELECT p.*, t.line_number, t.position FROM parents p JOIN tokens t USING (scene_name, token_idx)"),
     "expr_postfix": (lambda s, d: statements.expressions(_tokens(s, d)), None),
     "parse_errors": (lambda s, d: statements.parse_errors(_tokens(s, d)), None),
     "comment_blocks": (
@@ -247,11 +306,16 @@ def _add_token_queries() -> None:
         "prose_blocks": ("type = 'Prose'", [*STRUCTURE, "content"]),
         "expr_tokens": ("raw_value IS NOT NULL OR value_str IS NOT NULL OR value_num IS NOT NULL OR type LIKE '%Parenthesis'", [*STRUCTURE, "value_str", "value_num", "value_bool", "raw_value"]),
         "number_literals": ("type = 'NumberLiteral'", ["scene_name", "token_idx", "value_num"]),
-        "string_literals": ("type IN ('StringLiteral', 'Identifier')", ["scene_name", "token_idx", "type", "value_str"]),
+        "string_literals": ("type = 'StringLiteral'", ["scene_name", "token_idx", "value_str"]),
+        "identifiers": ("type = 'Identifier'", ["scene_name", "token_idx", "value_str"]),
+        "boolean_literals": ("type = 'BooleanLiteral'", ["scene_name", "token_idx", "value_bool"]),
         "fairmath_tokens": ("type = 'FairmathAdditionOperator'", [*STRUCTURE, "raw_value"]),
     }
     for name, (where, columns) in plain.items():
         CATALOG[name] = ((lambda s, d, w=where, c=tuple(columns): _columns(_tokens(s, d).filter(w) if w else _tokens(s, d), *c)), f"{_with(*TOKENISED)} SELECT {', '.join(columns)} FROM tokens" + (f" WHERE {where}" if where else ""))
+    every = [*STRUCTURE, *scanner.VALUES]
+    CATALOG["tokens_intended"] = (lambda s, d: scanner.scan(script_scenes(s, d), "intended").select(*every), f"{INTENDED_SQL} SELECT {', '.join(every)} FROM tokens")
+    CATALOG["token_json_round_trip"] = (lambda s, d: token_json.tokens_of(token_json.nested_by_scene(_tokens(s, d)).select(F.from_json("tokens", "array<string>").alias("scene"))).select(*every), f"{_with(*TOKENISED)} SELECT {', '.join(every)} FROM tokens")
     CATALOG["operator_histogram"] = (lambda s, d: _tokens(s, d).filter("raw_value is not null").groupBy("type", "raw_value").agg(F.count(F.lit(1)).alias("n")), f"{_with(*TOKENISED)} SELECT type, raw_value, count(*) AS n FROM tokens WHERE raw_value IS NOT NULL GROUP BY ALL")
     near = {
         "same_line_flags": (lambda t: statements.with_neighbours(t).groupBy("type", "same_line").agg(F.count(F.lit(1)).alias("n")), "SELECT type, same_line, count(*) AS n FROM near GROUP BY ALL"),
@@ -270,10 +334,13 @@ def _add_token_queries() -> None:
         CATALOG[name] = ((lambda s, d, f=of: f(_tokens(s, d))), f"{_with(*TOKENISED, NEAR_SQL)} {tail}")
     scoped = {
         "statement_parent": (statements.parents, "SELECT * FROM parents"),
+        "else_pairing": (lambda t: statements.else_pairing(statements.parents(t)), "SELECT * FROM pairs"),
+        "choice_options_full": (statements.choice_options, "SELECT * FROM options"),
+        "statement_tree": (statements.tree, "SELECT scene_name, token_idx, parent_idx, slot, ordinal, kind, variable, scope, target_scene, target_label, reuse, selectable_idx, text FROM tree"),
         "choice_children": (statements.choice_children, "SELECT a.scene_name, a.token_idx, a.type, a.parent_idx AS choice_idx FROM parents a JOIN parents c ON a.scene_name = c.scene_name AND a.parent_idx = c.token_idx WHERE c.type = 'Choice'"),
     }
     for name, (of, tail) in scoped.items():
-        CATALOG[name] = ((lambda s, d, f=of: f(_tokens(s, d))), f"{_with(*TOKENISED, PARENTS_SQL)} {tail}")
+        CATALOG[name] = ((lambda s, d, f=of: f(_tokens(s, d))), f"{_with(*TOKENISED, NEAR_SQL, PARENTS_SQL, PAIRS_SQL, OPTIONS_SQL, TREE_SQL)} {tail}")
 
 
 _add_token_queries()

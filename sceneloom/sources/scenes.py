@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.script import BLANK_JAVA, MISSING_SCENE
@@ -25,7 +25,7 @@ class HttpScenes(DataSource):
     """Scenes by HTTP: `spark.read.format("http_scenes").option("base", url).option("names", "startup,first").load()`.
 
     Each name is a partition of its own, fetched from <base>/scenes/<name>.txt. The status is not looked at: what an error
-    response holds is the content, for `without_missing` to drop.
+    response holds is the content, for `without_missing` to drop. `timeout` is the seconds that a response may take, 60 if not given.
     """
 
     @classmethod
@@ -41,7 +41,7 @@ class HttpScenes(DataSource):
 
 class HttpReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.base = options["base"].rstrip("/")
+        self.base, self.seconds = options["base"].rstrip("/"), float(options.get("timeout", "60"))
         self.names = [n.strip() for n in options.get("names", "").split(",") if n.strip()]
 
     def partitions(self) -> list[ScenePartition]:
@@ -53,7 +53,7 @@ class HttpReader(DataSourceReader):
 
         url = f"{self.base}/scenes/{partition.name}.txt"
         try:
-            with urllib.request.urlopen(url) as response:
+            with urllib.request.urlopen(url, timeout=self.seconds) as response:
                 body = response.read()
         except urllib.error.HTTPError as error:
             body = error.read()
@@ -61,8 +61,17 @@ class HttpReader(DataSourceReader):
 
 
 def without_missing(scenes: DataFrame) -> DataFrame:
-    """Scenes but those whose content says that there is none."""
-    return scenes.filter(F.col("content") != MISSING_SCENE)
+    """Scenes but those whose content says that there is none. Scenes of null content stay; they have no lines."""
+    return scenes.filter(~F.col("content").eqNullSafe(F.lit(MISSING_SCENE)))
+
+
+def with_own_names(scenes: DataFrame) -> DataFrame:
+    """scenes in which repeated names are followed by ~2, ~3 and so on, in the order of their sources and contents.
+
+    The scanner takes rows of one name for one scene, so names that may repeat go through this first.
+    """
+    place = F.row_number().over(Window.partitionBy("scene_name").orderBy("source_url", F.xxhash64("content")))
+    return scenes.withColumn("scene_name", F.when(place > 1, F.concat_ws("~", "scene_name", place)).otherwise(F.col("scene_name")))
 
 
 def scene_list(startup: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.scanner import TOKEN
 
+#: Names of the nested form, whose `value` is a text, a number or a truth value.
+NAMES = {"scene_name": "sceneName", "line_number": "lineNumber", "raw_value": "rawValue", "raw_text": "rawText", "has_multi_replace": "hasMultiReplace"}
+
 
 def write_tokens(tokens: DataFrame, path: str) -> None:
     """One JSON object a token; fields that a token doesn't have are left out."""
@@ -17,7 +20,34 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def nested_by_scene(tokens: DataFrame) -> DataFrame:
-    """Rows (scene_name, tokens): each scene's tokens as one JSON array, in order. A scene has to fit in memory."""
-    fields = [F.col(c) for c in tokens.columns]
-    ordered = F.array_sort(F.collect_list(F.struct("token_idx", *[f for f, c in zip(fields, tokens.columns, strict=True) if c != "token_idx"])))
-    return tokens.groupBy("scene_name").agg(F.to_json(ordered).alias("tokens"))
+    """Rows (scene_name, tokens): each scene's tokens as one JSON array, in order. A scene has to fit in memory.
+
+    Fields that a token doesn't have are left out; a literal's value has its own type.
+    """
+    as_value = lambda c: F.when(F.col(c).isNotNull(), F.to_json(F.struct(F.col(c).alias("value"))))
+    value = F.coalesce(*map(as_value, ("value_str", "value_num", "value_bool")))
+    plain = F.to_json(F.struct(*[F.col(c).alias(NAMES.get(c, c)) for c in TOKEN.fieldNames() if c not in ("token_idx", "value_str", "value_num", "value_bool")]))
+    whole = F.when(F.coalesce("value_str", F.col("value_num").cast("string"), F.col("value_bool").cast("string")).isNotNull(), F.concat(F.expr("left(plain, length(plain) - 1)"), F.lit(","), F.expr("substring(value, 2)"))).otherwise(F.col("plain"))
+    told = tokens.withColumns({"value": value, "plain": plain}).select("scene_name", "token_idx", whole.alias("token"))
+    ordered = F.array_sort(F.collect_list(F.struct("token_idx", "token")))
+    return told.groupBy("scene_name").agg(F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["token"]), ","), F.lit("]")).alias("tokens"))
+
+
+def write_nested(tokens: DataFrame, path: str) -> None:
+    """Text files with a line for each scene, its tokens as an array."""
+    nested_by_scene(tokens).select("tokens").write.mode("overwrite").text(path)
+
+
+def read_nested(spark: SparkSession, path: str) -> DataFrame:
+    """Tokens in the columns of TOKEN, from lines that each hold the array of one scene, or files with an array of those."""
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"^\s*\[\s*\[", "[[").alias("value"))
+    return tokens_of(text.select(F.explode(F.when(F.col("value").startswith("[["), F.from_json("value", "array<array<string>>")).otherwise(F.transform(F.filter(F.split("value", "\n"), lambda x: x != ""), lambda x: F.from_json(x, "array<string>")))).alias("scene")))
+
+
+def tokens_of(nested: DataFrame) -> DataFrame:
+    """From rows (scene), arrays of JSON objects, tokens in the columns of TOKEN; what `value` holds goes by its type."""
+    found = nested.select(F.posexplode("scene").alias("token_idx", "json"))
+    field = lambda c: F.get_json_object("json", f"$.{NAMES.get(c, c)}").cast(TOKEN[c].dataType).alias(c)
+    value, kind = F.get_json_object("json", "$.value"), F.get_json_object("json", "$.type")
+    values = {"value_num": F.when(kind == "NumberLiteral", value).cast("double"), "value_bool": F.when(kind == "BooleanLiteral", value).cast("boolean"), "value_str": F.when(~kind.isin("NumberLiteral", "BooleanLiteral"), value)}
+    return found.select(field("scene_name"), F.col("token_idx"), *[values[c].alias(c) if c in values else field(c) for c in TOKEN.fieldNames()[2:]])

@@ -14,4 +14,4 @@ def stream_scenes(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_segments(scenes: DataFrame, semantics: str = "observed") -> DataFrame:
     """Every command and stretch of text of the scenes, as soon as they arrive."""
-    return segments(lines(scenes, semantics))
+    return segments(lines(scenes, semantics), semantics)

@@ -1,5 +1,9 @@
 """Golden scanner and expression cases, the switch of semantics, sources and sinks."""
 
+import http.server
+import random
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +47,64 @@ def test_golden_scenes(spark):
         assert own[0].type == "SceneStart" and [shown(r) for r in own[1:]] == expected
 
 
+# Each keyword with its token type and what follows it, and each lexeme with its type, as the language's description has them.
+KEYWORD_CASES = [
+    ("*label a", "Label", "Identifier"), ("*hide_reuse #a", "HideReuse", "ChoiceOption"), ("*disable_reuse #a", "DisableReuse", "ChoiceOption"), ("*allow_reuse #a", "AllowReuse", "ChoiceOption"),
+    ("*gosub a", "GoSub", "Identifier"), ("*gosub_scene a", "GoSubScene", "Identifier"), ("*return ", "Return", None), ("*goto a", "GotoLabel", "Identifier"), ("*goto_scene a", "GotoScene", "Identifier"),
+    ("*goto_random_scene a", "GotoRandomScene", "Identifier"), ("#a", "ChoiceOption", None), ("*if a", "If", "Identifier"), ("*elseif a", "ElseIf", "Identifier"), ("*elsif a", "ElseIf", "Identifier"), ("*else a", "Else", "Identifier"),
+    ("*create a", "CreateVariable", "Identifier"), ("*temp a", "CreateTempVariable", "Identifier"), ("*set a", "SetVariable", "Identifier"), ("*choice #a", "Choice", "ChoiceOption"), ("*fake_choice #a", "FakeChoice", "ChoiceOption"),
+    ("*finish a", "Finish", "Prose"), ("*ending a", "Ending", "Prose"), ("*stat_chart #a", "StatChart", "ChoiceOption"), ("*line_break #a", "LineBreak", "ChoiceOption"), ("*selectable_if a", "SelectableIf", "Identifier"),
+    ("*link a", "Link", "Identifier"), ("*comment a", "Comment", None), ("*image a", "Image", "Identifier"), ("*input_number a", "InputNumber", "Identifier"), ("*input_text a", "InputText", "Identifier"),
+    ("*author a", "Author", "Identifier"), ("*page_break a", "PageBreak", "Prose"), ("*save_checkpoint #a", "SaveCheckpoint", "ChoiceOption"), ("*restore_checkpoint #a", "RestoreCheckpoint", "ChoiceOption"),
+    ("*delete a", "DeleteVariable", "Identifier"), ("*rand a", "GenerateRandom", "Identifier"), ("*random", "GenerateRandom", "Identifier"), ("*settings", "SetVariable", "Identifier"),
+    ("*scene_list a", None, None), ("*achievement a", None, None), ("*return", None, None), ("*else", None, None), ("*nothing", None, None),
+]
+LEXEME_CASES = [
+    ("7", "NumberLiteral"), ("'s'", "StringLiteral"), ('"s"', "StringLiteral"), ("(", "OpenParenthesis"), (")", "CloseParenthesis"), ("%+", "FairmathAdditionOperator"), ("%-", "FairmathAdditionOperator"), (">=", "GreaterThanEqualsOperator"),
+    ("<=", "LessThanEqualsOperator"), ("!=", "NotEqualityOperator"), ("@{", "OpenMultiReplace"), ("${", "OpenPrint"), ("+", "AdditionOperator"), ("-", "SubtractionOperator"), ("/", "DivisionOperator"), ("%", "ModulusOperator"),
+    ("&", "ConcatenationOperator"), ("=", "EqualityOperator"), (">", "GreaterThanOperator"), ("<", "LessThanOperator"), ("|", "MultiReplaceElse"), ("}", "CloseBrace"), ("a_9", "Identifier"), ("true", "BooleanLiteral"),
+    ("false", "BooleanLiteral"), ("and", "LogicalAnd"), ("or", "LogicalOr"), ("not", "NotOperator"), ("round", "RoundOperator"), ("length", "LengthOperator"), ("modulo", "ModulusOperator"), ("And", "Identifier"), ("{", None), ("é", None), ("$", None),
+]
+
+
+def test_every_keyword_and_lexeme(spark):
+    rows = scanner.scan(scenes_of(spark, *[c for c, *_ in KEYWORD_CASES], *[f"*if {x}" for x, _ in LEXEME_CASES])).orderBy("scene_name", "token_idx").collect()
+    types: dict = {}
+    for r in rows:
+        types.setdefault(r.scene_name, []).append(r.type)
+    every = [types[k][1:-1] for k in sorted(types)]
+    assert every == [[t for t in case[1:] if t] for case in KEYWORD_CASES] + [["If", *([t] if t else [])] for _, t in LEXEME_CASES]
+
+
+def test_intended_keywords(spark):
+    contents = ["*else", "*return", "*else if (a)", "*ifid 12", "*if $!{a} $!!{b} ${c}", "*elsewhere", "a\r\n\r\nb\r\n#x", "tail\n"]
+    rows = scanner.scan(scenes_of(spark, *contents), "intended").orderBy("scene_name", "token_idx").collect()
+    own = lambda k: [r.type for r in rows if r.scene_name == f"s{k:02d}"][1:-1]
+    assert [own(k) for k in range(4)] == [["Else"], ["Return"], ["ElseIf", "OpenParenthesis", "Identifier", "CloseParenthesis"], ["GameIdentifier", "NumberLiteral"]]
+    assert own(4) == ["If", "OpenPrintCapitaliseFirst", "Identifier", "CloseBrace", "OpenPrintCapitaliseAll", "Identifier", "CloseBrace", "OpenPrint", "Identifier", "CloseBrace"]
+    assert own(5) == [] and own(7) == ["Prose"] and next(r for r in rows if r.scene_name == "s06" and r.type == "Prose").content == "a\n\nb\n"
+    with pytest.raises(ValueError, match="no such semantics"):
+        scanner.scan(scenes_of(spark, "a"), "guessed")
+
+
+def test_observed_line_ends_tabs_and_print_forms(spark):
+    rows = scanner.scan(scenes_of(spark, "a\r\nb\r\n#x", "\t\tHello\n\tHi\n#x", "*if $!{a}")).orderBy("scene_name", "token_idx").collect()
+    own = lambda k: [shown(r) for r in rows if r.scene_name == f"s{k:02d}"][1:-1]
+    assert own(0)[0] == "Prose[a\nb\r\n]@0:0" and own(1)[0] == "Prose[He\t\tHello\nH\tHi\n]@0:2"
+    assert own(2) == ["If@0:0", "Identifier[a]@0:7", "CloseBrace@0:8"]
+
+
+def test_nulls_repeated_names_and_long_lines(spark):
+    long = "*set x " + "a + " * 20_000 + "b"
+    found = spark.createDataFrame([("n", "u1", None), ("r", "u2", "*label a"), ("r", "u1", "*label b"), ("long", "u", long), ("empty", "u", "")], scenes.SCENE)
+    rows = scanner.scan(scenes.with_own_names(scenes.without_missing(found))).collect()
+    labels = {(r.scene_name, r.value_str) for r in rows if r.scene_name.startswith("r") and r.type == "Identifier"}
+    assert labels == {("r", "b"), ("r~2", "a")} and not [r for r in rows if r.scene_name == "n"]
+    own = [r for r in rows if r.scene_name == "long"]
+    assert len(own) == 40_005 and all(long[r.position : r.position + 1] in "ab+x" for r in own if r.type not in ("SceneStart", "SceneEnd", "SetVariable"))
+    assert scanner.scan(found.limit(0)).count() == 0
+
+
 def test_intended_semantics(spark):
     rows = scanner.scan(scenes_of(spark, "\tHello\n#A\nBye", "a\r\nb\r\n#x", "*set v %- 5"), "intended").orderBy("scene_name", "token_idx").collect()
     own = lambda k: [shown(r) for r in rows if r.scene_name == k][1:]
@@ -75,6 +137,103 @@ def test_expressions(spark):
     assert [(r.postfix, r.error) for r in rows] == [(p, e) for _, p, e in EXPRESSIONS]
 
 
+#: Binary operators from the loosest to the tightest, those of one list alike; the third binds to the right.
+GRAMMAR = [["and", "or"], [">", ">=", "<", "<=", "=", "!="], ["-", "+", "&"], ["/", "%"]]
+
+
+def descend(words):
+    """The postfix order of an expression by recursive descent."""
+    at = 0
+
+    def level(k):
+        nonlocal at
+        if k == len(GRAMMAR):
+            return unary()
+        left = level(k + 1)
+        while at < len(words) and words[at] in GRAMMAR[k]:
+            operator = words[at]
+            at += 1
+            left = [*left, *level(k if k == 2 else k + 1), operator]
+        return left
+
+    def unary():
+        nonlocal at
+        at += 1
+        word = words[at - 1]
+        if word in ("not", "-", "+", "%+", "%-"):
+            return [*unary(), f"~{word}"]
+        if word == "(":
+            inner = level(0)
+            at += 1
+            return inner
+        return [word]
+
+    found = level(0)
+    assert at == len(words)
+    return found
+
+
+def test_postfix_against_recursive_descent(spark):
+    draw = random.Random(4)
+
+    def expression(depth):
+        kind = draw.random()
+        if depth == 0 or kind < 0.25:
+            return [draw.choice("abcd")]
+        if kind < 0.4:
+            return [draw.choice(["not", "-", "%+"]), *expression(depth - 1)]
+        if kind < 0.55:
+            return ["(", *expression(depth - 1), ")"]
+        return [*expression(depth - 1), draw.choice(draw.choice(GRAMMAR)), *expression(depth - 1)]
+
+    cases = [expression(5) for _ in range(400)]
+    # A prefix operator before an operand and its binary operators binds tighter than those, in both.
+    rows = statements.expressions(scanner.scan(spark.createDataFrame([(f"s{k:03d}", "", f"*if {' '.join(c)}") for k, c in enumerate(cases)], scenes.SCENE))).orderBy("scene_name").collect()
+    assert [(r.postfix.split(), r.error) for r in rows] == [(descend(c), None) for c in cases]
+
+
+TREE = """*if (a)
+  One
+  *elseif (c)
+    Two
+*elseif (b)
+  Three
+*else if
+  *choice
+    *hide_reuse *disable_reuse *selectable_if (d) #First
+      Body
+    *if (e) #Second
+      More
+    #Third
+*else 
+  Late
+*page_break Next
+*label here"""
+
+
+def test_statement_tree(spark):
+    rows = statements.tree(scanner.scan(scenes_of(spark, TREE))).orderBy("token_idx").collect()
+    name = {r.token_idx: (r.text or r.kind).strip() for r in rows}
+    got = [(name[r.token_idx], name.get(r.parent_idx), r.slot, r.ordinal) for r in rows]
+    assert got == [
+        ("If", None, "root", 0), ("One", "If", "body", 0), ("ElseIf", "If", "body", 1), ("Two", "ElseIf", "body", 0), ("ElseIf", "If", "else_if", 0), ("Three", "ElseIf", "body", 0), ("Else", "If", "else", 0),
+        ("Choice", "Else", "body", 0), ("First", "Choice", "body", 0), ("Body", "First", "body", 0), ("If", "Choice", "body", 1), ("Second", "If", "body", 0), ("More", "Second", "body", 0), ("Third", "Choice", "body", 2),
+        ("Else", None, "root", 1), ("Late", "Else", "body", 0), ("Next", None, "root", 2), ("Label", None, "root", 3),
+    ]
+    assert {r.text: r.reuse for r in rows if r.kind == "ChoiceOption"} == {"First": "disable_reuse", "Second": None, "Third": None}
+    options = statements.choice_options(scanner.scan(scenes_of(spark, TREE))).collect()
+    assert len({r.choice_idx for r in options}) == 1 and {r.text: (r.selectable_idx is not None, r.if_idx is not None) for r in options} == {"First": (True, False), "Second": (False, True), "Third": (False, False)}
+    assert statements.tree(scanner.scan(scenes_of(spark).limit(0))).count() == 0
+
+
+def test_errors_of_structure(spark):
+    contents = ["*choice\n  *set x 1\n  #A", "*else \nx\n#a", "*hide_reuse Text\n#a", "*choice\n  *comment fine\n  *hide_reuse #A\n  *if (a)\n    #B", "*if (a)\n  *set x 1\n*else \n  *set x 2"]
+    found: dict = {}
+    for r in statements.parse_errors(scanner.scan(scenes_of(spark, *contents))).collect():
+        found.setdefault(r.scene_name, []).append(r.message)
+    assert found == {"s00": ["Expected ChoiceOption token after modifiers"], "s01": ["Unknown statement block starting Else"], "s02": ["Expected ChoiceOption token after modifiers"]}
+
+
 def test_parse_errors(spark):
     rows = statements.parse_errors(scanner.scan(scenes_of(spark, "*gosub f x", "*finish", "*choice\n  Prose\n  #A\n    ok\n#B", "*goto_scene s l"))).collect()
     found = {r.scene_name: r.message for r in rows}
@@ -103,6 +262,39 @@ def test_files_json_and_stream(spark, tmp_path):
     assert spark.table("streamed").filter("type = 'Label'").count() == 1
 
 
+def test_nested_json_round_trip(spark, tmp_path):
+    tokens = scanner.scan(scenes_of(spark, *[c for c, _ in GOLDEN]))
+    token_json.write_nested(tokens, str(tmp_path / "nested"))
+    columns = scanner.TOKEN.fieldNames()
+    assert sorted(token_json.read_nested(spark, str(tmp_path / "nested")).select(columns).collect(), key=str) == sorted(tokens.select(columns).collect(), key=str)
+    (tmp_path / "one.json").write_text('[\n  [\n {"type": "NumberLiteral", "sceneName": "a", "lineNumber": 1, "position": 2, "indent": 0.5, "value": 3},\n {"type": "BooleanLiteral", "sceneName": "a", "value": true}], [{"type": "Comment", "sceneName": "b", "value": "c"}]]')
+    found = {(r.scene_name, r.token_idx): (r.type, r.value_num, r.value_bool, r.value_str) for r in token_json.read_nested(spark, str(tmp_path / "one.json")).collect()}
+    assert found == {("a", 0): ("NumberLiteral", 3.0, None, None), ("a", 1): ("BooleanLiteral", None, True, None), ("b", 0): ("Comment", None, None, "c")}
+
+
+def test_http_source(spark):
+    class Pages(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            known = self.path == "/scenes/startup.txt"
+            self.send_response(200 if known else 404)
+            self.end_headers()
+            self.wfile.write(b"*scene_list\n  startup\n*x" if known else scenes.MISSING_SCENE.encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        spark.dataSource.register(scenes.HttpScenes)
+        base = f"http://127.0.0.1:{server.server_port}"
+        found = spark.read.format("http_scenes").option("base", base).option("names", "startup, gone").option("timeout", "10").load()
+        assert {r.scene_name for r in found.collect()} == {"startup", "gone"}
+        assert [tuple(r) for r in scenes.scene_list(scenes.without_missing(found)).collect()] == [("startup", 0, "startup")]
+    finally:
+        server.shutdown()
+
+
 def test_http_source_partitions():
     reader = scenes.HttpScenes({"base": "http://x/", "names": "a, b,"}).reader(scenes.SCENE)
     assert [p.name for p in reader.partitions()] == ["a", "b"]
@@ -112,4 +304,6 @@ def test_declared_types(spark):
     sources = spark.createDataFrame([("a.ts", "export * from './b';\ninterface IfToken extends Token { type: 'If'; }\ninterface NoToken extends Token { x: 1 }")], "path string, content string")
     assert [tuple(r) for r in token_types.exported_modules(sources).collect()] == [("a.ts", "./b")]
     assert [tuple(r) for r in token_types.declared_types(sources).collect()] == [("IfToken", "If"), ("NoToken", None)]
+    graph = spark.createDataFrame([("s/index.ts", "export * from './a';\nexport  *  from \"./sub\";export * from './gone'"), ("s/a.ts", "export * from './index'"), ("s/sub/index.ts", "export * from './if-token'"), ("s/sub/if-token.ts", "export * from './a'"), ("s/other.ts", "")], "path string, content string")
+    assert {tuple(r) for r in token_types.reachable_files(graph, "s/index.ts").collect()} == {("s/index.ts", 0), ("s/a.ts", 1), ("s/sub/index.ts", 1), ("s/sub/if-token.ts", 2)}
     assert token_types.union_text(token_types.declared_types(sources)).first()[0] == "'If'"
