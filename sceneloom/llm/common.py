@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,12 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Where nothing names one (local tests), a temporary folder is set for this session.
+    Where nothing names one, a temporary folder is set for this session if driver and executors are one process; on a
+    cluster that would be a different folder on each machine, so it is an error.
     """
     context = spark.sparkContext
     there = context._jsc.sc().getCheckpointDir()
     if there.isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         context.setCheckpointDir(configured or "file://" + tempfile.mkdtemp(prefix="sceneloom-"))
         there = context._jsc.sc().getCheckpointDir()
     return there.get()

@@ -4,26 +4,30 @@ The benchmark texts are normalised to words, and every window of WINDOW words be
 does a shorter item as a whole. One automaton over all patterns goes through each normalised document
 once and reports every window that it holds; the words found are mapped back to places in the original text.
 
-The automaton is broadcast, so what it is built from is checked: benchmarks above `part_bytes` are
-scanned in parts, each with an automaton of its own, and what the parts find is joined per document.
-Texts are scanned in the task that reads them; nothing else is shuffled.
+What the automaton is built from is broadcast, so it is checked: a benchmark above `part_bytes` is cut into
+parts, which are kept in the shared folder. A task then builds an automaton of one part after the other, each for
+CHUNK_BYTES of texts, so it holds one at a time, and puts together what they find in each row. Texts are read once and
+scanned in the task that reads them; nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import pickle
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 
+from . import files
+from .common import text_slices, without, work_dir
+
 #: Words of a window.
 WINDOW = 10
 #: Bytes of benchmark text for one automaton; one takes about 300 times that in memory.
 PART_BYTES = 1 << 20
-ROWS = 256
+#: Bytes of texts that all parts go over before the next texts are taken; fewer if there is one part.
+CHUNK_BYTES, ONE_PART_BYTES = 64 << 20, 4 << 20
 
 #: Bytes that are no part of a word become spaces, A to Z lower case. All bytes of characters beyond ASCII are word bytes.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -58,26 +62,34 @@ def automaton(found: dict[bytes, tuple[int, set[str]]]):
     return made
 
 
-def scan(text: str | None, made) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """The number of words, the hit words as disjoint ranges from and before, and the items found."""
-    words = words_of(text)
-    if not words or not len(made):
-        return len(words), [], set()
-    line = (b" " + b" ".join(words) + b" ").decode("latin-1")
+def line_of(words: list[bytes]) -> str:
+    return (b" " + b" ".join(words) + b" ").decode("latin-1")
+
+
+def scan(line: str, made) -> tuple[list[tuple[int, int]], set[str]]:
+    """The hit words as disjoint ranges from and before, and the items found."""
     # Where a window begins, in words, follows from the spaces before it; they are counted from one hit to the next.
-    ranges: list[list[int]] = []
+    ranges: list[tuple[int, int]] = []
     items: set[str] = set()
     at = counted = 0
-    hits = sorted((end - length + 1, n, ids) for end, (length, n, ids) in made.iter(line))
+    hits = sorted((end - length + 1, n, ids) for end, (length, n, ids) in made.iter(line)) if len(made) else []
     for begin, n, ids in hits:
         counted += line.count(" ", at, begin)
         at = begin
         items.update(ids)
-        if ranges and counted <= ranges[-1][1]:
-            ranges[-1][1] = max(ranges[-1][1], counted + n)
+        ranges.append((counted, counted + n))
+    return merged(ranges), items
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted ranges with those that touch or overlap made one."""
+    out: list[tuple[int, int]] = []
+    for begin, before in ranges:
+        if out and begin <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], before))
         else:
-            ranges.append([counted, counted + n])
-    return len(words), [(a, b) for a, b in ranges], items
+            out.append((begin, before))
+    return out
 
 
 def offsets(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -88,64 +100,61 @@ def offsets(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(spans[a][0], spans[b - 1][1]) for a, b in ranges]
 
 
-def parts_of(benchmark: DataFrame, id_column: str, text_column: str, part_bytes: int) -> Iterator[list[tuple[object, str | None]]]:
-    """The items, in parts of about part_bytes; only one part at a time is on the driver."""
-    n_bytes = benchmark.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
-    n_parts = max(1, -(-n_bytes // part_bytes))
-    for part in range(n_parts):
-        own = benchmark if n_parts == 1 else benchmark.filter(F.pmod(F.xxhash64(id_column, text_column), F.lit(n_parts)) == part)
-        yield [tuple(r) for r in own.select(id_column, text_column).collect()]
-
-
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, hits, spans and items.
+    """One row for each row of docs: doc_id, tie (a hash of the text), n_words, hits, spans and items.
 
     hits holds the ranges of words (from, before) inside windows of the benchmark, disjoint and in order,
     spans the same as characters of the original text, items the ids, as strings and sorted, of the
     items with such windows. A null or empty text, or one without words, has no hits, as have all texts
     if the benchmark is empty or has no words. Items of a null id hit, but are not listed; items of one
-    id count as one. Other columns are not carried. Ids of docs may repeat unless the benchmark has parts.
+    id count as one. Other columns are not carried. Ids of docs may repeat or be null.
     """
+    spark = docs.sparkSession
+    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text_column).cast("string").alias("text"))
+    n_parts = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
+    if n_parts == 1:
+        sent = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])  # part_bytes of text at most
+    else:
+        at = work_dir(spark, "benchmark")
+        items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n_parts)).cast("int")).repartition("part").write.partitionBy("part").parquet(at)
+        found = sorted(r.file for r in spark.read.parquet(at).select(F.input_file_name().alias("file")).distinct().collect())  # a file or few a part
+        sent = spark.sparkContext.broadcast(found)
+
+    def automata() -> Iterator[object]:
+        if n_parts == 1:
+            yield automaton(patterns(sent.value, window))
+            return
+        for name in sent.value:
+            with files.reading(name) as opened:
+                rows = pq.read_table(opened, columns=["item", "text"]).to_pydict()
+            yield automaton(patterns(list(zip(rows["item"], rows["text"], strict=True)), window))
+
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, hits array<struct<a:long,b:long>>, spans array<struct<a:long,b:long>>, items array<string>"
+    schema = f"doc_id {kind}, tie long, n_words long, hits array<struct<a:long,b:long>>, spans array<struct<a:long,b:long>>, items array<string>"
     pair = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-    own_docs = docs.select(id_column, text_column)
-
-    def scanned(items: list[tuple[object, str | None]]) -> DataFrame:
-        # An automaton pickles badly when large, so its patterns travel, and each worker builds it once.
-        sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(patterns(items, window)))
-
-        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            made = automaton(pickle.loads(sent.value))
-            for batch in batches:
-                out: dict[str, list] = defaultdict(list)
-                for start in range(0, batch.num_rows, ROWS):
-                    for text in batch.column(1).slice(start, ROWS).to_pylist():
-                        n, ranges, ids = scan(text, made)
-                        out["n"].append(n)
-                        out["hits"].append([{"a": a, "b": b} for a, b in ranges])
-                        out["spans"].append([{"a": a, "b": b} for a, b in offsets(text, ranges)])
-                        out["items"].append(sorted(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out["n"], pa.int64()), pa.array(out["hits"], pair), pa.array(out["spans"], pair), pa.array(out["items"], pa.list_(pa.string()))], names=["doc_id", "n_words", "hits", "spans", "items"])
-
-        return own_docs.mapInArrow(of, schema)
-
-    found = [scanned(items) for items in parts_of(benchmark, item_column, item_text_column, part_bytes)]
-    if len(found) == 1:
-        return found[0]
-    together = found[0]
-    for more in found[1:]:
-        together = together.unionByName(more)
-    # Ranges of several parts may overlap: merged, in their order.
-    together = together.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return together.withColumns({c: merged_ranges(F.array_sort(c)) for c in ("hits", "spans")})
-
-
-def merged_ranges(ranges) -> F.Column:
-    """Sorted ranges with those that touch or overlap made one."""
-    empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    last = lambda got: F.element_at(got, -1)
-    return F.aggregate(ranges, empty, lambda got, x: F.when((F.size(got) > 0) & (x["a"] <= last(got)["b"]), F.concat(F.slice(got, F.lit(1), F.greatest(F.size(got) - 1, F.lit(0))), F.array(F.struct(last(got)["a"].alias("a"), F.greatest(last(got)["b"], x["b"]).alias("b"))))).otherwise(F.concat(got, F.array(x))))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = list(automata()) if n_parts == 1 else None
+        for batch in batches:
+            for start, n in text_slices(batch.column(2), CHUNK_BYTES if only is None else ONE_PART_BYTES):
+                own = batch.slice(start, n)
+                texts = own.column(2).to_pylist()
+                words = [words_of(text) for text in texts]
+                n_words, lines = [len(w) for w in words], [line_of(w) if w else "" for w in words]
+                del words
+                hits: list[list[tuple[int, int]]] = [[] for _ in texts]
+                names: list[set[str]] = [set() for _ in texts]
+                for made in only or automata():
+                    for i, line in enumerate(lines):
+                        if line:
+                            ranges, ids = scan(line, made)
+                            hits[i] = merged(sorted(hits[i] + ranges)) if hits[i] and ranges else hits[i] or ranges
+                            names[i] |= ids
+                pairs = lambda every: pa.array([[{"a": a, "b": b} for a, b in x] for x in every], pair)
+                spans = [offsets(text, ranges) for text, ranges in zip(texts, hits, strict=True)]
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(n_words, pa.int64()), pairs(hits), pairs(spans), pa.array([sorted(x) for x in names], pa.list_(pa.string()))], names=["doc_id", "tie", "n_words", "hits", "spans", "items"])
+
+    return docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("tie"), F.col(text_column).cast("string").alias("text")).mapInArrow(of, schema)
 
 
 def n_hit() -> F.Column:
@@ -153,7 +162,7 @@ def n_hit() -> F.Column:
     return F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """docs without the rows whose id has a hit. Rows of a null id stay."""
-    hit = find_windows(docs, benchmark, id_column=id_column, **options).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(hit, F.col(id_column) == F.col("_hit_id"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """docs without the rows that have a hit. Each row stands or falls by its own text, whether its id is repeated, null or neither."""
+    found = find_windows(docs, benchmark, id_column=id_column, text_column=text_column, **options)
+    return without(docs, found.filter(F.size("hits") > 0), id_column, text_column)

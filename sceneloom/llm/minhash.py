@@ -6,10 +6,9 @@ first and one of the second is a table key, so HALVES**2 tables of 2 * ROWS minh
 similarity s share no key with chance below 2 * (1 - s**ROWS)**HALVES: 4e-4 at s = 0.8, 2e-5 at 0.85.
 
 Equal sets are made one class first. Of each table's bucket, every class is compared with the smallest
-(the lead); links make components. Then pairs of one bucket whose components differ are compared
-too, so that no link between components is missed; pairs are left out only if they are known to be
-linked through others, or cannot be similar because of what they share with the lead. A bucket's largest
-component is compared with what is outside it in blocks, of which only links come out. So a group of n copies costs n comparisons,
+(the lead); links make components. Then members of one bucket whose components differ are compared
+too, so that no link between components is missed: with a few of the bucket's largest component first, and what
+stays outside of it with all of that component, in blocks of which only links come out. So a group of n copies costs n comparisons,
 not n * n, and none of its links that matters is lost. Buckets are only ever counted or joined, never gathered.
 """
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, work_dir
+from .common import checkpointed, free_name, if_few, work_dir
 
 HALVES, ROWS = 12, 3
 #: Percent of the union that the intersection has to be.
@@ -35,8 +34,6 @@ PIVOT_TURNS = 2
 LINKS_OF_TASK = 200_000
 #: Rows of a block, of which two are compared in a task.
 BLOCK = 256
-#: Ids are broadcast up to this number (16 bytes each in memory); more are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
 #: Hashes of so many distinct words are remembered in a Python worker.
 REMEMBERED = 300_000
 BATCH = 256
@@ -130,8 +127,7 @@ def keys(signs: DataFrame, halves: int) -> DataFrame:
 
 def within(ids: DataFrame, docs: DataFrame, id_column: str) -> DataFrame:
     """The rows of docs whose id is in ids (one column, id). ids are broadcast if they are few, which is counted."""
-    few = ids.count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(ids) if few else ids, F.col(id_column) == F.col("id"), "left_semi")
+    return docs.join(if_few(ids), F.col(id_column) == F.col("id"), "left_semi")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -219,7 +215,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def still_open(members: DataFrame, known: DataFrame) -> DataFrame:
-    """members (key, doc_id, both, n) of buckets with several components, with component and the bucket's largest one."""
+    """members (key, doc_id) of buckets with several components, with component and the bucket's largest one."""
     placed = members.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     several = placed.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one < other").select("key")
     placed = placed.join(several, "key")
@@ -259,7 +255,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR, id_c
     linked = F.col("both") * 100 >= F.col("either") * similar
 
     # What is left: members of one bucket in different components, neither of them its lead.
-    others = checkpointed(members.filter("doc_id <> lead").join(first.select(F.col("a").alias("doc_id"), F.col("b").alias("lead"), "both", F.col("size_a").alias("n")), ["doc_id", "lead"]).drop("lead"))
+    others = checkpointed(members.filter("doc_id <> lead").join(first.select(F.col("a").alias("doc_id"), F.col("b").alias("lead")), ["doc_id", "lead"]).drop("lead"))
     tested, stars = first, components(first.filter(linked).select("a", "b"))
     for turn in range(PIVOT_TURNS):
         placed = still_open(others, stars)
@@ -296,6 +292,7 @@ def missed_below(similarity: float, halves: int = HALVES, rows: int = ROWS) -> f
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """docs without the rows that near_duplicates() does not keep."""
-    kept = near_duplicates(docs, id_column=id_column, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped_id")).distinct()
-    return docs.join(kept, F.col(id_column) == F.col("_dropped_id"), "left_anti")
+    """docs without the rows that near_duplicates() does not keep. Rows of a null id stay."""
+    gone = free_name(docs, "_gone_id")
+    dropped = near_duplicates(docs, id_column=id_column, **options).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(if_few(checkpointed(dropped)), F.col(id_column) == F.col(gone), "left_anti")

@@ -9,7 +9,8 @@ left. Which sources that half holds is one draw from the multivariate hypergeome
 distribution. A leaf is a shard: it gets, of each source, a run of blocks that no other shard has,
 and shuffles what it draws locally.
 
-DataFrame functions only. Quota units number QUOTA_UNITS plus one a source at most; all that
+DataFrame functions only. The plan is made of ids and sizes; texts are moved once, when the rows of the mix are
+put together. Quota units number QUOTA_UNITS plus one a source at most; all that
 grows with the documents stays distributed, and no source is ever gathered in one task.
 """
 
@@ -19,16 +20,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import free_name, n_words_of
+from .common import checkpointed, free_name, n_words_of
 
 #: No source is taken more often than this.
 MOST_REPEATS = 3
 #: Blocks in the whole mix, about. It bounds the quota table, whatever the input is.
 QUOTA_UNITS = 2048
-#: The line of a source is laid out in 2**LINE_BITS pieces, each sorted on its own.
-LINE_BITS = 12
-#: So are the rows of an output shard, in 2**LOCAL_BITS pieces.
-LOCAL_BITS = 8
+#: Lines and shards are laid out in pieces of about so many rows, each sorted on its own. They don't change the result.
+PIECE_ROWS = 50_000
 
 
 def source_targets(by_source: DataFrame, weights: Sequence[int] = (5, 2, 1)) -> DataFrame:
@@ -85,97 +84,116 @@ def quota_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return node.select("source", block.alias("block"), F.col("low").alias("shard"))
 
 
-def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 23, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", line_bits: int = LINE_BITS, carried: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """What the mix takes of each document, and the targets and quotas of the sources.
+def bits_of(rows: int) -> int:
+    """Bits that number pieces of PIECE_ROWS."""
+    return max(1, (rows // PIECE_ROWS).bit_length())
 
-    The first table has the columns of docs, or those that are carried, in a struct `row`, and size, source, source_size, target,
+
+def sized(docs: DataFrame, seed: int, id_column: str, text_column: str, source_column: str) -> DataFrame:
+    """Rows (doc_id, key, copy, source, size), one for each row of docs. copy tells rows of one id, text and source apart."""
+    rows = docs.select(*keys_of(docs, seed, id_column, text_column, source_column), n_words_of(F.col(text_column)).alias("size"))
+    return rows.select("doc_id", "key", copy_number().alias("copy"), "source", "size")
+
+
+def keys_of(docs: DataFrame, seed: int, id_column: str, text_column: str, source_column: str) -> list:
+    return [F.col(id_column).alias("doc_id"), F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column)).alias("key"), F.col(source_column).alias("source")]
+
+
+def copy_number() -> F.Column:
+    same = Window.partitionBy("key", "doc_id", "source")
+    return F.row_number().over(same.orderBy(F.lit(0)))
+
+
+def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 23, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> tuple[DataFrame, DataFrame, int]:
+    """What the mix takes of each document, the targets and quotas of the sources, and the number of rows.
+
+    The first table has doc_id, key, copy, source and size, and source_size, target,
     block_words, line_start (where the document's words begin in its source's line) and taken, the
     words of it that the mix takes, repeats counted. The sum of taken over a source is its target,
     rounded. A document is taken a whole number of times, but for the one a source that its target
     cuts. The order of the line depends on the seed, the id and the text; rows equal in both share
     their places. A null or empty text has no words and is never taken. A null source is one like
-    others. An empty table gives empty tables. Columns of docs stay in `row`, so no name can clash.
+    others. An empty table gives empty tables.
     """
-    size, key = n_words_of(F.col(text_column)), F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column))
-    source, piece = F.col(source_column), F.shiftrightunsigned(key, 64 - line_bits).cast("int")
+    rows = checkpointed(sized(docs, seed, id_column, text_column, source_column))
+    n_rows = rows.count()
+    piece = F.shiftrightunsigned("key", 64 - bits_of(n_rows)).cast("int")
     # A null source has a partition and a join key too.
-    place = [F.coalesce(source, F.lit("")).alias("name"), source.isNull().alias("unnamed"), piece.alias("piece")]
+    rows = rows.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"), piece.alias("piece"), "doc_id", "key", "copy", "size")
     by_source = Window.partitionBy("name", "unnamed")
-    pieces = docs.select(*place, size.alias("size")).groupBy("name", "unnamed", "piece").agg(F.sum("size").alias("words"))
+    pieces = rows.groupBy("name", "unnamed", "piece").agg(F.sum("size").alias("words"))
     pieces = pieces.select("*", (F.sum("words").over(by_source.orderBy("piece")) - F.col("words")).alias("piece_start"))
     targets = pieces.groupBy("name", "unnamed").agg(F.sum("words").alias("source_size"))
     targets = targets.select(F.when(~F.col("unnamed"), F.col("name")).alias("source"), "source_size")
-    targets = with_quotas(source_targets(targets, weights))
+    targets = checkpointed(with_quotas(source_targets(targets, weights)))
     named = targets.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"), "*")
     pieces = pieces.drop("words").join(named, ["name", "unnamed"])
 
-    rows = docs.select(F.struct(*[F.col(c) for c in carried or docs.columns]).alias("row"), *place, size.alias("size"), key.alias("key"))
     rows = rows.join(pieces, ["name", "unnamed", "piece"])
-    order = Window.partitionBy("name", "unnamed", "piece").orderBy("key", F.col(f"row.{id_column}")).rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("name", "unnamed", "piece").orderBy("key", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("line_start", F.col("piece_start") + F.sum("size").over(order) - F.col("size"))
     taken = F.lit(0).cast("long")
     for epoch in range(MOST_REPEATS):
         left = F.round(F.col("target")).cast("long") - epoch * F.col("source_size") - F.col("line_start")
         taken = taken + F.greatest(F.lit(0).cast("long"), F.least(left, F.col("size")))
-    return rows.select("row", "size", "source", "source_size", "target", "block_words", "line_start", taken.alias("taken")), targets
+    planned = rows.select("doc_id", "key", "copy", "source", "size", "source_size", "target", "block_words", "line_start", taken.alias("taken"))
+    return checkpointed(planned), targets, n_rows
 
 
-def drawn(planned: DataFrame, quotas: DataFrame, shards: int, seed: int, id_column: str) -> DataFrame:
-    """planned with epoch, words, to and local: one row for each time a document is drawn, of which words go to shard `to`.
+def drawn(planned: DataFrame, quotas: DataFrame, n_rows: int, shards: int, seed: int) -> DataFrame:
+    """Rows (doc_id, key, copy, source, size, line_start, epoch, words, to, slot), one for each time a document is drawn.
 
-    local is the place in the shard's random order. Documents that are not taken have no row here.
+    Of the document, words go to the output shard `to`, where slot is the number of the row in the shard's random order.
+    A shard is ordered in pieces, so that none is sorted in one task; where a piece begins follows from the sizes of
+    those before it. Documents that are not taken have no row here.
     """
     takes = planned.filter("taken > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1))).alias("epoch"))
     begin = F.col("epoch") * F.col("source_size") + F.col("line_start")
     takes = takes.withColumn("words", F.least(F.col("size"), F.round(F.col("target")).cast("long") - begin)).filter("words > 0")
     takes = takes.withColumn("block", F.floor(begin / F.col("block_words")).cast("int"))
     draws = quota_tree(quotas, shards, seed).select(F.col("source").alias("from"), F.col("block").alias("drawn"), F.col("shard").alias("to"))
-    takes = takes.join(draws, F.col("source").eqNullSafe(F.col("from")) & (F.col("block") == F.col("drawn"))).drop("from", "drawn")
-    return takes.withColumn("local", F.xxhash64(F.lit(seed), F.lit("local"), "epoch", f"row.{id_column}", "line_start"))
-
-
-def numbered(docs: DataFrame, weights: Sequence[int], shards: int, seed: int, id_column: str, text_column: str, source_column: str, line_bits: int) -> DataFrame:
-    """The rows of drawn(), with slot, the number of the row in its shard, and text, the words drawn.
-
-    A shard is ordered in pieces, so that none is sorted in one task. Where a piece begins follows
-    from the sizes of those before it, which are counted on the ids alone.
-    """
-    options = (weights, seed, id_column, text_column, source_column, line_bits)
-    piece = F.shiftright("local", 64 - LOCAL_BITS).cast("int").alias("local_piece")
-    counted = drawn(*plan_mix(docs, *options, carried=[id_column]), shards, seed, id_column).groupBy("to", piece).count()
-    starts = counted.select(F.col("to").alias("_to"), F.col("local_piece").alias("_piece"), (F.sum("count").over(Window.partitionBy("to").orderBy("local_piece")) - F.col("count")).alias("start"))
-    takes = drawn(*plan_mix(docs, *options), shards, seed, id_column).select("*", piece)
-    words = F.regexp_extract_all(F.col(f"row.{text_column}"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")).otherwise(F.col(f"row.{text_column}"))
-    order = Window.partitionBy("to", "local_piece").orderBy("local", "epoch", "source", "line_start")
-    takes = takes.select("*", text.alias("text"), F.row_number().over(order).alias("place"))
-    takes = takes.join(F.broadcast(starts), (F.col("to") == F.col("_to")) & (F.col("local_piece") == F.col("_piece")))  # shards * 2**LOCAL_BITS rows at most
-    return takes.withColumn("slot", F.col("start") + F.col("place") - 1)
-
-
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), shards: int = 32, seed: int = 23, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", line_bits: int = LINE_BITS) -> DataFrame:
+    takes = takes.join(F.broadcast(draws), F.col("source").eqNullSafe(F.col("from")) & (F.col("block") == F.col("drawn")))  # QUOTA_UNITS rows, and one a source
+    local = F.xxhash64(F.lit(seed), F.lit("local"), "epoch", "doc_id", "line_start")
+    bits = bits_of(MOST_REPEATS * n_rows // shards)
+    takes = takes.select("doc_id", "key", "copy", "source", "size", "line_start", "epoch", "words", "to", local.alias("local"), F.shiftright(local, 64 - bits).cast("int").alias("piece"))
+    takes = checkpointed(takes)
+    starts = takes.groupBy("to", "piece").count()
+    starts = starts.select("to", "piece", (F.sum("count").over(Window.partitionBy("to").orderBy("piece")) - F.col("count")).alias("start"))
+    order = Window.partitionBy("to", "piece").orderBy("local", "epoch", "source", "line_start")
+    takes = takes.withColumn("place", F.row_number().over(order)).join(F.broadcast(starts), ["to", "piece"])  # a row of 16 bytes for PIECE_ROWS rows, or a shard
+    return takes.withColumn("slot", F.col("start") + F.col("place") - 1).drop("piece", "local", "place", "start")
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), shards: int = 32, seed: int = 23, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """The mix: the columns of docs, with mix_shard and mix_slot, one row for each time a document is taken.
 
     The document that the end of a source's quota cuts comes with its first words only. mix_slot
     numbers a shard's rows, from 0, in their local random order. Shards hold about as many words each.
+    Columns of docs stay apart from those of the plan, so no name can clash.
     """
-    takes = numbered(docs, weights, shards, seed, id_column, text_column, source_column, line_bits)
-    columns = [F.col("text").alias(c) if c == text_column else F.col(f"row.{c}").alias(c) for c in docs.columns]
-    return takes.select(*columns, F.col("to").alias(free_name(docs, "mix_shard")), F.col("slot").alias(free_name(docs, "mix_slot")))
+    planned, quotas, n_rows = plan_mix(docs, weights, seed, id_column, text_column, source_column)
+    takes = drawn(planned, quotas, n_rows, shards, seed)
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    rows = docs.select(row, *keys_of(docs, seed, id_column, text_column, source_column)).withColumn("copy", copy_number())
+    wanted = takes.select(*[F.col(c).alias(f"_{c}") for c in ("key", "doc_id", "source", "copy")], "size", "words", "to", "slot")
+    same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("copy") == F.col("_copy"))
+    found = rows.join(wanted, same)
+    words = F.regexp_extract_all(F.col(f"row.{text_column}"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")).otherwise(F.col(f"row.{text_column}"))
+    columns = [(text if c == text_column else F.col(f"row.{c}")).alias(c) for c in docs.columns]
+    return found.select(*columns, F.col("to").alias(free_name(docs, "mix_shard")), F.col("slot").alias(free_name(docs, "mix_slot")))
 
 
-def mixed_words(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), shards: int = 32, seed: int = 23, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", line_bits: int = LINE_BITS) -> DataFrame:
+def mixed_words(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), shards: int = 32, seed: int = 23, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken, source, places), one for each row of docs, of what mix() draws.
 
-    taken counts the words of the document in all shards of the mix, 0 if none has any. places lists
-    the shard and the slot of each of its draws, as in `3:17,20:4`; it is empty if there are none.
+    taken is the sum of the words that the leaves of the tree draw of the document, 0 if none draws any. places lists
+    the shard and the slot of each draw, as in `3:17,20:4`; it is empty if there are none.
     """
-    planned, _ = plan_mix(docs, weights, seed, id_column, text_column, source_column, line_bits, carried=[id_column])
-    takes = numbered(docs, weights, shards, seed, id_column, text_column, source_column, line_bits)
-    # Rows of words have places of their own in the line of their source.
-    keys = [F.col(f"row.{id_column}").alias("_id"), F.col("source").alias("_source"), F.col("line_start").alias("_start"), F.col("size").alias("_size")]
+    planned, quotas, n_rows = plan_mix(docs, weights, seed, id_column, text_column, source_column)
     draw = F.struct("epoch", F.concat_ws(":", "to", "slot").alias("place"))
-    found = takes.select(*keys, n_words_of(F.col("text")).alias("n"), draw.alias("draw")).groupBy("_id", "_source", "_start", "_size")
-    found = found.agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list("draw"))["place"], ",").alias("places"))
-    same = F.col(f"row.{id_column}").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("line_start") == F.col("_start")) & (F.col("size") == F.col("_size"))
-    return planned.join(found, same, "left").select(F.col(f"row.{id_column}").alias("doc_id"), "size", "source_size", "target", F.coalesce("n", F.lit(0).cast("long")).alias("taken"), "source", F.coalesce("places", F.lit("")).alias("places"))
+    by = ["key", "doc_id", "source", "copy"]
+    found = drawn(planned, quotas, n_rows, shards, seed).groupBy(*by).agg(F.sum("words").alias("n"), F.array_join(F.array_sort(F.collect_list(draw))["place"], ",").alias("places"))
+    found = found.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("copy") == F.col("_copy"))
+    return planned.join(found, same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0).cast("long")).alias("taken"), "source", F.coalesce("places", F.lit("")).alias("places"))

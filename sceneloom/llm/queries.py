@@ -15,7 +15,9 @@ END_ID = 2
 
 
 def op1_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
+    folder = work_dir(spark, "shards")
+    sharding.write_shards(sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS), folder)
+    docs = spark.read.schema("doc_id long, text string, slot long, shard int").parquet(folder)
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     return docs.select("doc_id", sharding.row_size(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

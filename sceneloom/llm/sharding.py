@@ -2,8 +2,9 @@
 
 Pass 1 scatters the rows by a seeded hash into buckets that fit in memory, one bucket to a
 partition. Pass 2 puts each bucket in a canonical order, applies a Fisher-Yates shuffle to it
-and lays the buckets end to end. That one long random order is cut into shards whose row counts
-differ by one at most (law `rows`), each numbered without gaps from 0.
+and writes it. The buckets laid end to end are one long random order, which is cut into shards whose row
+counts differ by one at most (law `rows`), each numbered without gaps from 0. Where there would be more
+buckets than one shuffle can have partitions, a scatter into folders comes before, and each is shuffled alone.
 
 DataFrame functions only. Nothing but the row count of each bucket is summed over the data.
 """
@@ -12,12 +13,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import free_name
+from .common import free_name, work_dir
 
 #: Bytes of rows that a task holds at once in pass 2. Tasks need a few times that.
 BUCKET_BYTES = 16 << 20
-#: A shuffle of more partitions than this costs more than it gains; beyond it buckets grow.
-MAX_BUCKETS = 200_000
+#: Partitions of one shuffle at most. More buckets take one more scatter.
+MAX_BUCKETS = 100_000
 
 
 def row_size(text) -> F.Column:
@@ -39,28 +40,52 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 17, bucket_bytes: int =
     key = F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column))
     row = F.struct(*[F.col(c) for c in docs.columns])
     n_rows, n_bytes = docs.select(F.count(F.lit(1)), F.sum(row_size(F.col(text_column)))).first()
-    buckets = max(1, min(MAX_BUCKETS, -(-(n_bytes or 0) // bucket_bytes)))
-    bucket = F.pmod(key, F.lit(buckets)).cast("int")
-
-    # Where each bucket begins in the one long order: a running sum over one row a bucket. There are
-    # MAX_BUCKETS such rows of 12 bytes at most, so they can be broadcast.
-    starts = docs.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    starts = starts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"))
-
-    scattered = docs.select(bucket.alias("bucket"), key.alias("key"), row.alias("row")).repartitionById(buckets, "bucket")
-    shuffled = (
-        scattered.sortWithinPartitions("bucket", "key", F.col(f"row.{id_column}"))
-        .groupBy("bucket")
-        .agg(F.collect_list("row").alias("rows"))
-        .select("bucket", F.posexplode(F.shuffle("rows", seed)).alias("at", "row"))
-    )
-    rank = F.col("start") + F.col("at")
-    placed = shuffled.join(F.broadcast(starts), "bucket").select("row", (rank * shards).alias("scaled"), rank.alias("rank"))
-    to = F.expr(f"scaled div {max(1, n_rows)}")
-    first = F.expr(f"((scaled div {max(1, n_rows)}) * {max(1, n_rows)} + {shards - 1}) div {shards}")
-    return placed.select("row.*", to.cast("int").alias(shard_name), (F.col("rank") - first).cast("long").alias(slot_name))
+    buckets = max(1, -(-(n_bytes or 0) // bucket_bytes))
+    scatters = -(-buckets // MAX_BUCKETS)
+    bucket = F.pmod(key, F.lit(buckets))
+    n_rows = max(1, n_rows)
+
+    # Where each bucket begins in the one long order: a running sum over one row a bucket, within a scatter and over those.
+    counts = docs.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("scatter", F.expr(f"bucket div {MAX_BUCKETS}"))
+    within = Window.partitionBy("scatter").orderBy("bucket")
+    counts = counts.select("scatter", (F.col("bucket") - F.col("scatter") * MAX_BUCKETS).cast("int").alias("bucket"), "n", (F.sum("n").over(within) - F.col("n")).alias("start"))
+
+    def placed(own: DataFrame, scatter: int, before: int) -> DataFrame:
+        starts = counts.filter(F.col("scatter") == scatter).select("bucket", "start")  # MAX_BUCKETS rows of 12 bytes at most
+        here = min(MAX_BUCKETS, buckets - scatter * MAX_BUCKETS)
+        inside = (bucket - scatter * MAX_BUCKETS).cast("int")
+        scattered = own.select(inside.alias("bucket"), key.alias("key"), row.alias("row")).repartitionById(here, "bucket")
+        shuffled = (
+            scattered.sortWithinPartitions("bucket", "key", F.col(f"row.{id_column}"))
+            .groupBy("bucket")
+            .agg(F.collect_list("row").alias("rows"))
+            .select("bucket", F.posexplode(F.shuffle("rows", seed + scatter)).alias("at", "row"))
+        )
+        rank = F.lit(before) + F.col("start") + F.col("at")
+        found = shuffled.join(F.broadcast(starts), "bucket").select("row", (rank * shards).alias("scaled"), rank.alias("rank"))
+        to = F.expr(f"scaled div {n_rows}")
+        first = F.expr(f"((scaled div {n_rows}) * {n_rows} + {shards - 1}) div {shards}")
+        return found.select("row.*", to.cast("int").alias(shard_name), (F.col("rank") - first).cast("long").alias(slot_name))
+
+    if scatters == 1:
+        return placed(docs, 0, 0)
+    at, folder = work_dir(docs.sparkSession, "scatter"), free_name(docs, "_scatter")
+    apart = docs.withColumn(folder, F.floor(bucket / MAX_BUCKETS).cast("int"))
+    apart.repartition(folder, F.pmod(F.shiftright(key, 20), F.lit(64))).write.partitionBy(folder).parquet(at)
+    sums = {r.scatter: r.n for r in counts.groupBy("scatter").agg(F.sum("n").alias("n")).collect()}  # a row a scatter
+    found, before = None, 0
+    for scatter in range(scatters):
+        if scatter in sums:
+            own = docs.sparkSession.read.schema(docs.schema).parquet(f"{at}/{folder}={scatter}")
+            more = placed(own, scatter, before)
+            found, before = more if found is None else found.unionAll(more), before + sums[scatter]
+    return found
 
 
 def write_shards(sharded: DataFrame, path: str, shard_column: str = "shard", slot_column: str = "slot") -> None:
-    """One folder a shard, its rows in the order of their slots."""
-    sharded.repartition(shard_column).sortWithinPartitions(shard_column, slot_column).write.mode("overwrite").partitionBy(shard_column).parquet(path)
+    """Writes the result of shard() as it comes: one folder a shard, <shard_column>=<number>.
+
+    A task has the rows of one bucket, which follow each other in one shard, or in few. So nothing is shuffled again; each file
+    holds a run of slots in their order, and a shard's files in the order of their names hold its slots in theirs.
+    """
+    sharded.sortWithinPartitions(shard_column, slot_column).write.partitionBy(shard_column).parquet(path)

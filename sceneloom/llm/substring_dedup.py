@@ -10,7 +10,7 @@ a smaller document. Overlapping windows make the maximal spans that are removed.
 To broadcast automata of all documents and stream all documents through each would cost the square
 of the corpus. So shards are formed by content. Each window has an anchor, the run of ANCHOR words in it
 with the smallest hash; equal windows have equal anchors. Neighbouring windows with one anchor are a stretch
-of text. Only anchors of two documents or more matter; a bitmap of fixed size, of their hashes, is
+of text. Only anchors of two documents or more matter; a bitmap of their hashes, of MOST_BITS at most, is
 broadcast, and stretches whose anchor is in it are sent to the shard of the anchor. So all copies of a
 window meet in one shard, and each shard's automaton is built of, and streamed with, the shard's own
 distinct stretches. Equal stretches are one row, with the smallest id, before they are sent, so copies of a
@@ -26,15 +26,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, work_dir
-from .minhash import MOST_BROADCAST, WordHashes, mixed
+from .common import checkpointed, if_few, whole_number_ids, work_dir
+from .minhash import WordHashes, mixed
 
 #: Words of a window, and of its anchor.
 SPAN, ANCHOR = 50, 16
 #: Distinct stretches of one anchor that are put in one automaton.
 MOST_STRETCHES = 512
-#: Bits of the bitmap of repeated anchors. When it fills up at very large inputs, more stretches are sent, no others judged.
-BITS = 1 << 26
+#: Stretches that hold one window, from which on it is not joined by a shuffle.
+MOST_HELD = 2000
+#: Bits of the bitmap of repeated anchors: SPARSE for each of those, as a power of two, between these. At 128 MB it may fill up at
+#: very large inputs; then more stretches are sent, no others judged.
+SPARSE, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
 BATCH = 128
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -171,16 +174,18 @@ def removals(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(ids[of], pa.int64())], names=["anchor", "doc_id"])
 
     repeated = docs.mapInArrow(anchored, "anchor long, doc_id long").groupBy("anchor").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).filter("one < other")
-    place = F.pmod(F.col("anchor"), F.lit(BITS)) + 1  # Spark numbers places from 1
+    repeated = checkpointed(repeated.select("anchor"))
+    n_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (SPARSE * repeated.count()).bit_length()))
+    place = F.pmod(F.col("anchor"), F.lit(n_bits)) + 1  # Spark numbers places from 1
     bitmap = repeated.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    bits = np.zeros(BITS // 8, np.uint8)
-    for row in bitmap.collect():  # BITS / 8 bytes at most, whatever the input is
+    bits = np.zeros(n_bits // 8, np.uint8)
+    for row in bitmap.toLocalIterator():  # n_bits / 8 bytes at most
         bits[(row.bucket - 1) * 4096 : row.bucket * 4096] |= np.frombuffer(row.bits, np.uint8)[: max(0, len(bits) - (row.bucket - 1) * 4096)]
     sent = spark.sparkContext.broadcast(bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, (words, of, first, n, found) in slices(batches):
-            at = found % BITS
+            at = found % n_bits
             keep = np.flatnonzero(sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
             texts = [b" ".join(words[of[k]][first[k] : first[k] + n[k] + span - 1]) for k in keep]
             yield pa.RecordBatch.from_arrays([pa.array(ids[of[keep]], pa.int64()), pa.array(found[keep], pa.int64()), pa.array(first[keep], pa.int64()), pa.array(n[keep], pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "anchor", "first", "n", "words"])
@@ -192,9 +197,7 @@ def removals(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFra
     found.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("owner"), F.first("words").alias("words")).write.parquet(f"{at}/distinct")
     distinct = spark.read.parquet(f"{at}/distinct")
     # Of these anchors there are as many as stretches, divided by MOST_STRETCHES, at most.
-    crowded = checkpointed(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > MOST_STRETCHES).select("anchor"))
-    few = crowded.count() <= MOST_BROADCAST
-    crowded = F.broadcast(crowded) if few else crowded
+    crowded = if_few(checkpointed(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > MOST_STRETCHES).select("anchor")))
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: list[tuple[int, int, int, list[bytes]]] = []
@@ -236,9 +239,14 @@ def removals(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFra
     runs = distinct.join(crowded, "anchor", "left_anti").select(columns).repartition("anchor").sortWithinPartitions("anchor", "owner", "stretch")
     runs = runs.mapInArrow(matched, "anchor long, stretch long, begin long, before long, smallest long")
     hashed = distinct.join(crowded, "anchor", "left_semi").select(columns).mapInArrow(windows, "anchor long, stretch long, begin long, one long, two long, owner long")
-    least = hashed.groupBy("one", "two").agg(F.min("owner").alias("smallest"))
+    hashed.write.parquet(f"{at}/hashed")
+    hashed = spark.read.parquet(f"{at}/hashed")
+    least = checkpointed(hashed.groupBy("one", "two").agg(F.min("owner").alias("smallest"), F.count(F.lit(1)).alias("k")))
+    # Windows that very many stretches hold are few, a part in MOST_HELD of all at most, and go to all tasks; only others meet by a shuffle.
+    common = if_few(checkpointed(least.filter(F.col("k") > MOST_HELD).select("one", "two", "smallest")))
+    rest = hashed.join(common.drop("smallest"), ["one", "two"], "left_anti").join(least.filter(F.col("k") <= MOST_HELD).drop("k"), ["one", "two"])
     # Windows less than a span apart cover one range of words, so those of one smallest id come out as one row.
-    near = hashed.join(least, ["one", "two"]).groupBy("anchor", "stretch", "smallest", F.floor(F.col("begin") / span).alias("part"))
+    near = hashed.join(common, ["one", "two"]).unionByName(rest).groupBy("anchor", "stretch", "smallest", F.floor(F.col("begin") / span).alias("part"))
     runs = runs.unionByName(near.agg(F.min("begin").alias("begin"), (F.max("begin") + 1).alias("before")).drop("part"))
     spans = found.select("doc_id", "anchor", "stretch", "first").join(runs, ["anchor", "stretch"]).filter("smallest < doc_id")
     return spans.select("doc_id", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("before") + span - 1).alias("before"))
@@ -250,12 +258,15 @@ def remove_repeated(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, id_
     Words are runs of anything but ASCII white space, unchanged. A null or empty text has no words. Windows are
     judged on the input. A row of a null id is smaller than none and loses nothing; rows of one id are
     one document, so they lose what the words of either repeat of smaller ids, at the same places. An
-    empty table gives an empty result. Other columns are not carried.
+    empty table gives an empty result. Ids have to be whole numbers. Other columns are not carried.
     """
+    whole_number_ids(docs, id_column)
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     spans = removals(own.filter("doc_id is not null"), span, anchor)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "before")).alias("spans"))  # fewer than the document's words
-    joined = own.join(spans, "doc_id", "left").select("doc_id", "text", F.col("spans.begin").alias("begin"), F.col("spans.before").alias("before"))
+    # Rows of a null id have no spans; each goes to a task of its own choice.
+    spans = spans.withColumnRenamed("doc_id", "of")
+    joined = own.join(spans, F.coalesce("doc_id", F.xxhash64("text")).eqNullSafe(F.col("of")) & F.col("doc_id").isNotNull(), "left").select("doc_id", "text", F.col("spans.begin").alias("begin"), F.col("spans.before").alias("before"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -45,7 +45,7 @@ class Stretches(dict):
 
 
 class ChunkedCounter:
-    """Counts with one sentencepiece BPE model whose normaliser changes nothing but spaces."""
+    """Counts with one sentencepiece BPE model. If its normaliser changes more than spaces, whole texts are given to the library."""
 
     def __init__(self, model_path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         import sentencepiece
@@ -57,8 +57,12 @@ class ChunkedCounter:
         plain = [self.model.id_to_piece(i) for i in ids if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i))]
         #: Every two characters that stand side by side in a piece.
         self.joined = {p[i : i + 2] for p in plain for i in range(len(p) - 1)}
+        # Boundaries are those of the text only if the normaliser writes spaces as U+2581 and leaves all else as it is. The
+        # probe holds each assigned character of the first plane, between letters, and its compositions and runs.
+        probe = "".join(f"a{chr(c)}" for c in range(1, 0xFFFE) if not 0xD800 <= c < 0xE000 and c != 0x2581) + "  e\u0301\u0323  ﬁ Ａ"
+        self.plain = self.model.normalize(probe) == "▁" + probe.replace(" ", "▁")
         #: Whether a space after anything but a space is always a stable boundary.
-        self.split_by_spaces = not any(pair[1] == "▁" != pair[0] for pair in self.joined)
+        self.split_by_spaces = self.plain and not any(pair[1] == "▁" != pair[0] for pair in self.joined)
         self.known = Stretches(self.model.encode)
 
     def stable(self, before: str, after: str) -> bool:
@@ -70,7 +74,7 @@ class ChunkedCounter:
         return [begin for begin, _ in self.model.encode(text, return_type="offset_mapping")["offsets"]]
 
     def count(self, text: str) -> int:
-        if len(text) > self.chunk + self.overlap:
+        if len(text) > self.chunk + self.overlap and self.plain:
             return self.spliced(text)
         # A literal U+2581 is a space to the vocabulary, but not to split().
         if not self.split_by_spaces or not text or "▁" in text:

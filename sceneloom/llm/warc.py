@@ -3,11 +3,11 @@
 Archives are first written as one gzip stream each (monolithic, as `gzip` makes them of a whole file);
 nothing in such a file can be reached without inflating all before it. The normaliser inflates a stream
 once, from start to end, holding one record at a time, rewrites every record as a gzip member of its
-own, and writes beside the archive an index with the offset and length of each member. Readers then
-reach any record alone.
+own, and writes beside the archive an index with the offset, length, record id and URI of each member. Readers
+then reach any record alone.
 
 Payloads that are equal are stored once, as a `response` of the record with the largest id; the others
-are `revisit` records that refer to it. Equality is found by digest in Spark; only the rows of digests,
+are `revisit` records that refer to it. Equality is found by digest in Spark; only digests and ids,
 not payloads, are grouped.
 """
 
@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import files
+from .common import checkpointed, if_few, whole_number_ids
 
 #: Bytes read from an archive at a time, and rows turned into records at a time.
 READ_BYTES, ROWS = 1 << 18, 64
@@ -37,15 +38,21 @@ def with_types(pages: DataFrame, least_bytes: int = 0, id_column: str = "page_id
     """Rows (page_id, url, payload, refers_to): refers_to is the record that holds the payload, null for a response.
 
     Of rows with equal payloads of at least least_bytes bytes, the largest id is the response. A null payload
-    is an empty one. Rows of one id and equal payloads are all responses if theirs is the largest id.
+    is an empty one. Rows of one id and equal payloads are all responses if theirs is the largest id. A null id is smaller than
+    none and refers to nothing. Ids have to be whole numbers.
     """
-    payload = F.coalesce(F.col(payload_column), F.lit(""))
+    whole_number_ids(pages, id_column)
+    payload = F.coalesce(F.col(payload_column).cast("string"), F.lit(""))
     pages = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), payload.alias("payload"))
-    pages = pages.withColumn("digest", F.sha2("payload", 256))
-    largest = pages.select("digest", "page_id").groupBy("digest").agg(F.max("page_id").alias("largest"))
-    joined = pages.join(largest, "digest")
-    revisits = (F.octet_length("payload") >= least_bytes) & (F.col("page_id") < F.col("largest"))
-    return joined.select("page_id", "url", "payload", F.when(revisits, F.col("largest")).alias("refers_to"))
+    digest = F.sha2("payload", 256)
+    ids = checkpointed(pages.filter(F.octet_length("payload") >= least_bytes).select("page_id", digest.alias("digest")))
+    # Payloads that repeat, and the rows that refer to them: a row an id, of a digest and two numbers.
+    largest = ids.groupBy("digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    refers = if_few(checkpointed(largest.select("digest", "largest")))
+    # The id is part of the key, so that many copies of one page don't meet in one task.
+    revisits = ids.join(refers, "digest").filter("page_id < largest").select(F.col("page_id").alias("id"), F.col("digest").alias("of"), F.col("largest").alias("refers_to")).distinct()
+    revisits = if_few(checkpointed(revisits))
+    return pages.join(revisits, (F.col("page_id") == F.col("id")) & (digest == F.col("of")), "left").select("page_id", "url", "payload", "refers_to")
 
 
 def payload_digest(payload: bytes) -> str:
@@ -116,12 +123,14 @@ def parsed(found: bytes) -> dict[str, object]:
     }
 
 
-def normalise(monolith: BinaryIO, out: BinaryIO) -> list[tuple[int, int]]:
-    """Rewrites a gzip stream of records with a member for each; the members' offsets and lengths.
+def normalise(monolith: BinaryIO, out: BinaryIO) -> list[dict[str, object]]:
+    """Rewrites a gzip stream of records with a member for each; for each its offset, length, record id and URI.
 
-    The input is inflated once. It may itself be of several members.
+    The input is inflated once. It may itself be of several members, with zero bytes after the last one. A stream that ends
+    before its last member does, or inside a record, is an error.
     """
     index, at, records, inflate = [], 0, Records(), zlib.decompressobj(31)
+    begun = False  # whether a member has begun that has not ended
 
     def rewrite(data: bytes) -> None:
         nonlocal at
@@ -129,17 +138,21 @@ def normalise(monolith: BinaryIO, out: BinaryIO) -> list[tuple[int, int]]:
             deflate = zlib.compressobj(LEVEL, wbits=31)
             member = deflate.compress(found) + deflate.flush()
             out.write(member)
-            index.append((at, len(member)))
+            fields = header(found.partition(END)[0])
+            index.append({"offset": at, "length": len(member), "id": fields["warc-record-id"], "uri": fields.get("warc-target-uri", "")})
             at += len(member)
 
     while data := monolith.read(READ_BYTES):
-        while data:
+        while data := data if begun else data.lstrip(b"\0"):
+            begun = True
             rewrite(inflate.decompress(data, READ_BYTES))
-            while inflate.unconsumed_tail:
+            while inflate.unconsumed_tail and not inflate.eof:
                 rewrite(inflate.decompress(inflate.unconsumed_tail, READ_BYTES))
             data = inflate.unused_data
             if inflate.eof:
-                inflate = zlib.decompressobj(31)
+                inflate, begun = zlib.decompressobj(31), False
+    if begun:
+        raise ValueError("the archive ends inside a gzip member")
     if records.rest:
         raise ValueError("the archive ends inside a record")
     return index
@@ -149,7 +162,7 @@ def write(pages: DataFrame, folder: str, **columns) -> list[tuple[str, int]]:
     """Writes normalised archives with their indices; the archives, with the number of records in each.
 
     Each task writes its rows as a monolithic archive, normalises that and deletes it. Beside
-    part-N.warc.gz stands part-N.index.json, a line {"offset", "length"} for each record.
+    part-N.warc.gz stands part-N.index.json, a line {"offset", "length", "id", "uri"} for each record.
     """
     files.make_folder(folder)
 
@@ -168,8 +181,8 @@ def write(pages: DataFrame, folder: str, **columns) -> list[tuple[str, int]]:
         with files.reading(monolith) as found, files.writing(f"{name}.warc.gz") as out:
             index = normalise(found, out)
         with files.writing(f"{name}.index.json") as out:
-            for offset, length in index:
-                out.write(json.dumps({"offset": offset, "length": length}).encode() + b"\n")
+            for entry in index:
+                out.write(json.dumps(entry).encode() + b"\n")
         files.delete(monolith)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)], pa.int64())], names=["file", "n"])
 
