@@ -30,7 +30,7 @@ HALVES, ROWS = 12, 3
 SIMILAR = 80
 #: So often members outside a bucket's largest component are compared with one member of that, before all are.
 PIVOT_TURNS = 2
-#: Links that one task of a step towards components is given.
+#: Links that one task of a step towards components is given; so many at most are solved in one.
 LINKS_OF_TASK = 200_000
 #: Rows of a block, of which two are compared in a task.
 BLOCK = 256
@@ -190,16 +190,39 @@ def in_blocks(queries: DataFrame, members: DataFrame, texts: DataFrame, size: in
     return left.cogroup(right).applyInPandas(of, f"a {kind}, b {kind}").distinct()
 
 
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From links (u, v), rows (id, component): the smallest id of those that each is connected with by links of this task."""
+    up: dict = {}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            p, q = root(up.setdefault(u, u)), root(up.setdefault(v, v))
+            up[max(p, q)] = min(p, q)
+        kind = batch.schema.types[0]
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([root(x) for x in up], kind)], names=["id", "component"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """Rows (id, component) for all ids in links (a, b): the smallest id of those that each is connected with.
 
-    Alternates two steps until every component is a star around its smallest id: each node passes its
+    Up to LINKS_OF_TASK links are counted and then solved in one task. More alternate
+    two steps until every component is a star around its smallest id: each node passes its
     smallest neighbour on to its larger neighbours, then to its smaller ones. The rounds needed grow with the
     logarithm of a component's size; each is cut off from those before it by a checkpoint. Steps run in as many
-    tasks as the links are worth, so that small graphs leave few shuffle files.
+    tasks as the links are worth.
     """
     edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    tasks = 1 + edges.count() // LINKS_OF_TASK
+    n_links = edges.count()
+    if n_links <= LINKS_OF_TASK:
+        kind = edges.schema["u"].dataType.simpleString()
+        return checkpointed(edges.coalesce(1).mapInArrow(forest, f"id {kind}, component {kind}"))
+    tasks = 1 + n_links // LINKS_OF_TASK
     edges = edges.coalesce(tasks)
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -27,7 +27,7 @@ MOST_REPEATS = 3
 #: Blocks in the whole mix, about. It bounds the quota table, whatever the input is.
 QUOTA_UNITS = 2048
 #: Lines and shards are laid out in pieces of about so many rows, each sorted on its own. They don't change the result.
-PIECE_ROWS = 50_000
+PIECE_ROWS = 5_000
 
 
 def source_targets(by_source: DataFrame, weights: Sequence[int] = (5, 2, 1)) -> DataFrame:

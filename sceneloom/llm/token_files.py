@@ -39,9 +39,9 @@ MAGIC, HEAD = b"LOOMIDS1", struct.Struct("<8sIQQ")
 #: Documents of a block, and ids from which on it takes no more; a block's ids are what a reader or writer holds at once.
 BLOCK, BLOCK_IDS = 256, 1 << 20
 #: Bytes of text that are encoded at once, or one text if that is longer.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 6 << 20
 #: So many distinct words are remembered in a Python worker twice: those used last, and those used before them.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 # The normaliser and the pre-tokenizer that Encoder knows to look at one word at a time.
 KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 KNOWN_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
@@ -262,7 +262,7 @@ def encode(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_co
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed], names=["id", "tie", "ids"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("tie"), F.col(text_column).cast("string").alias("text"))
-    rows.mapInArrow(of, "id long, tie long, ids binary").write.parquet(folder)
+    rows.mapInArrow(of, "id long, tie long, ids binary").write.option("compression", "zstd").parquet(folder)
     return docs.sparkSession.read.parquet(folder), kind, size
 
 

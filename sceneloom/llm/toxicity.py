@@ -46,7 +46,7 @@ STRETCH = 200.0
 #: n-grams that are broadcast at most, of 8 bytes and 8 for each model.
 MOST_GRAMS = 1_000_000
 #: n-grams that a task adds up before it hands them on, and bytes of text that it takes at a time.
-ADDED_UP, TEXT_BYTES = 600_000, 8 << 20
+ADDED_UP, TEXT_BYTES = 400_000, 4 << 20
 #: What stands before and after each word.
 BEGIN, END = "\x02", "\x03"
 #: Letters have numbers of 16 bits in a task; four make the key of an n-gram.

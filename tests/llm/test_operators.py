@@ -238,7 +238,9 @@ def test_near_duplicates(spark, docs, none):
     assert minhash.missed_below(0.8) < 5e-4
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("in_a_task", [200_000, 20])
+def test_components_of_a_long_chain(spark, monkeypatch, in_a_task):
+    monkeypatch.setattr(minhash, "LINKS_OF_TASK", in_a_task)
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101)], "a long, b long")
     assert {(r.id, r.component) for r in minhash.components(links).collect()} == {(i, 0) for i in range(61)} | {(i, 100) for i in (100, 101, 102)}
 
