@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sceneloom.llm import decontamination, minhash, mixing, sharding, toxicity
+from sceneloom.llm import decontamination, files, minhash, mixing, sharding, toxicity
 from sceneloom.llm.common import table, work_dir
 
 SHARDS = 40
@@ -48,10 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents. What the stages make between is written to the shared folder."""
+    """The stages applied to documents. What the stages make between is written to the shared folder, and deleted once the next one is."""
     docs, at = table(spark, sf_dir, "documents"), work_dir(spark, "pipeline")
     *between, (_, last) = STAGES
     for i, (_, stage) in enumerate(between):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}")
         docs = spark.read.parquet(f"{at}/{i}")
+        if i:
+            files.delete_folder(f"{at}/{i - 1}")
     return last(spark, docs, sf_dir)
