@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontamination, minhash, mixing, quality, sharding, substring_dedup, token_counts, token_files, toxicity, warc
-from .common import table, work_dir
+from .common import LOWER, UPPER, table, work_dir
 
 SHARDS = 40
 TOKEN_LIMIT = 4096
@@ -75,5 +75,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+_PASSAGE_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Windows of documents and of items meet as texts.
+FIND_BENCHMARK_SQL = f"""WITH own AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_PASSAGE_WORDS}') AS words FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '{_PASSAGE_WORDS}') AS words FROM benchmark),
+patterns AS (SELECT DISTINCT item, n, array_to_string(words[i : i + n - 1], ' ') AS window_text FROM (SELECT item, words, least(10, len(words)) AS n, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM items WHERE len(words) > 0)),
+windows AS (SELECT doc_id, n, i, array_to_string(words[i : i + n - 1], ' ') AS window_text FROM (SELECT doc_id, n, words, unnest(range(1, len(words) - n + 2)) AS i FROM own, (SELECT DISTINCT n FROM patterns))),
+found AS (SELECT doc_id, i, w.n, item FROM windows w JOIN patterns p ON w.n = p.n AND w.window_text = p.window_text),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, item FROM found WHERE item IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM own LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+_WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+REPEATED_PASSAGES_SQL = f"""WITH own AS (SELECT doc_id, {_WORDS_SQL} AS words FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(words[i : i + 49], ' ') AS window_text FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM own)),
+smallest AS (SELECT window_text, min(doc_id) AS least FROM windows GROUP BY window_text),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS place FROM windows JOIN smallest USING (window_text) WHERE least < doc_id),
+listed AS (SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, words, CASE WHEN places IS NULL THEN words ELSE list_filter(words, lambda w, i: NOT list_contains(places, i)) END AS stay FROM own LEFT JOIN listed USING (doc_id))
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - len(stay) AS BIGINT) AS n_removed, sha256(array_to_string(stay, ' ')) AS kept_sha256 FROM kept"""
+
+NEAR_DUPLICATES_SQL = rf"""WITH RECURSIVE own AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(words[i : i + 1], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 1) + 1)) AS i FROM own WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (SELECT a, b FROM shared s JOIN sizes x ON s.a = x.doc_id JOIN sizes y ON s.b = y.doc_id WHERE 100 * s.n >= 80 * (x.n + y.n - s.n)),
+links AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM own UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+component AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM component LEFT JOIN sizes USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what joins can express; hashes, models, tokenizers and files are tested in other ways."""
+    return {"op4_find_benchmark": FIND_BENCHMARK_SQL, "op5_repeated_passages": REPEATED_PASSAGES_SQL, "op7_near_duplicates": NEAR_DUPLICATES_SQL}

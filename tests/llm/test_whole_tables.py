@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from sceneloom.llm import common, mixing, quality, queries, token_counts, toxicity
 
+from ..compare import assert_same
+
 SF = "/root/testdata/sf0.01"
 WORDS = [a + b for a in ("ba", "ce", "di", "fo", "gu", "la", "me", "ni", "po", "ru") for b in ("ran", "sel", "tim", "vor", "wen", "lus", "dak", "pem", "rin", "tol")]
 
@@ -101,6 +103,13 @@ def test_token_counts_of_documents_longer_than_a_chunk(spark, tmp_path):
     assert found == {i: (len((t or "").encode()), len(library.model.encode(t or ""))) for i, t in texts.items()}
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_queries_match_their_sql(spark, name, sf):
+    at = f"/root/testdata/{sf}"
+    assert_same(queries.queries()[name](spark, at), at, queries.oracle_sql()[name])
+
+
 def sentence(draw, n):
     return " ".join(draw.choice(WORDS, n))
 
