@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 #: Token types that begin a statement.
 STATEMENTS = ("CreateVariable", "CreateTempVariable", "SetVariable", "Prose", "Choice", "ChoiceOption", "If", "GoSub", "GoSubScene", "Return", "GotoLabel", "GotoScene", "Label", "PageBreak", "InputText", "Comment")
@@ -29,6 +29,9 @@ MISSING = {
     "Label": "Expect label name.",
     "InputText": "Expect variable name to store input text.",
 }
+#: Statements that end their line, and how many tokens further on the next line has to have begun.
+ENDS = {"Return": 1, "GotoLabel": 2, "GoSub": 2, "InputText": 2, "GotoScene": 3, "GoSubScene": 3}
+NOT_ENDED = "Expected end of statement, found "
 #: Types whose statement holds an expression, after so many operands.
 WITH_EXPRESSION = {"CreateVariable": 1, "CreateTempVariable": 1, "SetVariable": 1, "If": 0, "ElseIf": 0, "SelectableIf": 0}
 
@@ -110,74 +113,85 @@ def unparseable(tokens: DataFrame) -> DataFrame:
 
 
 def begun(tokens: DataFrame) -> DataFrame:
-    """The tokens that begin a statement or stand inside one: rows (scene_name, token_idx, type, line_number, indent).
-
-    Prose that a page break takes as its button text begins none.
-    """
+    """The tokens that begin a statement or stand inside one. Prose that a page break takes as its button text begins none."""
     taken = F.coalesce((F.lag("type").over(in_scene()) == "PageBreak") & (F.lag("line_number").over(in_scene()) == F.col("line_number")), F.lit(False))
-    found = tokens.withColumn("taken", (F.col("type") == "Prose") & taken)
-    return found.filter(F.col("type").isin(*STATEMENTS, *INNER) & ~F.col("taken")).select("scene_name", "token_idx", "type", "line_number", "indent")
+    return tokens.withColumn("taken", (F.col("type") == "Prose") & taken).filter(F.col("type").isin(*STATEMENTS, *INNER) & ~F.col("taken")).drop("taken")
 
 
-def parents(tokens: DataFrame) -> DataFrame:
-    """Rows (scene_name, token_idx, type, line_number, indent, parent_idx): the statement that each one stands in.
+def placed(found: DataFrame) -> DataFrame:
+    """The rows of begun() with parent_idx and choice_idx, which stands at options only.
 
-    That is the last If before it on its line, or else the nearest statement before it with less indent.
-    One pass with a stack over each scene's statements; a scene's statements (not its text) have to fit in memory.
+    The parent is the last If before a statement on its line, or else the nearest statement before it with less indent. choice_idx is
+    the choice that an option stands in, directly or in one If. One pass with a stack over each scene's
+    statements; a scene's statements, in the columns of found, have to fit in memory.
     """
 
     def of(scene: pd.DataFrame) -> pd.DataFrame:
-        scene, stack, out = scene.sort_values("token_idx"), [], []
+        scene, stack, up = scene.sort_values("token_idx"), [], {}
+        kinds, choices = dict(zip(scene.token_idx, scene.type, strict=True)), []
         an_if, if_line = None, None
         for at, kind, line, indent in zip(scene.token_idx, scene.type, scene.line_number, scene.indent, strict=True):
             while stack and stack[-1][1] >= indent:
                 stack.pop()
-            out.append(an_if if if_line == line else stack[-1][0] if stack else None)
+            parent = up[at] = an_if if if_line == line else stack[-1][0] if stack else None
             stack.append((at, indent))
             if kind == "If":
                 an_if, if_line = at, line
-        return scene.assign(parent_idx=pd.array(out, "Int32"))
+            over = up[parent] if kinds.get(parent) == "If" else parent
+            choices.append(over if kind == "ChoiceOption" and kinds.get(over) == "Choice" else None)
+        return scene.assign(parent_idx=pd.array(list(up.values()), "Int32"), choice_idx=pd.array(choices, "Int32"))
+
+    schema = T.StructType([*found.schema.fields, T.StructField("parent_idx", T.IntegerType()), T.StructField("choice_idx", T.IntegerType())])
+    return found.groupBy("scene_name").applyInPandas(of, schema)
 
-    return begun(tokens).groupBy("scene_name").applyInPandas(of, "scene_name string, token_idx int, type string, line_number int, indent double, parent_idx int")
+
+def parents(tokens: DataFrame) -> DataFrame:
+    """Rows (scene_name, token_idx, type, line_number, indent, parent_idx): the statement that each one stands in, by placed()."""
+    columns = ["scene_name", "token_idx", "type", "line_number", "indent"]
+    return placed(begun(tokens.select(columns))).select(*columns, "parent_idx")
 
 
-def else_pairing(placed: DataFrame) -> DataFrame:
-    """From parents(), each ElseIf and Else with the If that it belongs to: rows (scene_name, token_idx, type, if_idx).
+def with_branches(found: DataFrame) -> DataFrame:
+    """Rows with parent_idx, with if_idx: the If that an ElseIf or Else belongs to, null at all others and at those that belong to none.
 
-    Among statements of one parent and one indent, a chain is an If, any number of ElseIf and one Else, with nothing
-    between. What belongs to no If has a null one.
+    Among statements of one parent and one indent, a chain is an If, any number of ElseIf and one Else, with nothing between.
     """
     among = Window.partitionBy("scene_name", "parent_idx", "indent").orderBy("token_idx")
     branch = F.col("type").isin("ElseIf", "Else")
-    earlier = among.rowsBetween(Window.unboundedPreceding, -1)
-    head = F.last(F.when(~branch, F.struct("token_idx", "type")), ignorenulls=True).over(earlier)
-    chain = placed.withColumns({"head": head, "number": F.sum(F.when(branch, 0).otherwise(1)).over(among)})
+    head = F.last(F.when(~branch, F.struct("token_idx", "type")), ignorenulls=True).over(among.rowsBetween(Window.unboundedPreceding, -1))
+    number = F.sum(F.when(branch, 0).otherwise(1)).over(among.rowsBetween(Window.unboundedPreceding, 0))
     within = Window.partitionBy("scene_name", "parent_idx", "indent", "number").orderBy("token_idx").rowsBetween(Window.unboundedPreceding, -1)
     closed = F.coalesce(F.max(F.col("type") == "Else").over(within), F.lit(False))
-    chain = chain.withColumn("if_idx", F.when((F.col("head.type") == "If") & ~closed, F.col("head.token_idx")))
-    return chain.filter(branch).select("scene_name", "token_idx", "type", "if_idx")
+    chain = found.withColumns({"head": head, "number": number}).withColumn("closed", closed)
+    return chain.withColumn("if_idx", F.when(branch & (F.col("head.type") == "If") & ~F.col("closed"), F.col("head.token_idx"))).drop("head", "number", "closed")
+
+
+def else_pairing(found: DataFrame) -> DataFrame:
+    """From parents(), each ElseIf and Else with the If that it belongs to, null if it belongs to none: rows (scene_name, token_idx, type, if_idx)."""
+    return with_branches(found).filter("type in ('ElseIf', 'Else')").select("scene_name", "token_idx", "type", "if_idx")
 
 
-def choice_options(tokens: DataFrame, placed: DataFrame | None = None) -> DataFrame:
-    """Rows (scene_name, token_idx, choice_idx, reuse, selectable_idx, if_idx, text), one for each option.
+def on_line(kind: str) -> Column:
+    """The last statement of a kind on the line."""
+    return F.max(F.when(F.col("type") == kind, F.col("token_idx"))).over(Window.partitionBy("scene_name", "line_number"))
 
-    reuse is what the modifiers before the option on its line say: disable, or else hide, or else allow. selectable_idx
-    is the SelectableIf there, if_idx the If there. choice_idx is the choice that the option stands in, directly or in one If.
+
+def with_modifiers(found: DataFrame) -> DataFrame:
+    """Statements with reuse and selectable_idx at options: what the modifiers before the option on its line say, disable before hide before allow.
+
+    An option takes the rest of its line, so all else on the line comes before it.
     """
-    placed = parents(tokens) if placed is None else placed
-    line = Window.partitionBy("scene_name", "line_number")
-    own = lambda kind: F.max(F.when(F.col("type") == kind, F.col("token_idx"))).over(line)
-    modifiers = {k: own(k) for k in ("DisableReuse", "HideReuse", "AllowReuse", "SelectableIf", "If")}
-    reuse = F.when(F.col("DisableReuse").isNotNull(), "disable_reuse").when(F.col("HideReuse").isNotNull(), "hide_reuse").when(F.col("AllowReuse").isNotNull(), "allow_reuse")
-    # An option takes the rest of its line, so all else on the line comes before it.
-    found = placed.withColumns(modifiers).filter("type = 'ChoiceOption'").select("scene_name", "token_idx", "parent_idx", reuse.alias("reuse"), F.col("SelectableIf").alias("selectable_idx"), F.col("If").alias("if_idx"))
-    above = placed.filter("type in ('Choice', 'If')")
-    up = lambda n: above.select("scene_name", F.col("token_idx").alias(f"up{n}"), F.col("type").alias(f"type{n}"), F.col("parent_idx").alias(f"next{n}"))
-    found = found.withColumnRenamed("parent_idx", "up1").join(up(1), ["scene_name", "up1"], "left")
-    found = found.withColumn("up2", F.when(F.col("type1") == "If", F.col("next1"))).join(up(2), ["scene_name", "up2"], "left")
-    choice = F.when(F.col("type1") == "Choice", F.col("up1")).when(F.col("type2") == "Choice", F.col("up2"))
-    text = tokens.filter("type = 'ChoiceOption'").select("scene_name", "token_idx", F.col("raw_text").alias("text"))
-    return found.select("scene_name", "token_idx", choice.alias("choice_idx"), "reuse", "selectable_idx", "if_idx").join(text, ["scene_name", "token_idx"])
+    option = F.col("type") == "ChoiceOption"
+    marked = found.withColumns({f"_{k}": on_line(k) for k in MODIFIERS})
+    reuse = F.when(F.col("_DisableReuse").isNotNull(), "disable_reuse").when(F.col("_HideReuse").isNotNull(), "hide_reuse").when(F.col("_AllowReuse").isNotNull(), "allow_reuse")
+    return marked.withColumns({"reuse": F.when(option, reuse), "selectable_idx": F.when(option, F.col("_SelectableIf"))}).drop(*[f"_{k}" for k in MODIFIERS])
+
+
+def choice_options(tokens: DataFrame) -> DataFrame:
+    """Rows (scene_name, token_idx, choice_idx, reuse, selectable_idx, if_idx, text), one for each option; if_idx is an If before it on its line."""
+    found = placed(begun(tokens.select("scene_name", "token_idx", "type", "line_number", "indent", "raw_text")))
+    found = with_modifiers(found).withColumn("if_idx", on_line("If")).filter("type = 'ChoiceOption'")
+    return found.select("scene_name", "token_idx", "choice_idx", "reuse", "selectable_idx", "if_idx", F.col("raw_text").alias("text"))
 
 
 def tree(tokens: DataFrame) -> DataFrame:
@@ -187,35 +201,29 @@ def tree(tokens: DataFrame) -> DataFrame:
     selectable_idx, text). A statement without a parent is in the slot root. An ElseIf or Else that belongs to an If has
     it as its parent, in the slot else_if or else; all others are in the body of their parent. ordinal counts from 0 in
     a slot. Modifiers of options are columns of the option. The expressions are in expressions(), by token_idx, that of
-    a SelectableIf too.
+    a SelectableIf too. Tokens are read once.
     """
-    placed = parents(tokens)
-    paired = else_pairing(placed).filter("if_idx is not null").select("scene_name", "token_idx", "if_idx")
-    found = placed.filter(~F.col("type").isin("HideReuse", "DisableReuse", "AllowReuse", "SelectableIf")).join(paired, ["scene_name", "token_idx"], "left")
-    slot = F.when(F.col("if_idx").isNotNull(), F.when(F.col("type") == "Else", "else").otherwise("else_if")).when(F.col("parent_idx").isNull(), "root").otherwise("body")
-    found = found.select("scene_name", "token_idx", F.coalesce("if_idx", "parent_idx").alias("parent_idx"), slot.alias("slot"), F.col("type").alias("kind"))
-    found = found.withColumn("ordinal", (F.row_number().over(Window.partitionBy("scene_name", "parent_idx", "slot").orderBy("token_idx")) - 1).cast("int"))
-    near = with_neighbours(tokens).filter(F.col("type").isin(*STATEMENTS, *INNER))
-    kind, named = F.col("type"), F.col("type_1") == "Identifier"
-    far = kind.isin("GotoScene", "GoSubScene")
-    parts = near.select(
-        "scene_name", "token_idx",
+    kind, named, far = F.col("type"), F.col("type_1") == "Identifier", F.col("type").isin("GotoScene", "GoSubScene")
+    near = with_neighbours(tokens).select(
+        "scene_name", "token_idx", "type", "line_number", "indent",
         F.when(kind.isin("CreateVariable", "CreateTempVariable", "SetVariable", "InputText") & named, F.col("text_1")).alias("variable"),
         F.when(kind == "CreateVariable", "Global").when(kind == "CreateTempVariable", "Temporary").alias("scope"),
         F.when(far & named, F.col("text_1")).alias("target_scene"),
         F.when(far & named & (F.col("type_2") == "Identifier"), F.col("text_2")).when(kind.isin("GotoLabel", "GoSub", "Label") & named, F.col("text_1")).alias("target_label"),
         F.when(kind == "PageBreak", F.when(F.col("type_1") == "Prose", F.col("text_1"))).otherwise(F.coalesce("raw_text", "text")).alias("text"),
     )
-    options = choice_options(tokens, placed).select("scene_name", "token_idx", "reuse", "selectable_idx")
-    by = ["scene_name", "token_idx"]
-    return found.join(parts, by).join(options, by, "left").select("scene_name", "token_idx", "parent_idx", "slot", "ordinal", "kind", "variable", "scope", "target_scene", "target_label", "reuse", "selectable_idx", "text")
+    found = with_modifiers(with_branches(placed(begun(near)))).filter(~kind.isin(*MODIFIERS))
+    slot = F.when(F.col("if_idx").isNotNull(), F.when(kind == "Else", "else").otherwise("else_if")).when(F.col("parent_idx").isNull(), "root").otherwise("body")
+    found = found.withColumns({"slot": slot, "parent_idx": F.coalesce("if_idx", "parent_idx")})
+    ordinal = F.row_number().over(Window.partitionBy("scene_name", "parent_idx", "slot").orderBy("token_idx")) - 1
+    return found.select("scene_name", "token_idx", "parent_idx", "slot", ordinal.cast("int").alias("ordinal"), kind.alias("kind"), "variable", "scope", "target_scene", "target_label", "reuse", "selectable_idx", "text")
 
 
 def choice_children(tokens: DataFrame) -> DataFrame:
     """Rows (scene_name, token_idx, type, choice_idx): what stands directly in a choice, with the choice's token."""
-    placed = parents(tokens)
-    choices = placed.filter("type = 'Choice'").select("scene_name", F.col("token_idx").alias("choice_idx"))
-    return placed.withColumnRenamed("parent_idx", "choice_idx").join(choices, ["scene_name", "choice_idx"]).select("scene_name", "token_idx", "type", "choice_idx")
+    found = parents(tokens)
+    choices = found.filter("type = 'Choice'").select("scene_name", F.col("token_idx").alias("choice_idx"))
+    return found.withColumnRenamed("parent_idx", "choice_idx").join(choices, ["scene_name", "choice_idx"]).select("scene_name", "token_idx", "type", "choice_idx")
 
 
 #: Binary operators by rising precedence; those in RIGHT bind to the right.
@@ -307,29 +315,33 @@ def expressions(tokens: DataFrame) -> DataFrame:
     return cut.mapInPandas(of, "scene_name string, token_idx int, type string, postfix string, error string")
 
 
-def parse_errors(tokens: DataFrame) -> DataFrame:
-    """Rows (scene_name, token_idx, message) of all that cannot be parsed.
+def structural_errors(tokens: DataFrame) -> DataFrame:
+    """Rows (scene_name, token_idx, message) of all that cannot be parsed, but for what is inside expressions.
 
-    Unknown statements, missing operands, bad expressions, tokens after a statement's end, what may not stand in a choice,
+    Unknown statements, missing operands, tokens after a statement's end, what may not stand in a choice,
     modifiers without an option, and branches without an If.
     """
     near = with_neighbours(tokens)
     message: Column = F.lit(None).cast("string")
     for kind, text in MISSING.items():
         message = F.when((F.col("type") == kind) & ~F.col("type_1").eqNullSafe(F.lit("Identifier")), text).otherwise(message)
-    ends = {"Return": 1, "GotoLabel": 2, "GoSub": 2, "InputText": 2, "GotoScene": 3, "GoSubScene": 3}
-    for kind, k in ends.items():
-        message = F.when((F.col("type") == kind) & message.isNull() & F.col(f"type_{k}").isNotNull(), F.concat(F.lit("Expected end of statement, found "), F.col(f"type_{k}"))).otherwise(message)
-    placed = parents(tokens)
-    choices = placed.filter("type = 'Choice'").select("scene_name", F.col("token_idx").alias("parent_idx"))
-    inside = placed.join(choices, ["scene_name", "parent_idx"], "left_semi").filter(~F.col("type").isin(*IN_CHOICE))
+    for kind, k in ENDS.items():
+        message = F.when((F.col("type") == kind) & message.isNull() & F.col(f"type_{k}").isNotNull(), F.concat(F.lit(NOT_ENDED), F.col(f"type_{k}"))).otherwise(message)
+    found = parents(tokens)
+    choices = found.filter("type = 'Choice'").select("scene_name", F.col("token_idx").alias("parent_idx"))
+    inside = found.join(choices, ["scene_name", "parent_idx"], "left_semi").filter(~F.col("type").isin(*IN_CHOICE))
     inside = inside.select("scene_name", "token_idx", F.when(F.col("type") == "Prose", PROSE_IN_CHOICE).otherwise(NO_OPTION).alias("message"))
     # A modifier has to have an option after it on its line; only other modifiers may stand between.
     after = Window.partitionBy("scene_name", "line_number").orderBy("token_idx").rowsBetween(1, Window.unboundedFollowing)
     next_other = F.first(F.when(~F.col("type").isin(*MODIFIERS), F.col("type")), ignorenulls=True).over(after)
-    loose = placed.withColumn("next_other", next_other).filter(F.col("type").isin(*MODIFIERS) & ~F.coalesce(F.col("next_other").isin("ChoiceOption", "If"), F.lit(False)))
-    stray = else_pairing(placed).filter("if_idx is null").select("scene_name", "token_idx", F.concat(F.lit(UNKNOWN), F.col("type")).alias("message"))
+    loose = found.withColumn("next_other", next_other).filter(F.col("type").isin(*MODIFIERS) & ~F.coalesce(F.col("next_other").isin("ChoiceOption", "If"), F.lit(False)))
+    stray = else_pairing(found).filter("if_idx is null").select("scene_name", "token_idx", F.concat(F.lit(UNKNOWN), F.col("type")).alias("message"))
     structure = inside.unionByName(loose.select("scene_name", "token_idx", F.lit(NO_OPTION).alias("message"))).unionByName(stray)
     operands = near.select("scene_name", "token_idx", message.alias("message")).filter("message is not null")
+    return unparseable(tokens).select("scene_name", "token_idx", "message").unionByName(operands).unionByName(structure)
+
+
+def parse_errors(tokens: DataFrame) -> DataFrame:
+    """structural_errors() and the errors of expressions, in the same columns."""
     wrong = expressions(tokens).filter("error is not null").select("scene_name", "token_idx", F.col("error").alias("message"))
-    return unparseable(tokens).select("scene_name", "token_idx", "message").unionByName(operands).unionByName(structure).unionByName(wrong)
+    return structural_errors(tokens).unionByName(wrong)

@@ -188,6 +188,19 @@ tree AS (SELECT s.*, CAST(row_number() OVER (PARTITION BY s.scene_name, s.parent
   o.reuse, o.selectable_idx FROM placed_statements s JOIN near n USING (scene_name, token_idx) LEFT JOIN (SELECT scene_name, token_idx, reuse, selectable_idx FROM options) o USING (scene_name, token_idx))"""
 
 
+_MISSING = " ".join(f"WHEN type = {_text(k)} AND type_1 IS DISTINCT FROM 'Identifier' THEN {_text(m)}" for k, m in statements.MISSING.items())
+_NOT_ENDED = " ".join(f"WHEN type = {_text(k)} AND type_{n} IS NOT NULL THEN {_text(statements.NOT_ENDED)} || type_{n}" for k, n in statements.ENDS.items())
+ERRORS_SQL = f"""SELECT scene_name, token_idx, {_text(statements.UNKNOWN)} || type || ' at ' || scene_name || ':' || line_number || ':' || position AS message
+FROM near WHERE (NOT same_line OR token_idx = 1) AND type NOT IN ({_IN((*statements.STATEMENTS, *statements.INNER, "SceneStart", "SceneEnd"))})
+UNION ALL SELECT * FROM (SELECT scene_name, token_idx, CASE {_MISSING} {_NOT_ENDED} END AS message FROM near) WHERE message IS NOT NULL
+UNION ALL SELECT p.scene_name, p.token_idx, CASE WHEN p.type = 'Prose' THEN {_text(statements.PROSE_IN_CHOICE)} ELSE {_text(statements.NO_OPTION)} END FROM parents p JOIN parents c ON p.scene_name = c.scene_name AND p.parent_idx = c.token_idx
+  WHERE c.type = 'Choice' AND p.type NOT IN ({_IN(statements.IN_CHOICE)})
+UNION ALL SELECT scene_name, token_idx, {_text(statements.NO_OPTION)} FROM (SELECT a.scene_name, a.token_idx, arg_min(b.type, b.token_idx) AS next_type FROM parents a
+  LEFT JOIN parents b ON a.scene_name = b.scene_name AND a.line_number = b.line_number AND b.token_idx > a.token_idx AND b.type NOT IN ({_IN(statements.MODIFIERS)})
+  WHERE a.type IN ({_IN(statements.MODIFIERS)}) GROUP BY a.scene_name, a.token_idx) WHERE coalesce(next_type, '') NOT IN ('ChoiceOption', 'If')
+UNION ALL SELECT scene_name, token_idx, {_text(statements.UNKNOWN)} || type FROM pairs WHERE if_idx IS NULL"""
+
+
 def _with(*parts: str, of: str = SCRIPT_SQL) -> str:
     return "WITH " + ",\n".join((of, LINES_SQL, *parts))
 
@@ -336,6 +349,7 @@ def _add_token_queries() -> None:
         "statement_parent": (statements.parents, "SELECT * FROM parents"),
         "else_pairing": (lambda t: statements.else_pairing(statements.parents(t)), "SELECT * FROM pairs"),
         "choice_options_full": (statements.choice_options, "SELECT * FROM options"),
+        "structural_errors": (statements.structural_errors, ERRORS_SQL),
         "statement_tree": (statements.tree, "SELECT scene_name, token_idx, parent_idx, slot, ordinal, kind, variable, scope, target_scene, target_label, reuse, selectable_idx, text FROM tree"),
         "choice_children": (statements.choice_children, "SELECT a.scene_name, a.token_idx, a.type, a.parent_idx AS choice_idx FROM parents a JOIN parents c ON a.scene_name = c.scene_name AND a.parent_idx = c.token_idx WHERE c.type = 'Choice'"),
     }
