@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word is a run of anything but ASCII white space (tab to carriage return, and space).
@@ -74,6 +75,24 @@ def text_slices(texts: pa.Array, n_bytes: int) -> Iterator[tuple[int, int]]:
     yield from zip(starts.tolist(), np.diff(starts, append=len(texts)).tolist(), strict=True)
 
 
+def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, end to end, and each text's number of words. Each distinct word is hashed once.
+
+    Words are runs of anything but ASCII white space; with lower, A to Z are in lower case first.
+    """
+    texts = texts.fill_null("")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    sizes = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    numbered = split.flatten().dictionary_encode()
+    words, codes = numbered.dictionary.cast(pa.binary()).to_pylist(), numbered.indices.to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    if b"" in words:  # what stands before a first space or after a last one is no word
+        real = codes != words.index(b"")
+        sizes = np.bincount(np.repeat(np.arange(len(texts)), sizes)[real], minlength=len(texts))
+        codes = codes[real]
+    return hashes[codes], sizes
+
+
 def if_few(df: DataFrame) -> DataFrame:
     """df, whose rows are a few numbers each, marked to be broadcast if it has MOST_BROADCAST rows at most. df is counted, so it should be kept."""
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, free_name, if_few, work_dir
+from .common import checkpointed, free_name, hashed_words, if_few, text_slices, work_dir
 
 HALVES, ROWS = 12, 3
 #: Percent of the union that the intersection has to be.
@@ -36,7 +36,8 @@ LINKS_OF_TASK = 200_000
 BLOCK = 256
 #: Hashes of so many distinct words are remembered in a Python worker.
 REMEMBERED = 300_000
-BATCH = 256
+#: Bytes of text that are taken at a time, and rows where those are few.
+TEXT_BYTES, BATCH = 4 << 20, 256
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -60,12 +61,16 @@ def shingles(text: str | None, size: int, known: WordHashes) -> np.ndarray:
     Fewer words make one shingle, none make none.
     """
     words = text.encode().lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - size + 1)
-    found = np.full(n, min(size, len(words)), np.uint64)
-    for k in range(min(size, len(words))):
+    return runs(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), size)
+
+
+def runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The same from the hashes of the words."""
+    if not len(hashes):
+        return hashes
+    n, width = max(1, len(hashes) - size + 1), min(size, len(hashes))
+    found = np.full(n, width, np.uint64)
+    for k in range(width):
         found = mixed(found * _MIX2 + hashes[k : k + n])
     return np.unique(found)
 
@@ -95,14 +100,15 @@ def signed(docs: DataFrame, id_column: str, text_column: str, size: int, halves:
     kind = docs.schema[id_column].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, signer = WordHashes(), Signer(halves, rows, seed)
+        signer = Signer(halves, rows, seed)
         signs = pa.list_(pa.int64())
         for batch in batches:
-            for start in range(0, batch.num_rows, BATCH):
-                part = batch.slice(start, BATCH)
+            for start, length in text_slices(batch.column(1), TEXT_BYTES):
+                part = batch.slice(start, length)
                 n, one, two, first, second = [], [], [], [], []
-                for text in part.column(1).to_pylist():
-                    found = shingles(text, size, known)
+                words, sizes = hashed_words(part.column(1), lower=True)
+                for own in np.split(words, np.cumsum(sizes)[:-1]):
+                    found = runs(own, size)
                     n.append(len(found))
                     one.append(int(np.add.reduce(mixed(found ^ _MIX2)).astype(np.int64)))
                     two.append(int(np.bitwise_xor.reduce(mixed(found + _MIX1)).astype(np.int64)))
@@ -111,7 +117,7 @@ def signed(docs: DataFrame, id_column: str, text_column: str, size: int, halves:
                     second.append(bands[halves:])
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (n, one, two)), pa.array(first, signs), pa.array(second, signs)], names=["doc_id", "n_shingles", "set_1", "set_2", "first", "second"])
 
-    return docs.select(id_column, text_column).mapInArrow(of, f"doc_id {kind}, n_shingles long, set_1 long, set_2 long, first array<long>, second array<long>")
+    return docs.select(id_column, F.col(text_column).cast("string")).mapInArrow(of, f"doc_id {kind}, n_shingles long, set_1 long, set_2 long, first array<long>, second array<long>")
 
 
 def keys(signs: DataFrame, halves: int) -> DataFrame:

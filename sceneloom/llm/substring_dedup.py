@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, if_few, whole_number_ids, work_dir
+from .common import checkpointed, hashed_words, if_few, text_slices, whole_number_ids, work_dir
 from .minhash import WordHashes, mixed
 
 #: Words of a window, and of its anchor.
@@ -38,7 +38,8 @@ MOST_HELD = 2000
 #: Bits of the bitmap of repeated anchors: SPARSE for each of those, as a power of two, between these. At 128 MB it may fill up at
 #: very large inputs; then more stretches are sent, no others judged.
 SPARSE, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
-BATCH = 128
+#: Bytes of text that are taken at a time, and rows where those are few.
+TEXT_BYTES, BATCH = 4 << 20, 128
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -141,21 +142,19 @@ def anchors(hashes: np.ndarray, span: int, anchor: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def stretches(texts: list[str | None], known: WordHashes, span: int, anchor: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of each text; and of each stretch the text, first window, number of windows and anchor."""
-    words = [text.encode().split() if text else [] for text in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter((known[x] for w in words for x in w), np.uint64, int(sizes.sum()))
+def stretches(texts: pa.Array, span: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each stretch the text, first window, number of windows and anchor."""
+    flat, sizes = hashed_words(texts)
     least = anchors(flat, span, anchor)
-    of = np.repeat(np.arange(len(words)), sizes)[: len(least)]
+    of = np.repeat(np.arange(len(sizes)), sizes)[: len(least)]
     ends = np.cumsum(sizes)
     inside = np.flatnonzero(np.arange(len(least)) + span <= ends[of])
     if not len(inside):
-        return words, *[np.empty(0, np.int64)] * 4
+        return tuple([np.empty(0, np.int64)] * 4)
     new = np.flatnonzero((np.diff(inside) != 1) | (np.diff(least[inside]) != 0) | (np.diff(of[inside]) != 0)) + 1
     first = inside[np.concatenate([[0], new])]
     n = np.diff(np.concatenate([[0], new, [len(inside)]]))
-    return words, of[first], first - (ends - sizes)[of[first]], n, least[first].astype(np.int64)
+    return of[first], first - (ends - sizes)[of[first]], n, least[first].astype(np.int64)
 
 
 def removals(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
@@ -163,14 +162,13 @@ def removals(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFra
     spark = docs.sparkSession
 
     def slices(batches: Iterator[pa.RecordBatch]):
-        known = WordHashes()
         for batch in batches:
-            for start in range(0, batch.num_rows, BATCH):
-                part = batch.slice(start, BATCH)
-                yield np.array(part.column(0).to_pylist(), np.int64), stretches(part.column(1).to_pylist(), known, span, anchor)
+            for start, n in text_slices(batch.column(1), TEXT_BYTES):
+                part = batch.slice(start, n)
+                yield part.column(0).to_numpy(zero_copy_only=False), part.column(1), stretches(part.column(1), span, anchor)
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, (_, of, _, _, found) in slices(batches):
+        for ids, _, (of, _, _, found) in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(ids[of], pa.int64())], names=["anchor", "doc_id"])
 
     repeated = docs.mapInArrow(anchored, "anchor long, doc_id long").groupBy("anchor").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).filter("one < other")
@@ -184,10 +182,14 @@ def removals(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFra
     sent = spark.sparkContext.broadcast(bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, (words, of, first, n, found) in slices(batches):
+        for ids, own, (of, first, n, found) in slices(batches):
             at = found % n_bits
             keep = np.flatnonzero(sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            texts = [b" ".join(words[of[k]][first[k] : first[k] + n[k] + span - 1]) for k in keep]
+            texts, last, words = [], None, []
+            for k in keep.tolist():  # the stretches of a text come one after the other
+                if of[k] != last:
+                    last, words = of[k], own[int(of[k])].as_py().encode().split()
+                texts.append(b" ".join(words[first[k] : first[k] + n[k] + span - 1]))
             yield pa.RecordBatch.from_arrays([pa.array(ids[of[keep]], pa.int64()), pa.array(found[keep], pa.int64()), pa.array(first[keep], pa.int64()), pa.array(n[keep], pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "anchor", "first", "n", "words"])
 
     at = work_dir(spark, "passages")
