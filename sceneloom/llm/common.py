@@ -69,10 +69,12 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def text_slices(texts: pa.Array, n_bytes: int) -> Iterator[tuple[int, int]]:
-    """(start, length) of runs of texts of about n_bytes together, or of one text that is longer."""
+    """(start, length) of runs of texts of about n_bytes together, or of one text that is longer. Memory that the last run has freed is given back."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     starts = np.flatnonzero(np.diff(np.cumsum(sizes) // n_bytes, prepend=-1))
-    yield from zip(starts.tolist(), np.diff(starts, append=len(texts)).tolist(), strict=True)
+    for run in zip(starts.tolist(), np.diff(starts, append=len(texts)).tolist(), strict=True):
+        yield run
+        pa.default_memory_pool().release_unused()
 
 
 def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

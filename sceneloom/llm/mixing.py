@@ -89,25 +89,22 @@ def bits_of(rows: int) -> int:
     return max(1, (rows // PIECE_ROWS).bit_length())
 
 
-def sized(docs: DataFrame, seed: int, id_column: str, text_column: str, source_column: str) -> DataFrame:
-    """Rows (doc_id, key, copy, source, size), one for each row of docs. copy tells rows of one id, text and source apart."""
-    rows = docs.select(*keys_of(docs, seed, id_column, text_column, source_column), n_words_of(F.col(text_column)).alias("size"))
-    return rows.select("doc_id", "key", copy_number().alias("copy"), "source", "size")
-
-
-def keys_of(docs: DataFrame, seed: int, id_column: str, text_column: str, source_column: str) -> list:
-    return [F.col(id_column).alias("doc_id"), F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column)).alias("key"), F.col(source_column).alias("source")]
+def keys_of(seed: int, id_column: str, text_column: str, source_column: str) -> list:
+    """The columns doc_id, key, source and same, a hash of all three, in which a null is not the same as nothing."""
+    doc_id, text, source = F.col(id_column), F.col(text_column), F.col(source_column)
+    key = F.xxhash64(F.lit(seed), doc_id, text)
+    return [doc_id.alias("doc_id"), key.alias("key"), source.alias("source"), F.xxhash64(doc_id, doc_id.isNull(), text, text.isNull(), source, source.isNull()).alias("same")]
 
 
 def copy_number() -> F.Column:
-    same = Window.partitionBy("key", "doc_id", "source")
-    return F.row_number().over(same.orderBy(F.lit(0)))
+    """Tells rows of one id, text and source apart, which are all alike to the mix."""
+    return F.row_number().over(Window.partitionBy("same").orderBy("doc_id", "source", "key"))
 
 
 def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 23, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> tuple[DataFrame, DataFrame, int]:
     """What the mix takes of each document, the targets and quotas of the sources, and the number of rows.
 
-    The first table has doc_id, key, copy, source and size, and source_size, target,
+    The first table has doc_id, key, same, copy, source and size, and source_size, target,
     block_words, line_start (where the document's words begin in its source's line) and taken, the
     words of it that the mix takes, repeats counted. The sum of taken over a source is its target,
     rounded. A document is taken a whole number of times, but for the one a source that its target
@@ -115,11 +112,12 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 23
     their places. A null or empty text has no words and is never taken. A null source is one like
     others. An empty table gives empty tables.
     """
-    rows = checkpointed(sized(docs, seed, id_column, text_column, source_column))
+    rows = docs.select(*keys_of(seed, id_column, text_column, source_column), n_words_of(F.col(text_column)).alias("size"))
+    rows = checkpointed(rows.withColumn("copy", copy_number()))
     n_rows = rows.count()
     piece = F.shiftrightunsigned("key", 64 - bits_of(n_rows)).cast("int")
     # A null source has a partition and a join key too.
-    rows = rows.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"), piece.alias("piece"), "doc_id", "key", "copy", "size")
+    rows = rows.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"), piece.alias("piece"), "doc_id", "key", "same", "copy", "size")
     by_source = Window.partitionBy("name", "unnamed")
     pieces = rows.groupBy("name", "unnamed", "piece").agg(F.sum("size").alias("words"))
     pieces = pieces.select("*", (F.sum("words").over(by_source.orderBy("piece")) - F.col("words")).alias("piece_start"))
@@ -136,12 +134,12 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 23
     for epoch in range(MOST_REPEATS):
         left = F.round(F.col("target")).cast("long") - epoch * F.col("source_size") - F.col("line_start")
         taken = taken + F.greatest(F.lit(0).cast("long"), F.least(left, F.col("size")))
-    planned = rows.select("doc_id", "key", "copy", "source", "size", "source_size", "target", "block_words", "line_start", taken.alias("taken"))
+    planned = rows.select("doc_id", "key", "same", "copy", "source", "size", "source_size", "target", "block_words", "line_start", taken.alias("taken"))
     return checkpointed(planned), targets, n_rows
 
 
 def drawn(planned: DataFrame, quotas: DataFrame, n_rows: int, shards: int, seed: int) -> DataFrame:
-    """Rows (doc_id, key, copy, source, size, line_start, epoch, words, to, slot), one for each time a document is drawn.
+    """Rows (doc_id, same, copy, source, size, line_start, epoch, words, to, slot), one for each time a document is drawn.
 
     Of the document, words go to the output shard `to`, where slot is the number of the row in the shard's random order.
     A shard is ordered in pieces, so that none is sorted in one task; where a piece begins follows from the sizes of
@@ -155,7 +153,7 @@ def drawn(planned: DataFrame, quotas: DataFrame, n_rows: int, shards: int, seed:
     takes = takes.join(F.broadcast(draws), F.col("source").eqNullSafe(F.col("from")) & (F.col("block") == F.col("drawn")))  # QUOTA_UNITS rows, and one a source
     local = F.xxhash64(F.lit(seed), F.lit("local"), "epoch", "doc_id", "line_start")
     bits = bits_of(MOST_REPEATS * n_rows // shards)
-    takes = takes.select("doc_id", "key", "copy", "source", "size", "line_start", "epoch", "words", "to", local.alias("local"), F.shiftright(local, 64 - bits).cast("int").alias("piece"))
+    takes = takes.select("doc_id", "same", "copy", "source", "size", "line_start", "epoch", "words", "to", local.alias("local"), F.shiftright(local, 64 - bits).cast("int").alias("piece"))
     takes = checkpointed(takes)
     starts = takes.groupBy("to", "piece").count()
     starts = starts.select("to", "piece", (F.sum("count").over(Window.partitionBy("to").orderBy("piece")) - F.col("count")).alias("start"))
@@ -173,11 +171,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), shards: int = 32, s
     """
     planned, quotas, n_rows = plan_mix(docs, weights, seed, id_column, text_column, source_column)
     takes = drawn(planned, quotas, n_rows, shards, seed)
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    rows = docs.select(row, *keys_of(docs, seed, id_column, text_column, source_column)).withColumn("copy", copy_number())
-    wanted = takes.select(*[F.col(c).alias(f"_{c}") for c in ("key", "doc_id", "source", "copy")], "size", "words", "to", "slot")
-    same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("copy") == F.col("_copy"))
-    found = rows.join(wanted, same)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *keys_of(seed, id_column, text_column, source_column))
+    wanted = takes.select("same", "size", "words", "to", "slot", F.col("copy").alias("_copy"))
+    if planned.agg(F.max("copy")).first()[0] == 1:  # as a rule; then texts are moved once
+        found = rows.join(wanted, "same")
+    else:
+        found = rows.withColumn("copy", copy_number()).join(wanted.withColumnRenamed("same", "_same"), (F.col("same") == F.col("_same")) & (F.col("copy") == F.col("_copy")))
     words = F.regexp_extract_all(F.col(f"row.{text_column}"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")).otherwise(F.col(f"row.{text_column}"))
     columns = [(text if c == text_column else F.col(f"row.{c}")).alias(c) for c in docs.columns]
@@ -192,8 +191,5 @@ def mixed_words(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), shards: int
     """
     planned, quotas, n_rows = plan_mix(docs, weights, seed, id_column, text_column, source_column)
     draw = F.struct("epoch", F.concat_ws(":", "to", "slot").alias("place"))
-    by = ["key", "doc_id", "source", "copy"]
-    found = drawn(planned, quotas, n_rows, shards, seed).groupBy(*by).agg(F.sum("words").alias("n"), F.array_join(F.array_sort(F.collect_list(draw))["place"], ",").alias("places"))
-    found = found.withColumnsRenamed({c: f"_{c}" for c in by})
-    same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("copy") == F.col("_copy"))
-    return planned.join(found, same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0).cast("long")).alias("taken"), "source", F.coalesce("places", F.lit("")).alias("places"))
+    found = drawn(planned, quotas, n_rows, shards, seed).groupBy("same", "copy").agg(F.sum("words").alias("n"), F.array_join(F.array_sort(F.collect_list(draw))["place"], ",").alias("places"))
+    return planned.join(found, ["same", "copy"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0).cast("long")).alias("taken"), "source", F.coalesce("places", F.lit("")).alias("places"))

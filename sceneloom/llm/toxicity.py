@@ -46,7 +46,7 @@ STRETCH = 200.0
 #: n-grams that are broadcast at most, of 8 bytes and 8 for each model.
 MOST_GRAMS = 1_000_000
 #: n-grams that a task adds up before it hands them on, and bytes of text that it takes at a time.
-ADDED_UP, TEXT_BYTES = 400_000, 4 << 20
+ADDED_UP, TEXT_BYTES = 200_000, 2 << 20
 #: What stands before and after each word.
 BEGIN, END = "\x02", "\x03"
 #: Letters have numbers of 16 bits in a task; four make the key of an n-gram.
@@ -138,8 +138,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def handed_on() -> pa.RecordBatch:
-            keys, counts = added(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])) if held else (np.empty(0, np.uint64), np.empty((0, len(names)), np.int64))
-            return pa.RecordBatch.from_arrays([alphabet.grams(keys), *(pa.array(np.ascontiguousarray(c), pa.int64()) for c in counts.T)], names=["gram", *names])
+            keys, counts = added(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])) if held else (np.empty(0, np.uint64), np.empty((0, len(names)), np.int32))
+            return pa.RecordBatch.from_arrays([alphabet.grams(keys), *(pa.array(c.astype(np.int64)) for c in counts.T)], names=["gram", *names])
 
         for batch in batches:
             groups = batch.column(1).fill_null(GROUPS).to_numpy(zero_copy_only=False)
@@ -157,12 +157,12 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 of_group = np.bincount(number * (GROUPS + 1) + group[text], minlength=len(own.words) * (GROUPS + 1)).reshape(-1, GROUPS + 1)[:, :GROUPS]
                 ends = np.flatnonzero(word[1:] == word[:-1]) + 1
                 keys, at = np.unique(alphabet.pairs(points, ends), return_inverse=True)
-                counts = np.zeros((len(keys), len(names)), np.int64)
+                counts = np.zeros((len(keys), len(names)), np.int32)  # documents of one task
                 counts[:, 0] = np.bincount(at, n_words[word[ends]], len(keys))
                 held.append((keys, counts))
                 keys, of_word = alphabet.longest(points, word)
                 keys, at = np.unique(keys, return_inverse=True)
-                counts = np.zeros((len(keys), len(names)), np.int64)
+                counts = np.zeros((len(keys), len(names)), np.int32)  # documents of one task
                 known = np.flatnonzero(of_group.any(axis=1)[of_word])
                 for k in range(GROUPS):
                     counts[:, k + 1] = np.bincount(at[known], of_group[of_word[known], k], len(keys))
