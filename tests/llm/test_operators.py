@@ -2,10 +2,12 @@
 
 import gzip
 import io
+import json
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +185,28 @@ def test_token_files_round_trip(spark, docs, none):
     assert token_files.read(spark, empty, token_files.write(none, empty, path, 2)).count() == 0
 
 
+def test_words_of_token_files_have_the_ids_of_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    by_word, whole = token_files.Encoder(path, 2), token_files.Encoder(path, 2, by_word=False)
+    assert by_word.by_word and not whole.by_word
+    draw = np.random.default_rng(7)
+    alphabet = list("aAbBzZéÉßẞİıſKÅñÑÿŸœŒΣσςﬁ中\u0301\u0323''..,,!?-_#<|>9²½ \t\n  \xa0\u2028\x1c\x85😀") + ["<|endoftext|>", "'s", "'ll", "The", "..."]
+    texts = pa.array([None, "", " ", *("".join(draw.choice(alphabet, int(n))) for n in draw.integers(1, 40, 4000))])
+    for start in range(0, len(texts), 500):
+        one, two = by_word.ids(texts.slice(start, 500)), whole.ids(texts.slice(start, 500))
+        assert (one[1] == two[1]).all() and (one[0] == two[0]).all()
+    by_word.recent, by_word.before = token_files.Remembered(), by_word.recent  # what was used before is found again
+    assert (by_word.ids(texts)[0] == whole.ids(texts)[0]).all()
+
+
+def test_other_tokenizers_get_whole_texts():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as found:
+        settings = json.load(found)
+    assert token_files.looks_at_words(settings)
+    for key, value in (("normalizer", None), ("pre_tokenizer", {"type": "Whitespace"}), ("truncation", {"max_length": 8}), ("post_processor", {"type": "ByteLevel"})):
+        assert not token_files.looks_at_words(settings | {key: value})
+
+
 def test_decontamination(spark, docs, none):
     text = "Intro. The Quick brown-fox jumps over a lazy dog and runs FAR away, today! Tail"
     items = spark.createDataFrame([(7, "the quick BROWN fox jumps over a lazy dog and runs far"), (8, "Tail"), (9, None), (None, "a b c d"), (10, "!!")], "item_id long, text string")
