@@ -168,7 +168,7 @@ def in_blocks(queries: DataFrame, members: DataFrame, texts: DataFrame, size: in
     """
     kind = texts.schema["id"].dataType.simpleString()
     blocks = lambda df, name: df.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    counts = blocks(queries, "n_left").join(blocks(members, "n_right"), "component")
+    counts = checkpointed(blocks(queries, "n_left").join(blocks(members, "n_right"), "component"))
     block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = queries.join(counts, "component").select("component", "doc_id", block("n_left").alias("i"), every("n_right").alias("j"))
@@ -245,11 +245,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def still_open(members: DataFrame, known: DataFrame) -> DataFrame:
     """members (key, doc_id) of buckets with several components, with component and the bucket's largest one."""
-    placed = members.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = placed.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one < other").select("key")
-    placed = placed.join(several, "key")
-    largest = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held")).groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("largest"))
-    return checkpointed(placed.join(largest, "key"))
+    placed = members.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = checkpointed(placed)
+    held = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
+    several = held.groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("largest"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    return checkpointed(placed.join(several, "key"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR, id_column: str = "doc_id", text_column: str = "text", halves: int = HALVES, rows: int = ROWS, seed: int = 11, report: Callable[[str, DataFrame], None] | None = None) -> DataFrame:
@@ -268,7 +268,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR, id_c
     # first and second are functions of the set; so the lead's are the class's.
     leads = with_set.join(classes.withColumnRenamed("lead", "doc_id"), [*of_set, "doc_id"]).dropDuplicates([*of_set, "doc_id"])
 
-    own_keys = keys(leads.select("doc_id", "first", "second"), halves)
+    # Plans are kept short by checkpoints: each exchange of a long one costs the driver threads and memory.
+    own_keys = keys(checkpointed(leads.select("doc_id", "first", "second")), halves)
     buckets = own_keys.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead < last").drop("last")
     at = work_dir(docs.sparkSession, "minhash")
     own_keys.join(buckets, "key").select("key", "doc_id", "lead").write.parquet(f"{at}/members")
@@ -296,8 +297,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR, id_c
 
     # Then with all in buckets of that component, block by block.
     placed = still_open(others, stars)
-    queries = placed.filter("component <> largest").select("doc_id", F.col("largest").alias("component")).distinct()
-    second = checkpointed(in_blocks(queries, placed.select("doc_id", F.col("largest").alias("component")).distinct(), texts, size, similar))
+    queries = checkpointed(placed.filter("component <> largest").select("doc_id", F.col("largest").alias("component")).distinct())
+    others_there = checkpointed(placed.select("doc_id", F.col("largest").alias("component")).distinct())
+    second = checkpointed(in_blocks(queries, others_there, texts, size, similar))
     if report:
         for name, df in (("classes", classes), ("members", members), ("texts", texts), ("first", first), ("tested", tested), ("linked", tested.filter(linked)), ("open members", placed), ("queries", queries), ("linked in blocks", second)):
             report(name, df)
@@ -305,7 +307,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR, id_c
     links = stars.toDF("a", "b").unionAll(second)
     of_class = classes.join(components(links).withColumnRenamed("id", "lead"), "lead", "left").select(*of_set, F.coalesce("component", "lead").alias("component"))
     # An id may have rows of several sets: their components are one.
-    of_id = with_set.join(of_class, of_set).groupBy("doc_id").agg(F.min("component").alias("component"), F.max("component").alias("other"))
+    of_class = checkpointed(of_class)
+    of_id = checkpointed(with_set.join(of_class, of_set).groupBy("doc_id").agg(F.min("component").alias("component"), F.max("component").alias("other")))
     joined = of_id.filter("component < other")
     if not joined.isEmpty():
         merged = components(with_set.join(of_class, of_set).join(joined.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("component").alias("b")).unionAll(links).unionAll(with_set.join(classes, of_set).select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))))
