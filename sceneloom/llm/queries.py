@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, minhash, mixing, quality, sharding, substring_dedup, token_counts, token_files, toxicity, warc
+from . import decontamination, filter_audit, minhash, mixing, quality, sharding, substring_dedup, token_counts, token_files, toxicity, vector_codes, warc
 from .common import LOWER, UPPER, table, work_dir
 
 SHARDS = 40
@@ -71,6 +71,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    told = vector_codes.with_label_errors(found)
+    return told.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -108,6 +118,46 @@ component AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM component LEFT JOIN sizes USING (doc_id)"""
 
 
+_DISTINCT = "len(list_distinct(words))"
+#: Each order's steps by the first filter that a pattern of failures meets in it.
+FILTER_AUDIT_SQL = f"""WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+flagged AS (SELECT d.doc_id, part, len(words) < 200 AS a, 100 * {_DISTINCT} < 50 * len(words) AS b, 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+  coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false) AS e, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic
+  FROM (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM texts) d LEFT JOIN labels USING (doc_id)),
+patterns AS (SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS fails,
+  count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM flagged GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letter p, letter q, letter r, letter s, letter t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps AS (SELECT filter_order, step, filter_order[step] AS filter FROM orders, range(1, 6) AS t(step)),
+met AS (SELECT part, filter_order, fails, n, good, toxic, coalesce(list_min(list_filter([strpos(filter_order, x) FOR x IN string_split(fails, '')], lambda k: k > 0)), 6) AS gone_at FROM patterns, orders),
+told AS (SELECT m.part, s.filter_order, s.step, s.filter, sum(n) FILTER (WHERE fails = '' OR gone_at > step) AS kept, sum(n) FILTER (WHERE fails <> '' AND gone_at = step) AS removed,
+  sum(n) FILTER (WHERE contains(fails, s.filter) AND gone_at < step) AS redundant, sum(n) FILTER (WHERE fails = s.filter) AS unique_fails, sum(good) FILTER (WHERE fails <> '' AND gone_at = step) AS good_lost,
+  sum(toxic) FILTER (WHERE fails <> '' AND gone_at = step) AS toxic_lost FROM met m JOIN steps s USING (filter_order) GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM told"""
+
+
+def _code_rounds(rounds: int) -> str:
+    """Lloyd's algorithm in plain joins: each part with each entry of its codebook."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"near_{k} AS (SELECT vec_id, p, arg_min(entry, (far, entry)) AS entry, min(far) AS far FROM (SELECT vec_id, p, entry, list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(v, c)]) AS far FROM parts JOIN book_{k} USING (p)) GROUP BY ALL)")
+        if k < rounds:
+            means = f"SELECT p, entry, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS c FROM (SELECT p, entry, i, sum(v[i]) AS total, count(*) AS n FROM (SELECT p, entry, v, unnest(range(1, len(v) + 1)) AS i FROM near_{k} JOIN parts USING (vec_id, p)) GROUP BY ALL) GROUP BY ALL"
+            steps.append(f"book_{k + 1} AS (SELECT b.p, b.entry, coalesce(m.c, b.c) AS c FROM book_{k} b LEFT JOIN ({means}) m USING (p, entry))")
+    return ",\n".join(steps)
+
+
+VECTOR_CODES_SQL = f"""WITH kept AS (SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS whole FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, p, whole[p * (len(whole) // 16) + 1 : (p + 1) * (len(whole) // 16)] AS v FROM kept, range(16) AS t(p)),
+smallest AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64),
+book_0 AS (SELECT p, entry, v AS c FROM smallest JOIN parts USING (vec_id)),
+{_code_rounds(2)},
+coded AS (SELECT vec_id, string_agg(lower(printf('%02x', entry)), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM near_2 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, entry)) AS codebooks_sha256 FROM book_2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), books"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what joins can express; hashes, models, tokenizers and files are tested in other ways."""
-    return {"op4_find_benchmark": FIND_BENCHMARK_SQL, "op5_repeated_passages": REPEATED_PASSAGES_SQL, "op7_near_duplicates": NEAR_DUPLICATES_SQL}
+    return {"op11_filter_audit": FILTER_AUDIT_SQL, "op13_vector_codes": VECTOR_CODES_SQL, "op4_find_benchmark": FIND_BENCHMARK_SQL, "op5_repeated_passages": REPEATED_PASSAGES_SQL, "op7_near_duplicates": NEAR_DUPLICATES_SQL}
