@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, filter_audit, minhash, mixing, quality, sharding, substring_dedup, token_counts, token_files, toxicity, vector_codes, warc
+from . import decontamination, filter_audit, minhash, mixing, personal_data, quality, sharding, substring_dedup, token_counts, token_files, toxicity, vector_codes, warc
 from .common import LOWER, UPPER, table, work_dir
 
 SHARDS = 40
@@ -75,6 +75,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, personal_data.KINDS), F.sha2(personal_data.written(base), 256).alias("base_sha256"), personal_data.written(F.col("spans")).alias("spans"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     told = vector_codes.with_label_errors(found)
