@@ -8,14 +8,15 @@ match that ends there (the matching statistics), and from that whether the windo
 a smaller document. Overlapping windows make the maximal spans that are removed.
 
 To broadcast automata of all documents and stream all documents through each would cost the square
-of the corpus. So shards are formed by content. Each window has an anchor, the run of ANCHOR words in it
+of the corpus. So shards are formed by content. Each window has an anchor, the run of words in it
 with the smallest hash; equal windows have equal anchors. Neighbouring windows with one anchor are a stretch
 of text. Only anchors of two documents or more matter; a bitmap of their hashes, of MOST_BITS at most, is
-broadcast, and stretches whose anchor is in it are sent to the shard of the anchor. So all copies of a
-window meet in one shard, and each shard's automaton is built of, and streamed with, the shard's own
-distinct stretches. Equal stretches are one row, with the smallest id, before they are sent, so copies of a
-document cost nothing more. The stretches of an anchor that has more than MOST_STRETCHES distinct ones
-are not gathered: their windows are grouped by two 64-bit hashes, whatever their number.
+broadcast, and stretches whose anchor is in it are sent to the anchor's shard. So all copies of a
+window meet in one shard, whose automaton is built of, and streamed with, the shard's own distinct stretches;
+every window of a shared anchor is judged by an automaton. Equal stretches are one row, with the smallest id, before they are sent, so copies of a
+document cost nothing more. A shard takes anchors until it has SHARD_WORDS words. An anchor of more than MOST_STRETCHES distinct
+stretches is too large for one: its stretches are cut again, by longer anchors, and sent to finer shards, down to anchors
+that are whole windows, of which a shard has one each. So no shard is large, however often its words come.
 """
 
 from __future__ import annotations
@@ -24,17 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import checkpointed, hashed_words, if_few, text_slices, whole_number_ids, work_dir
-from .minhash import WordHashes, mixed
+from .minhash import mixed
 
 #: Words of a window, and of its anchor.
 SPAN, ANCHOR = 50, 16
-#: Distinct stretches of one anchor that are put in one automaton.
-MOST_STRETCHES = 512
-#: Stretches that hold one window, from which on it is not joined by a shuffle.
+#: Distinct stretches that an anchor's shard holds at most, and words that a shard has before it is closed.
+MOST_STRETCHES, SHARD_WORDS = 512, 20_000
+#: Rows that hold one stretch, from which on they are not joined by a shuffle.
 MOST_HELD = 2000
+#: Stretches that a task remembers to have sent with their words.
+REMEMBERED = 1_000_000
 #: Bits of the bitmap of repeated anchors: SPARSE for each of those, as a power of two, between these. At 128 MB it may fill up at
 #: very large inputs; then more stretches are sent, no others judged.
 SPARSE, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
@@ -158,7 +162,7 @@ def stretches(texts: pa.Array, span: int, anchor: int) -> tuple[np.ndarray, np.n
 
 
 def removals(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
-    """Rows (doc_id, begin, before): ranges of words to remove. docs has doc_id (long, not null) and text."""
+    """Rows (doc_id, tie, begin, before): ranges of words to remove; tie is xxhash64 of the text. docs has doc_id (long, not null) and text."""
     spark = docs.sparkSession
 
     def slices(batches: Iterator[pa.RecordBatch]):
@@ -182,93 +186,130 @@ def removals(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFra
     sent = spark.sparkContext.broadcast(bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[bytes] = set()
         for ids, own, (of, first, n, found) in slices(batches):
             at = found % n_bits
             keep = np.flatnonzero(sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            texts, last, words = [], None, []
+            texts, digests, ties, last, words, tie = [], [], [], None, [], 0
             for k in keep.tolist():  # the stretches of a text come one after the other
                 if of[k] != last:
-                    last, words = of[k], own[int(of[k])].as_py().encode().split()
-                texts.append(b" ".join(words[first[k] : first[k] + n[k] + span - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[of[keep]], pa.int64()), pa.array(found[keep], pa.int64()), pa.array(first[keep], pa.int64()), pa.array(n[keep], pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "anchor", "first", "n", "words"])
+                    last, text = of[k], own[int(of[k])].as_py().encode()
+                    words, tie = text.split(), xxhash.xxh64_intdigest(text, 42)
+                text = b" ".join(words[first[k] : first[k] + n[k] + span - 1])
+                digests.append(digest := xxhash.xxh128_digest(text))
+                texts.append(None if digest in told else text)  # the words of a stretch are sent once by a task
+                ties.append(tie)
+                if len(told) >= REMEMBERED:
+                    told.clear()
+                told.add(digest)
+            ties = np.array(ties, np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[of[keep]], pa.int64()), pa.array(ties, pa.int64()), pa.array(found[keep], pa.int64()), pa.array(digests, pa.binary()), pa.array(first[keep], pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "tie", "anchor", "stretch", "first", "words"])
 
     at = work_dir(spark, "passages")
-    found = docs.mapInArrow(cut, "doc_id long, anchor long, first long, n long, words binary")
-    found.withColumn("stretch", F.xxhash64("words")).write.parquet(f"{at}/found")
+    docs.mapInArrow(cut, "doc_id long, tie long, anchor long, stretch binary, first long, words binary").write.option("compression", "zstd").parquet(f"{at}/found")
     found = spark.read.parquet(f"{at}/found")
-    found.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("owner"), F.first("words").alias("words")).write.parquet(f"{at}/distinct")
-    distinct = spark.read.parquet(f"{at}/distinct")
-    # Of these anchors there are as many as stretches, divided by MOST_STRETCHES, at most.
-    crowded = if_few(checkpointed(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > MOST_STRETCHES).select("anchor")))
+    spans = with_runs(found.drop("words"), *judged(found.select("anchor", "stretch", "doc_id", "words"), span, anchor, f"{at}/distinct")).filter("smallest < doc_id")
+    return spans.select("doc_id", "tie", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("before") + span - 1).alias("before"))
+
+
+def judged(found: DataFrame, span: int, anchor: int, at: str) -> tuple[DataFrame, DataFrame]:
+    """From rows (anchor, stretch, doc_id, words), rows (anchor, stretch, begin, before, smallest): of each distinct stretch, runs of windows of one smallest id. And the stretches with held, how many rows have them.
+
+    Of several rows of one stretch, some may have null words. anchor is the length of the anchors.
+    """
+    spark = found.sparkSession
+    found.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("owner"), F.first("words", ignorenulls=True).alias("words"), F.count(F.lit(1)).alias("held")).write.option("compression", "zstd").parquet(at)
+    distinct = spark.read.parquet(at)
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: list[tuple[int, int, int, list[bytes]]] = []
+        shard: list[tuple[int, bytes, int, list[int]]] = []
+        numbers: dict[bytes, int] = {}
 
         def flush() -> pa.RecordBatch:
-            out: list[tuple[int, int, int, int, int]] = []
-            alone = len(shard) == 1
             automaton = SuffixAutomaton()
-            if not alone:
-                for _, _, owner, words in shard:
-                    automaton.add(words, owner)
-                automaton.finish()
-            for anchor_, stretch, owner, words in shard:
-                smallest = [owner] * (len(words) - span + 1) if alone else automaton.smallest_of_windows(words, span)
-                begin = 0
+            for _, _, owner, words in shard:
+                automaton.add(words, owner)
+            automaton.finish()
+            out: list[tuple[int, bytes, int, int, int]] = []
+            for anchor_, stretch, _, words in shard:
+                smallest, begin = automaton.smallest_of_windows(words, span), 0
                 for i in range(1, len(smallest) + 1):
                     if i == len(smallest) or smallest[i] != smallest[begin]:
                         out.append((anchor_, stretch, begin, i, smallest[begin]))
                         begin = i
             shard.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], names=["anchor", "stretch", "begin", "before", "smallest"])
+            numbers.clear()
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["anchor", "stretch", "begin", "before", "smallest"])
 
+        n = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard and shard[-1][0] != row[0]:
+            for anchor_, stretch, owner, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if n >= SHARD_WORDS and shard[-1][0] != anchor_:
                     yield flush()
-                shard.append((row[0], row[1], row[2], row[3].split(b" ")))
+                    n = 0
+                words = [numbers.setdefault(w, len(numbers)) for w in text.split(b" ")]
+                shard.append((anchor_, stretch, owner, words))
+                n += len(words)
         yield flush()
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            for anchor_, stretch, owner, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hashes = np.fromiter(map(known.__getitem__, words.split(b" ")), np.uint64)
-                one, two = run_hashes(hashes, span, 1).astype(np.int64), run_hashes(hashes, span, 2).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([anchor_] * len(one), [stretch] * len(one), range(len(one)), one, two, [owner] * len(one))], names=["anchor", "stretch", "begin", "one", "two", "owner"])
-
     columns = ["anchor", "stretch", "owner", "words"]
-    runs = distinct.join(crowded, "anchor", "left_anti").select(columns).repartition("anchor").sortWithinPartitions("anchor", "owner", "stretch")
-    runs = runs.mapInArrow(matched, "anchor long, stretch long, begin long, before long, smallest long")
-    hashed = distinct.join(crowded, "anchor", "left_semi").select(columns).mapInArrow(windows, "anchor long, stretch long, begin long, one long, two long, owner long")
-    hashed.write.parquet(f"{at}/hashed")
-    hashed = spark.read.parquet(f"{at}/hashed")
-    least = checkpointed(hashed.groupBy("one", "two").agg(F.min("owner").alias("smallest"), F.count(F.lit(1)).alias("k")))
-    # Windows that very many stretches hold are few, a part in MOST_HELD of all at most, and go to all tasks; only others meet by a shuffle.
-    common = if_few(checkpointed(least.filter(F.col("k") > MOST_HELD).select("one", "two", "smallest")))
-    rest = hashed.join(common.drop("smallest"), ["one", "two"], "left_anti").join(least.filter(F.col("k") <= MOST_HELD).drop("k"), ["one", "two"])
-    # Windows less than a span apart cover one range of words, so those of one smallest id come out as one row.
-    near = hashed.join(common, ["one", "two"]).unionByName(rest).groupBy("anchor", "stretch", "smallest", F.floor(F.col("begin") / span).alias("part"))
-    runs = runs.unionByName(near.agg(F.min("begin").alias("begin"), (F.max("begin") + 1).alias("before")).drop("part"))
-    spans = found.select("doc_id", "anchor", "stretch", "first").join(runs, ["anchor", "stretch"]).filter("smallest < doc_id")
-    return spans.select("doc_id", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("before") + span - 1).alias("before"))
+    kind = "anchor long, stretch binary, begin long, before long, smallest long"
+    alike = distinct.select(columns)
+    if anchor == span:
+        return alike.repartition("anchor").sortWithinPartitions("anchor", "owner").mapInArrow(matched, kind), distinct
+    # Of these anchors there are as many as stretches, divided by MOST_STRETCHES, at most.
+    crowded = if_few(checkpointed(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > MOST_STRETCHES).select("anchor")))
+    runs = alike.join(crowded, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "owner", "stretch").mapInArrow(matched, kind)
+    longer = min(span, 2 * anchor + 1)
+
+    def cut_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, BATCH):
+                part = batch.slice(k, BATCH)
+                of, first, n, finer = stretches(part.column(3).cast(pa.string()), span, longer)
+                texts, last, words = [], None, []
+                for i in range(len(of)):
+                    if of[i] != last:
+                        last, words = of[i], part.column(3)[int(of[i])].as_py().split(b" ")
+                    texts.append(b" ".join(words[first[i] : first[i] + n[i] + span - 1]))
+                of = pa.array(of, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), part.column(2).take(of), pa.array(first, pa.int64()), pa.array(finer, pa.int64()), pa.array([xxhash.xxh128_digest(t) for t in texts], pa.binary()), pa.array(texts, pa.binary())], names=["of_anchor", "of_stretch", "doc_id", "first", "anchor", "stretch", "words"])
+
+    again = alike.join(crowded, "anchor", "left_semi").mapInArrow(cut_again, "of_anchor long, of_stretch binary, doc_id long, first long, anchor long, stretch binary, words binary")
+    if crowded.isEmpty():
+        return runs, distinct
+    again.write.option("compression", "zstd").parquet(f"{at}-again")
+    again = spark.read.parquet(f"{at}-again")
+    finer = with_runs(again.drop("words", "doc_id"), *judged(again.select("anchor", "stretch", "doc_id", "words"), span, longer, f"{at}-{longer}"))
+    return runs.unionByName(finer.select(F.col("of_anchor").alias("anchor"), F.col("of_stretch").alias("stretch"), (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("before")).alias("before"), "smallest")), distinct
+
+
+def with_runs(found: DataFrame, runs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """found joined with the runs of its stretches. Those that very many rows hold are few, a part in MOST_HELD of all at most, and go to all tasks."""
+    by = ["anchor", "stretch"]
+    runs = checkpointed(runs)
+    hot = if_few(checkpointed(distinct.filter(F.col("held") > MOST_HELD).select(by)))
+    of_hot = if_few(checkpointed(runs.join(hot, by, "left_semi")))
+    return found.join(of_hot, by).unionByName(found.join(hot, by, "left_anti").join(runs.join(hot, by, "left_anti"), by))
 
 
 def remove_repeated(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept), one for each row of docs; kept is the words that stay, with one space between.
 
     Words are runs of anything but ASCII white space, unchanged. A null or empty text has no words. Windows are
-    judged on the input. A row of a null id is smaller than none and loses nothing; rows of one id are
-    one document, so they lose what the words of either repeat of smaller ids, at the same places. An
+    judged on the input. A row of a null id is smaller than none and loses nothing; rows of one id don't judge each other, and each
+    loses what its own words repeat of smaller ids. An
     empty table gives an empty result. Ids have to be whole numbers. Other columns are not carried.
     """
     whole_number_ids(docs, id_column)
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     spans = removals(own.filter("doc_id is not null"), span, anchor)
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "before")).alias("spans"))  # fewer than the document's words
+    # Rows are told apart by id and text; those equal in both share their spans, which are fewer than their words.
+    spans = spans.groupBy(F.col("doc_id").alias("of"), "tie").agg(F.collect_set(F.struct("begin", "before")).alias("spans"))
     # Rows of a null id have no spans; each goes to a task of its own choice.
-    spans = spans.withColumnRenamed("doc_id", "of")
-    joined = own.join(spans, F.coalesce("doc_id", F.xxhash64("text")).eqNullSafe(F.col("of")) & F.col("doc_id").isNotNull(), "left").select("doc_id", "text", F.col("spans.begin").alias("begin"), F.col("spans.before").alias("before"))
+    same = (F.coalesce("doc_id", F.xxhash64("text")) == F.col("of")) & (F.xxhash64("text") == F.col("tie")) & F.col("doc_id").isNotNull()
+    joined = own.join(spans, same, "left").select("doc_id", "text", F.col("spans.begin").alias("begin"), F.col("spans.before").alias("before"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

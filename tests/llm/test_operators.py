@@ -282,9 +282,12 @@ def brute_removed(texts, span):
     return kept
 
 
-@pytest.mark.parametrize("most", [512, 1])
-def test_repeated_passages(spark, docs, none, monkeypatch, most):
+@pytest.mark.parametrize(("most", "in_a_shard", "held"), [(512, 20_000, 2000), (1, 100, 1)])
+def test_repeated_passages(spark, docs, none, monkeypatch, most, in_a_shard, held):
     monkeypatch.setattr(substring_dedup, "MOST_STRETCHES", most)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", in_a_shard)
+    monkeypatch.setattr(substring_dedup, "MOST_HELD", held)
+    monkeypatch.setattr(substring_dedup, "REMEMBERED", 10 * most)
     rng = np.random.default_rng(9)
     passage = [f"p{k}" for k in range(30)]
     texts = {0: None, 1: "", 2: "x x x x " * 20, 3: "x x x x " * 25}
@@ -299,6 +302,21 @@ def test_repeated_passages(spark, docs, none, monkeypatch, most):
     assert substring_dedup.remove_repeated(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [512, 1])
+def test_rows_of_one_id_lose_their_own_repeats_only(spark, monkeypatch, most):
+    monkeypatch.setattr(substring_dedup, "MOST_STRETCHES", most)
+    passage = {k: " ".join(f"{k}{i}" for i in range(80)) for k in "abcd"}
+    rows = [(1, passage["a"]), (5, passage["a"]), (5, passage["b"]), (5, passage["b"]), (5, f"{passage['c']} {passage['a']} {passage['b']}"), (7, passage["d"]), (7, f"x {passage['d']}"), (7, None), (None, passage["a"]), (9, passage["b"])]
+    docs = spark.createDataFrame([(*r, "spans", 1) for r in rows], "doc_id long, text string, tie string, begin int").repartition(3)
+    found = sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeated(docs).collect())
+    assert found == sorted([
+        (1, 80, 0, passage["a"]), (5, 80, 80, ""), (5, 80, 0, passage["b"]), (5, 80, 0, passage["b"]), (5, 240, 80, f"{passage['c']} {passage['b']}"),
+        (7, 80, 0, passage["d"]), (7, 81, 0, f"x {passage['d']}"), (7, 0, 0, ""), (0, 80, 0, passage["a"]), (9, 80, 80, ""),
+    ])
+    with pytest.raises(TypeError, match="whole numbers"):
+        substring_dedup.remove_repeated(docs.withColumn("doc_id", F.lit("a")))
+
+
 def test_suffix_automaton_against_search():
     rng = np.random.default_rng(3)
     words = [[bytes([97 + x]) for x in rng.integers(0, 3, int(n))] for n in rng.integers(1, 40, 12)]
