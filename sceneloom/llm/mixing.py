@@ -1,8 +1,9 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Each source has a target, a number of words. The documents of a source stand in a seeded random
-order, end to end, and the mix takes the first `target` words of that line, starting over at its
-end where the target is more than the source. The words taken are cut into blocks of equal
+order, end to end, and the mix takes those that the first `target` words of that line hold whole, starting over at its
+end where the target is more than the source. The gap that this leaves is filled by FILLERS more documents at most, of the rest of the
+line: the largest that fits, again and again, and at last the one that comes nearest, if that is better than none. So documents are only ever taken whole. The words taken are cut into blocks of equal
 length; the number of a source's blocks is its exact quota. A binary tree splits the quotas among
 the output shards: at each node the quota units are permuted, and the first half of them goes
 left. Which sources that half holds is one draw from the multivariate hypergeometric
@@ -11,7 +12,8 @@ and shuffles what it draws locally.
 
 DataFrame functions only. The plan is made of ids and sizes; texts are moved once, when the rows of the mix are
 put together. Quota units number QUOTA_UNITS plus one a source at most; all that
-grows with the documents stays distributed, and no source is ever gathered in one task.
+grows with the documents stays distributed, and no source is ever gathered in one task. Sources, a row each, are weighed in one
+task: MOST_SOURCES at most, more are an error.
 """
 
 from __future__ import annotations
@@ -20,12 +22,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import checkpointed, free_name, n_words_of
+from .common import checkpointed, free_name, if_few, n_words_of
 
 #: No source is taken more often than this.
 MOST_REPEATS = 3
 #: Blocks in the whole mix, about. It bounds the quota table, whatever the input is.
 QUOTA_UNITS = 2048
+#: So many documents at most fill what a source's whole documents leave of its target.
+FILLERS = 4
+#: A row of some 60 bytes each, in one task.
+MOST_SOURCES = 1_000_000
 #: Lines and shards are laid out in pieces of about so many rows, each sorted on its own. They don't change the result.
 PIECE_ROWS = 5_000
 
@@ -105,10 +111,9 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 23
     """What the mix takes of each document, the targets and quotas of the sources, and the number of rows.
 
     The first table has doc_id, key, same, copy, source and size, and source_size, target,
-    block_words, line_start (where the document's words begin in its source's line) and taken, the
-    words of it that the mix takes, repeats counted. The sum of taken over a source is its target,
-    rounded. A document is taken a whole number of times, but for the one a source that its target
-    cuts. The order of the line depends on the seed, the id and the text; rows equal in both share
+    block_words, line_start (where the document's words begin in its source's line), whole (how often the line takes it), fills (where in the gap at the line's end it stands, null if it doesn't) and taken, the
+    words of it that the mix takes, repeats counted: a whole number of times its size. The sum of taken over a source is its target,
+    but for what no document fills. The order of the line depends on the seed, the id and the text; rows equal in both share
     their places. A null or empty text has no words and is never taken. A null source is one like
     others. An empty table gives empty tables.
     """
@@ -123,6 +128,9 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 23
     pieces = pieces.select("*", (F.sum("words").over(by_source.orderBy("piece")) - F.col("words")).alias("piece_start"))
     targets = pieces.groupBy("name", "unnamed").agg(F.sum("words").alias("source_size"))
     targets = targets.select(F.when(~F.col("unnamed"), F.col("name")).alias("source"), "source_size")
+    targets = checkpointed(targets)
+    if (n_sources := targets.count()) > MOST_SOURCES:
+        raise ValueError(f"{n_sources} sources, more than {MOST_SOURCES}")
     targets = checkpointed(with_quotas(source_targets(targets, weights)))
     named = targets.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"), "*")
     pieces = pieces.drop("words").join(named, ["name", "unnamed"])
@@ -130,66 +138,82 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 23
     rows = rows.join(pieces, ["name", "unnamed", "piece"])
     order = Window.partitionBy("name", "unnamed", "piece").orderBy("key", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("line_start", F.col("piece_start") + F.sum("size").over(order) - F.col("size"))
-    taken = F.lit(0).cast("long")
-    for epoch in range(MOST_REPEATS):
-        left = F.round(F.col("target")).cast("long") - epoch * F.col("source_size") - F.col("line_start")
-        taken = taken + F.greatest(F.lit(0).cast("long"), F.least(left, F.col("size")))
-    planned = rows.select("doc_id", "key", "same", "copy", "source", "size", "source_size", "target", "block_words", "line_start", taken.alias("taken"))
+    wanted = F.round("target").cast("long")
+    times = F.when(F.col("source_size") > 0, F.floor(wanted / F.col("source_size"))).otherwise(0).cast("int")
+    rest = wanted - times * F.col("source_size")
+    inside = F.col("line_start") + F.col("size") <= rest
+    rows = checkpointed(rows.withColumns({"times": times, "inside": inside, "rest": rest}))
+    # The gap that the whole documents leave at each source's end, and the documents that fill it.
+    by = ["name", "unnamed"]
+    ends = rows.groupBy(*by).agg(F.max(F.when(F.col("inside"), F.col("line_start") + F.col("size"))).alias("filled"), F.max("rest").alias("goal"))
+    ends = checkpointed(ends.withColumn("filled", F.coalesce("filled", F.lit(0).cast("long"))))
+    spare = rows.filter("not inside and size > 0").select(*by, "size", "key", "doc_id", "same", "copy")
+    fillers = None
+    for turn in range(FILLERS):
+        off, gap = F.abs(F.col("size") - F.col("gap")), F.col("goal") - F.col("filled")
+        fits = (off < F.col("gap")) if turn == FILLERS - 1 else (F.col("size") <= F.col("gap"))
+        left = spare if fillers is None else spare.join(if_few(fillers.select("same", "copy")), ["same", "copy"], "left_anti")
+        best = left.join(if_few(ends.select(*by, gap.alias("gap"))), by).filter(fits).groupBy(*by).agg(F.min(F.struct(off.alias("off"), "size", "key", "doc_id", "same", "copy")).alias("best"))
+        ends = checkpointed(ends.join(best, by, "left").select(*by, "goal", F.coalesce("best.size", F.lit(0).cast("long")).alias("more"), "filled", "best.same", "best.copy"))
+        found = ends.filter("more > 0").select("same", "copy", F.col("filled").alias("fills"))
+        fillers = checkpointed(found if fillers is None else fillers.unionByName(found))
+        ends = ends.select(*by, "goal", (F.col("filled") + F.col("more")).alias("filled"))
+    rows = rows.join(if_few(fillers), ["same", "copy"], "left")
+    whole = F.col("times") + F.col("inside").cast("int")
+    taken = F.col("size") * (whole + F.col("fills").isNotNull().cast("int"))
+    planned = rows.select("doc_id", "key", "same", "copy", "source", "size", "source_size", "target", "block_words", "line_start", whole.alias("whole"), "fills", "times", taken.alias("taken"))
     return checkpointed(planned), targets, n_rows
 
 
 def drawn(planned: DataFrame, quotas: DataFrame, n_rows: int, shards: int, seed: int) -> DataFrame:
-    """Rows (doc_id, same, copy, source, size, line_start, epoch, words, to, slot), one for each time a document is drawn.
+    """Rows (doc_id, same, copy, source, size, line_start, epoch, to, slot), one for each time a document is drawn.
 
-    Of the document, words go to the output shard `to`, where slot is the number of the row in the shard's random order.
+    The document goes to the output shard `to`, where slot is the number of the row in the shard's random order.
     A shard is ordered in pieces, so that none is sorted in one task; where a piece begins follows from the sizes of
-    those before it. Documents that are not taken have no row here.
+    those before it. Documents that are not taken have no row here. One that fills a gap stands where the gap begins.
     """
-    takes = planned.filter("taken > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1))).alias("epoch"))
-    begin = F.col("epoch") * F.col("source_size") + F.col("line_start")
-    takes = takes.withColumn("words", F.least(F.col("size"), F.round(F.col("target")).cast("long") - begin)).filter("words > 0")
+    takes = planned.filter("taken > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("whole") + F.col("fills").isNotNull().cast("int") - 1)).alias("epoch"))
+    begin = F.when(F.col("epoch") < F.col("whole"), F.col("epoch") * F.col("source_size") + F.col("line_start")).otherwise(F.col("times") * F.col("source_size") + F.col("fills"))
     takes = takes.withColumn("block", F.floor(begin / F.col("block_words")).cast("int"))
     draws = quota_tree(quotas, shards, seed).select(F.col("source").alias("from"), F.col("block").alias("drawn"), F.col("shard").alias("to"))
-    takes = takes.join(F.broadcast(draws), F.col("source").eqNullSafe(F.col("from")) & (F.col("block") == F.col("drawn")))  # QUOTA_UNITS rows, and one a source
+    takes = takes.join(if_few(checkpointed(draws)), F.col("source").eqNullSafe(F.col("from")) & (F.col("block") == F.col("drawn")))
     local = F.xxhash64(F.lit(seed), F.lit("local"), "epoch", "doc_id", "line_start")
     bits = bits_of(MOST_REPEATS * n_rows // shards)
-    takes = takes.select("doc_id", "same", "copy", "source", "size", "line_start", "epoch", "words", "to", local.alias("local"), F.shiftright(local, 64 - bits).cast("int").alias("piece"))
+    takes = takes.select("doc_id", "same", "copy", "source", "size", "line_start", "epoch", "to", local.alias("local"), F.shiftright(local, 64 - bits).cast("int").alias("piece"))
     takes = checkpointed(takes)
     starts = takes.groupBy("to", "piece").count()
     starts = starts.select("to", "piece", (F.sum("count").over(Window.partitionBy("to").orderBy("piece")) - F.col("count")).alias("start"))
     order = Window.partitionBy("to", "piece").orderBy("local", "epoch", "source", "line_start")
-    takes = takes.withColumn("place", F.row_number().over(order)).join(F.broadcast(starts), ["to", "piece"])  # a row of 16 bytes for PIECE_ROWS rows, or a shard
+    takes = takes.withColumn("place", F.row_number().over(order)).join(if_few(checkpointed(starts)), ["to", "piece"])  # a row for PIECE_ROWS rows, or a shard
     return takes.withColumn("slot", F.col("start") + F.col("place") - 1).drop("piece", "local", "place", "start")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), shards: int = 32, seed: int = 23, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """The mix: the columns of docs, with mix_shard and mix_slot, one row for each time a document is taken.
 
-    The document that the end of a source's quota cuts comes with its first words only. mix_slot
+    Texts are whole. mix_slot
     numbers a shard's rows, from 0, in their local random order. Shards hold about as many words each.
     Columns of docs stay apart from those of the plan, so no name can clash.
     """
     planned, quotas, n_rows = plan_mix(docs, weights, seed, id_column, text_column, source_column)
     takes = drawn(planned, quotas, n_rows, shards, seed)
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *keys_of(seed, id_column, text_column, source_column))
-    wanted = takes.select("same", "size", "words", "to", "slot", F.col("copy").alias("_copy"))
+    wanted = takes.select("same", "to", "slot", F.col("copy").alias("_copy"))
     if planned.agg(F.max("copy")).first()[0] == 1:  # as a rule; then texts are moved once
         found = rows.join(wanted, "same")
     else:
         found = rows.withColumn("copy", copy_number()).join(wanted.withColumnRenamed("same", "_same"), (F.col("same") == F.col("_same")) & (F.col("copy") == F.col("_copy")))
-    words = F.regexp_extract_all(F.col(f"row.{text_column}"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")).otherwise(F.col(f"row.{text_column}"))
-    columns = [(text if c == text_column else F.col(f"row.{c}")).alias(c) for c in docs.columns]
+    columns = [F.col(f"row.{c}").alias(c) for c in docs.columns]
     return found.select(*columns, F.col("to").alias(free_name(docs, "mix_shard")), F.col("slot").alias(free_name(docs, "mix_slot")))
 
 
 def mixed_words(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), shards: int = 32, seed: int = 23, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken, source, places), one for each row of docs, of what mix() draws.
 
-    taken is the sum of the words that the leaves of the tree draw of the document, 0 if none draws any. places lists
+    taken is the sum of the words that the leaves of the tree draw of the document, a whole number of times its size, 0 if none draws it. places lists
     the shard and the slot of each draw, as in `3:17,20:4`; it is empty if there are none.
     """
     planned, quotas, n_rows = plan_mix(docs, weights, seed, id_column, text_column, source_column)
     draw = F.struct("epoch", F.concat_ws(":", "to", "slot").alias("place"))
-    found = drawn(planned, quotas, n_rows, shards, seed).groupBy("same", "copy").agg(F.sum("words").alias("n"), F.array_join(F.array_sort(F.collect_list(draw))["place"], ",").alias("places"))
+    found = drawn(planned, quotas, n_rows, shards, seed).groupBy("same", "copy").agg(F.sum("size").alias("n"), F.array_join(F.array_sort(F.collect_list(draw))["place"], ",").alias("places"))
     return planned.join(found, ["same", "copy"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0).cast("long")).alias("taken"), "source", F.coalesce("places", F.lit("")).alias("places"))

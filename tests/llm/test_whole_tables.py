@@ -161,10 +161,14 @@ def test_each_stage_of_the_pipeline(spark, planted):
     assert gone["decontamination"] == list(range(500, 510))
     mixed = corpus_pipeline.mixed(spark, docs, planted)
     targets = {r.source: r for r in mixing.plan_mix(docs)[1].collect()}
-    got: dict = {}
+    got, largest, texts = {}, {}, {}
+    for r in docs.collect():
+        largest[r.source] = max(largest.get(r.source, 0), len((r.text or "").split()))
+        texts.setdefault(r.doc_id, set()).add(r.text)
     for r in mixed.collect():
         got[r.source] = got.get(r.source, 0) + len(r.text.split())
-    assert mixed.columns == docs.columns and {k: v for k, v in got.items() if v} == {k: round(r.target) for k, r in targets.items() if r.target}
+        assert r.text in texts[r.doc_id]  # whole
+    assert mixed.columns == docs.columns and all(abs(got.get(k, 0) - r.target) <= max(0.02 * r.target, largest[k] / 2) + 1 for k, r in targets.items())
     sharded = corpus_pipeline.sharded(spark, docs, planted)
     assert sharded.columns == [*docs.columns, "_shard", "_slot"] and ids(sharded) == all_ids
 
