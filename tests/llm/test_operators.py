@@ -283,6 +283,43 @@ def test_near_duplicates(spark, docs, none):
     assert minhash.missed_below(0.8) < 5e-4
 
 
+@pytest.mark.parametrize("most", [64, 1])
+def test_templates_and_chains_of_near_duplicates(spark, monkeypatch, most):
+    """Documents of one template share buckets without being linked; chains of links cross buckets; sizes differ."""
+    monkeypatch.setattr(minhash, "MOST_SHARED", most)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    draw = np.random.default_rng(12)
+    template = [f"t{k}" for k in draw.integers(0, 9000, 150)]
+    texts: dict = {}
+    for i in range(90):
+        words = [w if draw.random() > 0.13 else f"u{i}-{k}" for k, w in enumerate(template)]
+        texts[i] = " ".join(words[: int(draw.integers(100, 151))])
+    for i in range(90, 150):
+        words = texts[int(draw.integers(0, i))].split()
+        for k in draw.integers(0, len(words), int(draw.integers(1, 9))):
+            words[k] = f"v{i}-{k}"
+        texts[i] = " ".join(words)
+    reported: dict = {}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = minhash.near_duplicates(docs, size=2, report=lambda name, df: reported.update({name: df.count()})).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(texts, 2, 80)
+    assert reported["open members"] > 0 and (most > 1 or reported["pairs of rare shingles"] == 0)
+
+
+def test_linked_sets_share_a_rare_shingle(spark):
+    draw = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in draw.integers(0, 60, int(n))) for n in draw.integers(1, 90, 120)]
+    texts += [" ".join(t.split()[: -max(1, len(t.split()) // 12)]) or "x" for t in texts]
+    sets = minhash.sets_of(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 1)
+    rare: dict = {}
+    for r in minhash.rarest(sets, 80).collect():
+        rare.setdefault(r.id, set()).add(r.shingle)
+    own = [set(t.split()) for t in texts]
+    linked = [(a, b) for a in range(len(own)) for b in range(a) if 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])]
+    assert len(linked) > 100 and all(rare[a] & rare[b] for a, b in linked)
+    assert all(len(rare[i]) == len(s) - -(-80 * len(s) // 100) + 1 for i, s in enumerate(own))
+
+
 @pytest.mark.parametrize("in_a_task", [200_000, 20])
 def test_components_of_a_long_chain(spark, monkeypatch, in_a_task):
     monkeypatch.setattr(minhash, "LINKS_OF_TASK", in_a_task)
