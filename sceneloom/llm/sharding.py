@@ -34,7 +34,8 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 17, bucket_bytes: int =
     id (or of a null id) nor many copies of one text meet in a bucket; rows equal in both meet,
     and come out as separate rows. Null and empty texts are rows like others. An empty table
     gives an empty result. Columns of docs named shard or slot make the new ones _shard or _slot.
-    The result depends on the rows, the seed and the bucket size, not on how docs is laid out.
+    The result depends on the rows, the seed and the bucket size, not on how docs is laid out; but of rows equal in id and text, which
+    differ in other columns only, any may have the place of the other.
     """
     shard_name, slot_name = free_name(docs, "shard"), free_name(docs, "slot")
     key = F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column))

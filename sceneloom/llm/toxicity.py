@@ -369,7 +369,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_c
     ratios = Ratios(spark.read.parquet(at))
     # What is learned from is mostly what is scored, and then its words are looked up once.
     valued = checkpointed(values(marked if learn_from is None else marked.filter("y IS NOT NULL"), ratios))
-    points = valued.filter("y IS NOT NULL").select("rest", "y").collect()  # SAMPLE_ROWS points at most, but for repeated ids
+    points = valued.filter("y IS NOT NULL").groupBy("doc_id").agg(F.min("rest").alias("rest"), F.max("y").alias("y")).orderBy("doc_id").collect()  # SAMPLE_ROWS points at most
     slope, offset = logistic([(math.asinh(STRETCH * r.rest), r.y) for r in points])
     found = valued if learn_from is None else values(unmarked, ratios)
     result = 1 / (1 + F.exp(-(F.asinh(F.col("value") * STRETCH) * slope + offset)))
@@ -379,7 +379,8 @@ def scored(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_c
 def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", learn_from: DataFrame | None = None) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted), one for each row of docs, repeated ids included.
 
-    labels has doc_id and toxic; labels of one id that differ count as toxic, null ones not at all. The
+    labels has doc_id and toxic; labels of one id that differ count as toxic, null ones not at all. Of rows of one labelled id the least toxic
+    calibrates. The
     models are learned from the documents of learn_from, which is docs if not given. score is from 0 to 1,
     predicted is 1 from 0.5 on. A null or empty text, or one without letters, has the value 0 and the
     score that goes with it. A null id is not held out. Without labels of both classes nothing is known:

@@ -85,6 +85,7 @@ class Records:
     def __init__(self):
         self.rest = bytearray()
         self.needed = 0
+        self.number, self.offset = 0, 0
 
     def feed(self, data: bytes) -> Iterator[bytes]:
         self.rest += data
@@ -93,12 +94,25 @@ class Records:
                 at = self.rest.find(END)
                 if at < 0:
                     return
-                self.needed = at + len(END) + int(header(bytes(self.rest[:at]))["content-length"]) + len(END)
+                size = self.named(header(bytes(self.rest[:at])), "content-length")
+                if not (size.isascii() and size.isdigit()):
+                    raise ValueError(f"{self}: the Content-Length is {size!r}")
+                self.needed = at + len(END) + int(size) + len(END)
                 continue
             found = bytes(self.rest[: self.needed])
+            yield found
+            self.number, self.offset = self.number + 1, self.offset + self.needed
             del self.rest[: self.needed]
             self.needed = 0
-            yield found
+
+    def __str__(self) -> str:
+        return f"record {self.number} at byte {self.offset}"
+
+    def named(self, fields: dict[str, str], name: str) -> str:
+        """A field of the present record's head; one without it is an error."""
+        if name not in fields:
+            raise ValueError(f"{self} has no {name.title()}")
+        return fields[name]
 
 
 def header(head: bytes) -> dict[str, str]:
@@ -127,7 +141,8 @@ def normalise(monolith: BinaryIO, out: BinaryIO) -> list[dict[str, object]]:
     """Rewrites a gzip stream of records with a member for each; for each its offset, length, record id and URI.
 
     The input is inflated once. It may itself be of several members, with zero bytes after the last one. A stream that ends
-    before its last member does, or inside a record, is an error.
+    before its last member does, or inside a record, is a ValueError, and so is a record without a Content-Length or a WARC-Record-ID, or
+    with a length that is no number; the error has the record's number and its place in the inflated bytes.
     """
     index, at, records, inflate = [], 0, Records(), zlib.decompressobj(31)
     begun = False  # whether a member has begun that has not ended
@@ -139,7 +154,7 @@ def normalise(monolith: BinaryIO, out: BinaryIO) -> list[dict[str, object]]:
             member = deflate.compress(found) + deflate.flush()
             out.write(member)
             fields = header(found.partition(END)[0])
-            index.append({"offset": at, "length": len(member), "id": fields["warc-record-id"], "uri": fields.get("warc-target-uri", "")})
+            index.append({"offset": at, "length": len(member), "id": records.named(fields, "warc-record-id"), "uri": fields.get("warc-target-uri", "")})
             at += len(member)
 
     while data := monolith.read(READ_BYTES):

@@ -412,6 +412,11 @@ def test_normaliser_of_archives():
     for broken in (cut, one[:-4], one[: len(one) // 2]):
         with pytest.raises(ValueError, match="ends inside"):
             warc.normalise(io.BytesIO(broken), io.BytesIO())
+    place = f"record 1 at byte {len(records[0])}"
+    for field, other, message in ((b"Content-Length: ", b"Content-Size: ", f"{place} has no Content-Length"), (b"Content-Length: ", b"Content-Length: -", f"{place}: the Content-Length is '-"), (b"Content-Length: ", b"Content-Length: x", "the Content-Length is 'x"), (b"WARC-Record-ID", b"WARC-Record", f"{place} has no Warc-Record-Id")):
+        assert field in records[1]
+        with pytest.raises(ValueError, match=message):
+            warc.normalise(io.BytesIO(gzip.compress(records[0] + records[1].replace(field, other, 1))), io.BytesIO())
 
 
 @pytest.mark.parametrize("most", [1_000_000, 0])
@@ -504,7 +509,7 @@ def test_toxicity_learns_from_all_grams(spark, monkeypatch, apart, most):
         words = letters_of(text)
         return sum(map(models.word, words)) / len(words) if words else 0.0
 
-    points = [(np.arcsinh(toxicity.STRETCH * value(rests[part[i]], t)), labels[i]) for i, t in rows if i in labels]
+    points = [(min(np.arcsinh(toxicity.STRETCH * value(rests[part[i]], t)) for k, t in rows if k == i), labels[i]) for i in sorted(labels)]
     slope, offset = toxicity.logistic(points)
     expected = sorted((i, 1 / (1 + np.exp(-(np.arcsinh(toxicity.STRETCH * value(whole, t)) * slope + offset)))) for i, t in (other if apart else rows))
     assert [r.doc_id for r in sorted(found)] == [i for i, _ in expected]
