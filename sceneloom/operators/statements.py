@@ -1,12 +1,12 @@
-"""Statements read off the token table: scopes by windows, operands by looking ahead, expressions in postfix order."""
+"""Statements read off the token table: scopes by windows and stacks of blocks, operands by looking ahead."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from . import expressions as of_expressions
+
 #: Token types that begin a statement.
 STATEMENTS = ("CreateVariable", "CreateTempVariable", "SetVariable", "Prose", "Choice", "ChoiceOption", "If", "GoSub", "GoSubScene", "Return", "GotoLabel", "GotoScene", "Label", "PageBreak", "InputText", "Comment")
 #: Types that only stand inside other statements.
@@ -32,10 +32,6 @@ MISSING = {
 #: Statements that end their line, and how many tokens further on the next line has to have begun.
 ENDS = {"Return": 1, "GotoLabel": 2, "GoSub": 2, "InputText": 2, "GotoScene": 3, "GoSubScene": 3}
 NOT_ENDED = "Expected end of statement, found "
-#: Types whose statement holds an expression, after so many operands.
-WITH_EXPRESSION = {"CreateVariable": 1, "CreateTempVariable": 1, "SetVariable": 1, "If": 0, "ElseIf": 0, "SelectableIf": 0}
-
-
 def in_scene():
     return Window.partitionBy("scene_name").orderBy("token_idx")
 
@@ -226,93 +222,14 @@ def choice_children(tokens: DataFrame) -> DataFrame:
     return found.withColumnRenamed("parent_idx", "choice_idx").join(choices, ["scene_name", "choice_idx"]).select("scene_name", "token_idx", "type", "choice_idx")
 
 
-#: Binary operators by rising precedence; those in RIGHT bind to the right.
-LEVELS = (
-    ("LogicalAnd", "LogicalOr"),
-    ("EqualityOperator", "NotEqualityOperator", "GreaterThanOperator", "GreaterThanEqualsOperator", "LessThanOperator", "LessThanEqualsOperator"),
-    ("SubtractionOperator", "AdditionOperator", "ConcatenationOperator"),
-    ("DivisionOperator", "MultiplicationOperator", "ModulusOperator"),
-)
-PRECEDENCE = {t: k for k, types in enumerate(LEVELS) for t in types}
-RIGHT = 2
-PREFIX = ("NotOperator", "SubtractionOperator", "AdditionOperator", "FairmathAdditionOperator", "FairmathSubtractionOperator")
-OPERANDS = ("NumberLiteral", "StringLiteral", "BooleanLiteral", "Identifier")
-
-
-def postfix(tokens: list[tuple[str, str]]) -> tuple[list[str], str | None]:
-    """The postfix order of (type, shown) tokens, prefix operators marked with a tilde, and the error that stopped it, if any.
-
-    One stack of waiting operators; all bind as LEVELS says, prefix operators tighter than any.
-    """
-    out: list[str] = []
-    waiting: list[tuple[str, int, str]] = []  # kind, precedence, shown
-    operand_next = True
-    for kind, shown in tokens:
-        if operand_next:
-            if kind in OPERANDS:
-                out.append(shown)
-                operand_next = False
-                while waiting and waiting[-1][0] == "prefix":
-                    out.append(waiting.pop()[2])
-            elif kind in PREFIX:
-                waiting.append(("prefix", len(LEVELS), f"~{shown}"))
-            elif kind == "OpenParenthesis":
-                waiting.append(("open", -1, shown))
-            else:
-                return out, "Expect expression."
-        elif kind == "CloseParenthesis":
-            while waiting and waiting[-1][0] != "open":
-                out.append(waiting.pop()[2])
-            if not waiting:
-                return out, "Expected end of statement"
-            waiting.pop()
-            while waiting and waiting[-1][0] == "prefix":
-                out.append(waiting.pop()[2])
-        elif kind in PRECEDENCE:
-            level = PRECEDENCE[kind]
-            while waiting and waiting[-1][0] == "binary" and (waiting[-1][1] > level or waiting[-1][1] == level != RIGHT):
-                out.append(waiting.pop()[2])
-            waiting.append(("binary", level, shown))
-            operand_next = True
-        elif any(w[0] == "open" for w in waiting):
-            return out, "Expect ')' after expression."
-        else:
-            return out, "Expected end of statement"
-    if operand_next:
-        return out, "Expect expression."
-    while waiting:
-        kind, _, shown = waiting.pop()
-        if kind == "open":
-            return out, "Expect ')' after expression."
-        out.append(shown)
-    return out, None
-
-
 def expressions(tokens: DataFrame) -> DataFrame:
-    """Rows (scene_name, token_idx, type, postfix, error): the expression of each statement that has one.
+    """Rows (scene_name, token_idx, type, postfix, error), one for each statement that has an expression; an error leaves no postfix order."""
+    return of_expressions.expressions(tokens, (*STATEMENTS, *INNER))
 
-    An expression is what follows the statement's operands on its line, up to the next command. A created
-    variable may have none; then it has no row.
-    """
-    command = F.col("type").isin(*WITH_EXPRESSION)
-    lexical = ~F.col("type").isin("Prose", "SceneStart", "SceneEnd") & F.col("position").isNotNull()
-    number = F.sum(F.when(F.col("type").isin(*STATEMENTS, *INNER), 1).otherwise(0)).over(in_scene())
-    shown = F.coalesce(F.col("raw_value"), F.col("value_str"), F.col("value_num").cast("string"), F.col("value_bool").cast("string"), F.when(F.col("type") == "OpenParenthesis", "(").when(F.col("type") == "CloseParenthesis", ")"), F.col("type"))
-    grouped = tokens.filter(lexical).select("scene_name", "token_idx", "type", "line_number", shown.alias("shown"), number.alias("statement"), command.alias("command"))
-    grouped = grouped.groupBy("scene_name", "line_number", "statement").agg(F.array_sort(F.collect_list(F.struct("token_idx", "type", "shown"))).alias("tokens"))
-    head = F.get("tokens", F.lit(0))
-    grouped = grouped.select("scene_name", head["token_idx"].alias("token_idx"), head["type"].alias("type"), "tokens").filter(F.col("type").isin(*WITH_EXPRESSION))
-    operands = F.when(F.col("type").isin(*[t for t, n in WITH_EXPRESSION.items() if n]), 1).otherwise(0)
-    rest = F.slice("tokens", operands + 2, F.greatest(F.size("tokens"), F.lit(1)))
-    cut = grouped.select("scene_name", "token_idx", "type", F.transform(rest, lambda x: x["type"]).alias("types"), F.transform(rest, lambda x: x["shown"]).alias("shown"))
-    cut = cut.filter(~(F.col("type").isin("CreateVariable", "CreateTempVariable") & (F.size("types") == 0)))
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [postfix(list(zip(t, s, strict=True))) for t, s in zip(batch.types, batch.shown, strict=True)]
-            yield batch[["scene_name", "token_idx", "type"]].assign(postfix=[" ".join(p) for p, _ in found], error=[e for _, e in found])
-
-    return cut.mapInPandas(of, "scene_name string, token_idx int, type string, postfix string, error string")
+
+def expression_tree(tokens: DataFrame) -> DataFrame:
+    """Rows (scene_name, token_idx, node, parent, slot, kind, operator, value): the nodes of all expressions that can be parsed."""
+    return of_expressions.nodes(tokens, (*STATEMENTS, *INNER))
 
 
 def structural_errors(tokens: DataFrame) -> DataFrame:

@@ -188,6 +188,39 @@ tree AS (SELECT s.*, CAST(row_number() OVER (PARTITION BY s.scene_name, s.parent
   o.reuse, o.selectable_idx FROM placed_statements s JOIN near n USING (scene_name, token_idx) LEFT JOIN (SELECT scene_name, token_idx, reuse, selectable_idx FROM options) o USING (scene_name, token_idx))"""
 
 
+# Expressions, from the top down: a span of lexemes is split at its loosest operator, again and again. The levels are written out here.
+EXPRESSION_SQL = f"""on_lines AS (SELECT *, max(CASE WHEN type IN ({_IN((*statements.STATEMENTS, *statements.INNER))}) THEN token_idx END) OVER (PARTITION BY scene_name, line_number ORDER BY token_idx) AS head FROM tokens WHERE type NOT IN ('Prose', 'SceneStart', 'SceneEnd')),
+lexed_expr AS (SELECT l.scene_name, l.head, h.type AS of, l.token_idx - l.head - CASE WHEN h.type IN ('CreateVariable', 'CreateTempVariable', 'SetVariable') THEN 2 ELSE 1 END AS place, l.token_idx AS token, l.type,
+  coalesce(l.raw_value, l.value_str, CAST(l.value_num AS VARCHAR), CAST(l.value_bool AS VARCHAR), CASE l.type WHEN 'OpenParenthesis' THEN '(' WHEN 'CloseParenthesis' THEN ')' ELSE l.type END) AS shown,
+  CASE WHEN l.type IN ('LogicalAnd', 'LogicalOr') THEN 0 WHEN l.type IN ('EqualityOperator', 'NotEqualityOperator', 'GreaterThanOperator', 'GreaterThanEqualsOperator', 'LessThanOperator', 'LessThanEqualsOperator') THEN 1
+       WHEN l.type IN ('SubtractionOperator', 'AdditionOperator', 'ConcatenationOperator') THEN 2 WHEN l.type IN ('DivisionOperator', 'MultiplicationOperator', 'ModulusOperator') THEN 3 END AS level
+  FROM on_lines l JOIN tokens h ON l.scene_name = h.scene_name AND l.head = h.token_idx WHERE h.type IN ('CreateVariable', 'CreateTempVariable', 'SetVariable', 'If', 'ElseIf', 'SelectableIf')),
+begun_expr AS (SELECT scene_name, head, of, max(place) AS last_place FROM lexed_expr GROUP BY ALL HAVING max(place) >= 0 OR of NOT IN ('CreateVariable', 'CreateTempVariable')),
+due_expr AS (SELECT *, place = 0 OR coalesce(lag(type) OVER w NOT IN ('NumberLiteral', 'StringLiteral', 'BooleanLiteral', 'Identifier', 'CloseParenthesis'), true) AS due FROM lexed_expr WHERE place >= 0 WINDOW w AS (PARTITION BY scene_name, head ORDER BY place)),
+role_expr AS (SELECT *, CASE WHEN due AND type IN ('NumberLiteral', 'StringLiteral', 'BooleanLiteral', 'Identifier') THEN 'operand' WHEN due AND type IN ('NotOperator', 'SubtractionOperator', 'AdditionOperator', 'FairmathAdditionOperator', 'FairmathSubtractionOperator') THEN 'prefix'
+  WHEN due AND type = 'OpenParenthesis' THEN 'open' WHEN due THEN 'bad' WHEN type = 'CloseParenthesis' THEN 'close' WHEN level IS NOT NULL THEN 'binary' ELSE 'bad' END AS role FROM due_expr),
+deep_expr AS (SELECT *, sum(CASE role WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY scene_name, head ORDER BY place) AS left_open FROM role_expr),
+wrong_expr AS (SELECT scene_name, head, arg_min(CASE WHEN role = 'bad' AND due THEN 'Expect expression.' WHEN role = 'bad' AND left_open > 0 THEN 'Expect '')'' after expression.' ELSE 'Expected end of statement' END, place) AS message FROM deep_expr WHERE role = 'bad' OR left_open < 0 GROUP BY ALL),
+failed_expr AS (SELECT b.*, coalesce(w.message, CASE WHEN last_place < 0 OR d.role IN ('binary', 'prefix', 'open') THEN 'Expect expression.' WHEN d.left_open > 0 THEN 'Expect '')'' after expression.' END) AS error
+  FROM begun_expr b LEFT JOIN wrong_expr w USING (scene_name, head) LEFT JOIN deep_expr d ON b.scene_name = d.scene_name AND b.head = d.head AND b.last_place = d.place),
+sound_expr AS (SELECT d.* FROM deep_expr d JOIN failed_expr f USING (scene_name, head) WHERE error IS NULL),
+spans AS (SELECT scene_name, head, 0 AS low, last_place AS high, NULL::INTEGER AS parent, 'root' AS slot, '' AS path FROM failed_expr WHERE error IS NULL
+  UNION ALL SELECT scene_name, head, child.low, child.high, token, child.slot, path || child.mark FROM (
+    SELECT scene_name, head, token, path, unnest(CASE WHEN role = 'binary' THEN [{{'low': low, 'high': spot - 1, 'slot': 'left', 'mark': '0'}}, {{'low': spot + 1, 'high': high, 'slot': 'right', 'mark': '1'}}]
+      WHEN role = 'prefix' THEN [{{'low': low + 1, 'high': high, 'slot': 'operand', 'mark': '0'}}] WHEN role = 'open' THEN [{{'low': low + 1, 'high': high - 1, 'slot': 'expression', 'mark': '0'}}] ELSE [] END) AS child
+    FROM (SELECT s.scene_name, s.head, s.low, s.high, s.path, arg_min(struct_pack(token := x.token, role := x.role, spot := x.place), (CASE WHEN x.role = 'binary' THEN x.level ELSE 9 END, CASE WHEN x.role <> 'binary' OR x.level = 2 THEN x.place ELSE -x.place END)) AS node
+      FROM spans s JOIN sound_expr x ON s.scene_name = x.scene_name AND s.head = x.head AND x.place BETWEEN s.low AND s.high JOIN sound_expr l ON s.scene_name = l.scene_name AND s.head = l.head AND l.place = s.low
+      WHERE x.place = s.low OR (x.role = 'binary' AND x.left_open = l.left_open - CASE WHEN l.role = 'open' THEN 1 ELSE 0 END) GROUP BY ALL), LATERAL (SELECT node.token AS token, node.role AS role, node.spot AS spot))),
+nodes AS (SELECT s.scene_name, s.head, s.parent, s.slot, s.path, arg_min(struct_pack(token := x.token, role := x.role, type := x.type, shown := x.shown), (CASE WHEN x.role = 'binary' THEN x.level ELSE 9 END, CASE WHEN x.role <> 'binary' OR x.level = 2 THEN x.place ELSE -x.place END)) AS node
+  FROM spans s JOIN sound_expr x ON s.scene_name = x.scene_name AND s.head = x.head AND x.place BETWEEN s.low AND s.high JOIN sound_expr l ON s.scene_name = l.scene_name AND s.head = l.head AND l.place = s.low
+  WHERE x.place = s.low OR (x.role = 'binary' AND x.left_open = l.left_open - CASE WHEN l.role = 'open' THEN 1 ELSE 0 END) GROUP BY ALL)"""
+_TREE_OF_EXPRESSIONS = """SELECT scene_name, head AS token_idx, node.token AS node, parent, slot, CASE node.role WHEN 'binary' THEN 'Binary' WHEN 'prefix' THEN 'Unary' WHEN 'open' THEN 'Grouping' ELSE CASE node.type WHEN 'Identifier' THEN 'Identifier' ELSE 'Literal' END END AS kind,
+  CASE WHEN node.role IN ('binary', 'prefix') THEN node.shown END AS operator, CASE WHEN node.role = 'operand' THEN node.shown END AS value FROM nodes"""
+#: In postfix order a node comes after all below it, whose paths begin with its own.
+_POSTFIX = """SELECT f.scene_name, f.head AS token_idx, f.of AS type, string_agg(CASE node.role WHEN 'prefix' THEN '~' || node.shown ELSE node.shown END, ' ' ORDER BY path || '2') FILTER (WHERE node.role <> 'open') AS postfix, any_value(error) AS error
+FROM failed_expr f LEFT JOIN nodes n USING (scene_name, head) GROUP BY ALL"""
+
+
 _MISSING = " ".join(f"WHEN type = {_text(k)} AND type_1 IS DISTINCT FROM 'Identifier' THEN {_text(m)}" for k, m in statements.MISSING.items())
 _NOT_ENDED = " ".join(f"WHEN type = {_text(k)} AND type_{n} IS NOT NULL THEN {_text(statements.NOT_ENDED)} || type_{n}" for k, n in statements.ENDS.items())
 ERRORS_SQL = f"""SELECT scene_name, token_idx, {_text(statements.UNKNOWN)} || type || ' at ' || scene_name || ':' || line_number || ':' || position AS message
@@ -202,7 +235,7 @@ UNION ALL SELECT scene_name, token_idx, {_text(statements.UNKNOWN)} || type FROM
 
 
 def _with(*parts: str, of: str = SCRIPT_SQL) -> str:
-    return "WITH " + ",\n".join((of, LINES_SQL, *parts))
+    return "WITH RECURSIVE " + ",\n".join((of, LINES_SQL, *parts))
 
 
 SEGMENTED, TOKENISED = (_segments_sql(),), (_segments_sql(), _lexemes_sql(), PROSE_SQL, TOKENS_SQL)
@@ -296,7 +329,8 @@ SELECT scene_name, unnest(every) AS listed, CAST(unnest(range(len(every))) AS IN
         + ", ".join(f"({_text(t)}, {_text(o)}, {_text(m) if m else 'NULL'}, {str(t in (*statements.STATEMENTS, *statements.INNER)).lower()})" for t, (o, m) in sorted(({t: ("keyword", m) for t, m in KEYWORDS.values()} | {t: ("text", None) for t in ("SceneStart", "SceneEnd", "Prose")} | {t: ("expression", None) for t in [*OPERATORS.values(), *WORDS.values(), "NumberLiteral", "StringLiteral", "Identifier"]}).items()))
         + ") AS t(type, origin, mode, parsed)",
     ),
-    "expr_postfix": (lambda s, d: statements.expressions(_tokens(s, d)), None),
+    "expr_tree": (lambda s, d: statements.expression_tree(_tokens(s, d)), f"{_with(*TOKENISED, EXPRESSION_SQL)} {_TREE_OF_EXPRESSIONS}"),
+    "expr_postfix": (lambda s, d: statements.expressions(_tokens(s, d)), f"{_with(*TOKENISED, EXPRESSION_SQL)} {_POSTFIX}"),
     "parse_errors": (lambda s, d: statements.parse_errors(_tokens(s, d)), None),
     "comment_blocks": (
         lambda s, d: statements.comment_blocks(_tokens(s, d)),

@@ -123,12 +123,19 @@ def test_segments_tile_their_lines(spark):
 EXPRESSIONS = [
     ("a-b-c", "a b c - -", None),
     ("%+ 10", "10.0 ~%+", None),
-    ("round(2)", "", "Expect expression."),
-    ('&"a"', "", "Expect expression."),
+    ("round(2)", None, "Expect expression."),
+    ('&"a"', None, "Expect expression."),
     ("a or b and c", "a b or c and", None),
     ("not (a = 1) and b", "a 1.0 = ~not b and", None),
     ("a/b/c", "a b / c /", None),
-    ("(a", "a", "Expect ')' after expression."),
+    ("(a", None, "Expect ')' after expression."),
+    ("", None, "Expect expression."),
+    ("a )", None, "Expected end of statement"),
+    ("(a b)", None, "Expect ')' after expression."),
+    ("a b", None, "Expected end of statement"),
+    ("a +", None, "Expect expression."),
+    ("()", None, "Expect expression."),
+    ("- - (a) - -b", "a ~- ~- b ~- -", None),
 ]
 
 
@@ -192,6 +199,66 @@ def test_postfix_against_recursive_descent(spark):
     assert [(r.postfix.split(), r.error) for r in rows] == [(descend(c), None) for c in cases]
 
 
+def descend_tree(words):
+    """The same as nested tuples: (kind, operator or value, children)."""
+    at = 0
+
+    def level(k):
+        nonlocal at
+        if k == len(GRAMMAR):
+            return unary()
+        left = level(k + 1)
+        while at < len(words) and words[at] in GRAMMAR[k]:
+            operator = words[at]
+            at += 1
+            left = ("Binary", operator, (("left", left), ("right", level(k if k == 2 else k + 1))))
+        return left
+
+    def unary():
+        nonlocal at
+        at += 1
+        word = words[at - 1]
+        if word in ("not", "-", "+", "%+", "%-"):
+            return ("Unary", word, (("operand", unary()),))
+        if word == "(":
+            inner = level(0)
+            at += 1
+            return ("Grouping", None, (("expression", inner),))
+        return ("Identifier", word, ())
+
+    return level(0)
+
+
+def test_expression_trees_against_recursive_descent(spark):
+    draw = random.Random(9)
+
+    def expression(depth):
+        kind = draw.random()
+        if depth == 0 or kind < 0.2:
+            return [draw.choice("abcd")]
+        if kind < 0.35:
+            return [draw.choice(["not", "-", "%+"]), *expression(0)]
+        if kind < 0.55:
+            return ["(", *expression(depth - 1), ")"]
+        return [*expression(depth - 1), draw.choice(draw.choice(GRAMMAR)), *expression(depth - 1)]
+
+    cases = [expression(5) for _ in range(400)] + [["(", "a", ")", "-", "(", "(", "b", ")", ")"]]
+    rows = statements.expression_tree(scanner.scan(spark.createDataFrame([(f"s{k:03d}", "", f"*if {' '.join(c)}") for k, c in enumerate(cases)], scenes.SCENE))).collect()
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r.scene_name, []).append(r)
+
+    def nested(own, node):
+        children = sorted((r for r in own if r.parent == node.node), key=lambda r: r.node)
+        return (node.kind, node.operator or node.value, tuple((r.slot, nested(own, r)) for r in sorted(children, key=lambda r: r.slot)))
+
+    for k, case in enumerate(cases):
+        own = by[f"s{k:03d}"]
+        (root,) = [r for r in own if r.slot == "root"]
+        assert root.parent is None and nested(own, root) == descend_tree(case), case
+        assert len(own) == sum(w != ")" for w in case)
+
+
 TREE = """*if (a)
   One
   *elseif (c)
