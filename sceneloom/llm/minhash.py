@@ -262,7 +262,7 @@ def sharing(placed: DataFrame, leads: DataFrame, tested: DataFrame, sets: DataFr
     if many.isEmpty():
         return pairs, pairs.limit(0)
     hot = checkpointed(rare.join(many, "shingle", "left_semi").select(F.col("id").alias("doc_id"), "n").distinct())
-    there = placed.drop("n").join(hot, "doc_id")
+    there = placed.select("doc_id", "component", "largest").distinct().join(hot, "doc_id")
     queries = checkpointed(there.filter("component <> largest").select("doc_id", F.col("largest").alias("component"), "n").distinct())
     members = checkpointed(there.select("doc_id", F.col("largest").alias("component"), "n").distinct())
     return pairs, in_blocks(queries, members, sets, similar)
