@@ -42,7 +42,7 @@ def shown() -> Column:
 
 
 def lexemes(tokens: DataFrame, statements: tuple[str, ...]) -> DataFrame:
-    """Rows (scene_name, line_number, statement, of, place, token, type, shown, indent, position): the lexemes of expressions, from place 0 on, and for each expression a row of place -1.
+    """Rows (scene_name, line_number, statement, of, place, token_idx, type, shown, indent, position): the lexemes of expressions, from place 0 on, and for each expression a row of place -1.
 
     statement is the token of the statement, of its type. statements are the types that begin or belong to one. An expression is what follows the statement's operands on its line,
     up to the next command. A created variable may have none; then it has no row.
@@ -53,7 +53,7 @@ def lexemes(tokens: DataFrame, statements: tuple[str, ...]) -> DataFrame:
     operands = F.when(F.col("head.type").isin(*[t for t, n in WITH_EXPRESSION.items() if n]), 1).otherwise(0)
     after = F.col("token_idx") - F.col("head.token_idx")
     found = found.filter(F.col("head.type").isin(*WITH_EXPRESSION)).filter((after == 0) | (after > operands))
-    found = found.select("scene_name", "line_number", F.col("head.token_idx").alias("statement"), F.col("head.type").alias("of"), F.when(after == 0, -1).otherwise(after - operands - 1).alias("place"), F.col("token_idx").alias("token"), "type", "shown", "indent", "position")
+    found = found.select("scene_name", "line_number", F.col("head.token_idx").alias("statement"), F.col("head.type").alias("of"), F.when(after == 0, -1).otherwise(after - operands - 1).alias("place"), "token_idx", "type", "shown", "indent", "position")
     has_any = F.max(F.col("place") >= 0).over(Window.partitionBy(*_EXPRESSION))
     return found.withColumn("has_any", has_any).filter(F.col("has_any") | ~F.col("of").isin(*OPTIONAL)).drop("has_any")
 
@@ -76,11 +76,35 @@ def with_roles(found: DataFrame) -> DataFrame:
     open_before = F.col("depth") > 0
     wrong = F.when((F.col("role") == "bad") & F.col("due"), NO_OPERAND).when((F.col("role") == "bad") & open_before, NOT_CLOSED).when((F.col("role") == "bad") | ((F.col("role") == "close") & ~open_before), NOT_ENDED)
     found = found.withColumn("wrong", wrong)
-    first = F.min(F.when(F.col("wrong").isNotNull(), F.struct("place", "wrong", "token"))).over(whole)
+    first = F.min(F.when(F.col("wrong").isNotNull(), F.struct("place", "wrong", "token_idx"))).over(whole)
     last = F.max_by(F.struct("role", F.when(F.col("role") == "close", F.col("depth") - 1).otherwise(F.col("depth")).alias("left_open")), "place").over(whole)
     found = found.withColumns({"first": first, "last": last})
     at_end = F.when(F.col("last.role").isin("head", "binary", "prefix", "open"), NO_OPERAND).when(F.col("last.left_open") > 0, NOT_CLOSED)
-    return found.withColumns({"error": F.coalesce("first.wrong", at_end), "error_token": F.col("first.token")}).drop("due", "wrong", "first", "last")
+    return found.withColumns({"error": F.coalesce("first.wrong", at_end), "error_token": F.col("first.token_idx")}).drop("due", "wrong", "first", "last")
+
+
+def with_errors(tokens: DataFrame, statements: tuple[str, ...]) -> DataFrame:
+    """All rows of tokens, which have the columns of lexemes and shown, with expr_error at statements whose expression cannot be parsed, and expr_at, a struct of the token at which it fails.
+
+    A token at which it fails for want of one is the next one, on whatever line. tokens also have at_0, at_1 and at_2, structs of the token itself and of the next ones.
+    """
+    line = Window.partitionBy("scene_name", "line_number").orderBy("token_idx").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.last(F.when(F.col("type").isin(*statements), F.struct("token_idx", "type")), ignorenulls=True).over(line)
+    found = tokens.withColumn("head", head)
+    after = F.col("token_idx") - F.col("head.token_idx")
+    operands = F.when(F.col("head.type").isin(*[t for t, n in WITH_EXPRESSION.items() if n]), 1).otherwise(0)
+    is_part = F.col("head.type").isin(*WITH_EXPRESSION) & ((after == 0) | (after > operands)) & ~F.col("type").isin("Prose", "SceneStart", "SceneEnd")
+    is_part = F.coalesce(is_part, F.lit(False))
+    # What is no part of an expression is one of its own, of which nothing is asked.
+    found = found.withColumns({"statement": F.when(is_part, F.col("head.token_idx")).otherwise(-1 - F.col("token_idx")), "of": F.when(is_part, F.col("head.type")), "place": F.when(is_part & (after > 0), after - operands - 1).otherwise(-1)})
+    found = with_roles(found)
+    whole = Window.partitionBy(*_EXPRESSION)
+    # Where there is no lexeme, the next token is the one after the operands.
+    last = F.max_by(F.when((F.col("place") < 0) & (F.col("of").isin(*[t for t, n in WITH_EXPRESSION.items() if n])), F.col("at_2")).otherwise(F.col("at_1")), "place").over(whole)
+    wrong = F.max(F.when(F.col("token_idx") == F.col("error_token"), F.struct("at_0")))
+    found = found.withColumns({"n_places": F.max("place").over(whole), "expr_at": F.coalesce(wrong.over(whole)["at_0"], last)})
+    asked = F.col("of").isNotNull() & (F.col("place") < 0) & ((F.col("n_places") >= 0) | ~F.col("of").isin(*OPTIONAL))
+    return found.withColumn("expr_error", F.when(asked, F.col("error"))).drop("head", "statement", "of", "place", "n_places", "role", "level", "depth", "error", "error_token")
 
 
 def below(left: Column, right: Column) -> Column:
@@ -125,14 +149,14 @@ def nodes(tokens: DataFrame, statements: tuple[str, ...]) -> DataFrame:
 def trees(found: DataFrame) -> DataFrame:
     """nodes() from grouped()."""
     base = Window.partitionBy(*_EXPRESSION).orderBy("place", F.col("role") == "opener")
-    first = F.min("token").over(Window.partitionBy(*_EXPRESSION)) - F.min("place").over(Window.partitionBy(*_EXPRESSION))
+    first = F.min(F.col("token_idx")).over(Window.partitionBy(*_EXPRESSION)) - F.min("place").over(Window.partitionBy(*_EXPRESSION))
     under = below(F.col("above_left"), F.col("above_right"))
     after_prefix = F.coalesce(F.lag("role").over(base) == "prefix", F.lit(False)) & (F.col("role") != "binary")
     placed = found.select("*", first.alias("begin"), F.when(after_prefix, F.struct((F.col("place") - 1).alias("place"), F.lit("operand").alias("slot"))).when(under.isNotNull(), F.struct(under["place"].alias("place"), F.when(under["place"] < F.col("place"), "right").otherwise("left").alias("slot"))).otherwise(F.struct(F.col("group").alias("place"), F.when(F.col("group").isNull(), "root").otherwise("expression").alias("slot"))).alias("up"))
     placed = placed.filter(~F.col("role").isin("close", "opener"))
     kind = F.when(F.col("role") == "binary", "Binary").when(F.col("role") == "prefix", "Unary").when(F.col("role") == "open", "Grouping").when(F.col("type") == "Identifier", "Identifier").otherwise("Literal")
     return placed.select(
-        "scene_name", F.col("statement").alias("token_idx"), F.col("token").alias("node"), (F.col("begin") + F.col("up.place")).cast("int").alias("parent"), F.col("up.slot").alias("slot"), kind.alias("kind"),
+        "scene_name", F.col("statement").alias("token_idx"), F.col("token_idx").alias("node"), (F.col("begin") + F.col("up.place")).cast("int").alias("parent"), F.col("up.slot").alias("slot"), kind.alias("kind"),
         F.when(F.col("role").isin("binary", "prefix"), F.col("shown")).alias("operator"), F.when(F.col("role") == "operand", F.col("shown")).alias("value"),
     )
 

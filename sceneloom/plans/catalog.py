@@ -38,6 +38,7 @@ OTHERWISE = "  *if (v_<k> >= <k>) and not (done)"
 LINES = [
     "*choice", "#Take it <k>", "Text of a body <k>", "*if (v_<k> > 3) #Maybe @{v_<k> one|two}", "*else ", "Otherwise <k>", "*elseif (v_<k> < 2)", "Then <k>", "*else ", "Last <k>", "*if v_<k>", "Yes <k>", "*elsif v_<k> != 3",
     "*hide_reuse #Hidden <k>", "*disable_reuse #Once <k>", "*allow_reuse #Again <k>", "*hide_reuse *if (v_<k> > 3) #Maybe <k>", "*allow_reuse *disable_reuse *hide_reuse *selectable_if (v_<k> <= 2) #Both", "*selectable_if (v_<k> >= 1) #Select <k>", "*hide_reuse Not an option",
+    "*goto_scene user_1 5", "*gosub_scene user_2 \"q\"", "*goto_scene user_3 lbl_<k> z", "*page_break #Option", "*if v_<k> w",
     "*gosub lbl_<k>", "*gosub lbl_<k> extra", "*gosub_scene user_1 lbl_<k> x", "*return ", "*return", "*goto lbl_<k>", "*goto lbl_<k> then", "*goto_scene", "*goto_random_scene", "*else", "*else if (v_<k> = 1)", "*ifid 12-<k>",
     "*temp t_<k> \"a\\\"b<k>\"", "*temp t_<k>", "*create", "*create 5", "*create c_<k>", "*set", "*label", "*fake_choice", "*finish The end <k>", "*finish", "*ending", "*ending Well <k>", "*stat_chart", "*line_break Then <k>", "*link https://example.org/<k>",
     "*scene_list", "*achievement a_<k> hidden 10", "*image pic_<k>.png", "*input_number n_<k> 1 10", "*input_text name_<k>", "*input_text 5", "*author A. Writer <k>", "*save_checkpoint", "*restore_checkpoint", "*delete v_<k>", "*rand r_<k> 1 6", "*random_<k>", "*comment", "*comment  two <k>", "*page_break", "#",
@@ -188,6 +189,8 @@ tree AS (SELECT s.*, CAST(row_number() OVER (PARTITION BY s.scene_name, s.parent
   o.reuse, o.selectable_idx FROM placed_statements s JOIN near n USING (scene_name, token_idx) LEFT JOIN (SELECT scene_name, token_idx, reuse, selectable_idx FROM options) o USING (scene_name, token_idx))"""
 
 
+DEPTHS_SQL = """below AS (SELECT scene_name, token_idx, 0 AS depth FROM parents WHERE parent_idx IS NULL UNION ALL SELECT p.scene_name, p.token_idx, b.depth + 1 FROM below b JOIN parents p ON p.scene_name = b.scene_name AND p.parent_idx = b.token_idx),
+depths AS (SELECT scene_name, token_idx, CAST(depth AS INTEGER) AS depth, row_number() OVER (PARTITION BY scene_name ORDER BY token_idx) AS number FROM below)"""
 # Expressions, from the top down: a span of lexemes is split at its loosest operator, again and again. The levels are written out here.
 EXPRESSION_SQL = f"""on_lines AS (SELECT *, max(CASE WHEN type IN ({_IN((*statements.STATEMENTS, *statements.INNER))}) THEN token_idx END) OVER (PARTITION BY scene_name, line_number ORDER BY token_idx) AS head FROM tokens WHERE type NOT IN ('Prose', 'SceneStart', 'SceneEnd')),
 lexed_expr AS (SELECT l.scene_name, l.head, h.type AS of, l.token_idx - l.head - CASE WHEN h.type IN ('CreateVariable', 'CreateTempVariable', 'SetVariable') THEN 2 ELSE 1 END AS place, l.token_idx AS token, l.type,
@@ -221,17 +224,35 @@ _POSTFIX = """SELECT f.scene_name, f.head AS token_idx, f.of AS type, string_agg
 FROM failed_expr f LEFT JOIN nodes n USING (scene_name, head) GROUP BY ALL"""
 
 
-_MISSING = " ".join(f"WHEN type = {_text(k)} AND type_1 IS DISTINCT FROM 'Identifier' THEN {_text(m)}" for k, m in statements.MISSING.items())
-_NOT_ENDED = " ".join(f"WHEN type = {_text(k)} AND type_{n} IS NOT NULL THEN {_text(statements.NOT_ENDED)} || type_{n}" for k, n in statements.ENDS.items())
-ERRORS_SQL = f"""SELECT scene_name, token_idx, {_text(statements.UNKNOWN)} || type || ' at ' || scene_name || ':' || line_number || ':' || position AS message
-FROM near WHERE (NOT same_line OR token_idx = 1) AND type NOT IN ({_IN((*statements.STATEMENTS, *statements.INNER, "SceneStart", "SceneEnd"))})
-UNION ALL SELECT * FROM (SELECT scene_name, token_idx, CASE {_MISSING} {_NOT_ENDED} END AS message FROM near) WHERE message IS NOT NULL
-UNION ALL SELECT p.scene_name, p.token_idx, CASE WHEN p.type = 'Prose' THEN {_text(statements.PROSE_IN_CHOICE)} ELSE {_text(statements.NO_OPTION)} END FROM parents p JOIN parents c ON p.scene_name = c.scene_name AND p.parent_idx = c.token_idx
-  WHERE c.type = 'Choice' AND p.type NOT IN ({_IN(statements.IN_CHOICE)})
-UNION ALL SELECT scene_name, token_idx, {_text(statements.NO_OPTION)} FROM (SELECT a.scene_name, a.token_idx, arg_min(b.type, b.token_idx) AS next_type FROM parents a
-  LEFT JOIN parents b ON a.scene_name = b.scene_name AND a.line_number = b.line_number AND b.token_idx > a.token_idx AND b.type NOT IN ({_IN(statements.MODIFIERS)})
-  WHERE a.type IN ({_IN(statements.MODIFIERS)}) GROUP BY a.scene_name, a.token_idx) WHERE coalesce(next_type, '') NOT IN ('ChoiceOption', 'If')
-UNION ALL SELECT scene_name, token_idx, {_text(statements.UNKNOWN)} || type FROM pairs WHERE if_idx IS NULL"""
+# What a parser complains of, written out: the statement, the text, and how many tokens further on it fails.
+_NEXT = ", ".join(f"lead({c}, {k}) OVER w AS next_{c}_{k}" for k in (1, 2, 3) for c in ("token_idx", "type", "line_number", "position", "indent"))
+ERRORS_SQL = f"""ahead AS (SELECT t.*, {_NEXT}, coalesce(lag(line_number) OVER w, 0) <> line_number OR token_idx = 1 AS new_line FROM tokens t WINDOW w AS (PARTITION BY scene_name ORDER BY token_idx)),
+told AS (
+  SELECT scene_name, token_idx, 'Unknown statement block starting ' || type || ' at ' || scene_name || ':' || line_number || ':' || position AS message, token_idx AS found_idx, type AS found_type, line_number AS found_line, position AS found_position, indent AS found_indent, 'U' AS form
+    FROM ahead WHERE new_line AND type IN ('GotoRandomScene', 'FakeChoice', 'Finish', 'Ending', 'StatChart', 'LineBreak', 'Link', 'Image', 'InputNumber', 'Author', 'SaveCheckpoint', 'RestoreCheckpoint', 'DeleteVariable', 'GenerateRandom')
+  UNION ALL SELECT scene_name, token_idx, CASE type WHEN 'GoSub' THEN 'Expect subroutine name.' WHEN 'GoSubScene' THEN 'Expect scene name.' WHEN 'GotoScene' THEN 'Expect scene name.' WHEN 'GotoLabel' THEN 'Expect label name.' WHEN 'Label' THEN 'Expect label name.'
+    WHEN 'InputText' THEN 'Expect variable name to store input text.' ELSE 'Expect variable name' END, next_token_idx_1, next_type_1, next_line_number_1, next_position_1, next_indent_1, 'E'
+    FROM ahead WHERE type IN ('CreateVariable', 'CreateTempVariable', 'SetVariable', 'GoSub', 'GoSubScene', 'GotoScene', 'GotoLabel', 'Label', 'InputText') AND NOT (next_type_1 = 'Identifier' AND next_line_number_1 = line_number)
+  UNION ALL SELECT scene_name, token_idx, CASE type WHEN 'GotoScene' THEN 'Expect label name.' ELSE 'Expect subroutine label name.' END, next_token_idx_2, next_type_2, next_line_number_2, next_position_2, next_indent_2, 'E'
+    FROM ahead WHERE type IN ('GotoScene', 'GoSubScene') AND next_type_1 = 'Identifier' AND next_line_number_1 = line_number AND next_line_number_2 = line_number AND next_type_2 <> 'Identifier'
+  UNION ALL SELECT scene_name, token_idx, 'Expect button text after page break.', next_token_idx_1, next_type_1, next_line_number_1, next_position_1, next_indent_1, 'E' FROM ahead WHERE type = 'PageBreak' AND next_line_number_1 = line_number AND next_type_1 <> 'Prose'
+  UNION ALL SELECT scene_name, token_idx, 'Expected end of statement, found ' || next_type_1, next_token_idx_1, next_type_1, next_line_number_1, next_position_1, next_indent_1, 'L' FROM ahead WHERE type = 'Return' AND next_line_number_1 = line_number
+  UNION ALL SELECT scene_name, token_idx, 'Expected end of statement, found ' || next_type_2, next_token_idx_2, next_type_2, next_line_number_2, next_position_2, next_indent_2, 'L' FROM ahead WHERE type IN ('GotoLabel', 'GoSub', 'InputText') AND next_type_1 = 'Identifier' AND next_line_number_1 = line_number AND next_line_number_2 = line_number
+  UNION ALL SELECT scene_name, token_idx, 'Expected end of statement, found ' || next_type_3, next_token_idx_3, next_type_3, next_line_number_3, next_position_3, next_indent_3, 'L' FROM ahead WHERE type IN ('GotoScene', 'GoSubScene') AND next_type_1 = 'Identifier' AND next_type_2 = 'Identifier' AND next_line_number_1 = line_number AND next_line_number_2 = line_number AND next_line_number_3 = line_number
+  UNION ALL SELECT p.scene_name, p.token_idx, CASE WHEN p.type = 'Prose' THEN 'Prose is not allowed directly inside Choice statements. Did you mean to put it inside a ChoiceOption?' ELSE 'Expected ChoiceOption token after modifiers' END, p.token_idx, p.type, p.line_number, a.position, p.indent, 'E'
+    FROM parents p JOIN parents c ON p.scene_name = c.scene_name AND p.parent_idx = c.token_idx JOIN ahead a ON p.scene_name = a.scene_name AND p.token_idx = a.token_idx
+    WHERE c.type = 'Choice' AND p.type NOT IN ('Comment', 'If', 'ElseIf', 'Else', 'ChoiceOption', 'HideReuse', 'DisableReuse', 'AllowReuse', 'SelectableIf')
+  UNION ALL SELECT scene_name, token_idx, 'Expected ChoiceOption token after modifiers', token_idx, type, line_number, position, indent, 'E' FROM (SELECT a.scene_name, a.token_idx, any_value(a.type) AS type, any_value(a.line_number) AS line_number, any_value(t.position) AS position, any_value(a.indent) AS indent, arg_min(b.type, b.token_idx) AS next_type
+    FROM parents a JOIN ahead t ON a.scene_name = t.scene_name AND a.token_idx = t.token_idx LEFT JOIN parents b ON a.scene_name = b.scene_name AND a.line_number = b.line_number AND b.token_idx > a.token_idx AND b.type NOT IN ('HideReuse', 'DisableReuse', 'AllowReuse', 'SelectableIf')
+    WHERE a.type IN ('HideReuse', 'DisableReuse', 'AllowReuse', 'SelectableIf') GROUP BY a.scene_name, a.token_idx) WHERE coalesce(next_type, '') NOT IN ('ChoiceOption', 'If')
+  UNION ALL SELECT p.scene_name, p.token_idx, 'Unknown statement block starting ' || p.type, p.token_idx, p.type, p.line_number, a.position, a.indent, 'U' FROM pairs p0 JOIN parents p ON p0.scene_name = p.scene_name AND p0.token_idx = p.token_idx JOIN ahead a ON p.scene_name = a.scene_name AND p.token_idx = a.token_idx WHERE if_idx IS NULL
+  UNION ALL SELECT f.scene_name, f.head, f.error, coalesce(w.token, a.token_idx), coalesce(b.type, a.type), coalesce(b.line_number, a.line_number), coalesce(b.position, a.position), coalesce(b.indent, a.indent), 'X'
+    FROM failed_expr f JOIN ahead h ON f.scene_name = h.scene_name AND f.head = h.token_idx LEFT JOIN (SELECT scene_name, head, arg_min(token, place) AS token FROM deep_expr WHERE role = 'bad' OR left_open < 0 GROUP BY ALL) w ON f.scene_name = w.scene_name AND f.head = w.head LEFT JOIN ahead b ON w.scene_name = b.scene_name AND w.token = b.token_idx
+    LEFT JOIN (SELECT scene_name, head, max(token) AS token FROM deep_expr GROUP BY ALL) e ON f.scene_name = e.scene_name AND f.head = e.head LEFT JOIN ahead a ON f.scene_name = a.scene_name AND a.token_idx = coalesce(e.token, f.head + CASE WHEN f.of IN ('CreateVariable', 'CreateTempVariable', 'SetVariable') THEN 1 ELSE 0 END) + 1
+    WHERE error IS NOT NULL AND (f.of IN ('If', 'ElseIf', 'SelectableIf') OR (h.next_type_1 = 'Identifier' AND h.next_line_number_1 = h.line_number))),
+reported AS (SELECT scene_name, token_idx, message, found_idx, form, CASE WHEN form = 'U' THEN 'Unknown statement block starting ' || found_type || ' at ' || place ELSE 'Error: ' || message || CASE WHEN form = 'L' THEN ' instead at ' || found_line || ':' || found_position ELSE '' END
+    || CASE WHEN found_type = 'SceneEnd' THEN ' at end of scene ' ELSE ' at ''' || found_type || ''' ' END || place END AS report
+  FROM (SELECT *, scene_name || ':' || found_line || ':' || found_position || '[' || CASE WHEN found_indent = floor(found_indent) THEN CAST(CAST(found_indent AS BIGINT) AS VARCHAR) ELSE CAST(found_indent AS VARCHAR) END || ']' AS place FROM told))"""
 
 
 def _with(*parts: str, of: str = SCRIPT_SQL) -> str:
@@ -331,7 +352,6 @@ SELECT scene_name, unnest(every) AS listed, CAST(unnest(range(len(every))) AS IN
     ),
     "expr_tree": (lambda s, d: statements.expression_tree(_tokens(s, d)), f"{_with(*TOKENISED, EXPRESSION_SQL)} {_TREE_OF_EXPRESSIONS}"),
     "expr_postfix": (lambda s, d: statements.expressions(_tokens(s, d)), f"{_with(*TOKENISED, EXPRESSION_SQL)} {_POSTFIX}"),
-    "parse_errors": (lambda s, d: statements.parse_errors(_tokens(s, d)), None),
     "comment_blocks": (
         lambda s, d: statements.comment_blocks(_tokens(s, d)),
         f"""{_with(*TOKENISED)}, marked AS (SELECT *, CASE WHEN type = 'Comment' AND NOT coalesce(lag(type) OVER w = 'Comment' AND lag(indent) OVER w = indent, false) THEN 1 ELSE 0 END AS begins FROM tokens WINDOW w AS (PARTITION BY scene_name ORDER BY token_idx)),
@@ -383,12 +403,16 @@ def _add_token_queries() -> None:
         "statement_parent": (statements.parents, "SELECT * FROM parents"),
         "else_pairing": (lambda t: statements.else_pairing(statements.parents(t)), "SELECT * FROM pairs"),
         "choice_options_full": (statements.choice_options, "SELECT * FROM options"),
-        "structural_errors": (statements.structural_errors, ERRORS_SQL),
+        "structural_errors": (statements.structural_errors, "SELECT scene_name, token_idx, message FROM reported WHERE form <> 'X'"),
+        "parse_errors": (statements.parse_errors, "SELECT scene_name, token_idx, message FROM reported"),
+        "parse_outcome": (statements.parse_outcome, "SELECT scene_name, any_value(e.report) IS NULL AS parsed, count(*) FILTER (WHERE b.token_idx IS NOT NULL AND (e.found IS NULL OR b.token_idx < e.token_idx)) AS n_statements, any_value(e.report) AS error FROM (SELECT DISTINCT scene_name FROM tokens) s LEFT JOIN parents b USING (scene_name) LEFT JOIN (SELECT scene_name, min((found_idx, token_idx)) AS found, arg_min(token_idx, (found_idx, token_idx, report)) AS token_idx, arg_min(report, (found_idx, token_idx, report)) AS report FROM reported GROUP BY scene_name) e USING (scene_name) GROUP BY scene_name"),
         "statement_tree": (statements.tree, "SELECT scene_name, token_idx, parent_idx, slot, ordinal, kind, variable, scope, target_scene, target_label, reuse, selectable_idx, text FROM tree"),
+        "statement_blocks": (lambda t: statements.tree_of_blocks(t).withColumn("tokens", F.array_join("tokens", ",")), "SELECT scene_name, CAST(min(token_idx) AS INTEGER) AS token_idx, parent_idx, slot, CAST(block - 1 AS INTEGER) AS ordinal, any_value(kind) AS kind, CAST(count(*) AS INTEGER) AS n_tokens, string_agg(token_idx, ',' ORDER BY token_idx) AS tokens, string_agg(coalesce(text, ''), chr(10) ORDER BY token_idx) AS text FROM (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY scene_name, parent_idx, slot ORDER BY token_idx) AS block FROM (SELECT t.*, coalesce(kind IN ('Comment', 'Prose') AND lag(kind) OVER w = kind AND lag(t.token_idx) OVER w = t.token_idx - 1 AND lag(n.indent) OVER w = n.indent, false) AS joins FROM tree t JOIN tokens n USING (scene_name, token_idx) WINDOW w AS (PARTITION BY t.scene_name, t.parent_idx, t.slot ORDER BY t.token_idx))) GROUP BY scene_name, parent_idx, slot, block"),
+        "statement_spans": (statements.spans, "SELECT a.scene_name, a.token_idx, CAST(coalesce(min(b.token_idx), any_value(e.scene_end)) - 1 AS INTEGER) AS last_token, any_value(a.depth) AS depth, CAST(coalesce(min(b.number), any_value(e.n) + 1) - any_value(a.number) AS INTEGER) AS size FROM depths a LEFT JOIN depths b ON a.scene_name = b.scene_name AND b.token_idx > a.token_idx AND b.depth <= a.depth JOIN (SELECT scene_name, max(token_idx) AS scene_end, any_value(n) AS n FROM tokens JOIN (SELECT scene_name, count(*) AS n FROM parents GROUP BY scene_name) USING (scene_name) GROUP BY scene_name) e ON a.scene_name = e.scene_name GROUP BY a.scene_name, a.token_idx"),
         "choice_children": (statements.choice_children, "SELECT a.scene_name, a.token_idx, a.type, a.parent_idx AS choice_idx FROM parents a JOIN parents c ON a.scene_name = c.scene_name AND a.parent_idx = c.token_idx WHERE c.type = 'Choice'"),
     }
     for name, (of, tail) in scoped.items():
-        CATALOG[name] = ((lambda s, d, f=of: f(_tokens(s, d))), f"{_with(*TOKENISED, NEAR_SQL, PARENTS_SQL, PAIRS_SQL, OPTIONS_SQL, TREE_SQL)} {tail}")
+        CATALOG[name] = ((lambda s, d, f=of: f(_tokens(s, d))), f"{_with(*TOKENISED, NEAR_SQL, PARENTS_SQL, PAIRS_SQL, OPTIONS_SQL, TREE_SQL, EXPRESSION_SQL, ERRORS_SQL, DEPTHS_SQL)} {tail}")
 
 
 _add_token_queries()

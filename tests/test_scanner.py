@@ -307,6 +307,43 @@ def test_parse_errors(spark):
     assert found["s00"].startswith("Expected end of statement") and found["s01"].startswith("Unknown statement block starting Finish") and found["s02"].startswith("Prose is not allowed") and "s03" not in found
 
 
+def test_errors_of_second_operands_and_the_first_error(spark):
+    contents = ["*goto_scene a 5", '*gosub_scene b "q"', "*goto_scene a b c", "*page_break", "*label a\n*set x 1\n*finish\n*set", "*set x 1\n*set y", "  *if (a) b", "*set x\n  *goto_scene s l\n", "*temp t", "*goto\tx", "*set 5"]
+    rows: dict = {}
+    for r in statements.errors(scanner.scan(scenes_of(spark, *contents))).collect():
+        rows.setdefault(r.scene_name, []).append((r.token_idx, r.message, r.found_idx, r.source))
+    rows = {k: sorted(v) for k, v in rows.items()}
+    assert rows == {
+        "s00": [(1, "Expect label name.", 3, "structure")], "s01": [(1, "Expect subroutine label name.", 3, "structure")], "s02": [(1, "Expected end of statement, found Identifier", 4, "structure")],
+        "s04": [(6, "Unknown statement block starting Finish at s04:2:0", 6, "structure"), (7, "Expect variable name", 8, "structure")],
+        "s05": [(4, "Expect expression.", 6, "expression")], "s06": [(1, "Expected end of statement", 5, "expression")], "s07": [(1, "Expect expression.", 3, "expression")], "s10": [(1, "Expect variable name", 2, "structure")],
+    }
+    found = {r.scene_name: (r.parsed, r.n_statements, r.error) for r in statements.parse_outcome(scanner.scan(scenes_of(spark, *contents, ""))).collect()}
+    assert found["s00"] == (False, 0, "Error: Expect label name. at 'NumberLiteral' s00:0:14[0]") and found["s02"] == (False, 0, "Error: Expected end of statement, found Identifier instead at 0:16 at 'Identifier' s02:0:16[0]")
+    assert found["s03"] == (True, 1, None) and found["s04"] == (False, 2, "Unknown statement block starting Finish at s04:2:0[0]") and found["s05"] == (False, 1, "Error: Expect expression. at end of scene s05:2:0[0]")
+    assert found["s07"] == (False, 0, "Error: Expect expression. at 'GotoScene' s07:1:2[1]") and found["s08"] == (True, 1, None) and found["s11"] == (True, 0, None)
+
+
+def test_blocks_and_spans_of_statements(spark):
+    text = "*comment a\n*comment b\n  *comment deeper\n  *comment again\n*comment c\n*if (x)\n  *comment d\n  *comment e\n  *set y 1\n  *comment f\n*label z"
+    rows = statements.tree_of_blocks(scanner.scan(scenes_of(spark, text))).orderBy("token_idx").collect()
+    assert [(r.kind, r.n_tokens, r.ordinal, r.text) for r in rows] == [("Comment", 2, 0, "a\nb"), ("Comment", 2, 0, "deeper\nagain"), ("Comment", 1, 1, "c"), ("If", 1, 2, ""), ("Comment", 2, 0, "d\ne"), ("SetVariable", 1, 1, ""), ("Comment", 1, 2, "f"), ("Label", 1, 3, "")]
+    tokens = scanner.scan(scenes_of(spark, text, TREE, "", "*set x 1"))
+    found = statements.spans(tokens).collect()
+    end = {r.scene_name: r.token_idx for r in tokens.filter("type = 'SceneEnd'").collect()}
+    up = {(r.scene_name, r.token_idx): r.parent_idx for r in statements.parents(tokens).collect()}
+    assert len(found) == len(up)
+    by = {(r.scene_name, r.token_idx): r for r in found}
+    for (scene, at), r in by.items():
+        inside = [x for x in found if x.scene_name == scene and at <= x.token_idx <= r.last_token]
+        assert r.size == len(inside) and all(x.last_token <= r.last_token for x in inside)
+        over = up[scene, at]
+        assert r.depth == (0 if over is None else by[scene, over].depth + 1) and (over is None or r.last_token <= by[scene, over].last_token)
+    for scene, last in end.items():
+        roots = sorted((r.token_idx, r.last_token) for r in found if r.scene_name == scene and r.depth == 0)
+        assert [x for a, b in roots for x in range(a, b + 1)] == list(range(1, last))
+
+
 def test_scene_list(spark):
     rows = scenes.scene_list(scenes_of(spark, "*title T\n*scene_list\n  startup\n  ch1\n*create x 1", "*scene_list\n a\n bc")).orderBy("scene_name", "place").collect()
     assert [(r.scene_name, r.listed) for r in rows] == [("s00", "startup"), ("s00", "ch1"), ("s01", "a"), ("s01", "b")]
