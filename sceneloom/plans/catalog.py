@@ -75,6 +75,13 @@ def script_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("scene_name"), F.lit(None).cast("string").alias("source_url"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("content"))
 
 
+def script_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scene of all events, as rows (scene_name, line_number, line): it is never one text."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    found = events.select("event_id", "event_type", F.regexp_extract("props", '"k": ([0-9]+)', 1).cast("long").alias("k"))
+    return found.select(F.lit("all").alias("scene_name"), F.col("event_id").alias("line_number"), _script_line().alias("line"))
+
+
 def document_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("scene_name"), "lang", F.col("text").alias("content"))
@@ -98,6 +105,9 @@ SCRIPT_SQL = f"""scenes AS (
   FROM (SELECT event_id, user_id, replace(replace(replace(CASE WHEN event_id % 2 = 1 THEN {_ODD} ELSE {_EVEN} END, '<event>', CAST(event_id AS VARCHAR)), '<k7>', CAST(k % 7 AS VARCHAR)), '<k>', CAST(k AS VARCHAR)) AS line
         FROM (SELECT event_id, user_id, event_type, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) AS k FROM events))
   GROUP BY user_id)"""
+ONE_SCENE_SQL = SCRIPT_SQL.replace("'user_' || CAST(user_id AS VARCHAR) AS scene_name", "'all' AS scene_name").replace("  GROUP BY user_id)", "  )")
+#: Lines of a block of the one scene: few, so that there are many.
+ONE_SCENE_BLOCK = 512
 DOCUMENT_SQL = "scenes AS (SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS scene_name, lang, text AS content FROM documents)"
 
 LINES_SQL = r"""once AS (SELECT scene_name, CASE WHEN contains(content, chr(13) || chr(10)) THEN substring(content, 1, strpos(content, chr(13) || chr(10)) - 1) || substring(content, strpos(content, chr(13) || chr(10)) + 1) ELSE content END AS content FROM scenes),
@@ -382,6 +392,9 @@ def _add_token_queries() -> None:
         CATALOG[name] = ((lambda s, d, w=where, c=tuple(columns): _columns(_tokens(s, d).filter(w) if w else _tokens(s, d), *c)), f"{_with(*TOKENISED)} SELECT {', '.join(columns)} FROM tokens" + (f" WHERE {where}" if where else ""))
     every = [*STRUCTURE, *scanner.VALUES]
     CATALOG["tokens_intended"] = (lambda s, d: scanner.scan(script_scenes(s, d), "intended").select(*every), f"{INTENDED_SQL} SELECT {', '.join(every)} FROM tokens")
+    one = lambda s, d: scanner.scan_large(script_rows(s, d), block_lines=ONE_SCENE_BLOCK)
+    CATALOG["tokens_of_one_scene"] = (lambda s, d: one(s, d).select(*every), f"{_with(*TOKENISED, of=ONE_SCENE_SQL)} SELECT {', '.join(every)} FROM tokens")
+    CATALOG["parents_of_one_scene"] = (lambda s, d: statements.parents_in_blocks(one(s, d), ONE_SCENE_BLOCK), f"{_with(*TOKENISED, PARENTS_SQL, of=ONE_SCENE_SQL)} SELECT * FROM parents")
     CATALOG["token_json_round_trip"] = (lambda s, d: token_json.tokens_of(token_json.nested_by_scene(_tokens(s, d)).select(F.from_json("tokens", "array<string>").alias("scene"))).select(*every), f"{_with(*TOKENISED)} SELECT {', '.join(every)} FROM tokens")
     CATALOG["operator_histogram"] = (lambda s, d: _tokens(s, d).filter("raw_value is not null").groupBy("type", "raw_value").agg(F.count(F.lit(1)).alias("n")), f"{_with(*TOKENISED)} SELECT type, raw_value, count(*) AS n FROM tokens WHERE raw_value IS NOT NULL GROUP BY ALL")
     near = {

@@ -344,6 +344,42 @@ def test_blocks_and_spans_of_statements(spark):
         assert [x for a, b in roots for x in range(a, b + 1)] == list(range(1, last))
 
 
+@pytest.mark.parametrize("semantics", ["observed", "intended"])
+def test_large_scenes_in_blocks(spark, semantics):
+    draw = random.Random(5)
+    kinds = ["Prose here", "", "   ", "*set x 1", "#Option @{a b|c}", "*page_break Next", "  *if (a) #Go", "\tTab", "x\r", "*comment c", "  more", "*hide_reuse tail", "*goto_scene", "    deep", "*choice"]
+    texts = {"long": [draw.choice(kinds) for _ in range(120)], "prose": ["Only prose"] * 40, "end": ["*label a"] + [""] * 20 + ["tail\r"], "one": ["x"], "blank": [""], "first": ["\t"] * 9 + ["*label b"], "crlf": ["a\r", "b\r", "c\r"]}
+    whole = spark.createDataFrame([(k, "", "\n".join(v)) for k, v in texts.items()], scenes.SCENE)
+    rows = spark.createDataFrame([(k, i, line) for k, v in texts.items() for i, line in enumerate(v)], "scene_name string, line_number long, line string").repartition(3)
+    expected = scanner.scan(whole, semantics)
+    found = scanner.scan_large(rows, semantics, block_lines=4)
+    assert found.columns == expected.columns and sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+    own = statements.parents(expected)
+    assert sorted(map(str, statements.parents_in_blocks(found, 4).select(own.columns).collect())) == sorted(map(str, own.collect()))
+    assert scanner.scan_large(rows.limit(0), semantics).count() == 0
+
+
+def test_parents_of_deep_scenes_in_blocks(spark):
+    draw = random.Random(8)
+    lines, indent = [], 0
+    for _ in range(400):
+        indent = max(0, min(12, indent + draw.choice([-5, -1, 0, 0, 0, 1, 1, 2])))
+        lines.append(" " * indent + draw.choice(["*set x 1", "*if (a) #B", "*comment c"]))
+    rows = spark.createDataFrame([("s", i, line) for i, line in enumerate(lines)], "scene_name string, line_number long, line string")
+    tokens = scanner.scan_large(rows, block_lines=7)
+    own = statements.parents(scanner.scan(spark.createDataFrame([("s", "", "\n".join(lines))], scenes.SCENE)))
+    for size in (1, 7, 50, 1000):
+        assert sorted(map(str, statements.parents_in_blocks(tokens, size).select(own.columns).collect())) == sorted(map(str, own.collect()))
+
+
+def test_positions_of_many_segments(spark):
+    line = "*set x " + "a " * 3
+    wide = "".join(f"*set v{k} " for k in range(3000))
+    rows = scanner.segments(scanner.lines(scenes_of(spark, wide, "  " + line))).orderBy("scene_name", "segment").collect()
+    own = [r for r in rows if r.scene_name == "s00"]
+    assert len(own) == 3000 and all(wide[r.position : r.position + len(r.text)] == r.text for r in own) and rows[-1].position == 2
+
+
 def test_scene_list(spark):
     rows = scenes.scene_list(scenes_of(spark, "*title T\n*scene_list\n  startup\n  ch1\n*create x 1", "*scene_list\n a\n bc")).orderBy("scene_name", "place").collect()
     assert [(r.scene_name, r.listed) for r in rows] == [("s00", "startup"), ("s00", "ch1"), ("s01", "a"), ("s01", "b")]
