@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.script import BARE, BLANK_RE2, CLOSED, KEYWORDS, OPERATORS, SEGMENT, WORDS, language
+from ..functions.script import BARE, BLANK_RE2, CLOSED, KEYWORDS, SEGMENT, WORDS, language
 from ..operators import scanner, statements, token_types
 from ..sources import scenes as sources, token_json
 
@@ -325,6 +325,42 @@ def control_flow_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.implicit_control_flow(marked)
 
 
+ROOT = "src/index.ts"
+#: The text of a customer's module: <a> to <c> are the numbers of those it exports from, <n> its own, <m> that modulo 1000. ^ stands for a line's end.
+MODULE_TEXT = [
+    ("c_custkey % 7 = 0", "export * from '<up>m<a>'; export  *  from \"<up>m<b>\"^interface T<m>Token extends Token { value: { type: 'inner', more: { type: 'x' } }; }"),
+    ("c_custkey % 2 = 0", "import x from '<up>m1'^export * from '<up>m<a>'^export * from '<up>m<b>'^export * from '<up>m<c>'^export * from '<up>gone'^export interface T<m>Token extends Token {^  value: { type: 'inner'; };^  type: 'T<n>';^}"),
+]
+MODULE_OTHERWISE = "export * from '<up>m<b>';export * from '<up>m<a>'^interface OtherToken extends Node { type: 'no' }^interface T<m>Token extends Token { type: \"T<n>\"; kind: 'k' }"
+_MODULE_PATH = "CASE WHEN c_custkey = 1 THEN 'src/index.ts' WHEN c_custkey % 5 = 0 THEN concat('src/m', c_custkey, '.ts') WHEN c_custkey % 11 = 0 THEN concat('src/m', c_custkey, '-token.ts') ELSE concat('src/m', c_custkey, '/index.ts') END"
+_MODULE_CONTENT = "CASE " + " ".join(f"WHEN {when} THEN {_text(x)}" for when, x in MODULE_TEXT) + f" ELSE {_text(MODULE_OTHERWISE)} END"
+_MODULE_MARKS = {"<a>": "2 * c_custkey", "<b>": "2 * c_custkey + 1", "<c>": "CAST(floor(c_custkey / 2) AS BIGINT)", "<n>": "c_custkey", "<m>": "c_custkey % 1000"}
+
+
+def _module_sql(new_line: str, string: str) -> str:
+    text = f"replace({_MODULE_CONTENT}, '<up>', CASE WHEN c_custkey = 1 OR c_custkey % 5 = 0 OR c_custkey % 11 = 0 THEN './' ELSE '../' END)"
+    for mark, value in _MODULE_MARKS.items():
+        text = f"replace({text}, '{mark}', CAST({value} AS {string}))"
+    return f"SELECT {_MODULE_PATH} AS path, replace({text}, '^', {new_line}) AS content"
+
+
+def module_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source text for each customer, that exports from others and declares types."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    sql = _module_sql("'\\n'", "STRING").removeprefix("SELECT ")
+    path, content = sql.split(" AS path, ")
+    return customers.select(F.expr(path).alias("path"), F.expr(content.removesuffix(" AS content")).alias("content"))
+
+
+MODULE_SQL = f"""sources AS ({_module_sql("chr(10)", "VARCHAR")} FROM customer),
+exported AS (SELECT path, unnest(regexp_extract_all(content, 'export\\s*\\*\\s*from\\s*[''"]([^''"]+)', 1)) AS module FROM sources WHERE path LIKE '%index.ts'),
+aimed AS (SELECT path, CASE WHEN starts_with(module, '../') THEN 'src/' || substring(module, 4) ELSE regexp_replace(path, '[^/]*$', '') || regexp_replace(module, '^[.]/', '') END AS target FROM exported),
+led AS (SELECT DISTINCT a.path, coalesce(f.path, i.path) AS next FROM aimed a LEFT JOIN sources f ON f.path = a.target || '.ts' LEFT JOIN sources i ON i.path = a.target || '/index.ts' WHERE coalesce(f.path, i.path) IS NOT NULL),
+distance AS (SELECT '{ROOT}' AS path, 0 AS depth UNION SELECT l.next, r.depth + 1 FROM distance r JOIN led l ON l.path = r.path WHERE r.depth < 40),
+reach AS (SELECT path, min(depth) AS depth FROM distance GROUP BY path)"""
+DECLARED_SQL = """SELECT name, arg_min(struct_pack(t := type), path).t AS type FROM (SELECT path, regexp_extract(content, 'interface (T[0-9]+Token) extends Token', 1) AS name, nullif(regexp_extract(regexp_replace(regexp_replace(content, '\\{[^{}]*more[^{}]*\\{[^{}]*\\}[^{}]*\\}', '', 'g'), 'value: \\{[^{}]*\\}', '', 'g'), 'Token extends Token \\{[^}]*type: [''"]([^''"]*)', 1), '') AS type FROM sources) WHERE name <> '' GROUP BY name"""
+
+
 def _columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
@@ -354,12 +390,9 @@ SELECT scene_name, unnest(every) AS listed, CAST(unnest(range(len(every))) AS IN
     "prose_blocks_of_documents": (lambda s, d: scanner.scan(document_scenes(s, d)).filter("type = 'Prose'").select("scene_name", "token_idx", "line_number", "position", "indent", "content"), f"{_with(*TOKENISED, of=DOCUMENT_SQL)} SELECT scene_name, token_idx, line_number, position, indent, content FROM tokens WHERE type = 'Prose'"),
     "prose_dropped_tail": (lambda s, d: scanner.prose_tails(script_scenes(s, d)), f"{_with(_segments_sql(), PROSE_SQL)} SELECT scene_name, content FROM prose WHERE flush_line IS NULL"),
     "tokens_per_scene": (lambda s, d: _tokens(s, d).groupBy("scene_name").agg(F.count(F.lit(1)).alias("n_tokens")), f"{_with(*TOKENISED)} SELECT scene_name, count(*) AS n_tokens FROM tokens GROUP BY scene_name"),
-    "token_type_dimension": (
-        lambda s, d: token_types.token_types(s),
-        "SELECT * FROM (VALUES "
-        + ", ".join(f"({_text(t)}, {_text(o)}, {_text(m) if m else 'NULL'}, {str(t in (*statements.STATEMENTS, *statements.INNER)).lower()})" for t, (o, m) in sorted(({t: ("keyword", m) for t, m in KEYWORDS.values()} | {t: ("text", None) for t in ("SceneStart", "SceneEnd", "Prose")} | {t: ("expression", None) for t in [*OPERATORS.values(), *WORDS.values(), "NumberLiteral", "StringLiteral", "Identifier"]}).items()))
-        + ") AS t(type, origin, mode, parsed)",
-    ),
+    "module_reach": (lambda s, d: token_types.reachable_files(module_sources(s, d), ROOT), f"WITH RECURSIVE {MODULE_SQL} SELECT path, min(depth) AS depth FROM reach GROUP BY path"),
+    "declared_types": (lambda s, d: token_types.declared_types(module_sources(s, d)), f"WITH RECURSIVE {MODULE_SQL} {DECLARED_SQL}"),
+    "reached_types": (lambda s, d: token_types.declared_types(module_sources(s, d).join(token_types.reachable_files(module_sources(s, d), ROOT), "path").drop("depth")), f"WITH RECURSIVE {MODULE_SQL} {DECLARED_SQL.replace('FROM sources', 'FROM sources WHERE path IN (SELECT path FROM reach)')}"),
     "expr_tree": (lambda s, d: statements.expression_tree(_tokens(s, d)), f"{_with(*TOKENISED, EXPRESSION_SQL)} {_TREE_OF_EXPRESSIONS}"),
     "expr_postfix": (lambda s, d: statements.expressions(_tokens(s, d)), f"{_with(*TOKENISED, EXPRESSION_SQL)} {_POSTFIX}"),
     "comment_blocks": (
