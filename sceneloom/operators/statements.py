@@ -403,6 +403,17 @@ def parse_errors(tokens: DataFrame) -> DataFrame:
     return errors(tokens).select("scene_name", "token_idx", "message")
 
 
+def parsed(tokens: DataFrame, semantics: str = "intended") -> DataFrame:
+    """The statements of all scenes: intended, tree(); observed, what the language's first parser makes of them, statements_observed()."""
+    if semantics == "observed":
+        from .observed import statements_observed
+
+        return statements_observed(tokens)
+    if semantics != "intended":
+        raise ValueError(f"no such semantics: {semantics}")
+    return tree(tokens)
+
+
 def parse_outcome(tokens: DataFrame) -> DataFrame:
     """Rows (scene_name, parsed, n_statements, error), one for each scene: what a parser that stops at the first error makes of it.
 

@@ -395,6 +395,7 @@ SELECT scene_name, unnest(every) AS listed, CAST(unnest(range(len(every))) AS IN
     "reached_types": (lambda s, d: token_types.declared_types(module_sources(s, d).join(token_types.reachable_files(module_sources(s, d), ROOT), "path").drop("depth")), f"WITH RECURSIVE {MODULE_SQL} {DECLARED_SQL.replace('FROM sources', 'FROM sources WHERE path IN (SELECT path FROM reach)')}"),
     "expr_tree": (lambda s, d: statements.expression_tree(_tokens(s, d)), f"{_with(*TOKENISED, EXPRESSION_SQL)} {_TREE_OF_EXPRESSIONS}"),
     "expr_postfix": (lambda s, d: statements.expressions(_tokens(s, d)), f"{_with(*TOKENISED, EXPRESSION_SQL)} {_POSTFIX}"),
+    "statements_observed": (lambda s, d: statements.parsed(_tokens(s, d), "observed").withColumns({c: F.array_join(c, ",") for c in ("kept", "lost")}), None),
     "comment_blocks": (
         lambda s, d: statements.comment_blocks(_tokens(s, d)),
         f"""{_with(*TOKENISED)}, marked AS (SELECT *, CASE WHEN type = 'Comment' AND NOT coalesce(lag(type) OVER w = 'Comment' AND lag(indent) OVER w = indent, false) THEN 1 ELSE 0 END AS begins FROM tokens WINDOW w AS (PARTITION BY scene_name ORDER BY token_idx)),
