@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.script import BARE, BLANK_RE2, CLOSED, KEYWORDS, SEGMENT, WORDS, language
 from ..operators import scanner, statements, token_types
 from ..sources import scenes as sources, token_json
+from ..sources.kept import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -325,6 +326,13 @@ def control_flow_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.implicit_control_flow(marked)
 
 
+def token_json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of all scripts, written as one pretty-printed array in a folder of files, and read back."""
+    folder = shared_folder(spark, "token-json")
+    token_json.write_pretty(_tokens(spark, sf_dir), folder)
+    return token_json.read_pretty(spark, folder).select(*STRUCTURE, *scanner.VALUES)
+
+
 ROOT = "src/index.ts"
 #: The text of a customer's module: <a> to <c> are the numbers of those it exports from, <n> its own, <m> that modulo 1000. ^ stands for a line's end.
 MODULE_TEXT = [
@@ -430,6 +438,7 @@ def _add_token_queries() -> None:
     CATALOG["tokens_of_one_scene"] = (lambda s, d: one(s, d).select(*every), f"{_with(*TOKENISED, of=ONE_SCENE_SQL)} SELECT {', '.join(every)} FROM tokens")
     CATALOG["parents_of_one_scene"] = (lambda s, d: statements.parents_in_blocks(one(s, d), ONE_SCENE_BLOCK), f"{_with(*TOKENISED, PARENTS_SQL, of=ONE_SCENE_SQL)} SELECT * FROM parents")
     CATALOG["token_json_round_trip"] = (lambda s, d: token_json.tokens_of(token_json.nested_by_scene(_tokens(s, d)).select(F.from_json("tokens", "array<string>").alias("scene"))).select(*every), f"{_with(*TOKENISED)} SELECT {', '.join(every)} FROM tokens")
+    CATALOG["token_json_file"] = (token_json_file, f"{_with(*TOKENISED)} SELECT {', '.join(every)} FROM tokens")
     CATALOG["operator_histogram"] = (lambda s, d: _tokens(s, d).filter("raw_value is not null").groupBy("type", "raw_value").agg(F.count(F.lit(1)).alias("n")), f"{_with(*TOKENISED)} SELECT type, raw_value, count(*) AS n FROM tokens WHERE raw_value IS NOT NULL GROUP BY ALL")
     near = {
         "same_line_flags": (lambda t: statements.with_neighbours(t).groupBy("type", "same_line").agg(F.count(F.lit(1)).alias("n")), "SELECT type, same_line, count(*) AS n FROM near GROUP BY ALL"),

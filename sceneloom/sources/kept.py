@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows of df as a checkpoint, so that what follows reads them instead of making them again, and a lost executor costs nothing.
+    """The rows of df as a checkpoint, so that what follows reads them instead of making them again, and a lost executor costs nothing."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
 
-    spark.checkpoint.dir names the folder. Where it is unset, a temporary folder serves if driver and executors are one process; a cluster needs a shared one.
+def shared_folder(spark: SparkSession, purpose: str = "kept") -> str:
+    """A new folder name in the one that driver and executors share.
+
+    spark.checkpoint.dir names that. Where it is unset, a temporary folder serves if driver and executors are one process; a cluster needs a shared one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         context.setCheckpointDir(configured or "file://" + tempfile.mkdtemp(prefix="sceneloom-"))
-    return df.checkpoint()
+    return f"{context._jsc.sc().getCheckpointDir().get()}/{purpose}-{uuid.uuid4().hex[:12]}"

@@ -1,10 +1,16 @@
-"""Tokens as JSON: one line a token, or one file row a scene with all its tokens in order."""
+"""Tokens as JSON: one line a token, one line a scene with all its tokens, or one pretty-printed array of scenes, each an array of tokens.
+
+The pretty form is written and read by many tasks: no scene, and no file, has to fit in one. Its reader needs no line to hold more than one token, which any pretty printer sees to. Lines are
+cut at the ends of blocks of bytes, as for any text; the depth of brackets at a block's beginning is a running sum over a row for each block, and so are the numbers
+of scenes and tokens begun before it. Brackets in strings do not count.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.scanner import TOKEN
+from .kept import kept
 
 #: Names of the nested form, whose `value` is a text, a number or a truth value.
 NAMES = {"scene_name": "sceneName", "line_number": "lineNumber", "raw_value": "rawValue", "raw_text": "rawText", "has_multi_replace": "hasMultiReplace"}
@@ -44,9 +50,66 @@ def read_nested(spark: SparkSession, path: str) -> DataFrame:
     return tokens_of(text.select(F.explode(F.when(F.col("value").startswith("[["), F.from_json("value", "array<array<string>>")).otherwise(F.transform(F.filter(F.split("value", "\n"), lambda x: x != ""), lambda x: F.from_json(x, "array<string>")))).alias("scene")))
 
 
+def _told(value: Column) -> Column:
+    """A value as JSON, whole numbers without a fraction."""
+    return F.regexp_replace(F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r"^\{\"v\":|\}$", ""), r"^(-?[0-9]+)\.0$", "$1")
+
+
+def write_pretty(tokens: DataFrame, path: str) -> None:
+    """One array of arrays, two blanks a level, in the files of a folder: one after the other, by name, they are the text. Scenes are in the order of their names.
+
+    Fields that a token doesn't have are left out; a literal's value has its own type. An empty table makes an empty array.
+    """
+    value = F.coalesce(*[F.when(F.col(c).isNotNull(), _told(F.col(c))) for c in ("value_str", "value_num", "value_bool")])
+    order = ["type", "scene_name", "line_number", "position", "indent", "content", "value", "raw_value", "raw_text", "has_multi_replace"]
+    fields = [F.when(value.isNotNull(), F.concat(F.lit('      "value": '), value)) if c == "value" else F.when(F.col(c).isNotNull(), F.concat(F.lit(f'      "{NAMES.get(c, c)}": '), _told(F.col(c)))) for c in order]
+    ends = tokens.groupBy("scene_name").agg(F.min("token_idx").alias("first"), F.max("token_idx").alias("last"))
+    least, most = ends.agg(F.min("scene_name"), F.max("scene_name")).first()
+    if least is None:
+        tokens.sparkSession.createDataFrame([("[]",)], "value string").write.mode("overwrite").text(path)
+        return
+    name = F.col("scene_name")
+    begin = F.when((name == least) & (F.col("token_idx") == F.col("first")), "[\n  [\n").when(F.col("token_idx") == F.col("first"), "  [\n").otherwise("")
+    end = F.when(F.col("token_idx") < F.col("last"), ",").when(name == most, "\n  ]\n]").otherwise("\n  ],")
+    told = tokens.join(ends, "scene_name").select("scene_name", "token_idx", F.concat(begin, F.lit("    {\n"), F.array_join(F.array_compact(F.array(*fields)), ",\n"), F.lit("\n    }"), end).alias("value"))
+    told.repartitionByRange("scene_name", "token_idx").sortWithinPartitions("scene_name", "token_idx").select("value").write.mode("overwrite").text(path)
+
+
+def read_pretty(spark: SparkSession, path: str) -> DataFrame:
+    """Tokens in the columns of TOKEN from what write_pretty() writes, or from a file or files that hold such an array, pretty-printed in any way with one token a line at most."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place"))
+    block, order = ["file_path", "file_block_start"], ["file_path", "file_block_start", "place"]
+    bare = F.regexp_replace("value", r'"(?:\\.|[^"\\])*"', "")
+    count = lambda brackets: F.length(bare) - F.length(F.translate(bare, brackets, ""))
+    lines = kept(lines.withColumns({"by": count("[{") - count("]}"), "whole": F.contains(bare, F.lit("{")) & (count("[{") == count("]}"))}))
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)  # over a row for each block
+
+    def running(df: DataFrame, *columns: str) -> DataFrame:
+        """df with running sums of columns over all lines, each up to its own line, in so_far_<column>."""
+        carried = kept(df.groupBy(*block).agg(*[F.sum(c).alias(c) for c in columns]))
+        carried = carried.select(*block, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"carried_{c}") for c in columns])
+        own = Window.partitionBy(*block).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+        return df.join(carried, block).withColumns({f"so_far_{c}": F.sum(c).over(own) + F.col(f"carried_{c}") for c in columns}).drop(*[f"carried_{c}" for c in columns])
+
+    deep = running(lines, "by")
+    was = F.col("so_far_by") - F.col("by")
+    scene, token = (was < 2) & (F.col("so_far_by") >= 2), ((was <= 2) & (F.col("so_far_by") == 3)) | ((was == 2) & F.col("whole"))
+    deep = kept(deep.select(*order, "value", scene.cast("int").alias("scene"), token.cast("int").alias("token"), (token | (was >= 3)).alias("inside")))
+    found = running(deep, "scene", "token").filter("inside")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "value"))), lambda x: x["value"]), "\n")
+    found = found.groupBy(F.col("so_far_scene").alias("scene"), F.col("so_far_token").alias("token")).agg(F.regexp_replace(F.regexp_replace(text, r"^[^{]*", ""), r"[^}]*$", "").alias("json"))
+    found = kept(found)
+    first = found.groupBy("scene").agg(F.min("token").alias("first"))
+    return fields_of(found.join(first, "scene").select((F.col("token") - F.col("first")).cast("int").alias("token_idx"), "json"))
+
+
 def tokens_of(nested: DataFrame) -> DataFrame:
     """From rows (scene), arrays of JSON objects, tokens in the columns of TOKEN; what `value` holds goes by its type."""
-    found = nested.select(F.posexplode("scene").alias("token_idx", "json"))
+    return fields_of(nested.select(F.posexplode("scene").alias("token_idx", "json")))
+
+
+def fields_of(found: DataFrame) -> DataFrame:
+    """From rows (token_idx, json), tokens in the columns of TOKEN."""
     field = lambda c: F.get_json_object("json", f"$.{NAMES.get(c, c)}").cast(TOKEN[c].dataType).alias(c)
     value, kind = F.get_json_object("json", "$.value"), F.get_json_object("json", "$.type")
     values = {"value_num": F.when(kind == "NumberLiteral", value).cast("double"), "value_bool": F.when(kind == "BooleanLiteral", value).cast("boolean"), "value_str": F.when(~kind.isin("NumberLiteral", "BooleanLiteral"), value)}

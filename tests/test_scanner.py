@@ -1,6 +1,7 @@
 """Golden scanner and expression cases, the switch of semantics, sources and sinks."""
 
 import http.server
+import json
 import random
 import threading
 
@@ -412,6 +413,40 @@ def test_nested_json_round_trip(spark, tmp_path):
     assert found == {("a", 0): ("NumberLiteral", 3.0, None, None), ("a", 1): ("BooleanLiteral", None, True, None), ("b", 0): ("Comment", None, None, "c")}
 
 
+@pytest.mark.parametrize("n_bytes", ["128m", "700"])
+def test_pretty_json_in_blocks(spark, tmp_path, n_bytes):
+    tricky = ['*set s "a]}[{"', "*comment }\\" + '"', "5 [ { # x } ]", "*label a\n#B \"q\" @{c d|e}\nTail\n*if true"]
+    tokens = scanner.scan(scenes_of(spark, *[c for c, _ in GOLDEN], *tricky))
+    token_json.write_pretty(tokens, str(tmp_path / "pretty"))
+    parts = sorted((tmp_path / "pretty").glob("part-*"))
+    whole = "".join(p.read_text() for p in parts)
+    read = json.loads(whole)
+    assert [[t["type"] for t in scene] for scene in read] == [[r.type for r in sorted(own, key=lambda r: r.token_idx)] for _, own in sorted(_by_scene(tokens).items())] and whole.startswith('[\n  [\n    {\n      "type": "SceneStart",\n      "sceneName": "s00",\n      "lineNumber": 0,')
+    columns = scanner.TOKEN.fieldNames()
+    expected = sorted(map(str, tokens.select(columns).collect()))
+    (tmp_path / "own.json").write_text(json.dumps(read, indent=4))
+    (tmp_path / "flat.json").write_text("[" + ",\n".join("\n[\n" + ",\n".join(json.dumps(t) for t in scene) + "\n]" for scene in read) + "\n]")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", n_bytes)
+    try:
+        for name in ("pretty", "own.json", "flat.json"):
+            found = token_json.read_pretty(spark, str(tmp_path / name)).select(columns)
+            assert sorted(map(str, found.collect())) == expected, name
+            if n_bytes == "700":
+                assert spark.read.text(str(tmp_path / name)).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    token_json.write_pretty(tokens.limit(0), str(tmp_path / "none"))
+    assert token_json.read_pretty(spark, str(tmp_path / "none")).count() == 0
+
+
+def _by_scene(tokens):
+    found: dict = {}
+    for r in tokens.collect():
+        found.setdefault(r.scene_name, []).append(r)
+    return found
+
+
 def test_http_source(spark):
     class Pages(http.server.BaseHTTPRequestHandler):
         def do_GET(self):  # noqa: N802
