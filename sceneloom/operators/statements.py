@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from . import expressions as of_expressions
+from ..sources.kept import kept
 
 #: Token types that begin a statement.
 STATEMENTS = ("CreateVariable", "CreateTempVariable", "SetVariable", "Prose", "Choice", "ChoiceOption", "If", "GoSub", "GoSubScene", "Return", "GotoLabel", "GotoScene", "Label", "PageBreak", "InputText", "Comment")
@@ -57,6 +58,16 @@ def with_neighbours(tokens: DataFrame) -> DataFrame:
     )
 
 
+def scope_flags(tokens: DataFrame) -> DataFrame:
+    """Rows (scene_name, token_idx, type, child_scope, sibling_scope), one for each token that begins a statement or stands inside one: whether the next token stands deeper, and whether it stands no further out.
+
+    A scene's end has no indent, so nothing deeper than that is in the scope of what it follows.
+    """
+    after = F.lead("indent").over(in_scene())
+    found = tokens.select("scene_name", "token_idx", "type", F.coalesce(after > F.col("indent"), F.lit(False)).alias("child_scope"), F.coalesce(after >= F.col("indent"), F.lit(False)).alias("sibling_scope"), begins().alias("begins"))
+    return found.filter("begins").drop("begins")
+
+
 def _named(tokens: DataFrame, *types: str) -> DataFrame:
     return with_neighbours(tokens).filter(F.col("type").isin(*types) & (F.col("type_1") == "Identifier"))
 
@@ -191,7 +202,7 @@ def parents_in_blocks(tokens: DataFrame, block_lines: int = BLOCK_LINES) -> Data
     found = tokens.select(*columns, F.expr(f"line_number div {block_lines}").alias("block")).withColumn("taken", taken).filter(F.col("type").isin(*STATEMENTS, *INNER) & ~F.col("taken")).drop("taken")
     block = Window.partitionBy("scene_name", "block").orderBy("token_idx")
     last = F.coalesce(F.min("indent").over(block.rowsBetween(1, Window.unboundedFollowing)) > F.col("indent"), F.lit(True))
-    found = stacked(found.repartition("scene_name", "block").withColumn("stays", last), ("scene_name", "block")).drop("parent_type", "depth", "choice_idx")
+    found = kept(stacked(found.repartition("scene_name", "block").withColumn("stays", last), ("scene_name", "block")).drop("parent_type", "depth", "choice_idx"))
     looks = F.col("parent_idx").isNull() & (F.col("block") > 0) & (F.col("indent") > 0)
     sought = found.filter(looks).select("scene_name", "block", "indent").distinct()
     indents = sought.groupBy("scene_name").agg(F.collect_set("indent").alias("indents"))  # as many as a line has different indents

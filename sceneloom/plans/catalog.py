@@ -443,6 +443,7 @@ def _add_token_queries() -> None:
     near = {
         "same_line_flags": (lambda t: statements.with_neighbours(t).groupBy("type", "same_line").agg(F.count(F.lit(1)).alias("n")), "SELECT type, same_line, count(*) AS n FROM near GROUP BY ALL"),
         "indent_change_flags": (lambda t: statements.with_neighbours(t).filter(~F.col("same_indent")).select("scene_name", "token_idx", "indent"), "SELECT scene_name, token_idx, indent FROM near WHERE NOT same_indent"),
+        "scope_flags": (statements.scope_flags, f"SELECT scene_name, token_idx, type, next_indent > indent AS child_scope, next_indent >= indent AS sibling_scope FROM (SELECT *, lead(indent) OVER w AS next_indent, lag(type) OVER w AS last_type, lag(line_number) OVER w AS last_line FROM tokens WINDOW w AS (PARTITION BY scene_name ORDER BY token_idx)) WHERE type IN ({_IN((*statements.STATEMENTS, *statements.INNER))}) AND NOT (type = 'Prose' AND coalesce(last_type = 'PageBreak' AND last_line = line_number, false))"),
         "declared_variables": (statements.declared_variables, "SELECT scene_name, token_idx, text_1 AS variable, CASE WHEN type = 'CreateTempVariable' THEN 'Temporary' ELSE 'Global' END AS scope, type_2 IS NOT NULL AS has_expression FROM near WHERE type IN ('CreateVariable', 'CreateTempVariable') AND type_1 = 'Identifier'"),
         "set_variables": (statements.set_variables, "SELECT scene_name, token_idx, text_1 AS variable, type_2 AS expression_starts FROM near WHERE type = 'SetVariable' AND type_1 = 'Identifier'"),
         "goto_edges": (statements.goto_edges, "SELECT scene_name, token_idx, CASE WHEN type = 'GotoScene' THEN text_1 END AS target_scene, CASE WHEN type = 'GotoLabel' THEN text_1 WHEN type_2 = 'Identifier' THEN text_2 END AS target_label FROM near WHERE type IN ('GotoScene', 'GotoLabel') AND type_1 = 'Identifier'"),
