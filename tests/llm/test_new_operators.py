@@ -209,6 +209,13 @@ def test_boosted_trees_learn_an_interaction():
     assert personal_data.accepted(few) == {}  # too few held out to set a threshold by
 
 
+def test_each_level_of_scores_answers_for_itself():
+    assert personal_data.least_score([(0.99, 500, 500), (0.9, 30, 29), (0.2, 4, 0)]) == 0.9  # the last four would hide among the others
+    assert personal_data.least_score([(0.99, 500, 480), (0.9, 100, 100), (0.2, 40, 0)]) == 0.9  # pooled, as the lower level is right more often
+    assert personal_data.least_score([(0.99, 10, 10), (0.5, 5, 5), (0.3, 50, 10)]) == math.inf and personal_data.least_score([]) == math.inf
+    assert personal_data.least_score([(0.99, 10, 10), (0.5, 15, 15)]) == 0.5 and personal_data.least_score([(0.7, 100, 10)]) == math.inf
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.cd, now", "q"), (1, "mail a@b.cd, now", "q"), (2, None, "q"), (3, "🎉 +1 (788) 555-0037 🎉 1.2.3.4", None), (None, "x@y.zz", "q"), (4, "+1-2-3 4.5.6.77", "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string").withColumns({c: F.lit(c) for c in ("row", "kind", "_text", "carried", "strict_card")})
