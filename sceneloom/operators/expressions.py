@@ -113,12 +113,12 @@ def below(left: Column, right: Column) -> Column:
     return F.when(right.isNull() | tighter, left).otherwise(right)
 
 
-def grouped(found: DataFrame) -> DataFrame:
+def grouped(found: DataFrame, failed: bool = False) -> DataFrame:
     """with_roles() without errors, each row with group, the place of the parenthesis that it stands in, null outside of any; closed, where that one is closed; and above_left, above_right, nearest operators to hang from.
 
-    An open parenthesis is two rows: role open in the group around it, and opener in its own.
+    An open parenthesis is two rows: role open in the group around it, and opener in its own. With failed, the head of each expression with an error comes too.
     """
-    sound = found.filter("error is null and place >= 0")
+    sound = found.filter("if(error is null, place >= 0, place = -1)" if failed else "error is null and place >= 0")
     roles = F.explode(F.when(F.col("role") == "open", F.array(F.lit("open"), F.lit("opener"))).otherwise(F.array("role")))
     sound = sound.select("*", roles.alias("as")).drop("role").withColumnRenamed("as", "role")
     sound = sound.withColumn("depth", F.when(F.col("role") == "open", F.col("depth") - 1).otherwise(F.col("depth")))
@@ -163,8 +163,7 @@ def trees(found: DataFrame) -> DataFrame:
 
 def expressions(tokens: DataFrame, statements: tuple[str, ...]) -> DataFrame:
     """Rows (scene_name, token_idx, type, postfix, error): the expression of each statement that has one, in postfix order, prefix operators marked with a tilde; or the error that it cannot be parsed for, with null for the order."""
-    roles = with_roles(lexemes(tokens, statements))
-    found = grouped(roles)
+    found = grouped(with_roles(lexemes(tokens, statements)), failed=True)
     # Where each comes out: operands at once; operators at the nearest looser one on their right, or where their group ends; prefix operators after what they stand before.
     end, far = F.col("closed"), F.lit(1 << 30)
     within = Window.partitionBy(*_EXPRESSION, "depth", "group").orderBy("place").rowsBetween(1, Window.unboundedFollowing)
@@ -173,7 +172,7 @@ def expressions(tokens: DataFrame, statements: tuple[str, ...]) -> DataFrame:
     found = found.withColumn("own_close", F.when(F.col("role") == "open", closes["place"]))
     target = F.first(F.when(F.col("role").isin("operand", "open"), F.coalesce("own_close", "place")), ignorenulls=True).over(within)
     out = F.when(F.col("role") == "operand", F.struct(F.col("place").alias("at"), F.lit(0).alias("phase"), F.col("place").alias("order"))).when(F.col("role") == "prefix", F.struct(target.alias("at"), F.lit(2).alias("phase"), (-F.col("place")).alias("order"))).when(F.col("role") == "binary", F.struct(F.coalesce(F.col("above_right")["place"], end, far).alias("at"), F.lit(1).alias("phase"), (-F.col("place")).alias("order")))
-    told = found.select(*_EXPRESSION, "of", out.alias("out"), F.when(F.col("role") == "prefix", F.concat(F.lit("~"), "shown")).otherwise(F.col("shown")).alias("word")).filter("out is not null")
-    whole = told.groupBy(*_EXPRESSION, "of").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("out", "word"))), lambda x: x["word"]), " ").alias("postfix")).withColumn("error", F.lit(None).cast("string"))
-    failed = roles.filter("place = -1 and error is not null").select(*_EXPRESSION, "of", F.lit(None).cast("string").alias("postfix"), "error")
-    return whole.unionByName(failed).select("scene_name", F.col("statement").alias("token_idx"), F.col("of").alias("type"), "postfix", "error")
+    told = found.select(*_EXPRESSION, "of", "error", out.alias("out"), F.when(F.col("role") == "prefix", F.concat(F.lit("~"), "shown")).otherwise(F.col("shown")).alias("word")).filter("out is not null or error is not null")
+    words = F.array_sort(F.collect_list(F.when(F.col("out").isNotNull(), F.struct("out", "word"))))
+    whole = told.groupBy(*_EXPRESSION, "of").agg(words.alias("words"), F.max("error").alias("error"))
+    return whole.select("scene_name", F.col("statement").alias("token_idx"), F.col("of").alias("type"), F.when(F.col("error").isNull(), F.array_join(F.transform("words", lambda x: x["word"]), " ")).alias("postfix"), "error")

@@ -357,19 +357,17 @@ def report(message: Column, token: Column) -> Column:
     return F.concat(F.lit("Error: "), message, F.when(token["type"] == "SceneEnd", F.lit(" at end of scene ")).otherwise(F.concat(F.lit(" at '"), token["type"], F.lit("' "))), where(token))
 
 
-def errors(tokens: DataFrame) -> DataFrame:
-    """Rows (scene_name, token_idx, source, message, found_idx, report) of all that cannot be parsed, from one pass over the tokens.
+def judged(tokens: DataFrame) -> DataFrame:
+    """Rows (scene_name, token_idx, counts, told): each statement, each token that stands where one is due but begins none, and each scene's first token, with all that is wrong with it; from one pass over the tokens.
 
-    token_idx is the statement's token, found_idx the token at which it fails, report the whole text with its place. source is structure or expression. In structure:
-    unknown statements, missing operands, tokens after a statement's end, what may not stand in a choice,
-    modifiers without an option, and branches without an If. A statement may have several.
+    counts says whether it is a statement. told has (source, message, found_idx, report), as in errors().
     """
     order = in_scene()
     this = F.struct("token_idx", "type", "line_number", "position", "indent")
-    near = tokens.select("scene_name", "token_idx", "type", "line_number", "position", "indent", of_expressions.shown().alias("shown"), this.alias("at_0"), begins().alias("counts"), *[F.lead(this, k).over(order).alias(f"at_{k}") for k in (1, 2, 3)], (F.coalesce(F.lag("line_number").over(order), F.lit(0)) != F.col("line_number")).alias("new_line"))
+    near = tokens.select("scene_name", "token_idx", "type", "line_number", "position", "indent", of_expressions.shown().alias("shown"), this.alias("at_0"), begins().alias("counts"), *[F.lead(this, k).over(order).alias(f"at_{k}") for k in (1, 2, 3)], (F.coalesce(F.lag("line_number").over(order), F.lit(0)) != F.col("line_number")).alias("new_line"), F.lag("token_idx").over(order).isNull().alias("begins_scene"))
     near = of_expressions.with_errors(near, (*STATEMENTS, *INNER))
     near = near.withColumn("unknown", (F.col("new_line") | (F.col("token_idx") == 1)) & ~F.col("type").isin(*STATEMENTS, *INNER, "SceneStart", "SceneEnd"))
-    rows = stacked(near.filter("counts or unknown").drop("shown"))
+    rows = stacked(near.filter("counts or unknown or begins_scene").drop("shown"))
     rows = with_branches(rows)
     modifier = F.col("type").isin(*MODIFIERS)
     after = Window.partitionBy("scene_name", "line_number").orderBy("token_idx").rowsBetween(1, Window.unboundedFollowing)
@@ -400,8 +398,17 @@ def errors(tokens: DataFrame) -> DataFrame:
     tell(F.col("counts") & F.col("loose"), F.lit(NO_OPTION), F.col("at_0"))
     tell(F.col("counts") & F.col("type").isin("ElseIf", "Else") & F.col("if_idx").isNull(), unknown, F.col("at_0"), unknown_at)
     tell(F.col("counts") & F.col("expr_error").isNotNull() & (F.col("type").isin("If", "ElseIf", "SelectableIf") | named(1)), F.col("expr_error"), F.col("expr_at"), source="expression")
-    every = rows.select("scene_name", "token_idx", F.explode(F.array_compact(F.array(*told))).alias("x"))
-    return every.select("scene_name", "token_idx", "x.*")
+    return rows.select("scene_name", "token_idx", "counts", F.array_compact(F.array(*told)).alias("told"))
+
+
+def errors(tokens: DataFrame) -> DataFrame:
+    """Rows (scene_name, token_idx, source, message, found_idx, report) of all that cannot be parsed, from one pass over the tokens.
+
+    token_idx is the statement's token, found_idx the token at which it fails, report the whole text with its place. source is structure or expression. In structure:
+    unknown statements, missing operands, tokens after a statement's end, what may not stand in a choice,
+    modifiers without an option, and branches without an If. A statement may have several.
+    """
+    return judged(tokens).select("scene_name", "token_idx", F.explode("told").alias("x")).select("scene_name", "token_idx", "x.*")
 
 
 def structural_errors(tokens: DataFrame) -> DataFrame:
@@ -431,8 +438,9 @@ def parse_outcome(tokens: DataFrame) -> DataFrame:
     The first error is the one that fails at the earliest token; of several at one token, that of the earliest statement. error is its whole text, null for a scene
     without any. n_statements counts the statements begun before it: all, if there is none.
     """
-    first = errors(tokens).groupBy("scene_name").agg(F.min(F.struct("found_idx", "token_idx", "report")).alias("first"))
-    begun_at = tokens.select("scene_name", "token_idx", begins().cast("int").alias("begins"))
-    found = begun_at.join(first, "scene_name", "left")
-    before = F.col("first").isNull() | (F.col("token_idx") < F.col("first.token_idx"))
-    return found.groupBy("scene_name").agg(F.first("first").alias("first"), F.sum(F.when(before, F.col("begins")).otherwise(0)).alias("n_statements")).select("scene_name", F.col("first").isNull().alias("parsed"), "n_statements", F.col("first.report").alias("error"))
+    own = F.array_min(F.transform("told", lambda x: F.struct(x["found_idx"].alias("found_idx"), F.col("token_idx").alias("token_idx"), x["report"].alias("report"))))
+    found = judged(tokens).select("scene_name", "token_idx", "counts", own.alias("own"))
+    found = found.withColumn("first", F.min("own").over(Window.partitionBy("scene_name")))
+    before = F.col("counts") & (F.col("first").isNull() | (F.col("token_idx") < F.col("first.token_idx")))
+    whole = found.groupBy("scene_name").agg(F.first("first").alias("first"), F.sum(before.cast("int")).alias("n_statements"))
+    return whole.select("scene_name", F.col("first").isNull().alias("parsed"), "n_statements", F.col("first.report").alias("error"))

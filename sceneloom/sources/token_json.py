@@ -60,6 +60,7 @@ def write_pretty(tokens: DataFrame, path: str) -> None:
 
     Fields that a token doesn't have are left out; a literal's value has its own type. An empty table makes an empty array.
     """
+    tokens = kept(tokens)  # what they are made of is read once, not for the ends, the ranges and the text again
     value = F.coalesce(*[F.when(F.col(c).isNotNull(), _told(F.col(c))) for c in ("value_str", "value_num", "value_bool")])
     order = ["type", "scene_name", "line_number", "position", "indent", "content", "value", "raw_value", "raw_text", "has_multi_replace"]
     fields = [F.when(value.isNotNull(), F.concat(F.lit('      "value": '), value)) if c == "value" else F.when(F.col(c).isNotNull(), F.concat(F.lit(f'      "{NAMES.get(c, c)}": '), _told(F.col(c)))) for c in order]
@@ -110,7 +111,10 @@ def tokens_of(nested: DataFrame) -> DataFrame:
 
 def fields_of(found: DataFrame) -> DataFrame:
     """From rows (token_idx, json), tokens in the columns of TOKEN."""
-    field = lambda c: F.get_json_object("json", f"$.{NAMES.get(c, c)}").cast(TOKEN[c].dataType).alias(c)
-    value, kind = F.get_json_object("json", "$.value"), F.get_json_object("json", "$.type")
+    names = {c: NAMES.get(c, c) for c in TOKEN.fieldNames()[2:] if not c.startswith("value_")} | {"scene_name": NAMES["scene_name"], "value": "value"}
+    # An object is taken apart once, all its fields as texts.
+    found = found.select("token_idx", F.from_json("json", ", ".join(f"{n} string" for n in names.values())).alias("own"))
+    field = lambda c: F.col(f"own.{names[c]}").cast(TOKEN[c].dataType).alias(c)
+    value, kind = F.col("own.value"), F.col("own.type")
     values = {"value_num": F.when(kind == "NumberLiteral", value).cast("double"), "value_bool": F.when(kind == "BooleanLiteral", value).cast("boolean"), "value_str": F.when(~kind.isin("NumberLiteral", "BooleanLiteral"), value)}
     return found.select(field("scene_name"), F.col("token_idx"), *[values[c].alias(c) if c in values else field(c) for c in TOKEN.fieldNames()[2:]])
