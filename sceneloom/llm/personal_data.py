@@ -47,13 +47,14 @@ WIDE = {
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}([\x20._/-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([\x20._/-])[0-9]{6}\2[0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z])(?:(?:00|\+)[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
 }
-#: A text without this holds no match of a kind.
-NEEDED = {"email": r"@|[\[({]at[\])}]", "ip": r"[0-9][.\])]", "card": "[0-9]{4}", "phone": r"[0-9]{2}"}
+#: What every match of a pattern holds, and what is found sooner: a text without it has none.
+NEEDED_STRICT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}+", "phone": r"\+[0-9]"}
+NEEDED_WIDE = {"email": r"@|[\[({]at[\])}]", "ip": r"[0-9](?:\.|\[\.\]|\(\.\))[0-9]", "card": "[0-9]{4}", "phone": "[0-9]{4}"}
 #: Words that announce a kind, and words that announce numbers of other sorts; they end at most 12 characters before it.
 ANNOUNCED = {"email": "e-?mail|contact|write to|reach", "ip": "ip|address|host|server", "card": "card|visa|mastercard|amex|credit", "phone": "phone|tel|call|mobile|fax|dial"}
 OTHERWISE = "token|key|hash|sha|version|serial|order|isbn|id"
-#: What is looked at before and after a hit.
-BEFORE, AFTER = 24, 2
+#: What is looked at before and after a hit, and the length of the shortest match of any pattern.
+BEFORE, AFTER, SHORTEST = 24, 2, 4
 #: Features and the numbers of their values.
 FEATURES = {"left": 3, "right": 3, "hint": 3, "valid": 2, "size": 5, "shape": 4, "odd": 2}
 PATTERNS = len(KINDS) * math.prod(FEATURES.values())
@@ -66,10 +67,21 @@ _OPEN, _CLOSE = "\uE000", "\uE001"
 
 
 def hits(text: Column, pattern: str, needed: str) -> Column:
-    """An array of (gap, hit, before, after), one for each match: the characters since the last match, the match, and what stands around it."""
+    """An array of (gap, hit, before, after), one for each match: the characters since the last match, the match, and what stands around it, other matches included.
+
+    needed: what each match of the pattern holds.
+    """
     marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{_OPEN}$0{_CLOSE}"))
     pieces = F.split(marked, f"[{_OPEN}{_CLOSE}]", -1)
-    own = lambda pieces: F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), lambda i: F.struct(F.length(F.get(pieces, i - 1)).alias("gap"), F.get(pieces, i).alias("hit"), F.right(F.get(pieces, i - 1), F.lit(BEFORE)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(AFTER)).alias("after")))
+    reach = 2 * -(-BEFORE // SHORTEST)  # so many pieces, half of them matches, hold what is looked at
+
+    def one(pieces: Column, i: Column) -> Column:
+        gap, then = F.get(pieces, i - 1), F.get(pieces, i + 1)
+        near = F.when(F.length(gap) >= BEFORE, gap).otherwise(F.array_join(F.slice(pieces, F.greatest(i - (reach - 1), F.lit(1)), F.least(i, F.lit(reach))), ""))
+        then = F.when(F.length(then) >= AFTER, then).otherwise(F.concat(then, F.coalesce(F.get(pieces, i + 2), F.lit(""))))
+        return F.struct(F.length(gap).alias("gap"), F.get(pieces, i).alias("hit"), F.right(near, F.lit(BEFORE)).alias("before"), F.left(then, F.lit(AFTER)).alias("after"))
+
+    own = lambda pieces: F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), lambda i: one(pieces, i))
     found = F.element_at(F.transform(F.array(pieces), lambda p: F.when(F.size(p) > 2, own(p))), 1)
     return F.coalesce(F.when(F.regexp_like(text, F.lit(needed)), found), F.array().cast("array<struct<gap:int,hit:string,before:string,after:string>>"))
 
@@ -119,7 +131,7 @@ def proposals(docs: DataFrame, text_column: str, kept: list[Column], at: str) ->
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     text = F.replace(F.replace(text, F.lit(_OPEN), F.lit("~")), F.lit(_CLOSE), F.lit("~"))  # no pattern has these
     found = docs.select(*kept, text.alias("_text"))
-    found = found.select("*", *[hits(F.col("_text"), of[k], NEEDED[k]).alias(f"{name}_{k}") for name, of in (("strict", STRICT), ("wide", WIDE)) for k in KINDS]).drop("_text")
+    found = found.select("*", *[hits(F.col("_text"), of[k], needed[k]).alias(f"{name}_{k}") for name, of, needed in (("strict", STRICT, NEEDED_STRICT), ("wide", WIDE, NEEDED_WIDE)) for k in KINDS]).drop("_text")
     found.withColumn("row", F.monotonically_increasing_id()).write.parquet(at)
     return docs.sparkSession.read.parquet(at)
 
@@ -142,7 +154,7 @@ def candidates(found: DataFrame) -> DataFrame:
     own = [F.col("kind"), F.col("hit"), F.col("before"), F.col("after"), F.length("digits"), F.col("checked")]
     told = features(*own) | {"hint": hint(*own[:1], own[2])}
     rows = rows.select("row", "fold", "kind", "begin", "end", "strict", (F.col("strict") & passes(own[0], own[1], *own[4:])).alias("base"), *[told[k].alias(k) for k in FEATURES])
-    # A span that both patterns propose is one. Its surroundings are those since the last hit of either, so the fuller ones count.
+    # A span that both patterns propose is one. Its surroundings, and so its features, are the same in both.
     rows = rows.groupBy("row", "fold", "kind", "begin", "end").agg(F.max("base").alias("base"), F.max("strict").alias("strict"), F.max(F.struct(F.col("hint").alias("first"), *FEATURES)).alias("f")).select("row", "fold", "kind", "begin", "end", "base", "strict", *[F.col(f"f.{k}").alias(k) for k in FEATURES])
     def meets(other: Column, *within: str) -> Column:
         """Whether a span overlaps another one for which other holds."""

@@ -177,6 +177,30 @@ def test_base_spans_against_plain_patterns(spark):
         assert all(a[1] <= b[0] for a, b in itertools.pairwise(ends)) and not [1 for a in ends for b in base if a[0] < b[1] and b[0] < a[1]]
 
 
+def test_no_text_is_passed_over(spark):
+    """Numbers in any groups of digits and addresses with all points hidden are found, whatever else a text holds."""
+    texts = ["4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "411-111-111-111-111-1", "🎉 41 11 11 11 11 11 11 11 é", "x +1 2 3 4 5 6 7 8 y", "+1-2-3-4-5-6-7-8", "+1.2.3.4.5.6.7.8", "at 8[.]7[.]6[.]5 now", "at 8(.)7(.)6(.)5 now"]
+    draw = np.random.default_rng(11)
+    pieces = ["1", "7 ", "3-", "12", "4 1 1 1", "1-1", "0 ", "+1 ", "+2.", "5[.]", "6(.)", "9.", "a (at) b", "[dot]c", "@", "x", "é", " ", "(", "+1 2", "ip 1.2.3.4", "a@b.c", " 4111-1111-1111-1112 ", "tel 0121 555-0100 "]
+    texts += ["".join(draw.choice(pieces, int(n))) for n in draw.integers(1, 25, 2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.spans for r in personal_data.find_spans(docs).collect()}
+    for i, text in enumerate(texts):
+        assert sorted((s.kind, s.begin, s.end) for s in found[i] if s.base) == sorted(plain_base(text)), text
+    kinds = [(patterns[k], needed[k]) for patterns, needed in ((personal_data.STRICT, personal_data.NEEDED_STRICT), (personal_data.WIDE, personal_data.NEEDED_WIDE)) for k in personal_data.KINDS]
+    for pattern, needed in kinds:
+        both = docs.select("text", *[personal_data.hits(F.col("text"), pattern, x).alias(name) for name, x in (("own", needed), ("any", ""))]).collect()
+        assert any(r["any"] for r in both)
+        for r in both:
+            assert r["own"] == r["any"], (pattern, r.text)
+            at = 0
+            for h in r["own"]:
+                begin, at = at + h.gap, at + h.gap + len(h.hit)
+                assert r.text[begin:at] == h.hit and h.before == r.text[max(0, begin - 24) : begin] and h.after == r.text[at : at + 2]
+    hidden = docs.filter("doc_id in (6, 7)").select(personal_data.hits(F.col("text"), personal_data.WIDE["ip"], personal_data.NEEDED_WIDE["ip"])["hit"].alias("h")).collect()
+    assert sorted(r.h for r in hidden) == [["8(.)7(.)6(.)5"], ["8[.]7[.]6[.]5"]]
+
+
 def test_proposals_beyond_the_base(spark):
     """A number that a longer invalid match has swallowed is found; what looks like one, but isn't, is left alone."""
     draw = np.random.default_rng(3)
