@@ -218,12 +218,14 @@ def with_branches(found: DataFrame) -> DataFrame:
     """Rows with parent_idx, with if_idx: the If that an ElseIf or Else belongs to, null at all others and at those that belong to none.
 
     Among statements of one parent and one indent, a chain is an If, any number of ElseIf and one Else, with nothing between.
+    Rows of a false column counts, if found has one, are no statements, so nothing ends a chain there.
     """
-    among = Window.partitionBy("scene_name", "parent_idx", "indent").orderBy("token_idx")
+    of = ["scene_name", "parent_idx", "indent", *(["counts"] if "counts" in found.columns else [])]
+    among = Window.partitionBy(*of).orderBy("token_idx")
     branch = F.col("type").isin("ElseIf", "Else")
     head = F.last(F.when(~branch, F.struct("token_idx", "type")), ignorenulls=True).over(among.rowsBetween(Window.unboundedPreceding, -1))
     number = F.sum(F.when(branch, 0).otherwise(1)).over(among.rowsBetween(Window.unboundedPreceding, 0))
-    within = Window.partitionBy("scene_name", "parent_idx", "indent", "number").orderBy("token_idx").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*of, "number").orderBy("token_idx").rowsBetween(Window.unboundedPreceding, -1)
     closed = F.coalesce(F.max(F.col("type") == "Else").over(within), F.lit(False))
     chain = found.withColumns({"head": head, "number": number}).withColumn("closed", closed)
     return chain.withColumn("if_idx", F.when(branch & (F.col("head.type") == "If") & ~F.col("closed"), F.col("head.token_idx"))).drop("head", "number", "closed")

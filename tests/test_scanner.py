@@ -308,6 +308,15 @@ def test_parse_errors(spark):
     assert found["s00"].startswith("Expected end of statement") and found["s01"].startswith("Unknown statement block starting Finish") and found["s02"].startswith("Prose is not allowed") and "s03" not in found
 
 
+def test_unknown_statements_end_no_chain_of_branches(spark):
+    contents = ["*if (a)\n*finish\n*else \n  x\n#a", "*if (a)\n*delete b\n*elseif (c)\n*image d\n*else \n*image e\n*else \n", "*finish\n*else \n"]
+    tokens = scanner.scan(scenes_of(spark, *contents))
+    branches = {(r.scene_name, r.token_idx) for r in statements.else_pairing(statements.parents(tokens)).collect() if r.if_idx is None}
+    found = [(r.scene_name, r.token_idx, r.message) for r in statements.parse_errors(tokens).collect()]
+    assert {(s, k) for s, k, message in found if message == "Unknown statement block starting Else"} == branches and len(branches) == 2
+    assert sorted((s, message.split(" at ")[0].split()[-1]) for s, _, message in found) == [("s00", "Finish"), ("s01", "DeleteVariable"), ("s01", "Else"), ("s01", "Image"), ("s01", "Image"), ("s02", "Else"), ("s02", "Finish")]
+
+
 def test_errors_of_second_operands_and_the_first_error(spark):
     contents = ["*goto_scene a 5", '*gosub_scene b "q"', "*goto_scene a b c", "*page_break", "*label a\n*set x 1\n*finish\n*set", "*set x 1\n*set y", "  *if (a) b", "*set x\n  *goto_scene s l\n", "*temp t", "*goto\tx", "*set 5"]
     rows: dict = {}
