@@ -317,6 +317,13 @@ def test_unknown_statements_end_no_chain_of_branches(spark):
     assert sorted((s, message.split(" at ")[0].split()[-1]) for s, _, message in found) == [("s00", "Finish"), ("s01", "DeleteVariable"), ("s01", "Else"), ("s01", "Image"), ("s01", "Image"), ("s02", "Else"), ("s02", "Finish")]
 
 
+def test_structural_errors_of_branches_beside_unknown_statements(spark):
+    tokens = scanner.scan(scenes_of(spark, "  *set x 1\n*if (a)\n*delete b\n*else \n  *set x 2", "*if (a)\n  *finish\n    *set x 1\n*elsif (b)\n*link c\n*else \n#d"))
+    found = sorted((r.scene_name, r.message.split(" at ")[0]) for r in statements.structural_errors(tokens).collect())
+    assert found == [("s00", "Unknown statement block starting DeleteVariable"), ("s01", "Unknown statement block starting Finish"), ("s01", "Unknown statement block starting Link")]
+    assert all(r.if_idx is not None for r in statements.else_pairing(statements.parents(tokens)).collect())
+
+
 def test_errors_of_second_operands_and_the_first_error(spark):
     contents = ["*goto_scene a 5", '*gosub_scene b "q"', "*goto_scene a b c", "*page_break", "*label a\n*set x 1\n*finish\n*set", "*set x 1\n*set y", "  *if (a) b", "*set x\n  *goto_scene s l\n", "*temp t", "*goto\tx", "*set 5"]
     rows: dict = {}
