@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.script import BARE, BLANK_RE2, CLOSED, KEYWORDS, SEGMENT, WORDS, language
 from ..operators import scanner, statements, token_types
 from ..sources import scenes as sources, token_json
-from ..sources.kept import shared_folder
+from ..sources.kept import delete_folder, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -329,8 +329,10 @@ def control_flow_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of all scripts, written as one pretty-printed array in a folder of files, and read back."""
     folder = shared_folder(spark, "token-json")
-    token_json.write_pretty(_tokens(spark, sf_dir), folder)
-    return token_json.read_pretty(spark, folder).select(*STRUCTURE, *scanner.VALUES)
+    token_json.write_pretty(_tokens(spark, sf_dir), folder, "gzip")
+    found = token_json.read_pretty(spark, folder)
+    delete_folder(spark, folder)
+    return found.select(*STRUCTURE, *scanner.VALUES)
 
 
 ROOT = "src/index.ts"

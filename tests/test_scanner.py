@@ -1,7 +1,9 @@
 """Golden scanner and expression cases, the switch of semantics, sources and sinks."""
 
+import gzip
 import http.server
 import json
+import pathlib
 import random
 import threading
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sceneloom.operators import scanner, statements, token_types
 from sceneloom.sources import scenes, token_json
+from sceneloom.sources.kept import shared_folder
 from sceneloom.streaming.scenes import stream_scenes, stream_segments
 
 GOLDEN = [
@@ -456,6 +459,44 @@ def test_pretty_json_in_blocks(spark, tmp_path, n_bytes):
     assert token_json.read_pretty(spark, str(tmp_path / "none")).count() == 0
 
 
+def _bytes_in(folder):
+    return sum(p.stat().st_size for p in pathlib.Path(folder).rglob("*") if p.is_file())
+
+
+def test_pretty_json_keeps_less_than_its_text(spark, tmp_path):
+    lines = ["*set x (1 + 2) * a", "Text [of {a}] body", "*if (a) #Go @{b c|d}", "*comment }] note"]
+    tokens = scanner.scan(scenes_of(spark, *["\n".join(f"{line} {k}" for k in range(100) for line in lines) for _ in range(10)]))
+    shared = shared_folder(spark).removeprefix("file:").rsplit("/", 1)[0]
+    before = _bytes_in(shared)
+    token_json.write_pretty(tokens, str(tmp_path / "pretty"))
+    text = sum(p.stat().st_size for p in (tmp_path / "pretty").glob("part-*"))
+    columns = scanner.TOKEN.fieldNames()
+    found = token_json.read_pretty(spark, str(tmp_path / "pretty")).select(columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, tokens.select(columns).collect()))
+    assert _bytes_in(shared) - before < text / 2
+
+
+@pytest.mark.parametrize("n_bytes", ["128m", "5000"])
+def test_pretty_json_compressed_with_long_texts(spark, tmp_path, monkeypatch, n_bytes):
+    monkeypatch.setattr(token_json, "FILE_TOKENS", 7)
+    tokens = scanner.scan(scenes_of(spark, *['a "b] {c' * 4000 + "\n*label a\n#B", "*set x 5\n" * 9 + "*comment \\" * 3000, "#q", "*set y 1e5\n" + "*set z 123456789012.5\n"]))
+    token_json.write_pretty(tokens, str(tmp_path / "packed"), "gzip")
+    parts = sorted((tmp_path / "packed").glob("part-*"))
+    read = json.loads(gzip.decompress(b"".join(p.read_bytes() for p in parts)))
+    assert len(parts) > 3 and [[t["type"] for t in scene] for scene in read] == [[r.type for r in sorted(own, key=lambda r: r.token_idx)] for _, own in sorted(_by_scene(tokens).items())]
+    columns = scanner.TOKEN.fieldNames()
+    expected = sorted(map(str, tokens.select(columns).collect()))
+    (tmp_path / "own.json").write_text(json.dumps(read, indent=1))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", n_bytes)
+    try:
+        for name in ("packed", "own.json"):
+            assert sorted(map(str, token_json.read_pretty(spark, str(tmp_path / name)).select(columns).collect())) == expected, name
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
 def _by_scene(tokens):
     found: dict = {}
     for r in tokens.collect():
