@@ -497,6 +497,15 @@ def test_pretty_json_compressed_with_long_texts(spark, tmp_path, monkeypatch, n_
     assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
 
 
+def test_pretty_json_of_a_scene_without_a_name(spark, tmp_path):
+    for k, names in enumerate((["b", None, "a"], [None])):
+        tokens = scanner.scan(spark.createDataFrame([(name, "", f"*set x {i}\n#A") for i, name in enumerate(names)], "scene_name string, source_url string, content string"))
+        token_json.write_pretty(tokens, str(tmp_path / str(k)))
+        assert len(json.loads("".join(p.read_text() for p in sorted((tmp_path / str(k)).glob("part-*"))))) == len(names)
+        found = token_json.read_pretty(spark, str(tmp_path / str(k)))
+        assert sorted(map(str, found.collect())) == sorted(map(str, tokens.select(found.columns).collect()))
+
+
 def _by_scene(tokens):
     found: dict = {}
     for r in tokens.collect():
